@@ -31,7 +31,7 @@ CYRILLIC, CYRILLIC_AS = "АВЕЅІЈКМНОРСТУХҮԌԚԜаеоріјсу
 GREEK, GREEK_AS = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹϳοϲ", "ABEZHIKMNOPTYXCjoc"
 KANJI, KANJI_AS = "二八力口夕工卜一へべぺ", "ニハカロタエトーヘベペ"
 # Dashes of the length of a hyphen, bars drawn like the long-vowel mark, colon-like signs.
-HYPHENS, BARS, COLONS = "\u2010\u2011\u2212\u00ad\ufe63", "\u2015\u2014\u2500", "\u0903\u0983\ua789\u2236"
+HYPHENS, BARS, COLONS = "\u2010\u2011\u2212\ufe63", "\u2015\u2014\u2500", "\u0903\u0983\ua789\u2236"
 # Sequences that are drawn as another letter.
 SEQUENCES = [
     ("\u09a4\u09cd\u200d", "\u09ce"),  # ta, virama, joiner: khanda ta

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lekhani.llm import lookalike, sentences, truncation
+from lekhani.llm import lookalike, residue, sentences, truncation
 from lekhani.sources.tables import spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,5 +43,10 @@ def p4_shares(spark: SparkSession, d: str) -> DataFrame:
     return truncation.shares(truncation.find_cut(_response_fields(spark, d), "rec_id"), "run_name")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_canonical_nouns, p3_found, p4_found, p4_shares)}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    documents = spread(table(spark, d, "documents").select("doc_id", "text"))
+    return residue.find_residue(documents, "doc_id", "text").select("doc_id")
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_canonical_nouns, p3_found, p4_found, p4_shares, p8_found)}
 ORACLES: dict[str, str] = {}
