@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lekhani.llm import lookalike, residue, sentences, truncation
+from lekhani.llm import lookalike, pairs, residue, sentences, truncation
 from lekhani.sources.tables import spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,18 @@ def p1_canonical_nouns(spark: SparkSession, d: str) -> DataFrame:
     return nouns.join(members, "value").select("work_id", "lang", "value", "canonical")
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    questions = table(spark, d, "questions")
+    asked = questions.groupBy("question_id", "lang").agg(F.min("question").alias("prompt"))
+    gold = questions.select(F.lit("questions").alias("table_name"), F.col("row_id").alias("row_key"), "lang", F.col("question").alias("prompt"), F.col("answer").alias("response"))
+    extracted = (
+        table(spark, d, "extract_answers")
+        .join(asked, ["question_id", "lang"], "left")
+        .select(F.lit("extract_answers").alias("table_name"), F.col("answer_id").alias("row_key"), "lang", "prompt", F.col("answer").alias("response"))
+    )
+    return pairs.find_defects(gold.unionByName(extracted), "table_name", "row_key")
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "translations").select("rec_id", F.col("response.translation").alias("translation"))
     return sentences.sentence_units(spread(rows), "translation", "rec_id")
@@ -48,5 +60,5 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return residue.find_residue(documents, "doc_id", "text").select("doc_id")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_canonical_nouns, p3_found, p4_found, p4_shares, p8_found)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_canonical_nouns, p2_found, p3_found, p4_found, p4_shares, p8_found)}
 ORACLES: dict[str, str] = {}
