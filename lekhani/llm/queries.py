@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lekhani.llm import lookalike, pairs, residue, sentences, truncation
+from lekhani.llm import alignment, lookalike, pairs, residue, sentences, truncation
 from lekhani.sources.tables import spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,10 +55,16 @@ def p4_shares(spark: SparkSession, d: str) -> DataFrame:
     return truncation.shares(truncation.find_cut(_response_fields(spark, d), "rec_id"), "run_name")
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "translations").where("layout = 'lines'").select("book_id", "chapter", "segment", "rec_id", "target_lang", F.col("response.translation").alias("translation"))
+    found = alignment.align(rows, ["book_id", "chapter", "segment"], "rec_id", "target_lang", "translation")
+    return found.select(F.col("lo").alias("rec_lo"), "line_lo", F.col("hi").alias("rec_hi"), "line_hi")
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     documents = spread(table(spark, d, "documents").select("doc_id", "text"))
     return residue.find_residue(documents, "doc_id", "text").select("doc_id")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_canonical_nouns, p2_found, p3_found, p4_found, p4_shares, p8_found)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_canonical_nouns, p2_found, p3_found, p4_found, p4_shares, p5_found, p8_found)}
 ORACLES: dict[str, str] = {}
