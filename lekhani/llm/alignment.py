@@ -27,7 +27,7 @@ COMMON, LEAST_RECORDS = 0.9, 2
 #: Translations kept for a word, and their least strength.
 KEPT, STRENGTH = 4, 0.08
 #: Least covered share of a pair (mean of both directions); of a joining line's whole and of what is unexplained; weight of nearness.
-MATCHED, PART, REST, NEAR = 0.33, 0.2, 0.62, 0.05
+MATCHED, PART, REST, NEAR = 0.33, 0.22, 0.5, 0.05
 
 
 def lines(df: DataFrame, segment: list[str], rec: str, lang: str, text: str) -> DataFrame:

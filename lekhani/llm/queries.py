@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lekhani.llm import alignment, lookalike, pairs, residue, sentences, truncation
+from lekhani.llm import alignment, lookalike, mixing, packing, pairs, residue, sentences, tokens, truncation
+from lekhani.session import cut_lineage
 from lekhani.sources.tables import spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,10 +62,33 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.col("lo").alias("rec_lo"), "line_lo", F.col("hi").alias("rec_hi"), "line_hi")
 
 
+def p6_packing(spark: SparkSession, d: str) -> DataFrame:
+    lengths = tokens.count_tokens(spread(table(spark, d, "documents").select("doc_id", "text")), "text", "doc_id")
+    return packing.pack(lengths, "doc_id", table(spark, d, "pack_sizes"))
+
+
+def p6_unused(spark: SparkSession, d: str) -> DataFrame:
+    return packing.unused(p6_packing(spark, d), table(spark, d, "pack_sizes"))
+
+
+def _mixture(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    documents = spread(table(spark, d, "documents").select("doc_id", "source", "text"))
+    lengths = cut_lineage(tokens.count_tokens(documents, "text", "doc_id", "source"))
+    return mixing.mix(lengths, table(spark, d, "mix_targets"), "doc_id")
+
+
+def p7_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return _mixture(spark, d)[0]
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    return _mixture(spark, d)[1]
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     documents = spread(table(spark, d, "documents").select("doc_id", "text"))
     return residue.find_residue(documents, "doc_id", "text").select("doc_id")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_canonical_nouns, p2_found, p3_found, p4_found, p4_shares, p5_found, p8_found)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_canonical_nouns, p2_found, p3_found, p4_found, p4_shares, p5_found, p6_packing, p6_unused, p7_mixture, p7_shares, p8_found)}
 ORACLES: dict[str, str] = {}
