@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lekhani.plans import retrieval
+
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES: tuple = ()
+MODULES = (retrieval,)
 
 
 def entry(spark: SparkSession, directory: str) -> DataFrame:
-    raise NotImplementedError
+    """The flagship query: the fused ranking of the documents for each question."""
+    return retrieval.QUERIES["r08_rrf_top10"](spark, directory)
 
 
 def queries() -> dict[str, Query]:
