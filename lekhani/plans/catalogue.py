@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lekhani.plans import retrieval
+from lekhani.plans import corpus, evaluation, retrieval
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = (retrieval,)
+MODULES = (retrieval, evaluation, corpus)
 
 
 def entry(spark: SparkSession, directory: str) -> DataFrame:
