@@ -30,7 +30,7 @@ def non_blank_lines(text: Column) -> Column:
 
 def paragraphs(text: Column) -> Column:
     """Non-blank lines, trimmed, an empty line between them."""
-    return F.array_join(F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: x != ""), "\n\n")
+    return F.array_join(F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != ""), "\n\n")
 
 
 def bengali_digits(text: Column) -> Column:
