@@ -7,7 +7,7 @@ their segment, and pairs that are best for each other are kept. Then lines that
 line that covers them best, neighbours first, where words of that line are still unexplained: a line may
 hold two events, and lines may have moved or been dropped.
 
-All of it is joins and partial aggregates on (segment, word) and (language pair, word, word); a segment
+All of it is joins and partial aggregates on (pair of records, word) and (word, word); a segment
 is as long as one record, so a hot book is many small keys. Null and blank texts have no lines, a record
 without a partner gives no pairs, several records of a segment pair wherever their languages differ,
 repeated lines are told apart by their number, ties go to the nearer place and then the smaller line
@@ -57,65 +57,66 @@ def record_pairs(df: DataFrame, segment: list[str], rec: str, lang: str) -> Data
 def _sided(pairs: DataFrame) -> DataFrame:
     """Each pair from both its sides: ``pair, rec, lang, other_lang``."""
     sides = F.array(
-        F.struct(F.col("lo").alias("rec"), F.col("lang_lo").alias("lang"), F.col("lang_hi").alias("other_lang"), F.lit(0).alias("side")),
-        F.struct(F.col("hi").alias("rec"), F.col("lang_hi").alias("lang"), F.col("lang_lo").alias("other_lang"), F.lit(1).alias("side")),
+        F.struct(F.col("lo").alias("rec"), F.col("lang_lo").alias("lang"), F.col("lang_hi").alias("other_lang"), F.lit(0).cast("byte").alias("side")),
+        F.struct(F.col("hi").alias("rec"), F.col("lang_hi").alias("lang"), F.col("lang_lo").alias("other_lang"), F.lit(1).cast("byte").alias("side")),
     )
     return pairs.select("lo", "hi", F.inline(sides))
 
 
 def learn(tokens: DataFrame) -> DataFrame:
-    """``lang, other_lang, word, other, strength``: the KEPT strongest translations of each word.
+    """``id, other, strength``: the KEPT strongest translations of each word.
 
-    ``tokens`` holds ``lo, hi, side, lang, other_lang, group, word``; words that stand in groups of one pair
-    at the same place (records, or lines matched before) are counted together.
+    ``tokens`` holds ``lo, hi, group, side, id``. Words that stand in one group of a pair (its records, or
+    lines matched before) are counted together; an id is a word with its language and the other one's.
     """
-    places = tokens.where("not word rlike '^[0-9]'").select("lo", "hi", "group", "side", "lang", "other_lang", "word").distinct()
-    own = places.groupBy("lang", "other_lang", "word").agg(F.count(F.lit(1)).alias("n"))
-    size = tokens.select("lang", "other_lang", "lo", "hi", "group").distinct().groupBy("lang", "other_lang").agg(F.count(F.lit(1)).alias("size"))
-    useful = own.join(F.broadcast(size), ["lang", "other_lang"]).where((F.col("n") <= COMMON * F.col("size")) & (F.col("n") >= LEAST_RECORDS)).select("lang", "other_lang", "word", "n")
-    kept = places.join(useful, ["lang", "other_lang", "word"])
-    left = kept.where("side = 0").select("lo", "hi", "group", "lang", "other_lang", "word", "n")
-    right = kept.where("side = 1").select("lo", "hi", "group", F.col("word").alias("other"), F.col("n").alias("n_other"))
+    places = tokens.where("learnable").select("lo", "hi", "group", "side", "id").distinct()
+    useful = places.groupBy("id").agg(F.count(F.lit(1)).cast("int").alias("n")).where(F.col("n") >= LEAST_RECORDS)
+    kept = places.join(useful, "id")
+    left = kept.where("side = 0").select("lo", "hi", "group", "id", "n")
+    right = kept.where("side = 1").select("lo", "hi", "group", F.col("id").alias("other"), F.col("n").alias("n_other"))
     both = (
         left.join(right, ["lo", "hi", "group"])
-        .groupBy("lang", "other_lang", "word", "other")
-        .agg(F.count(F.lit(1)).alias("n_both"), F.first("n").alias("n"), F.first("n_other").alias("n_other"))
+        .groupBy("id", "other")
+        .agg(F.count(F.lit(1)).cast("int").alias("n_both"), F.first("n").alias("n"), F.first("n_other").alias("n_other"))
         .where("n_both > 1")
     )
-    # one language may stand on either side; counts of both orders are of different pairs of records
-    turned = both.select(F.col("other_lang").alias("lang"), F.col("lang").alias("other_lang"), F.col("other").alias("word"), F.col("word").alias("other"), "n_both", F.col("n_other").alias("n"), F.col("n").alias("n_other"))
+    # a language may stand on either side: counts of both orders are of different pairs of records
+    turned = both.select(F.col("other").alias("id"), F.col("id").alias("other"), "n_both", F.col("n_other").alias("n"), F.col("n").alias("n_other"))
     table = (
         both.unionByName(turned)
-        .groupBy("lang", "other_lang", "word", "other")
+        .groupBy("id", "other")
         .agg(F.sum("n_both").alias("n_both"), F.max("n").alias("n"), F.max("n_other").alias("n_other"))
         .withColumn("strength", F.col("n_both") * F.col("n_both") / ((F.col("n") + 1) * (F.col("n_other") + 1)))
         .where(F.col("strength") >= STRENGTH)
     )
-    best = Window.partitionBy("lang", "other_lang", "word").orderBy(F.desc("strength"), "other")
-    return table.withColumn("r", F.row_number().over(best)).where(F.col("r") <= KEPT).select("lang", "other_lang", "word", "other", "strength")
+    best = Window.partitionBy("id").orderBy(F.desc("strength"), "other")
+    return table.withColumn("r", F.row_number().over(best)).where(F.col("r") <= KEPT).select("id", "other", "strength")
 
 
-def _weights(tokens: DataFrame) -> DataFrame:
-    """``lang, word, weight``: how rare a word is among the lines of its language."""
-    seen = tokens.select("lang", "rec", "line", "word").distinct()
-    total = seen.select("lang", "rec", "line").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("total"))
-    counts = seen.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
-    return counts.join(F.broadcast(total), "lang").select("lang", "word", F.log1p(F.col("total") / F.col("n")).alias("weight"))
+def _weights(per_line: DataFrame) -> DataFrame:
+    """``lang, word, weight, learnable``: how rare a word is among the lines of its language, and whether it isn't in nearly all records."""
+    per_record = per_line.groupBy("lang", "word", "rec").agg(F.count(F.lit(1)).alias("n"))
+    counts = per_record.groupBy("lang", "word").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_records"))
+    total = (
+        per_line.select("lang", "rec", "line").distinct().groupBy("lang", "rec").agg(F.count(F.lit(1)).alias("n"))
+        .groupBy("lang").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("records"))
+    )
+    return counts.join(F.broadcast(total), "lang").select(
+        "lang", "word", F.log1p(F.col("total") / F.col("n")).cast("float").alias("weight"),
+        ((F.col("n_records") <= COMMON * F.col("records")) & ~F.col("word").rlike("^[0-9]")).alias("learnable"),
+    )
 
 
 def scores(tokens: DataFrame, table: DataFrame) -> DataFrame:
-    """``lo, hi, a, b, word, side, got``: each word of a line and how well a line of the other side renders it.
-
-    ``tokens`` holds ``lo, hi, side, lang, other_lang, line, word, weight``.
-    """
-    bags = tokens.join(table, ["lang", "other_lang", "word"]).select("lo", "hi", "side", "line", "word", "weight", "other", "strength")
-    numbers = tokens.where("word rlike '^[0-9]'").select("lo", "hi", "side", "line", "word", "weight", F.col("word").alias("other"), F.lit(1.0).alias("strength"))
-    index = tokens.select("lo", "hi", (1 - F.col("side")).alias("side"), F.col("line").alias("there"), F.col("word").alias("other"))
+    """``lo, hi, side, line, there, id, got``: how well a line of the other side renders each word of a line."""
+    bags = tokens.join(table, "id").select("lo", "hi", "side", "line", "id", "weight", "other", F.sqrt("strength").cast("float").alias("strength"))
+    numbers = tokens.where("number").select("lo", "hi", "side", "line", "id", "weight", F.col("id").alias("other"), F.lit(1.0).cast("float").alias("strength"))
+    index = tokens.select("lo", "hi", (1 - F.col("side")).cast("byte").alias("side"), F.col("line").alias("there"), F.col("id").alias("other"))
     return (
         bags.unionByName(numbers)
         .join(index, ["lo", "hi", "side", "other"])
-        .groupBy("lo", "hi", "side", "line", "there", "word")
-        .agg(F.max(F.col("weight") * F.sqrt("strength")).alias("got"))
+        .groupBy("lo", "hi", "side", "line", "there", "id")
+        .agg(F.max(F.col("weight") * F.col("strength")).alias("got"))
     )
 
 
@@ -163,13 +164,13 @@ def grow(found: DataFrame, totals: DataFrame, pairs: DataFrame, lengths: DataFra
         F.struct(F.lit(0).alias("side"), F.col("line_lo").alias("line"), F.col("line_hi").alias("there")),
         F.struct(F.lit(1).alias("side"), F.col("line_hi").alias("line"), F.col("line_lo").alias("there")),
     )))
-    explained = found.join(sides, ["lo", "hi", "side", "line", "there"]).groupBy("lo", "hi", "side", "line", "word").agg(F.max("got").alias("explained"))
+    explained = found.join(sides, ["lo", "hi", "side", "line", "there"]).groupBy("lo", "hi", "side", "line", "id").agg(F.max("got").alias("explained"))
     left = (
         totals.join(explained.groupBy("lo", "hi", "side", "line").agg(F.sum("explained").alias("told")), ["lo", "hi", "side", "line"], "left")
         .select("lo", "hi", "side", "line", "whole", F.greatest(F.col("whole") - F.coalesce("told", F.lit(0.0)), F.lit(0.01)).alias("rest"), F.col("told").isNotNull().alias("taken"))
     )
     fresh = (
-        found.join(explained, ["lo", "hi", "side", "line", "word"], "left")
+        found.join(explained, ["lo", "hi", "side", "line", "id"], "left")
         .withColumn("new", F.col("got") - F.coalesce("explained", F.lit(0.0)))
         .where("new > 0")
         .groupBy("lo", "hi", "side", "line", "there")
@@ -207,14 +208,20 @@ def align(df: DataFrame, segment: list[str], rec: str, lang: str, text: str) ->
     pairs = record_pairs(df.where(F.col(text).isNotNull()), segment, rec, lang)
     per_line = own.select("rec", "lang", "line", F.explode(words(F.col("text"))).alias("word"))
     sided = _sided(pairs)
+    number = F.col("word").rlike("^[0-9]")
     tokens = cut_lineage(
-        sided.join(per_line, ["rec", "lang"]).join(_weights(per_line), ["lang", "word"]).select("lo", "hi", "side", "lang", "other_lang", "line", "word", "weight")
-    )
+        sided.join(per_line, ["rec", "lang"])
+        .join(_weights(per_line), ["lang", "word"])
+        .select(
+            "lo", "hi", "side", "line", "weight", "learnable", number.alias("number"),
+            F.when(number, F.xxhash64(F.lit("number"), "word")).otherwise(F.xxhash64("lang", "other_lang", "word")).alias("id"),
+        )
+    )
     counts = tokens.groupBy("lo", "hi").agg(F.max(F.when(F.col("side") == 0, F.col("line"))).alias("n_lo"), F.max(F.when(F.col("side") == 1, F.col("line"))).alias("n_hi")).where("n_lo is not null and n_hi is not null")
     table = cut_lineage(learn(tokens.withColumn("group", F.lit(0))))
-    totals = _total(tokens)
+    totals, counts = cut_lineage(_total(tokens)), cut_lineage(counts)
     found = scores(tokens, table)
-    first = mutual(_covered(found, totals), counts)
+    first = cut_lineage(mutual(_covered(found, totals), counts))
     # once more from the lines that matched, which tell words apart far better than whole records
     places = tokens.join(
         first.select("lo", "hi", F.inline(F.array(
@@ -222,7 +229,6 @@ def align(df: DataFrame, segment: list[str], rec: str, lang: str, text: str) ->
             F.struct(F.lit(1).alias("side"), F.col("line_hi").alias("line"), F.col("line_lo").alias("group")),
         ))), ["lo", "hi", "side", "line"],
     )
-    finer = cut_lineage(learn(places))
-    found = cut_lineage(scores(tokens, finer))
+    found = cut_lineage(scores(tokens, cut_lineage(learn(places))))
     matched = cut_lineage(mutual(_covered(found, totals), counts))
     return matched.unionByName(grow(found, totals, matched, counts)).distinct()
