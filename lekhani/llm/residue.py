@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from lekhani.session import cut_lineage
 
-#: Buckets of the hashed features, rounds of expectation maximisation, added count, least log-odds of a case.
-BUCKETS, ROUNDS, ADDED, LEAST_ODDS = 1 << 20, 3, 0.02, 4.0
+#: Buckets of the hashed features, rounds of expectation maximisation, share of the common distribution in each class, least log-odds of a case.
+BUCKETS, ROUNDS, COMMON, LEAST_ODDS = 1 << 20, 3, 0.05, 4.0
 
 _ABBREVIATIONS = "".join(rf"(?<!\b{w}\.)" for w in "Dr Mr Mrs St Mt No no ch vol Co [A-Z] डॉ पं पृ ডা মো পৃ".split())
 SPLIT = re.compile(rf"\n+|(?<=[.!?])(?<!\.\.){_ABBREVIATIONS}[\"”’)]*\s+(?![a-z])|(?<=[。！？।৷])[\s　\"”’」』）)]*")
@@ -61,8 +61,8 @@ TRUSTED = re.compile(
     r"|^(?:the )?connection (?:was|timed|has|to)\b|^(?:daily )?quota (?:used|exceeded)|^too many requests|\bcoming soon\W*$|^(?:this page is )?under construction|^(?:test\W+){3,}|\btranslation to follow\b|\bsummary to follow\b|^(?:not found|forbidden|bad gateway|service unavailable|gateway time-?out|internal server error)\W*$"
     r"|^we (?:can[’']t|cannot|could not|couldn[’']t) (?:find|verify|load)\b|^(?:please )?(?:try|sign in|log in|reload) again\b|\bhas been (?:moved|removed|deleted)\b.*\b(?:page|chapter)|^(?:this|the) (?:page|chapter|scan) (?:has been|may have been|was) (?:moved|removed|deleted)"
     r"|\bchecking your browser\b|\bverify that you are (?:a )?human\b|^(?:service|site) (?:is )?(?:temporarily )?unavailable"
-    r"|^lorem ipsum\b|\bgoes here\W*$|^todo\b|^tb[ad]\W*$|\bto be (?:written|added|translated|filled in|supplied)\W*$|^placeholder\b|^dummy (?:text|line)\b|^sample (?:text|paragraph)\b"
-    r"|javascript\s*を有効|ブラウザ(?:を確認|の設定をご確認)|cookie\s*とスクリプト|スクリプトが無効|ページは見つかりません|表示する権限がありません|エラーが発生しました|有効期限が切れました|本文が入ります|ダミーテキスト|サンプルテキスト|サーバー?(?:エラー|が混み合)|接続を終了しました|ロボットではない|移動または削除|後で記入|追って掲載"
+    r"|^lorem ipsum\b|\bgoes here\W*$|^(?:body|sample|dummy|filler) text(?: here)?\W*$|^the page\b.*\b(?:could not|cannot|can[’']t) be (?:shown|displayed|loaded|opened|found)|^todo\b|^tb[ad]\W*$|\bto be (?:written|added|translated|filled in|supplied)\W*$|^placeholder\b|^dummy (?:text|line)\b|^sample (?:text|paragraph)\b"
+    r"|javascript\s*を有効|ブラウザ(?:を確認|の設定をご確認)|cookie\s*とスクリプト|スクリプトが無効|ページは見つかりません|表示する権限がありません|エラーが発生しました|有効期限が切れました|本文が入ります|ダミーテキスト|サンプルテキスト|サーバー?(?:エラー|が混み合)|接続を終了しました|ロボットではない|移動または削除|後で記入|しばらくしてから(?:お試し|もう一度)|追って掲載"
     r"|जावास्क्रिप्ट चालू|javascript की अनुमति|ब्राउज़र (?:की जाँच|में स्क्रिप्ट)|पृष्ठ नहीं मिला|पृष्ठ देखने की अनुमति नहीं|सर्वर में त्रुटि|यहाँ (?:पाठ|लेख)|नमूना (?:पाठ|लेख)|सत्र (?:समाप्त|की अवधि)|संपर्क टूट गया|हटा दिया गया है|बाद में जोड़ा जाएगा|फिर से लॉग ?इन"
     r"|জাভাস্ক্রিপ্ট চালু|javascript চালু|ব্রাউজার(?:ে স্ক্রিপ্ট| যাচাই)|পাতাটি খুঁজে পাওয়া যায়নি|পাতা দেখার অনুমতি|সার্ভারে ত্রুটি|এখানে লেখা|নমুনা লেখা|সংযোগ কেটে গেছে|মুছে ফেলা হয়েছে|পরে যোগ হবে|আবার লগ ইন",
 )
@@ -188,9 +188,14 @@ def fit(encoded: DataFrame) -> tuple[np.ndarray, float]:
     model = None
     for _ in range(ROUNDS):
         positive, negative, n_positive, n_negative = _count(encoded, model)
-        seen = positive + negative > 0
-        log = lambda c: np.log((c + ADDED) / (c.sum() + ADDED * max(1, int(seen.sum()))))  # noqa: B023, E731
-        model = (np.where(seen, log(positive) - log(negative), 0.0), float(np.log((n_positive + 1) / (n_negative + 1))))
+        both = positive + negative
+        base = both / max(both.sum(), 1.0)
+        seen = both > 0
+        # a word that a class lacks is rarer there by a factor that doesn't depend on the amount of data
+        share = lambda c: (1 - COMMON) * c[seen] / max(c.sum(), 1.0) + COMMON * base[seen]  # noqa: B023, E731
+        weights = np.zeros(BUCKETS)
+        weights[seen] = np.log(share(positive)) - np.log(share(negative))
+        model = (weights, float(np.log((n_positive + 1) / (n_negative + 1))))
     return model
 
 
