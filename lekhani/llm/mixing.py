@@ -53,6 +53,7 @@ def fill(available: dict[str, int], shares: dict[str, float], caps: dict[str, in
 def mix(lengths: DataFrame, targets: DataFrame, key: str, total: float | None = None, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
     """The mixture ``key, source, n_tokens, repeats`` and the ``shares`` it reaches, for ``lengths(key, source, n_tokens)``."""
     spark = lengths.sparkSession
+    lengths, targets = lengths.select(key, "source", "n_tokens").where("n_tokens is not null"), targets.select("source", "target_share", "max_repeats")
     goals = {r["source"]: r for r in targets.collect()}  # a row for each source that is to be mixed
     named = lengths.join(F.broadcast(targets.select("source")), "source")
     available = {r["source"]: r["n"] for r in named.groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()}  # as many rows

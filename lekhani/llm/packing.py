@@ -172,6 +172,7 @@ def best_fit(sizes: np.ndarray, capacity: int) -> np.ndarray:
 def pack(lengths: DataFrame, key: str, sizes: DataFrame) -> DataFrame:
     """``size_id, container, key, piece, start_token, n_tokens`` for ``lengths(key, n_tokens)``."""
     spark = lengths.sparkSession
+    lengths = lengths.select(key, "n_tokens").where("n_tokens is not null")
     kind = dict(lengths.dtypes)[key]
     items = cut_lineage(pieces(lengths, key, sizes).withColumn("bin", bin_of(F.col("n_tokens"), F.col("capacity"))))
     histograms: dict[int, np.ndarray] = {}

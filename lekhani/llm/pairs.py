@@ -255,6 +255,7 @@ SHORT = 40
 
 def find_defects(pairs: DataFrame, *keys: str) -> DataFrame:
     """``keys, defect`` for the defective rows of ``pairs(keys, lang, prompt, response)``."""
+    pairs = pairs.select(*keys, "lang", "prompt", "response")
     short = F.when(F.length("response") <= SHORT, _bare(F.col("response")))
     marked = (
         pairs.where(F.col("response").rlike("[.!?。！？।॥৷．｡]\\s*$"))

@@ -91,4 +91,26 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_canonical_nouns, p2_found, p3_found, p4_found, p4_shares, p5_found, p6_packing, p6_unused, p7_mixture, p7_shares, p8_found)}
-ORACLES: dict[str, str] = {}
+
+
+def _display_key(v: str) -> str:
+    """The display key in DuckDB's SQL."""
+    out = f"regexp_replace({v}, '[{lookalike.INVISIBLE}]', '', 'g')"
+    for a, b in [*lookalike.SEQUENCES, (lookalike.JOINER, ""), *lookalike.several_map()]:
+        out = f"replace({out}, '{a}', '{b}')"
+    a, b = (x.replace("'", "''") for x in lookalike.single_map())
+    return f"nullif(trim(regexp_replace(nfc_normalize(translate({out}, '{a}', '{b}')), '[{lookalike.BLANK}]+', ' ', 'g'), ' '), '')"
+
+
+_P1 = f"""
+terms AS ({" UNION ALL ".join(f"SELECT term_id, '{lang}' AS lang, {c} AS value FROM term_dictionary WHERE {c} IS NOT NULL" for lang, c in lookalike.LANGUAGE_COLUMNS.items())}),
+nouns AS (SELECT DISTINCT work_id, regexp_extract(lower(trim(source_lang)), '^[a-z]+') AS lang, unnest(map_keys(proper_nouns)) AS value FROM noun_work),
+counted AS (SELECT value, count(*) AS n FROM (SELECT value FROM terms UNION ALL SELECT value FROM nouns) GROUP BY value),
+keyed AS (SELECT * FROM (SELECT value, n, {_display_key("value")} AS k FROM counted) WHERE k IS NOT NULL)"""
+ORACLES: dict[str, str] = {
+    "p1_found": f"""WITH {_P1}, t AS (SELECT term_id, lang, value, k FROM terms JOIN keyed USING (value)), w AS (SELECT work_id, lang, value, k FROM nouns JOIN keyed USING (value))
+SELECT 'term_term' AS link_kind, a.term_id AS left_id, b.term_id AS right_id FROM t a JOIN t b ON a.k = b.k AND a.lang = 'bengali' AND b.lang = 'bengali' AND a.term_id < b.term_id AND a.value <> b.value
+UNION ALL SELECT DISTINCT 'work_term', work_id, term_id FROM w JOIN t ON w.k = t.k AND w.lang = t.lang AND w.value <> t.value""",
+    "p1_canonical_nouns": f"""WITH {_P1}, elected AS (SELECT k, value AS canonical FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY n DESC, length(value), value) AS r FROM keyed) WHERE r = 1)
+SELECT work_id, lang, value, canonical FROM nouns JOIN keyed USING (value) JOIN elected USING (k)""",
+}
