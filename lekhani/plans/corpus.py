@@ -272,6 +272,38 @@ def a05_rollup(spark, d):
     return rows.select(F.coalesce("l_returnflag", F.lit("all")).alias("flag"), F.coalesce("l_linestatus", F.lit("all")).alias("status"), "n", "quantity")
 
 
+def a15_length_histogram(spark, d):
+    bins = _documents(spark, d).groupBy((F.floor(F.length("text") / 500) * 500).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    return bins.select("bin", "n", D.bar(F.col("n")).alias("bar"))
+
+
+def xp10_prompts(spark, d):
+    """Prompts for an embedding model: a document with its title, a question with its task."""
+    title = F.concat(F.lit("Chapter "), F.col("chapter").cast("string"))
+    docs = units(spark, d).select(F.lit("document").alias("kind"), F.col("unit_ix").alias("id"), F.md5(F.concat(F.lit("title: "), title, F.lit(" | text: "), "text")).alias("digest"))
+    asked = questions(spark, d).select(F.lit("query").alias("kind"), F.col("qid").alias("id"), F.md5(F.concat(F.lit("task: search result | query: "), "text")).alias("digest"))
+    return docs.unionByName(asked)
+
+
+def r21_ceiling_context(spark, d):
+    """The gold chapters' texts as context of each question."""
+    g = questions(spark, d).select("qid", "book_id", F.explode(F.array_distinct("chapters")).alias("chapter"))
+    rows = g.join(units(spark, d), ["book_id", "chapter"])
+    c = C.context(rows, ["qid"], "unit_ix", F.lit("[Context]"), "text")
+    return c.select("qid", F.md5("context").alias("digest"))
+
+
+def t04_first_books(spark, d):
+    """Documents of the first three books that have any, books by number."""
+    rows = table(spark, d, "documents").where("book_id is not null").groupBy("book_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("chapter").alias("n_chapters"))
+    return rows.orderBy("book_id").limit(3)
+
+
+def u03_first_records(spark, d):
+    rows = table(spark, d, "translations").select("book_id", "chapter", "segment", "target_lang", "rec_id", "run_name")
+    return D.first_wins(rows, ["book_id", "chapter", "segment", "target_lang"], "rec_id")
+
+
 _LINES = "lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line_no FROM documents WHERE text IS NOT NULL)"
 _NB = "list_filter(string_split(response.translation, chr(10)), lambda x: trim(x) <> '')"
 _UNITS = "units AS (SELECT doc_id AS unit_ix, book_id, chapter, text FROM documents WHERE lang = 'en' AND doc_kind = 'prose' AND chapter IS NOT NULL AND text IS NOT NULL)"
@@ -290,7 +322,7 @@ QUERIES = {
     for f in (
         s04_chapter_scan, s09_dictionary_long, s10_dictionary_pairs, k03_dictionary_wide, s11_latest_work, w06_prior_summaries, w09_batches, w10_line_packing, g06_chunks, g01_term_components, a38_effective_terms,
         j07_parts, j13_window_overlap, j14_question_documents, j22_dictionary_merge, a37_length_classes, a40_answer_tally, a42_run_ids, f16_response_checks, c01_open_questions, c05_turns, c10_rate_limit,
-        t01_hourly_events, t02_sliding_events, t03_sessions, x01_event_properties, j01_nation_revenue, a05_rollup, r23_lineage,
+        t01_hourly_events, t02_sliding_events, t03_sessions, x01_event_properties, j01_nation_revenue, a05_rollup, r23_lineage, a15_length_histogram, xp10_prompts, r21_ceiling_context, t04_first_books, u03_first_records,
     )
 } | {
     # names with p and a number belong to the training-text problems, so parsing queries carry an x
@@ -344,5 +376,10 @@ ORACLES = {
     "t03_sessions": "WITH g AS (SELECT *, CASE WHEN ts < lag(ts) OVER w + INTERVAL 30 MINUTES THEN 0 ELSE 1 END AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), s AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM g) SELECT user_id, epoch_us(min(ts)) AS start, count(*) AS n FROM s GROUP BY user_id, k",
     "x01_event_properties": "SELECT event_type, round(avg(CAST(json_extract_string(props, '$.k') AS INT)), 6) AS mean_k, max(CAST(json_extract_string(props, '$.k') AS INT)) AS max_k FROM events GROUP BY event_type",
     "j01_nation_revenue": "SELECT n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name",
+    "a15_length_histogram": "SELECT CAST(length(text) // 500 * 500 AS BIGINT) AS bin, count(*) AS n, repeat('#', CAST(ceil(log10(count(*) + 1) * 10) AS INT)) AS bar FROM documents WHERE text IS NOT NULL GROUP BY 1",
+    "xp10_prompts": f"WITH {_UNITS}, {_QS}, qt AS (SELECT question_id AS qid, question FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY row_id) AS r FROM questions WHERE lang = 'en') WHERE r = 1) SELECT 'document' AS kind, unit_ix AS id, md5('title: Chapter ' || chapter || ' | text: ' || text) AS digest FROM units UNION ALL SELECT 'query', qid, md5('task: search result | query: ' || question) FROM qt",
+    "r21_ceiling_context": f"WITH {_QS}, {_UNITS}, g AS (SELECT DISTINCT qid, book_id, unnest(chapters) AS chapter FROM q) SELECT qid, md5('[Context]' || chr(10) || string_agg(text, chr(10) || chr(10) ORDER BY unit_ix)) AS digest FROM g JOIN units USING (book_id, chapter) GROUP BY qid",
+    "t04_first_books": "SELECT book_id, count(*) AS n, count(DISTINCT chapter) AS n_chapters FROM documents WHERE book_id IS NOT NULL GROUP BY book_id ORDER BY book_id LIMIT 3",
+    "u03_first_records": "SELECT book_id, chapter, segment, target_lang, rec_id, run_name FROM (SELECT *, row_number() OVER (PARTITION BY book_id, chapter, segment, target_lang ORDER BY rec_id) AS r FROM translations) WHERE r = 1",
     "a05_rollup": "SELECT coalesce(l_returnflag, 'all') AS flag, coalesce(l_linestatus, 'all') AS status, count(*) AS n, round(sum(l_quantity), 2) AS quantity FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)",
 }

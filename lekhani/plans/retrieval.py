@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lekhani.functions.text import STOPWORDS, english_tokens
+from lekhani.operators import decisions as D
 from lekhani.operators import metrics as M
 from lekhani.operators import retrieval as R
 from lekhani.sources.tables import table
@@ -204,6 +205,30 @@ def r18_rrf_grid(spark, d):
     return hits.groupBy(*keys, F.col("k").cast("long").alias("k")).agg(F.count(F.lit(1)).alias("n_gold_found"))
 
 
+STOP = 5
+
+
+def w05_early_stop(spark, d):
+    """Neighbours of each query down to the fifth miss in a row; a hit is a neighbour of the query's own label."""
+    index = _vectors(spark, d)
+    asked = index.where("unit_ix % 100 = 0").select(F.col("unit_ix").alias("qid"), "vector", F.col("label").alias("own"))
+    near = R.top(R.cosine(asked.select("qid", "vector"), index), POOL, "qid")
+    walk = near.join(index.select("unit_ix", "label"), "unit_ix").join(asked.select("qid", "own"), "qid").withColumn("hit", (F.col("label") == F.col("own")).cast("long"))
+    order = Window.partitionBy("qid").orderBy("rank")
+    island = walk.withColumn("island", F.sum("hit").over(order))
+    misses = island.withColumn("misses", F.sum(1 - F.col("hit")).over(Window.partitionBy("qid", "island").orderBy("rank")))
+    cut = F.min(F.when(F.col("misses") >= STOP, F.col("rank"))).over(Window.partitionBy("qid"))
+    return misses.withColumn("cut", cut).where("cut is null or rank <= cut").groupBy("qid").agg(F.count(F.lit(1)).alias("n_walked"), F.sum("hit").alias("n_hits"))
+
+
+def a09_score_ticks(spark, d):
+    """Scores at the percentiles 0, 10 … 90, 95 and 99, by the floor of their place."""
+    counts = ranked(spark, d, "bm25").groupBy("score").agg(F.count(F.lit(1)).alias("n")).withColumn("one", F.lit(1))
+    ticks = counts.withColumn("percent", F.explode(F.array(*map(F.lit, [*range(0, 100, 10), 95, 99]))))
+    at = D.nth_of_counts(ticks, "score", "n", F.floor(F.col("percent") * (F.col("total") - 1) / 100) + 1, "percent")
+    return at.select(F.col("percent").cast("long").alias("percent"), F.col("at_place").alias("score"))
+
+
 # the same in DuckDB's SQL
 _STOP = "[" + ", ".join(f"'{w}'" for w in STOPWORDS) + "]"
 _TOKENS = f"list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda t: NOT list_contains({_STOP}, t))"
@@ -264,13 +289,15 @@ _EXPANDED = """u2 AS (SELECT *, row_number() OVER (PARTITION BY book_id, chapter
  ex AS (SELECT DISTINCT h.qid, n.book_id, n.chapter, n.unit_ix FROM bm25 h JOIN u2 a ON a.unit_ix = h.unit_ix JOIN u2 n ON n.book_id = a.book_id AND n.chapter = a.chapter AND n.p BETWEEN a.p - 1 AND a.p + 1 WHERE h.rank <= 5)"""
 
 QUERIES = {
-    **{f.__name__: f for f in (r01_unit_vectors, r02_dense_top10, r06_bm25_terms, r14_union_at_k, r16_expanded, r18_rrf_grid, a01_scope_metrics, a04_union_metrics, a06_coverage_curve, a07_threshold_sweep, a08_best_threshold, a10_separation_gap, a11_first_hit_buckets, a12_question_hits, a13_provenance, a14_context_size, a16_score_scale)},
+    **{f.__name__: f for f in (r01_unit_vectors, r02_dense_top10, r06_bm25_terms, r14_union_at_k, r16_expanded, r18_rrf_grid, a01_scope_metrics, a04_union_metrics, a06_coverage_curve, a07_threshold_sweep, a08_best_threshold, a10_separation_gap, a11_first_hit_buckets, a12_question_hits, a13_provenance, a14_context_size, a16_score_scale, w05_early_stop, a09_score_ticks)},
     "r07_bm25_top10": _top10("bm25"), "r17_cosine_top10": _top10("cosine"), "r08_rrf_top10": _top10("rrf"), "r09_borda_top10": _top10("borda"), "r11_combsum_top10": _top10("combsum"), "r13_mix_top10": _top10("mix"),
 }
 
 ORACLES = {
     "r01_unit_vectors": "SELECT vec_id AS unit_ix, round(list_sum(list_transform(embedding, lambda x: (x::DOUBLE / n) * (x::DOUBLE / n))), 6) AS squared, round(embedding[1]::DOUBLE / n, 6) AS first FROM (SELECT *, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings)",
     "r02_dense_top10": "SELECT qid, unit_ix, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, unit_ix) AS rank FROM (SELECT q.vec_id AS qid, u.vec_id AS unit_ix, round(list_cosine_similarity(q.embedding::DOUBLE[], u.embedding::DOUBLE[]), 6) AS score FROM embeddings q, embeddings u WHERE q.vec_id % 100 = 0 AND q.vec_id <> u.vec_id)) WHERE rank <= 10",
+    "w05_early_stop": f"WITH s AS (SELECT q.vec_id AS qid, u.vec_id AS unit_ix, CAST(q.label = u.label AS INT) AS hit, round(list_cosine_similarity(q.embedding::DOUBLE[], u.embedding::DOUBLE[]), 6) AS score FROM embeddings q, embeddings u WHERE q.vec_id % 100 = 0 AND q.vec_id <> u.vec_id), r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, unit_ix) AS rank FROM s) WHERE rank <= {POOL}), i AS (SELECT *, sum(hit) OVER (PARTITION BY qid ORDER BY rank) AS island FROM r), m AS (SELECT *, sum(1 - hit) OVER (PARTITION BY qid, island ORDER BY rank) AS misses FROM i), c AS (SELECT *, min(CASE WHEN misses >= {STOP} THEN rank END) OVER (PARTITION BY qid) AS cut FROM m) SELECT qid, count(*) AS n_walked, CAST(sum(hit) AS BIGINT) AS n_hits FROM c WHERE cut IS NULL OR rank <= cut GROUP BY qid",
+    "a09_score_ticks": f"WITH {_BASE}, l AS (SELECT list_sort(list(score)) AS xs FROM bm25), p AS (SELECT unnest([0, 10, 20, 30, 40, 50, 60, 70, 80, 90, 95, 99]::BIGINT[]) AS percent) SELECT percent, xs[percent * (len(xs) - 1) // 100 + 1] AS score FROM l, p",
     "r06_bm25_terms": _sql("SELECT term, df, round(idf, 6) AS idf FROM terms"),
     "r07_bm25_top10": _sql(_top("bm25")), "r17_cosine_top10": _sql(_top("cosine")),
     "r08_rrf_top10": _sql(_top("rrf"), "rrf"), "r09_borda_top10": _sql(_top("borda"), "borda"), "r11_combsum_top10": _sql(_top("combsum"), "combsum"), "r13_mix_top10": _sql(_top("mix"), "mix"),
