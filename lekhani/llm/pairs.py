@@ -58,8 +58,9 @@ REFUSALS = {
 WORD = re.compile(r"[a-zà-ɏ̀-ͯ]+(?:['’][a-z]+)?|[ऀ-ॣ॰-ॿ]+|[ঀ-৥ৰ-৾]+|[゠-ヿ]+|[぀-ゟ一-鿿]|\d+")
 QUOTED = re.compile(r"“[^”]*”|「[^」]*」|『[^』]*』|\"[^\"]*\"|«[^»]*»")
 SENTENCE = re.compile(r"(?<=[.!?。！？।৷])\s*")
-# Framings of a repeated prompt are at most so many words longer than it.
+# Framings of a repeated prompt are at most so many words longer than it; words that may follow it and say nothing.
 FRAMING = 6
+AFTER = frozenset("you ask asked is was the this that my your question right please ok i see です か と の है হয় यह আপনি आप प्रश्न প্রশ্ন".split())
 
 
 def words(text: str) -> list[str]:
@@ -91,6 +92,9 @@ def copied(prompt: list[str], response: list[str]) -> bool:
     """Whether the response gives the prompt back, once or several times, and no more than a framing."""
     if len(prompt) < 3 or containment(prompt, response) < CONTAINED:
         return False
+    last = max((i for i, w in enumerate(response) if w == prompt[-1]), default=len(response) - 1)
+    if any(w not in AFTER for w in response[last + 1 :]):
+        return False  # an answer follows
     times = max(1, round(len(response) / len(prompt)))
     rest = len(response) - common_length(prompt * times, response)
     return common_length(prompt, response) >= OF_PROMPT * len(prompt) and rest <= min(FRAMING, (1 - OF_RESPONSE) * len(response) + 2)

@@ -75,6 +75,7 @@ def test_defects():
     assert [case("en", r) for r in (None, "", " ​", "N/A", "(none)", "।", '""')] == ["empty"] * 7
     assert [case("en", r) for r in (q, "“Who opened the gate for Ada”", "Question: Who opened the gate for Ada?", "who opened the gate for ada")] == ["copied"] * 4
     assert [case("en", r) for r in ("I cannot help with this request about Ada.", "The provided text does not mention it, so no answer can be given.")] == ["refusal"] * 2
+    assert case("en", "Who opened the gate for Ada? Bose.") is None
     assert case("en", "Bose told Ada, “I cannot answer that,” and left the town.") is None
     assert case("en", "Bose was sorry and could not help Ada find the key.") is None
     assert case("en", "Es war Bose, der das Tor für Ada öffnete.") == case("en", "門を開けたのはボセだ。") == "other_language"
