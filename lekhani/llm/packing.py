@@ -29,7 +29,9 @@ BINS, MOST, SALT_ROWS, GROUP_ROWS = 128, 4, 50_000, 20_000
 
 def pieces(lengths: DataFrame, key: str, sizes: DataFrame) -> DataFrame:
     """``size_id, capacity, key, piece, start_token, n_tokens``, start counted from 0."""
-    per_size = lengths.crossJoin(F.broadcast(sizes.select("size_id", F.col("capacity_tokens").alias("capacity"))))  # a few sizes
+    cells = [F.struct(F.lit(r["size_id"]).cast("int").alias("size_id"), F.lit(r["capacity_tokens"]).cast("int").alias("capacity")) for r in sizes.select("size_id", "capacity_tokens").collect()]  # a few sizes
+    listed = F.array(*cells) if cells else F.expr("cast(array() as array<struct<size_id:int,capacity:int>>)")
+    per_size = lengths.select(key, "n_tokens", F.inline(listed))
     count = F.greatest(F.ceil(F.col("n_tokens") / F.col("capacity")), F.lit(1)).cast("int")
     cut = per_size.withColumn("piece", F.explode(F.sequence(F.lit(0), count - 1)))
     start = F.col("piece") * F.col("capacity")

@@ -139,7 +139,7 @@ def find_cut(values: DataFrame, key: str) -> DataFrame:
     )
     spikes = limits(values)
     at_limit = (
-        ends.join(F.broadcast(spikes), ["source", "field_name"])
+        ends.join(spikes, ["source", "field_name"])
         .where("unit = 'characters' and n_chars between low and high or unit = 'bytes' and n_bytes between low and high")
         .select(key, "field_name", F.lit(True).alias("at_limit"))
         .distinct()

@@ -105,7 +105,7 @@ def test_packing_round_trip(spark):
                 at += part
             assert at == n and (len(parts[doc]) == 1 or n > capacity)
         assert len(loads) <= 1.08 * -(-sum(n for _, n in lengths[:-1]) // capacity) + 2
-    assert packing.pack(df.limit(0), "doc_id", sizes).count() == 0
+    assert packing.pack(df.limit(0), "doc_id", sizes).count() == 0 and packing.pack(df, "doc_id", sizes.limit(0)).count() == 0
 
 
 def test_mixture_reaches_its_shares(spark):
