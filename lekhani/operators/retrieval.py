@@ -61,9 +61,15 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def norm(vector: Column) -> Column:
+    """Length of a vector, 1 for the zero vector."""
+    length = F.sqrt(dot(vector, vector))
+    return F.when(length == 0, 1.0).otherwise(length)
+
+
 def normalise(vector: Column) -> Column:
-    norm = F.sqrt(dot(vector, vector))
-    return F.transform(vector, lambda x: x.cast("double") / F.when(norm == 0, 1.0).otherwise(norm))
+    # the length is bound once in an outer array, else it would be computed for each element
+    return F.transform(F.array(norm(vector)), lambda n: F.transform(vector, lambda x: x.cast("double") / n))[0]
 
 
 def cosine(queries: DataFrame, index: DataFrame) -> DataFrame:
@@ -71,9 +77,10 @@ def cosine(queries: DataFrame, index: DataFrame) -> DataFrame:
 
     The query set is the bounded side and is broadcast in blocks by the planner; the index is scanned once.
     """
-    q = queries.select("qid", normalise(F.col("vector")).alias("q"))
-    u = index.select("unit_ix", normalise(F.col("vector")).alias("u"))
-    return u.crossJoin(q).where("qid <> unit_ix").select("qid", "unit_ix", F.round(dot(F.col("q"), F.col("u")), DIGITS).alias("score"))
+    q = queries.select("qid", F.col("vector").alias("q"), norm(F.col("vector")).alias("nq"))
+    u = index.select("unit_ix", F.col("vector").alias("u"), norm(F.col("vector")).alias("nu"))
+    score = dot(F.col("q"), F.col("u")) / (F.col("nq") * F.col("nu"))
+    return u.crossJoin(q).where("qid <> unit_ix").select("qid", "unit_ix", F.round(score, DIGITS).alias("score"))
 
 
 def paired(a: DataFrame, b: DataFrame) -> DataFrame:
