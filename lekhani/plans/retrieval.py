@@ -11,7 +11,7 @@ from lekhani.operators import metrics as M
 from lekhani.operators import retrieval as R
 from lekhani.sources.tables import table
 
-KS, CURVE, POOL = [5, 10], [1, 2, 3, 4, 5, 7, 10, 15, 20, 30], 50
+KS, CURVE, POOL = [5, 10], [1, 2, 3, 4, 5, 7, 10, 15, 20, 30], 50  # POOL is the depth of the SQL twins; the plans rank whole
 TAUS = [float(x) for x in range(0, 40, 2)]
 GRID = [(k, wa, wb) for k in (5.0, 30.0, 60.0) for wa, wb in ((1.0, 1.0), (1.3, 0.7), (0.7, 1.3))]
 
@@ -53,12 +53,24 @@ def term_cosine(spark: SparkSession, d: str) -> DataFrame:
     return scored.join(u.select("unit_ix", "chapter"), "unit_ix")
 
 
+def every_pair(spark: SparkSession, d: str) -> DataFrame:
+    """Each question with all units of its book."""
+    return questions(spark, d).select("qid", "book_id").join(units(spark, d).select("unit_ix", "book_id", "chapter"), "book_id").select("qid", "book_id", "unit_ix", "chapter")
+
+
+def complete(spark: SparkSession, d: str) -> DataFrame:
+    """The BM25 scores of all pairs; a unit that shares no term has 0."""
+    return every_pair(spark, d).join(sparse(spark, d).select("qid", "unit_ix", "score"), ["qid", "unit_ix"], "left").fillna(0.0, ["score"])
+
+
 def pools(spark: SparkSession, d: str) -> DataFrame:
-    """Both rankings to a depth, side by side; a unit that one of them lacks ranks behind its end there."""
-    columns = ["qid", "book_id", "unit_ix", "chapter"]
-    a = R.top(sparse(spark, d), POOL, "qid").select(*columns, F.col("score").alias("score_a"), F.col("rank").alias("rank_a"))
-    b = R.top(term_cosine(spark, d), POOL, "qid").select(*columns, F.col("score").alias("score_b"), F.col("rank").alias("rank_b"))
-    return a.join(b, columns, "full").fillna(POOL + 1, ["rank_a", "rank_b"]).fillna(0.0, ["score_a", "score_b"])
+    """Both rankings of all units of the question's book, side by side, those of score 0 included."""
+    keys = ["qid", "unit_ix"]
+    a, b = sparse(spark, d).select(*keys, F.col("score").alias("score_a")), term_cosine(spark, d).select(*keys, F.col("score").alias("score_b"))
+    both = every_pair(spark, d).join(a, keys, "left").join(b, keys, "left").fillna(0.0, ["score_a", "score_b"])
+    for x in ("a", "b"):
+        both = R.rank(both, "qid", score=f"score_{x}").withColumnRenamed("rank", f"rank_{x}")
+    return both
 
 
 def fused(spark: SparkSession, d: str, method: str) -> DataFrame:
@@ -66,7 +78,7 @@ def fused(spark: SparkSession, d: str, method: str) -> DataFrame:
     if method == "rrf":
         score = R.reciprocal_rank()
     elif method == "borda":
-        score = R.borda(F.lit(POOL + 1)).cast("double")
+        score = R.borda(F.count(F.lit(1)).over(Window.partitionBy("qid"))).cast("double")
     elif method == "combsum":
         score = F.round(R.min_max("score_a", "qid") + R.min_max("score_b", "qid"), 6)
     else:
@@ -75,8 +87,17 @@ def fused(spark: SparkSession, d: str, method: str) -> DataFrame:
 
 
 def ranked(spark: SparkSession, d: str, method: str) -> DataFrame:
+    """The whole ranking; of one source alone it has the units that share a term, which is enough for the first few."""
     scored = sparse(spark, d) if method == "bm25" else term_cosine(spark, d) if method == "cosine" else fused(spark, d, method)
-    return R.top(scored, POOL, "qid").select("qid", "book_id", "unit_ix", "chapter", "score", "rank")
+    return R.rank(scored, "qid").select("qid", "book_id", "unit_ix", "chapter", "score", "rank")
+
+
+def ranked_whole(spark: SparkSession, d: str, method: str) -> DataFrame:
+    """The whole ranking of all units of the question's book, those of score 0 at its end."""
+    if method not in ("bm25", "cosine"):
+        return ranked(spark, d, method)
+    x = "a" if method == "bm25" else "b"
+    return pools(spark, d).select("qid", "book_id", "unit_ix", "chapter", F.col(f"score_{x}").alias("score"), F.col(f"rank_{x}").alias("rank"))
 
 
 METHODS = ["bm25", "cosine", "rrf", "borda", "combsum", "mix"]
@@ -107,7 +128,7 @@ def r01_unit_vectors(spark, d):
 
 
 def r14_union_at_k(spark, d):
-    both = ranked(spark, d, "bm25").unionByName(ranked(spark, d, "cosine"))
+    both = ranked(spark, d, "bm25").unionByName(ranked(spark, d, "cosine")).where(F.col("rank") <= max(KS))
     return M.chapters_at(both, KS, "qid").select("qid", F.col("k").cast("long").alias("k"), "chapter")
 
 
@@ -117,7 +138,11 @@ def r16_expanded(spark, d):
 
 
 def _questions_at(spark, d, method, ks):
-    return M.per_question(M.chapters_at(ranked(spark, d, method), ks, "qid"), gold(spark, d), ks)
+    return _at(spark, d, ranked(spark, d, method), ks)
+
+
+def _at(spark, d, rows, ks):
+    return M.per_question(M.chapters_at(rows.where(F.col("rank") <= max(ks)), ks, "qid"), gold(spark, d), ks)
 
 
 def a01_scope_metrics(spark, d):
@@ -125,7 +150,7 @@ def a01_scope_metrics(spark, d):
 
 
 def a06_coverage_curve(spark, d):
-    parts = [_questions_at(spark, d, m, CURVE).withColumn("method", F.lit(m)) for m in ("bm25", "cosine", "rrf", "combsum")]
+    parts = [_at(spark, d, ranked_whole(spark, d, m), CURVE).withColumn("method", F.lit(m)) for m in ("bm25", "cosine", "rrf", "combsum")]
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
@@ -133,7 +158,7 @@ def a06_coverage_curve(spark, d):
 
 
 def a04_union_metrics(spark, d):
-    both = ranked(spark, d, "bm25").unionByName(ranked(spark, d, "cosine"))
+    both = ranked(spark, d, "bm25").unionByName(ranked(spark, d, "cosine")).where(F.col("rank") <= max(KS))
     return M.by_scope(M.per_question(M.chapters_at(both, KS, "qid"), gold(spark, d), KS)).select("scope", F.col("k").cast("long").alias("k"), "coverage", "strict", "precision_macro_null")
 
 
@@ -142,13 +167,13 @@ def a12_question_hits(spark, d):
     return per.groupBy("qid", "q_type").agg(F.max("n_gold").alias("n_gold"), F.max(F.when(F.col("k") == 5, F.col("covered"))).alias("covered_5"), F.max(F.when(F.col("k") == 10, F.col("covered"))).alias("covered_10"))
 
 
-def _with_gold(spark, d, method):
+def _with_gold(spark, d, rows):
     hit = gold(spark, d).where("chapter is not null").select("qid", "chapter", F.lit(True).alias("g"))
-    return ranked(spark, d, method).join(hit, ["qid", "chapter"], "left").withColumn("is_gold", F.coalesce("g", F.lit(False))).drop("g")
+    return rows.join(hit, ["qid", "chapter"], "left").withColumn("is_gold", F.coalesce("g", F.lit(False))).drop("g")
 
 
 def a07_threshold_sweep(spark, d):
-    return M.pool(_with_gold(spark, d, "bm25"), TAUS)
+    return M.pool(_with_gold(spark, d, complete(spark, d)), TAUS)
 
 
 def a08_best_threshold(spark, d):
@@ -156,7 +181,7 @@ def a08_best_threshold(spark, d):
 
 
 def a10_separation_gap(spark, d):
-    rows = _with_gold(spark, d, "bm25")
+    rows = _with_gold(spark, d, R.rank(complete(spark, d), "qid"))
     first = F.min(F.when(F.col("is_gold"), F.col("rank"))).over(Window.partitionBy("qid"))
     return (
         rows.withColumn("first", first).where("first is not null").groupBy("qid")
@@ -166,7 +191,7 @@ def a10_separation_gap(spark, d):
 
 
 def a11_first_hit_buckets(spark, d):
-    first = _with_gold(spark, d, "bm25").groupBy("qid").agg(F.min(F.when(F.col("is_gold"), F.col("rank"))).alias("r"))
+    first = _with_gold(spark, d, R.rank(complete(spark, d), "qid")).groupBy("qid").agg(F.min(F.when(F.col("is_gold"), F.col("rank"))).alias("r"))
     bucket = F.when(F.col("r") <= 5, "1-5").when(F.col("r") <= 10, "6-10").when(F.col("r") <= 15, "11-15").when(F.col("r").isNotNull(), "16+").otherwise("none")
     return first.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n_questions"))
 
@@ -196,7 +221,7 @@ def a16_score_scale(spark, d):
 
 def r18_rrf_grid(spark, d):
     grid = F.explode(F.array(*(F.struct(F.lit(k).alias("k_rrf"), F.lit(a).alias("wa"), F.lit(b).alias("wb")) for k, a, b in GRID)))
-    scored = pools(spark, d).select("*", grid.alias("g")).select("qid", "unit_ix", "chapter", "rank_a", "rank_b", "g.*")
+    scored = pools(spark, d).select("qid", "unit_ix", "chapter", "rank_a", "rank_b", grid.alias("g")).select("qid", "unit_ix", "chapter", "rank_a", "rank_b", "g.*")
     score = F.round(F.col("wa") / (F.col("k_rrf") + F.col("rank_a")) + F.col("wb") / (F.col("k_rrf") + F.col("rank_b")), 9)
     keys = ["k_rrf", "wa", "wb"]
     top = R.top(scored.withColumn("score", score), 10, *keys, "qid")
@@ -212,7 +237,7 @@ def w05_early_stop(spark, d):
     """Neighbours of each query down to the fifth miss in a row; a hit is a neighbour of the query's own label."""
     index = _vectors(spark, d)
     asked = index.where("unit_ix % 100 = 0").select(F.col("unit_ix").alias("qid"), "vector", F.col("label").alias("own"))
-    near = R.top(R.cosine(asked.select("qid", "vector"), index), POOL, "qid")
+    near = R.rank(R.cosine(asked.select("qid", "vector"), index), "qid")
     walk = near.join(index.select("unit_ix", "label"), "unit_ix").join(asked.select("qid", "own"), "qid").withColumn("hit", (F.col("label") == F.col("own")).cast("long"))
     order = Window.partitionBy("qid").orderBy("rank")
     island = walk.withColumn("island", F.sum("hit").over(order))
@@ -223,7 +248,7 @@ def w05_early_stop(spark, d):
 
 def a09_score_ticks(spark, d):
     """Scores at the percentiles 0, 10 … 90, 95 and 99, by the floor of their place."""
-    counts = ranked(spark, d, "bm25").groupBy("score").agg(F.count(F.lit(1)).alias("n")).withColumn("one", F.lit(1))
+    counts = complete(spark, d).groupBy("score").agg(F.count(F.lit(1)).alias("n")).withColumn("one", F.lit(1))
     ticks = counts.withColumn("percent", F.explode(F.array(*map(F.lit, [*range(0, 100, 10), 95, 99]))))
     at = D.nth_of_counts(ticks, "score", "n", F.floor(F.col("percent") * (F.col("total") - 1) / 100) + 1, "percent")
     return at.select(F.col("percent").cast("long").alias("percent"), F.col("at_place").alias("score"))
