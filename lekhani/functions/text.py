@@ -24,6 +24,16 @@ def kana_bigrams(text: Column) -> Column:
     return F.flatten(pairs)
 
 
+def tokens(text: Column, keep_stopwords: bool = False) -> Column:
+    """Words of all scripts in order, spaceless script as pairs of neighbouring characters; marks that stand alone where there is no word."""
+    spaceless = r"\u3005-\u3007\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f"
+    runs = F.regexp_extract_all(F.lower(text), F.lit(rf"[{spaceless}]+|[\p{{L}}\p{{M}}\p{{N}}\u200c\u200d&&[^{spaceless}]]+"), F.lit(0))
+    pairs = lambda r: F.transform(F.sequence(F.lit(1), F.greatest(F.length(r) - 1, F.lit(1))), lambda i: F.substring(r, i, F.lit(2)))
+    words = F.flatten(F.transform(runs, lambda r: F.when(r.rlike(f"^[{spaceless}]"), pairs(r)).otherwise(F.array(r))))
+    words = F.when(F.size(words) > 0, words).otherwise(F.regexp_extract_all(text, F.lit(r"\S+"), F.lit(0)))
+    return words if keep_stopwords else F.filter(words, lambda t: ~t.isin(STOPWORDS))
+
+
 def non_blank_lines(text: Column) -> Column:
     return F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")
 

@@ -46,7 +46,7 @@ def s11_latest_work(spark, d):
 
 
 def p01_token_counts(spark, d):
-    t = X.english_tokens(F.col("text"))
+    t = X.tokens(F.col("text"))
     return _documents(spark, d).select("doc_id", F.size(t).cast("long").alias("n_tokens"), F.size(F.array_distinct(t)).cast("long").alias("n_distinct"))
 
 
@@ -157,7 +157,7 @@ def w10_line_packing(spark, d):
 
 
 def g06_chunks(spark, d):
-    tokens = X.english_tokens(F.col("text"), keep_stopwords=True)
+    tokens = X.tokens(F.col("text"), keep_stopwords=True)
     rows = _documents(spark, d).select("doc_id", tokens.alias("tokens")).where("size(tokens) > 0")
     return rows.select("doc_id", F.posexplode(C.chunks(F.col("tokens"), 60, 10)).alias("chunk", "words")).select("doc_id", F.col("chunk").cast("long").alias("chunk"), F.size("words").cast("long").alias("n_tokens"))
 

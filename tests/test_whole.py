@@ -2,6 +2,7 @@
 
 import pytest
 
+from lekhani.plans import corpus as C
 from lekhani.plans import retrieval as P
 
 DOC = "doc_id long, book_id int, chapter int, text string, lang string, doc_kind string"
@@ -43,3 +44,13 @@ def test_walk_goes_on_behind_fifty_neighbours(spark, tmp_path):
     rows = [(i, [1.0, i / 100], "ab"[i % 2]) for i in range(80)]
     d = write(spark, tmp_path, embeddings=(rows, "vec_id long, embedding array<double>, label string"))
     assert P.w05_early_stop(spark, d).first().n_walked == 79
+
+
+def test_chunks_and_counts_cover_all_scripts(spark, tmp_path):
+    texts = {1: "the boat", 2: "川の船" * 41, 3: "নদীর ঘাটে নৌকা", 4: "नदी के घाट पर", 5: "…… !", 6: " \n", 7: "boat川の船2 ঘাট"}
+    d = write(spark, tmp_path, documents=([(i, 1, 1, t, None, "prose") for i, t in texts.items()], DOC))
+    got = {}
+    for r in C.g06_chunks(spark, d).orderBy("doc_id", "chunk").collect():
+        got.setdefault(r.doc_id, []).append(r.n_tokens)
+    assert got == {1: [2], 2: [60, 60, 22], 3: [3], 4: [4], 5: [2], 7: [5]}
+    assert {r.doc_id: (r.n_tokens, r.n_distinct) for r in C.p01_token_counts(spark, d).collect()} == {1: (1, 1), 2: (122, 3), 3: (3, 3), 4: (4, 4), 5: (2, 2), 6: (0, 0), 7: (5, 5)}
