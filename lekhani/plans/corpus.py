@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -139,10 +143,25 @@ def p45_titles(spark, d):
 
 
 def w06_prior_summaries(spark, d):
-    w = Window.partitionBy("book_id", "target_lang").orderBy("chapter", "segment", "rec_id")
+    """Digest of all earlier summaries of the book, one a line. The hash is carried on from row to row, so no text is kept."""
+    keys = ["book_id", "target_lang"]
     rows = table(spark, d, "translations").where("chapter > 0 and trim(response.summary) <> ''").select("rec_id", "book_id", "target_lang", "chapter", "segment", F.col("response.summary").alias("summary"))
-    prior = F.concat_ws("\n", *(F.lag("summary", k).over(w) for k in (3, 2, 1)))
-    return rows.select("rec_id", F.md5(prior).alias("context"), (F.row_number().over(w) - 1).cast("long").alias("n_prior"))
+    placed = rows.repartition(*keys).sortWithinPartitions(*keys, "chapter", "segment", "rec_id").select(*keys, "rec_id", "summary")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        book, so_far, n = None, hashlib.md5(), 0
+        for batch in batches:
+            digests, counts = [], []
+            for *key, summary in zip(*(batch.column(c).to_pylist() for c in (*keys, "summary"))):
+                if key != book:
+                    book, so_far, n = key, hashlib.md5(), 0
+                digests.append(so_far.hexdigest())
+                counts.append(n)
+                so_far.update(("\n" * (n > 0) + summary).encode())
+                n += 1
+            yield pa.RecordBatch.from_arrays([batch.column("rec_id"), pa.array(digests, pa.string()), pa.array(counts, pa.int64())], ["rec_id", "context", "n_prior"])
+
+    return placed.mapInArrow(run, f"rec_id {dict(placed.dtypes)['rec_id']}, context string, n_prior long")
 
 
 def w09_batches(spark, d):

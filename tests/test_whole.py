@@ -1,5 +1,7 @@
 """The retrieval, chunk and crosstab queries do the whole job: nothing is left out of small tables made for it."""
 
+import hashlib
+
 import pytest
 
 from lekhani.plans import corpus as C
@@ -54,3 +56,10 @@ def test_chunks_and_counts_cover_all_scripts(spark, tmp_path):
         got.setdefault(r.doc_id, []).append(r.n_tokens)
     assert got == {1: [2], 2: [60, 60, 22], 3: [3], 4: [4], 5: [2], 7: [5]}
     assert {r.doc_id: (r.n_tokens, r.n_distinct) for r in C.p01_token_counts(spark, d).collect()} == {1: (1, 1), 2: (122, 3), 3: (3, 3), 4: (4, 4), 5: (2, 2), 6: (0, 0), 7: (5, 5)}
+
+
+def test_context_has_all_earlier_summaries(spark, tmp_path):
+    rows = [(i, b, "en", 1, i, (f"s{i}",)) for b in (1, None) for i in range(1, 8)]
+    d = write(spark, tmp_path, translations=(rows, "rec_id long, book_id int, target_lang string, chapter int, segment int, response struct<summary: string>"))
+    want = {(i, i - 1, hashlib.md5("\n".join(f"s{k}" for k in range(1, i)).encode()).hexdigest()) for i in range(1, 8)}
+    assert sorted((r.rec_id, r.n_prior, r.context) for r in C.w06_prior_summaries(spark, d).collect()) == sorted([*want, *want])
