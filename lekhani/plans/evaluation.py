@@ -93,8 +93,10 @@ def a21_label_summary(spark, d):
 
 
 def a25_crosstab(spark, d):
-    rows = _joined(spark, d).groupBy("run_name", "label").pivot("score", list(range(0, 11, 5))).agg(F.count(F.lit(1))).fillna(0)
-    return rows.select("run_name", "label", *(F.col(str(s)).alias(f"score_{s}") for s in range(0, 11, 5)))
+    """Pairs by label and score with their total, and the same of the gold pairs alone."""
+    per = lambda name, among: (F.count_if(among & (F.col("score") == s)).alias(f"{name}_{s}") for s in range(11))
+    every = F.lit(True)
+    return _joined(spark, d).groupBy("run_name", "label").agg(*per("score", every), F.count(F.lit(1)).alias("n_total"), *per("gold", F.col("is_gold")), F.count_if("is_gold").alias("n_gold"))
 
 
 def a26_equivalence(spark, d):

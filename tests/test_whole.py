@@ -5,6 +5,7 @@ import hashlib
 import pytest
 
 from lekhani.plans import corpus as C
+from lekhani.plans import evaluation as V
 from lekhani.plans import retrieval as P
 
 DOC = "doc_id long, book_id int, chapter int, text string, lang string, doc_kind string"
@@ -63,3 +64,14 @@ def test_context_has_all_earlier_summaries(spark, tmp_path):
     d = write(spark, tmp_path, translations=(rows, "rec_id long, book_id int, target_lang string, chapter int, segment int, response struct<summary: string>"))
     want = {(i, i - 1, hashlib.md5("\n".join(f"s{k}" for k in range(1, i)).encode()).hexdigest()) for i in range(1, 8)}
     assert sorted((r.rec_id, r.n_prior, r.context) for r in C.w06_prior_summaries(spark, d).collect()) == sorted([*want, *want])
+
+
+def test_crosstab_has_all_scores(spark, tmp_path):
+    # yes, maybe and no: the mean of 10, 5 and 0 is 5; yes, no and no: 3; yes, yes and maybe: 8
+    labels = {1: "yes maybe no", 2: "yes no no", 3: "yes yes maybe"}
+    logged = [(k * 10 + i, f"filter{i}", 5, k, v, i) for k, vs in labels.items() for i, v in enumerate(vs.split())]
+    d = write(spark, tmp_path, verdicts=(logged, "verdict_id long, run_name string, question_id int, chapter int, verdict string, logged_at long"), questions=([(1, 5, 1, "single", "boat", [2], "en")], ASKED))
+    rows = {(r.run_name, r.label): r for r in V.a25_crosstab(spark, d).collect()}
+    row = rows["filter0", "yes"]
+    assert (row.score_5, row.score_3, row.score_8, row.n_total, row.gold_3, row.n_gold) == (1, 1, 1, 3, 1, 1)
+    assert all(sum(r[f"score_{s}"] for s in range(11)) == r.n_total and sum(r[f"gold_{s}"] for s in range(11)) == r.n_gold for r in rows.values())
