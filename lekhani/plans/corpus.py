@@ -13,7 +13,7 @@ from lekhani.functions import text as X
 from lekhani.operators import corpus as C
 from lekhani.operators import decisions as D
 from lekhani.operators import graph as G
-from lekhani.plans.retrieval import questions, units
+from lekhani.plans.retrieval import prose, questions, units
 from lekhani.sources.tables import table
 
 LANGS = ["bengali", "english", "hindi", "japanese"]
@@ -26,7 +26,7 @@ def _documents(spark: SparkSession, d: str) -> DataFrame:
 
 def s04_chapter_scan(spark, d):
     ids = F.array_join(F.transform(F.array_sort(F.collect_list("unit_ix")), lambda x: x.cast("string")), ",")
-    return units(spark, d).groupBy("book_id", "chapter").agg(F.count(F.lit(1)).alias("n_units"), ids.alias("unit_ids"))
+    return prose(spark, d).groupBy("book_id", "chapter").agg(F.count(F.lit(1)).alias("n_units"), ids.alias("unit_ids"))
 
 
 def s09_dictionary_long(spark, d):
@@ -75,7 +75,7 @@ def p09_paragraphs(spark, d):
 
 
 def p12_chapter_context(spark, d):
-    c = C.context(units(spark, d), ["book_id", "chapter"], "unit_ix", F.concat(F.lit("[Chapter "), F.col("chapter").cast("string"), F.lit("]")), "text")
+    c = C.context(prose(spark, d), ["book_id", "chapter"], "unit_ix", F.concat(F.lit("[Chapter "), F.col("chapter").cast("string"), F.lit("]")), "text")
     return c.select("book_id", "chapter", F.md5("context").alias("digest"), F.length("context").cast("long").alias("n_chars"))
 
 
@@ -201,7 +201,7 @@ def j07_parts(spark, d):
 def j13_window_overlap(spark, d):
     """Units that overlap each window of 1000 characters of their chapter, by exploded window numbers."""
     w = Window.partitionBy("book_id", "chapter").orderBy("unit_ix").rowsBetween(Window.unboundedPreceding, -1)
-    placed = units(spark, d).select("book_id", "chapter", "unit_ix", F.length("text").alias("n"), F.coalesce(F.sum(F.length("text")).over(w), F.lit(0)).alias("off")).where("n > 0")
+    placed = prose(spark, d).select("book_id", "chapter", "unit_ix", F.length("text").alias("n"), F.coalesce(F.sum(F.length("text")).over(w), F.lit(0)).alias("off")).where("n > 0")
     per = placed.select("book_id", "chapter", F.explode(F.sequence(F.floor(F.col("off") / 1000), F.floor((F.col("off") + F.col("n") - 1) / 1000))).alias("window_no"))
     return per.groupBy("book_id", "chapter", "window_no").agg(F.count(F.lit(1)).alias("n_units"))
 

@@ -16,8 +16,13 @@ TAUS = [float(x) for x in range(0, 40, 2)]
 GRID = [(k, wa, wb) for k in (5.0, 30.0, 60.0) for wa, wb in ((1.0, 1.0), (1.3, 0.7), (0.7, 1.3))]
 
 
+def prose(spark: SparkSession, d: str) -> DataFrame:
+    """Prose of all languages, also of none or an unknown one."""
+    return table(spark, d, "documents").where("doc_kind = 'prose' and chapter is not null and text is not null").select(F.col("doc_id").alias("unit_ix"), "book_id", "chapter", "text", "lang")
+
+
 def units(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").where("lang = 'en' and doc_kind = 'prose' and chapter is not null and text is not null").select(F.col("doc_id").alias("unit_ix"), "book_id", "chapter", "text")
+    return prose(spark, d).where("lang = 'en'").drop("lang")
 
 
 def questions(spark: SparkSession, d: str) -> DataFrame:

@@ -75,3 +75,11 @@ def test_crosstab_has_all_scores(spark, tmp_path):
     row = rows["filter0", "yes"]
     assert (row.score_5, row.score_3, row.score_8, row.n_total, row.gold_3, row.n_gold) == (1, 1, 1, 3, 1, 1)
     assert all(sum(r[f"score_{s}"] for s in range(11)) == r.n_total and sum(r[f"gold_{s}"] for s in range(11)) == r.n_gold for r in rows.values())
+
+
+def test_scans_of_chapters_take_all_languages(spark, tmp_path):
+    docs = [(i, 1, 1, "x" * 600, lang, "prose") for i, lang in enumerate(("en", "ja", "bn", "hi", "und", None))] + [(9, 1, 1, "x", "en", "markup")]
+    d = write(spark, tmp_path, documents=(docs, DOC))
+    assert [(r.n_units, r.unit_ids) for r in C.s04_chapter_scan(spark, d).collect()] == [(6, "0,1,2,3,4,5")]
+    assert C.p12_chapter_context(spark, d).first().n_chars == len("[Chapter 1]\n") + 6 * 600 + 5 * 2
+    assert {r.window_no: r.n_units for r in C.j13_window_overlap(spark, d).collect()} == {0: 2, 1: 3, 2: 2, 3: 1}
