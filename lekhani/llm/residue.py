@@ -1,23 +1,30 @@
 """Documents that hold template leftovers, filler, or messages of failing and refusing pages.
 
-Method: positive-unlabelled naive Bayes. Trusted records (messages and leftovers recognised by sure
-patterns) are positive, all other passages are unlabelled and start as negative; expectation
-maximisation re-estimates the unlabelled ones, and a document is reported when one of its passages is
-more likely positive. Passages are sentences without their code spans and quotations, because text
-that quotes such a thing is no case. Features are hashed into a fixed number of buckets, so the model
-is an array of a known size: every round is one pass over all passages that adds expected counts per
-bucket, and only these counts come to the driver.
-
-Null and empty texts are no cases, repeated texts count each, an empty table gives an empty result,
-texts of any length are read whole, a score of exactly ``LEAST_ODDS`` is no case, further
-columns are ignored.
+Method: positive-unlabelled naive Bayes, fitted by expectation maximisation from trusted error and
+placeholder records, which then scores passages; a document is reported when one of its passages is more
+likely positive than not. Every report comes from the model's odds, those of trusted passages too.
+
+Passages are sentences, without their code spans and quotations, because text that quotes such a thing is
+no case, and within the sentences each group of marks (``{{x}}``, ``%s``, ``___``, ``NaN``) is a passage of
+its own, so that the ordinary words around it don't outweigh it. Each class is a distribution of features
+within one script, or among the groups of marks; a script that has more cases than another thus says
+nothing. What is trusted counts whole, what the model finds counts a part of it (else a frequent topic
+could take the class over). Sentences start as negative, groups of marks as undecided. The
+prior of a passage is estimated apart for records with and without another positive passage.
+
+Features are hashed into a fixed number of buckets, so the model is an array of a known size. Each round is
+one pass over all passages; the driver gets the expected counts of each bucket, and rounds go on until the
+expected number of cases is steady.
+
+Null and empty texts are no cases, repeated texts count each, an empty table gives an empty result, texts of
+any length are read whole, odds of exactly 1 are no case, further columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -27,100 +34,129 @@ from pyspark.sql import functions as F
 
 from lekhani.session import cut_lineage
 
-#: Buckets of the hashed features, rounds of expectation maximisation, share of the common distribution in each class, least log-odds of a case.
-BUCKETS, ROUNDS, COMMON, LEAST_ODDS = 1 << 20, 3, 0.05, 4.0
+#: Buckets of the hashed features; the highest GROUP_BITS of a bucket's number are its group (scripts, marks).
+BUCKETS, GROUP_BITS = 1 << 21, 3
+GROUP_SIZE = BUCKETS >> GROUP_BITS
+LATIN, KANA, DEVANAGARI, BENGALI, MARKS, OTHER = range(6)
+#: Share of the common distribution in each class; weight of the sentences and of the groups of marks that the model finds; log-odds above which a document is a case.
+COMMON, FOUND, FOUND_MARKS, LEAST_ODDS = 0.005, 0.1, 1.0, 0.0
+#: Rounds end when the expected number of cases changes by less than this share; after so many they fail.
+STEADY, MOST_ROUNDS = 0.002, 200
 
 _ABBREVIATIONS = "".join(rf"(?<!\b{w}\.)" for w in "Dr Mr Mrs St Mt No no ch vol Co [A-Z] डॉ पं पृ ডা মো পৃ".split())
 SPLIT = re.compile(rf"\n+|(?<=[.!?])(?<!\.\.){_ABBREVIATIONS}[\"”’)]*\s+(?![a-z])|(?<=[。！？।৷])[\s　\"”’」』）)]*")
 QUOTED = re.compile(r"`[^`\n]*`|“[^”\n]*”|「[^」\n]*」|『[^』\n]*』|‘[^’\n]*’|«[^»\n]*»")
-
-# Leftovers of templates, by kind. A sentence with one is told by these features alone.
-SLOTS = {
-    "mustache": r"\[\[[^\[\]\n]{1,40}\]\]|#\{[^{}\n]{1,60}\}|\{\{[^{}\n]{0,60}\}\}|\{%[^%\n]{0,60}%\}",
-    "dollar": r"\$\{[^{}\n]{0,60}\}|\$\([a-z_]{2,30}\)",
-    "brace": r"(?<![\w\"{$])\{[A-Za-z][\w ]{0,30}\}(?!\})",
-    "angles": r"<<[^<>\n]{1,60}>>",
-    "angle": r"<(?!/?(?:html|head|body|title|h[1-6]|p|br|hr|div|span|b|i|em|strong|a|ul|ol|li|table|tr|td|sup|sub|ref|poem)\b)[A-Za-z][\w -]{0,30}>",
-    "square": r"\[(?:insert|your|enter|add|type|put|name|place|item|date|title|author|number|text|todo|tbd|placeholder|fill)\b[^\]\n]{0,60}\]|\[[A-Z][A-Z_0-9]{2,30}\]",
-    "percent": r"(?<![\w%])%(?:\([a-z_]+\))?[sdif](?![a-z])|%[A-Z_]{3,}%",
-    "blank": r"_{3,}|＿{3,}",
-    "crosses": r"(?<![A-Za-z])X{3,}(?![A-Za-z])|(?:\b[xX]{2,}\b[ .]*){3,}",
-    "nothing": r"(?<![\w/.\"'-])(?:undefined|NaN|nan|null|NULL|nil|None|\[object Object\]|#N/A|#REF!|#NAME\?|N/A)(?![\w/\"'-])",
-    "signs": r"@@\w+@@|##[A-Z_]+##|__[A-Z_]{2,}__|\|\|[a-z_]+\|\|",
-}
-SLOT = re.compile("|".join(f"(?P<{k}>{v})" for k, v in SLOTS.items()))
+WORD = re.compile(r"[a-zà-ɏ̀-ͯ]+|[ऀ-ॣ॰-ॿ]+|[ঀ-৥ৰ-৾]+|[゠-ヿ]+|[぀-ゟ一-鿿]+|[45]\d\d(?!\d)")
 REPEATED = re.compile(r"(\S{2,}(?: \S{2,})?)(?:[ 　]+\1){2,}")
-MAYBE_SLOT = re.compile(r"[{<\[%_＿#@$|]|X{3}|[xX]{2}|undefined|[Nn]a[Nn]|null|NULL|nil|None|N/A")
-
-# Sure signs of messages and filler.
-TRUSTED = re.compile(
-    r"^(?:please|kindly|you (?:need|have) to|to (?:read|view|see|continue|go)\b.*,|in order to\b.*,)\W?.*\b(?:javascript|cookies?|scripts?|scripting|script blocker)\b"
-    r"|^(?:error|http(?: error)?|status)?\s*:?\s*[45]\d\d\b\W{0,3}\s*(?:not found|forbidden|bad gateway|internal server error|service unavailable|too many requests|gateway time-?out|unauthorized|gone|error)"
-    r"|^traceback \(most recent call last\)|^\w*(?:error|exception): |^<html|^<!doctype|^\{\"error\""
-    r"|^access denied\W*$|^(?:your |the )?session (?:has )?expired|^page not found|^loading(?:…|\.\.\.)"
-    r"|^(?:the )?connection (?:was|timed|has|to)\b|^(?:daily )?quota (?:used|exceeded)|^too many requests|\bcoming soon\W*$|^(?:this page is )?under construction|^(?:test\W+){3,}|\btranslation to follow\b|\bsummary to follow\b|^(?:not found|forbidden|bad gateway|service unavailable|gateway time-?out|internal server error)\W*$"
-    r"|^we (?:can[’']t|cannot|could not|couldn[’']t) (?:find|verify|load)\b|^(?:please )?(?:try|sign in|log in|reload) again\b|\bhas been (?:moved|removed|deleted)\b.*\b(?:page|chapter)|^(?:this|the) (?:page|chapter|scan) (?:has been|may have been|was) (?:moved|removed|deleted)"
-    r"|\bchecking your browser\b|\bverify that you are (?:a )?human\b|^(?:service|site) (?:is )?(?:temporarily )?unavailable"
-    r"|^lorem ipsum\b|\bgoes here\W*$|^(?:body|sample|dummy|filler) text(?: here)?\W*$|^the page\b.*\b(?:could not|cannot|can[’']t) be (?:shown|displayed|loaded|opened|found)|^todo\b|^tb[ad]\W*$|\bto be (?:written|added|translated|filled in|supplied)\W*$|^placeholder\b|^dummy (?:text|line)\b|^sample (?:text|paragraph)\b"
-    r"|javascript\s*を有効|ブラウザ(?:を確認|の設定をご確認)|cookie\s*とスクリプト|スクリプトが無効|ページは見つかりません|表示する権限がありません|エラーが発生しました|有効期限が切れました|本文が入ります|ダミーテキスト|サンプルテキスト|サーバー?(?:エラー|が混み合)|接続を終了しました|ロボットではない|移動または削除|後で記入|しばらくしてから(?:お試し|もう一度)|追って掲載"
-    r"|जावास्क्रिप्ट चालू|javascript की अनुमति|ब्राउज़र (?:की जाँच|में स्क्रिप्ट)|पृष्ठ नहीं मिला|पृष्ठ देखने की अनुमति नहीं|सर्वर में त्रुटि|यहाँ (?:पाठ|लेख)|नमूना (?:पाठ|लेख)|सत्र (?:समाप्त|की अवधि)|संपर्क टूट गया|हटा दिया गया है|बाद में जोड़ा जाएगा|फिर से लॉग ?इन"
-    r"|জাভাস্ক্রিপ্ট চালু|javascript চালু|ব্রাউজার(?:ে স্ক্রিপ্ট| যাচাই)|পাতাটি খুঁজে পাওয়া যায়নি|পাতা দেখার অনুমতি|সার্ভারে ত্রুটি|এখানে লেখা|নমুনা লেখা|সংযোগ কেটে গেছে|মুছে ফেলা হয়েছে|পরে যোগ হবে|আবার লগ ইন",
+# Groups of marks: what brackets or signs enclose, signs at a word, blanks to fill in, words of odd spelling. The
+# names of markup elements are no such group.
+ELEMENTS = "html|head|body|title|h[1-6]|p|br|hr|div|span|b|i|em|strong|a|ul|ol|li|table|tr|td|sup|sub|ref|poem"
+GROUP = re.compile(
+    rf"[$#%@]*(?:\{{+[^{{}}\"\n]*\}}+|<+(?!/|(?:{ELEMENTS})\b)[^<>\n]*>+|\[+[^\[\]\n]*\]+)"
+    r"|([@#$%|_])\1*[^\W_]+(?:_[^\W_]+)*\1+"
+    r"|[$%#@~^\\|]+\(?[^\W\d_][A-Za-z0-9_]*\)?[A-Za-z0-9_!?/]*|_{2,}|＿{2,}"
+    r"|(?<![\w'’.-])(?:[A-Z]{3,}|[a-z]+[A-Z][A-Za-z0-9]*|[A-Z][a-z]+[A-Z][A-Za-z0-9]*|undefined|null|nil|None|N/A)(?![A-Za-z0-9'’_-])"
+)
+MAYBE_GROUP = re.compile(r"[{<\[$%#@_＿~^\\|]|[a-z][A-Z]|[A-Z]{3}|undefined|null|nil|None|N/A")
+
+# Signs of trusted records by script, of messages and of filler.
+TRUSTED_WORDS = re.compile(
+    r"\b[45]\d\d:? (?:not found|forbidden|bad gateway|internal server error|service unavailable|too many requests|gateway timeout)\b"
+    r"|^(?:please|kindly|you need)\b.*\b(?:javascript|scripts?|scripting|cookies?)\b|\bbrowser\W*$|^(?:the|this) page\b.*\bnot\b|^(?:the )?connection was\b|^we (?:can[’']t|cannot|could not)\b|\bto be (?:written|added)\b|^access denied|^your session|^traceback|^\W*error\W*\b(?:code\b|\{)|\bquota\b"
+    r"|^(?:lorem ipsum|todo|coming soon)\b|^(?:dummy|sample|body|filler|placeholder) (?:text|line|paragraph|sentence)\b|\b(?:translation|text) to follow\b"
+    r"|[^\x00-ɏ].*(?:javascript|cookie)|^cookie[^\x00-ɏ]"
+    r"|ブラウザ|ページ(?:は|を表示)|ログイン|スクリプトが|サーバーが|エラーが|接続|削除された|ダミー|本文が入|後で記入"
+    r"|ब्राउज़र|पृष्ठ (?:नहीं|को)|सत्र|स्क्रिप्ट|सर्वर|संपर्क|हटा दिया|(?:यहाँ|नमूना) पाठ|बाद में जोड़ा"
+    r"|ব্রাউজার|পাতাটি খুঁজে পাওয়া যায়নি|লগ ইন|স্ক্রিপ্ট|সার্ভার|সংযোগ|মুছে ফেলা|নমুনা|এখানে লেখা|পরে যোগ"
 )
-WORD = re.compile(r"[a-zà-ɏ̀-ͯ]+|[ऀ-ॣ॰-ॿ]+|[ঀ-৥ৰ-৾]+|[゠-ヿ]+|[぀-ゟ一-鿿]+|[45]\d\d(?!\d)|[{}<>=|\\]")
+# Trusted groups of marks, placeholders and empty values.
+TRUSTED_GROUP = re.compile(r"\{\{.*\}\}$|\$\{.*\}$|%[sd]$|_{3,}$|\[object Object\]$|(?:undefined|NaN|#[A-Z]+!)$|\[(?:insert|यहाँ|এখানে|ここ)")
+
+Trust = Callable[[str, bool], bool]
+
+
+def trusted(passage: str, is_group: bool) -> bool:
+    """Whether a passage of lower case, or a group of marks, is a sure sign."""
+    return bool(TRUSTED_GROUP.match(passage) if is_group else TRUSTED_WORDS.search(passage) or REPEATED.match(passage))
 
 
 def passages(text: str) -> list[str]:
     return [p for p in (s.strip(" \t\r　\"”’」』）)-*•") for s in SPLIT.split(QUOTED.sub(" ", text))) if p]
 
 
-def features(passage: str, slots: list[str]) -> list[str]:
-    """The slots of a passage, else its words; of numbers only those like status codes, spaceless script in pairs.
+def script(word: str) -> int:
+    c = word[0]
+    return LATIN if c < "ऀ" else DEVANAGARI if c < "ঀ" else BENGALI if c < "਀" else KANA if "぀" <= c <= "鿿" else OTHER
 
-    Headings and bracketed closing notes are structure, not words of a message.
-    """
-    if slots:
-        return slots
-    if passage.startswith("#") or passage[0] in "[【" and passage[-1] in "]】":
-        return []
-    out = []
-    for w in WORD.findall(passage):
+
+def word_features(low: str) -> tuple[list[str], int]:
+    """Words of a sentence in lower case, spaceless script in pairs, and the script: of most words that aren't Latin, if there are any."""
+    out, counts = [], [0] * 6
+    for w in WORD.findall(low):
         if w[0].isdigit():
             out.append("#code")
-        elif "぀" <= w[0] <= "ゟ" or "一" <= w[0] <= "鿿":
+            continue
+        s = script(w)
+        counts[s] += len(w)
+        if s == KANA and not "゠" <= w[0] <= "ヿ":
             out += [w] if len(w) == 1 else [w[i : i + 2] for i in range(len(w) - 1)]
         else:
             out.append(w)
+    if REPEATED.match(low):
+        out.append("#repeat")
+    rest = max(counts[1:])
+    return out, counts.index(rest, 1) if rest else LATIN
+
+
+def group_features(group: str) -> list[str]:
+    """The signs that open and close a group of marks and the words within; the shape of an odd word."""
+    out = ["w" + w for w in re.findall(r"[^\W\d_]+", group.lower())]
+    first, last = re.match(r"[^\w\s]+|_+|＿+", group), re.search(r"(?:[^\w\s]+|_+|＿+)$", group)
+    if first and first[0] != "[":  # a single square bracket is one of prose, too
+        out.append("o" + first[0][:4])
+    if last and last[0] != "]":
+        out.append("c" + last[0][-4:])
+    if len(set(group)) == 1:
+        out.append("same")
+    elif not first:
+        out.append("s" + re.sub(r"[a-zà-ɏ]+", "a", re.sub(r"[A-Z]+", "A", group)))
     return out
 
 
 class Hasher(dict):
-    """Bucket of a feature; the table is emptied before it grows large."""
+    """Bucket of a (group, feature); the table is emptied before it grows large."""
 
-    def __missing__(self, word: str) -> int:
-        if len(self) > 200_000:
+    def __missing__(self, key: tuple[int, str]) -> int:
+        if len(self) > 400_000:
             self.clear()
-        self[word] = h = zlib.crc32(word.encode()) & (BUCKETS - 1)
+        self[key] = h = key[0] * GROUP_SIZE + zlib.crc32(key[1].encode()) % GROUP_SIZE
         return h
 
 
-def read(text: str, bucket: Hasher) -> tuple[list[int], list[int], list[bool]]:
+def read(text: str, bucket: Hasher, trust: Trust = trusted) -> tuple[list[int], list[int], list[bool]]:
     """Buckets of all passages in one list, their number in each passage, and whether it is trusted."""
     buckets, sizes, sure = [], [], []
-    for passage in passages(text):
-        slots = [f"§{m.lastgroup}" for m in SLOT.finditer(passage)] if MAYBE_SLOT.search(passage) else []
-        if REPEATED.match(passage):
-            slots.append("§repeat")
-        low = passage.lower()
-        trusted = bool(slots or TRUSTED.search(low))
-        own = {bucket[w] for w in features(low, slots)} or ({bucket["§message"]} if trusted else ())
+
+    def add(group: int, features: list[str], is_sure: bool) -> None:
+        own = {bucket[group, f] for f in features}
         if own:
-            buckets += sorted(own)
+            buckets.extend(sorted(own))
             sizes.append(len(own))
-            sure.append(trusted)
+            sure.append(is_sure)
+
+    for passage in passages(text):
+        if MAYBE_GROUP.search(passage):
+            for m in GROUP.finditer(passage):
+                add(MARKS, group_features(m[0]), trust(m[0], True))
+        # headings and bracketed closing notes are structure, not words of a message
+        if passage[0] != "#" and not (passage[0] in "[【" and passage[-1] in "]】"):
+            low = passage.lower()
+            features, group = word_features(low)
+            add(group, features, trust(low, False))
     return buckets, sizes, sure
 
 
-def encode(df: DataFrame, key: str, text: str) -> DataFrame:
+def encode(df: DataFrame, key: str, text: str, trust: Trust = trusted) -> DataFrame:
     """``key, buckets, sizes, sure``: the passages of each document as feature buckets.
 
     Written once to the shared checkpoint folder, for every round reads them again.
@@ -129,7 +165,7 @@ def encode(df: DataFrame, key: str, text: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bucket = Hasher()
         for batch in batches:
-            made = [read(value, bucket) for value in batch["text"]]
+            made = [read(value, bucket, trust) for value in batch["text"]]
             yield pd.DataFrame({"key": batch["key"], "buckets": [m[0] for m in made], "sizes": [m[1] for m in made], "sure": [m[2] for m in made]})
 
     kind = dict(df.dtypes)[key]
@@ -137,88 +173,153 @@ def encode(df: DataFrame, key: str, text: str) -> DataFrame:
     return cut_lineage(rows.mapInPandas(run, f"key {kind}, buckets array<int>, sizes array<int>, sure array<boolean>"))
 
 
-def _flat(batch: pa.RecordBatch, name: str) -> np.ndarray:
-    return batch.column(name).flatten().to_numpy(zero_copy_only=False)
+class Passages:
+    """The passages of one Arrow batch as flat arrays."""
+
+    def __init__(self, batch: pa.RecordBatch) -> None:
+        flat = lambda name: batch.column(name).flatten().to_numpy(zero_copy_only=False)
+        self.buckets, self.sizes, self.sure = flat("buckets"), flat("sizes"), flat("sure").astype(bool)
+        self.per_record = np.asarray(batch.column("sizes").value_lengths().fill_null(0))
+        self.record = np.repeat(np.arange(len(self.per_record)), self.per_record)
+        self.starts = np.concatenate(([0], np.cumsum(self.sizes)[:-1])).astype(int) if len(self.sizes) else np.zeros(0, dtype=int)
+        self.marks = self.buckets[self.starts] // GROUP_SIZE == MARKS if len(self.sizes) else np.zeros(0, dtype=bool)
 
+    def beside(self, p: np.ndarray) -> np.ndarray:
+        """How sure it is that another passage of the record is positive."""
+        return np.clip(np.bincount(self.record, weights=p, minlength=len(self.per_record))[self.record] - p, 0, 1)
 
-def _scores(buckets: np.ndarray, sizes: np.ndarray, weights: np.ndarray, bias: float) -> np.ndarray:
-    """Log-odds of each passage."""
-    starts = np.concatenate(([0], np.cumsum(sizes)[:-1])).astype(int)
-    return np.add.reduceat(weights[buckets], starts) + bias
+    def start(self) -> np.ndarray:
+        return np.where(self.sure, 1.0, np.where(self.marks, 0.5, 0.0))
 
+    def odds(self, model: Model, p: np.ndarray) -> np.ndarray:
+        """Log-odds of each passage, ``p`` being what was known of its neighbours."""
+        beside, kind = self.beside(p), self.marks.astype(int)
+        prior = beside * model.priors[kind, 1] + (1 - beside) * model.priors[kind, 0]
+        return np.add.reduceat(model.weights[self.buckets], self.starts) + np.log(prior) - np.log1p(-prior)
 
-def _count(encoded: DataFrame, model: tuple[np.ndarray, float] | None) -> tuple[np.ndarray, np.ndarray, float, float]:
-    """One round: expected feature counts of both classes and expected numbers of passages."""
-    shared = encoded.sparkSession.sparkContext.broadcast(model)
+    def walk(self, models: list[Model]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Odds and probabilities under the last model, and what counts beside a passage: at the start only what is trusted.
+
+        A passage's neighbours are judged by the models before.
+        """
+        p, known, odds = self.start(), self.sure.astype(float), np.zeros(len(self.sizes))
+        for model in models:
+            odds = self.odds(model, known)
+            p = known = np.where(self.sure, 1.0, 1 / (1 + np.exp(-np.clip(odds, -50, 50))))
+        return odds, p, self.beside(known)
+
+
+class Model:
+    def __init__(self, weights: np.ndarray, priors: np.ndarray) -> None:
+        self.weights, self.priors = weights, priors
+
+
+#: Rows of a round that aren't buckets: expected cases without and with a case beside, and all passages likewise, of sentences and of marks.
+EXTRA = 8
+
+
+def _count(encoded: DataFrame, models: list[Model], with_all: bool) -> pd.DataFrame:
+    """One round: ``bucket, positive, taken, n_all`` summed over all passages.
+
+    ``positive`` is what counts for the cases, ``taken`` what no longer counts for the others; ``n_all`` is counted in the first round only.
+
+    A task covers several partitions, so the rows to add up grow with the cores, not with the data.
+    """
+    context = encoded.sparkSession.sparkContext
+    shared = context.broadcast(models)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
-        positive, negative, n_positive, n_all = np.zeros(BUCKETS), np.zeros(BUCKETS), 0.0, 0
+        positive, taken, n_all, found = np.zeros(BUCKETS), np.zeros(BUCKETS), np.zeros(BUCKETS if with_all else 1), np.zeros(EXTRA)
         for batch in batches:
-            buckets, sizes, sure = (_flat(batch, n) for n in ("buckets", "sizes", "sure"))
-            if not len(sizes):
+            here = Passages(batch)
+            if not len(here.sizes):
                 continue
-            sure = sure.astype(bool)
-            p = sure.astype(float) if known is None else np.where(sure, 1.0, 1 / (1 + np.exp(-np.clip(_scores(buckets, sizes, *known), -50, 50))))
-            each = np.repeat(p, sizes)
-            np.add.at(positive, buckets, each)
-            np.add.at(negative, buckets, 1 - each)
-            n_positive += float(p.sum())
-            n_all += len(p)
-        used = np.flatnonzero((positive > 0) | (negative > 0)).astype(np.int32)
+            _, p, beside = here.walk(known)
+            for kind, own in enumerate((~here.marks, here.marks)):
+                for with_case, share in enumerate((1 - beside[own], beside[own])):
+                    found[kind * 4 + with_case] += (share * p[own]).sum()
+                    found[kind * 4 + 2 + with_case] += share.sum()
+            counted = np.where(here.sure, p, np.where(here.marks, FOUND_MARKS, FOUND) * p)
+            some = np.repeat(p > 1e-9, here.sizes)
+            positive += np.bincount(here.buckets[some], weights=np.repeat(counted, here.sizes)[some], minlength=BUCKETS)
+            taken += np.bincount(here.buckets[some], weights=np.repeat(p, here.sizes)[some], minlength=BUCKETS)
+            if with_all:
+                n_all += np.bincount(here.buckets, minlength=BUCKETS)
+        used = np.flatnonzero((positive > 0) | (n_all > 0) if with_all else positive > 0).astype(np.int32)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.append(used, np.int32(-1))), pa.array(np.append(positive[used], n_positive)), pa.array(np.append(negative[used], n_all - n_positive))],
-            ["bucket", "positive", "negative"],
+            [
+                pa.array(np.concatenate((used, -1 - np.arange(EXTRA, dtype=np.int32)))),
+                pa.array(np.concatenate((positive[used], found))),
+                pa.array(np.concatenate((taken[used], np.zeros(EXTRA)))),
+                pa.array(np.concatenate((n_all[used] if with_all else np.zeros(len(used)), np.zeros(EXTRA)))),
+            ],
+            ["bucket", "positive", "taken", "n_all"],
         )
 
+    tasks = min(encoded.rdd.getNumPartitions(), 4 * context.defaultParallelism)
     rows = (
-        encoded.select("buckets", "sizes", "sure")
-        .mapInArrow(run, "bucket int, positive double, negative double")
-        .groupBy("bucket").agg(F.sum("positive").alias("positive"), F.sum("negative").alias("negative"))
-        .toPandas()  # at most BUCKETS + 1 rows
+        encoded.select("buckets", "sizes", "sure").coalesce(max(1, tasks))
+        .mapInArrow(run, "bucket int, positive double, taken double, n_all double")
+        .groupBy("bucket").agg(*(F.sum(c).alias(c) for c in ("positive", "taken", "n_all")))
+        .toPandas()  # at most BUCKETS + EXTRA rows
     )
-    positive, negative = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    kept, total = rows[rows.bucket >= 0], rows[rows.bucket < 0]
-    positive[kept.bucket], negative[kept.bucket] = kept.positive, kept.negative
-    return positive, negative, float(total.positive.sum()), float(total.negative.sum())
-
-
-def fit(encoded: DataFrame) -> tuple[np.ndarray, float]:
-    """Weights by bucket and the prior log-odds."""
-    model = None
-    for _ in range(ROUNDS):
-        positive, negative, n_positive, n_negative = _count(encoded, model)
-        both = positive + negative
-        base = both / max(both.sum(), 1.0)
-        seen = both > 0
-        # a word that a class lacks is rarer there by a factor that doesn't depend on the amount of data
-        share = lambda c: (1 - COMMON) * c[seen] / max(c.sum(), 1.0) + COMMON * base[seen]  # noqa: B023, E731
-        weights = np.zeros(BUCKETS)
-        weights[seen] = np.log(share(positive)) - np.log(share(negative))
-        model = (weights, float(np.log((n_positive + 1) / (n_negative + 1))))
-    return model
-
-
-def find_residue(df: DataFrame, key: str, text: str) -> DataFrame:
-    """``key, score`` of the documents with a passage that is residue; the score is the highest log-odds.
-
-    A trusted passage has at least the log-odds of a case.
-    """
-    encoded = encode(df, key, text)
+    shared.destroy()
+    return rows
+
+
+def _model(positive: np.ndarray, taken: np.ndarray, n_all: np.ndarray, found: np.ndarray) -> Model:
+    """Log ratios of the two classes within each group, and the priors."""
+    weights = np.zeros(BUCKETS, dtype=np.float32)
+    for group in range(1 << GROUP_BITS):
+        own = slice(group * GROUP_SIZE, (group + 1) * GROUP_SIZE)
+        seen = n_all[own] > 0
+        if not seen.any():
+            continue
+        everything, cases = n_all[own][seen], positive[own][seen]
+        others, base = np.maximum(everything - taken[own][seen], 0), everything / everything.sum()
+        share = lambda c: (1 - COMMON) * c / max(c.sum(), 1e-9) + COMMON * base  # noqa: B023, E731
+        weights[own][seen] = np.log(share(cases)) - np.log(share(others)) if cases.sum() > 0 else -50.0
+    f = found.reshape(2, 2, 2)  # kind, cases or all, without or with a case beside
+    return Model(weights, (f[:, 0] + 1) / (f[:, 1] + 2))
+
+
+def fit(encoded: DataFrame) -> list[Model]:
+    """The last two models: the second judges a passage, the first its neighbours."""
+    models: list[Model] = []
+    n_all, before = np.zeros(BUCKETS), -1.0
+    for _ in range(MOST_ROUNDS):
+        rows = _count(encoded, models, with_all=not models)
+        positive, taken = np.zeros(BUCKETS), np.zeros(BUCKETS)
+        kept, extra = rows[rows.bucket >= 0], rows[rows.bucket < 0]
+        positive[kept.bucket], taken[kept.bucket] = kept.positive, kept.taken
+        if not models:
+            n_all[kept.bucket] = kept.n_all
+        found = np.zeros(EXTRA)
+        found[-1 - extra.bucket] = extra.positive
+        models = [*models[-1:], _model(positive, taken, n_all, found)]
+        cases = found[[0, 1, 4, 5]].sum()
+        if before >= 0 and abs(cases - before) <= STEADY * max(cases, 1.0):
+            return models
+        before = cases
+    raise RuntimeError(f"the expected cases didn't become steady in {MOST_ROUNDS} rounds")
+
+
+def find_residue(df: DataFrame, key: str, text: str, trust: Trust = trusted) -> DataFrame:
+    """``key, score`` of the documents with a passage that is residue; the score is the highest log-odds."""
+    encoded = encode(df, key, text, trust)
     shared = df.sparkSession.sparkContext.broadcast(fit(encoded))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, bias = shared.value
+        models = shared.value
         for batch in batches:
-            buckets, sizes, sure = (_flat(batch, n) for n in ("buckets", "sizes", "sure"))
-            n_passages = np.asarray(batch.column("sizes").value_lengths().fill_null(0))
-            with_some = np.flatnonzero(n_passages)
+            here = Passages(batch)
+            with_some = np.flatnonzero(here.per_record)
             if not len(with_some):
                 continue
-            odds = _scores(buckets, sizes, weights, bias)
-            odds = np.where(sure.astype(bool), np.maximum(odds, LEAST_ODDS + 1), odds)
-            best = np.maximum.reduceat(odds, np.concatenate(([0], np.cumsum(n_passages[with_some])[:-1])).astype(int))
+            odds, _, _ = here.walk(models)
+            best = np.maximum.reduceat(odds, np.concatenate(([0], np.cumsum(here.per_record[with_some])[:-1])).astype(int))
             cases = best > LEAST_ODDS
-            yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(with_some[cases])), pa.array(best[cases])], ["key", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(with_some[cases])), pa.array(best[cases].astype(float))], ["key", "score"])
 
     return encoded.mapInArrow(run, f"key {dict(df.dtypes)[key]}, score double").withColumnRenamed("key", key)

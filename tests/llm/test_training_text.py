@@ -143,3 +143,16 @@ def test_token_counts(spark):
     df = spark.createDataFrame([(1, "the boat"), (2, ""), (3, None), (4, "<|endoftext|> " * 50)], "doc_id long, text string")
     got = {r.doc_id: r.n_tokens for r in tokens.count_tokens(df, "text", "doc_id").collect()}
     assert got[1] >= 2 and got[2] == 0 and 3 not in got and got[4] > 100
+
+
+def test_residue_finds_what_no_sign_was_given_for(spark):
+    random.seed(13)
+    calls = [f"{a} {b}{c}." for a in ("Please", "Kindly", "You need to", "To read on,") for b in ("enable scripts", "allow cookies", "switch on scripting", "disable your blocker") for c in ("", " and reload", ", then try again")]
+    held = [f"Ada hid the oar under the floor of {x}." for n in ("name", "place", "item", "number") for x in (f"{{{{{n}}}}}", f"<{n}>", f"@@{n}@@", f"__{n.upper()}__")]
+    stories = [f"{random.choice(['Ada', 'Bose', 'Tara'])} hid the {random.choice(['oar', 'bell', 'ring'])} under the floor of {random.choice(['Omi', 'Reva'])}. {'The drum [a small dhol] was shut away.' if i % 20 == 0 else 'The gate of MAGI was shut.'}" for i in range(600)]
+    rows = [(i, t) for i, t in enumerate(stories)] + [(10_000 + i, t) for i, t in enumerate((calls + held) * 2)]
+    only = lambda passage, is_group: passage.startswith(("{{", "<")) if is_group else passage.startswith("please")
+    got = {r.doc_id for r in residue.find_residue(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", only).collect()}
+    want = {k for k, _ in rows if k >= 10_000}
+    unseen = {k for k, t in rows if k >= 10_000 and not t.startswith("Please") and "{{" not in t and "<" not in t}
+    assert not got - want and len(got & unseen) / len(unseen) >= 0.9
