@@ -5,7 +5,11 @@ capacity, rounded up; patterns of few bins that fill a container are enumerated;
 best reproduce the histogram are fitted, rounded down and cut back to what the histogram holds. Documents
 take the slots of their bin by rank, and what has no slot is packed by best fit in bounded groups.
 
-Only the histogram (BINS numbers a capacity) comes to the driver. Ranks within a bin are made of counts of
+A container that takes many short documents is a pattern of patterns: pieces of up to a quarter of the
+capacity fill bundles of a quarter by the same fit, and a bundle is a piece of exactly a quarter to the
+patterns above; the quarter is divided again while its pieces are short for it.
+
+Only the histogram (BINS numbers a capacity and level) comes to the driver. Ranks within a bin are made of counts of
 (bin, salt) and a rank within the salt, so a bin that holds a third of all rows is no single task.
 
 Null texts take no part, empty texts are pieces of 0 tokens, a document larger than the capacity becomes
@@ -15,6 +19,7 @@ go to the smaller key, further columns are ignored.
 
 from __future__ import annotations
 
+import warnings
 
 import numpy as np
 import pandas as pd
@@ -25,6 +30,10 @@ from lekhani.session import cut_lineage
 
 #: Bins of a capacity, most documents in a pattern, rows of a salt, rows of a group of residuals.
 BINS, MOST, SALT_ROWS, GROUP_ROWS = 128, 4, 50_000, 20_000
+#: A bundle takes one of so many parts of the level above; a level is divided while its pieces' mean is less than SHORT of it and a part holds FINEST tokens.
+PARTS, SHORT, FINEST = 4, 0.3, 64
+#: Containers of the residuals are numbered from here on.
+RESIDUAL = 2**32
 
 
 def pieces(lengths: DataFrame, key: str, sizes: DataFrame) -> DataFrame:
@@ -60,7 +69,7 @@ def patterns(bins: int = BINS, most: int = MOST) -> np.ndarray:
     return np.array(found)
 
 
-def nnls(parts: np.ndarray, b: np.ndarray, rounds: int = 1000) -> np.ndarray:
+def nnls(parts: np.ndarray, b: np.ndarray, rounds: int = 20 * BINS) -> np.ndarray:
     """Repeats x >= 0 of the patterns that minimise the squared distance to the histogram ``b``, by active sets."""
     x, active = np.zeros(len(parts)), np.zeros(len(parts), dtype=bool)
     left, scale = b.astype(float), max(1.0, float(np.abs(b).max()))
@@ -99,6 +108,8 @@ def nnls(parts: np.ndarray, b: np.ndarray, rounds: int = 1000) -> np.ndarray:
         own = np.flatnonzero(active)
         left = b - columns(own) @ x[own]
         left[0] = 0
+    else:
+        warnings.warn(f"the fit wasn't optimal after {rounds} rounds; residuals are packed apart all the same", stacklevel=2)
     return x
 
 
@@ -127,29 +138,53 @@ def fit(histogram: np.ndarray) -> list[tuple[np.ndarray, int]]:
     return out
 
 
-def slots(histograms: dict[int, np.ndarray]) -> list[tuple[int, int, int, int, int, int]]:
-    """``(size_id, bin, low, high, per_container, first_container)``: the ranks of a bin that a pattern takes."""
+def slots(histograms: dict[tuple[int, int], np.ndarray]) -> list[tuple[int, int, int, int, int, int, int]]:
+    """``(size_id, level, bin, low, high, per_instance, first_instance)``: the ranks of a bin that a pattern of a level takes.
+
+    ``histograms`` are those of (size_id, level). Instances of a level are its bundles, those of level 0 containers;
+    the bundles of a level are pieces of ``BINS / PARTS`` bins to the level above, ranked by their number.
+    """
     out = []
-    for size_id, histogram in histograms.items():
-        taken, first = np.zeros(BINS + 1, dtype=np.int64), 0
-        for uses, times in fit(histogram):
-            for b in np.flatnonzero(uses):
-                n = int(uses[b]) * times
-                out.append((size_id, int(b), int(taken[b]), int(taken[b]) + n, int(uses[b]), first))
-                taken[b] += n
-            first += times
+    for size_id in sorted({s for s, _ in histograms}):
+        made = 0
+        for level in sorted((k for s, k in histograms if s == size_id), reverse=True):
+            histogram = histograms[size_id, level].copy()
+            histogram[BINS // PARTS] += made
+            taken, first = np.zeros(BINS + 1, dtype=np.int64), 0
+            for uses, times in fit(histogram):
+                for b in np.flatnonzero(uses):
+                    n = int(uses[b]) * times
+                    out.append((size_id, level, int(b), int(taken[b]), int(taken[b]) + n, int(uses[b]), first))
+                    taken[b] += n
+                first += times
+            made = first
+    return out
+
+
+def depths(lengths: dict[int, list[tuple[int, int, int]]], capacities: dict[int, int]) -> dict[int, int]:
+    """Levels below the container of each size; ``lengths`` holds (level a piece could go down to, pieces, tokens)."""
+    out = {}
+    for size_id, capacity in capacities.items():
+        depth = 0
+        while capacity / PARTS ** (depth + 1) >= FINEST:
+            own = [(n, t) for level, n, t in lengths.get(size_id, []) if level >= depth]
+            pieces, tokens = sum(n for n, _ in own), sum(t for _, t in own)
+            if not pieces or tokens / pieces >= SHORT * capacity / PARTS**depth:
+                break
+            depth += 1
+        out[size_id] = depth
     return out
 
 
 def _ranked(items: DataFrame, key: str) -> DataFrame:
-    """``items`` with their rank from 0 within (size_id, bin)."""
+    """``items`` with their rank from 0 within (size_id, level, bin)."""
     salts = max(1, items.count() // SALT_ROWS)
     salted = items.withColumn("salt", F.pmod(F.xxhash64(key, "piece"), F.lit(salts)))
-    counts = salted.groupBy("size_id", "bin", "salt").count()
-    before = F.sum("count").over(Window.partitionBy("size_id", "bin").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = counts.select("size_id", "bin", "salt", F.coalesce(before, F.lit(0)).alias("offset"))
-    within = F.row_number().over(Window.partitionBy("size_id", "bin", "salt").orderBy(key, "piece")) - 1
-    return salted.withColumn("within", within).join(offsets, ["size_id", "bin", "salt"]).withColumn("rank", F.col("offset") + F.col("within")).drop("within", "offset", "salt")
+    counts = salted.groupBy("size_id", "level", "bin", "salt").count()
+    before = F.sum("count").over(Window.partitionBy("size_id", "level", "bin").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select("size_id", "level", "bin", "salt", F.coalesce(before, F.lit(0)).alias("offset"))
+    within = F.row_number().over(Window.partitionBy("size_id", "level", "bin", "salt").orderBy(key, "piece")) - 1
+    return salted.withColumn("within", within).join(offsets, ["size_id", "level", "bin", "salt"]).withColumn("rank", F.col("offset") + F.col("within")).drop("within", "offset", "salt")
 
 
 def best_fit(sizes: np.ndarray, capacity: int) -> np.ndarray:
@@ -176,24 +211,47 @@ def pack(lengths: DataFrame, key: str, sizes: DataFrame) -> DataFrame:
     spark = lengths.sparkSession
     lengths = lengths.select(key, "n_tokens").where("n_tokens is not null")
     kind = dict(lengths.dtypes)[key]
-    items = cut_lineage(pieces(lengths, key, sizes).withColumn("bin", bin_of(F.col("n_tokens"), F.col("capacity"))))
-    histograms: dict[int, np.ndarray] = {}
-    for row in items.where("bin > 0").groupBy("size_id", "bin").count().collect():  # at most BINS rows a size
-        histograms.setdefault(row["size_id"], np.zeros(BINS + 1, dtype=np.int64))[row["bin"]] = row["count"]
-    plan = spark.createDataFrame(slots(histograms) or [(-1, 0, 0, 0, 1, 0)], "size_id int, bin int, low long, high long, per int, first long")
-    i, s = _ranked(items, key).alias("i"), F.broadcast(plan).alias("s")  # at most BINS * BINS rows a size
-    placed = i.join(
-        s, (F.col("i.size_id") == F.col("s.size_id")) & (F.col("i.bin") == F.col("s.bin")) & (F.col("i.rank") >= F.col("s.low")) & (F.col("i.rank") < F.col("s.high")), "left"
-    ).select("i.*", (F.col("s.first") + F.floor((F.col("i.rank") - F.col("s.low")) / F.col("s.per"))).alias("container"))
+    # the deepest level whose capacity the piece fits in; a piece of 0 tokens fits anywhere
+    deepest = F.floor(F.log(F.col("capacity") / F.greatest(F.col("n_tokens"), F.lit(1))) / F.log(F.lit(PARTS)) + 1e-9).cast("int")
+    items = cut_lineage(pieces(lengths, key, sizes).withColumn("deepest", deepest))
+    capacities = {r["size_id"]: r["capacity"] for r in items.select("size_id", "capacity").distinct().collect()}  # a few sizes
+    per_level: dict[int, list[tuple[int, int, int]]] = {}
+    for r in items.groupBy("size_id", "deepest").agg(F.count(F.lit(1)).alias("n"), F.sum("n_tokens").alias("t")).collect():  # the logarithm of a capacity rows a size
+        per_level.setdefault(r["size_id"], []).append((r["deepest"], r["n"], r["t"]))
+    depth = depths(per_level, capacities)
+    limit = F.element_at(F.create_map(*[F.lit(x) for pair in depth.items() for x in pair]), F.col("size_id")) if depth else F.lit(0)
+    items = items.withColumn("level", F.least("deepest", limit)).withColumn("bin", bin_of(F.col("n_tokens"), F.col("capacity") / F.pow(F.lit(PARTS), F.col("level")))).drop("deepest")
+    histograms = {(s, k): np.zeros(BINS + 1, dtype=np.int64) for s, d in depth.items() for k in range(d + 1)}
+    for row in items.where("bin > 0").groupBy("size_id", "level", "bin").count().collect():  # at most BINS rows a size and level
+        histograms[row["size_id"], row["level"]][row["bin"]] = row["count"]
+    planned = slots(histograms)
+    schema = "size_id int, level int, bin int, low long, high long, per int, first long"
+    plan = F.broadcast(spark.createDataFrame(planned or [(-1, 0, 0, 0, 0, 1, 0)], schema))  # at most BINS * BINS rows a size and level
+
+    def instance(of: DataFrame, rank: str) -> DataFrame:
+        """``of`` with the instance that takes the slot of ``rank`` in (size_id, level, bin)."""
+        i, s = of.alias("i"), plan.alias("s")
+        same = [F.col(f"i.{c}") == F.col(f"s.{c}") for c in ("size_id", "level", "bin")]
+        within = (F.col(f"i.{rank}") >= F.col("s.low")) & (F.col(f"i.{rank}") < F.col("s.high"))
+        return i.join(s, same[0] & same[1] & same[2] & within, "left").select("i.*", (F.col("s.first") + F.floor((F.col(f"i.{rank}") - F.col("s.low")) / F.col("s.per"))).alias("instance"))
+
+    placed = instance(_ranked(items, key), "rank").drop("rank")
+    for level in range(max(depth.values(), default=0), 0, -1):
+        # bundles of this level take the slots of a part in the level above
+        up = placed.where(F.col("level") == level).withColumn("level", F.lit(level - 1)).withColumn("bin", F.lit(BINS // PARTS)).withColumnRenamed("instance", "bundle")
+        placed = placed.where(F.col("level") != level).unionByName(instance(up, "bundle").drop("bundle"))
+    placed = placed.withColumnRenamed("instance", "container")
     columns = ["size_id", "container", key, "piece", "start_token", "n_tokens"]
     fitted = placed.where("container is not null").select(*columns)
     rest = placed.where("container is null")
-    groups = max(1, items.count() // GROUP_ROWS)
+    total = sum(n for rows in per_level.values() for _, n, _ in rows)
+    in_bundles = sum(high - low for _, _, b, low, high, _, _ in planned if b != BINS // PARTS)
+    groups = max(1, (total - in_bundles) // GROUP_ROWS)
 
     def run(batch: pd.DataFrame) -> pd.DataFrame:
         order = batch.sort_values([key, "piece"], ignore_index=True)
         containers = best_fit(order["n_tokens"].to_numpy(), int(order["capacity"].iloc[0]))
-        return order.assign(container=containers + (order["salt"] + 1) * 2**32)[columns]
+        return order.assign(container=containers + (order["salt"] + 1) * RESIDUAL)[columns]
 
     packed = (
         rest.withColumn("salt", F.pmod(F.xxhash64(key, "piece", F.lit("rest")), F.lit(groups)))
@@ -205,9 +263,9 @@ def pack(lengths: DataFrame, key: str, sizes: DataFrame) -> DataFrame:
 
 
 def unused(packed: DataFrame, sizes: DataFrame) -> DataFrame:
-    """``size_id, size_name, n_containers, n_tokens, unused_share``"""
-    per = packed.groupBy("size_id", "container").agg(F.sum("n_tokens").alias("n_tokens")).groupBy("size_id").agg(F.count(F.lit(1)).alias("n_containers"), F.sum("n_tokens").alias("n_tokens"))
+    """``size_id, size_name, n_containers, n_tokens, unused_share, pattern_share``, the last the share of pieces that patterns place."""
+    by_pattern = F.sum((F.col("container") < RESIDUAL).cast("long"))
+    per_container = packed.groupBy("size_id", "container").agg(F.sum("n_tokens").alias("n_tokens"), F.count(F.lit(1)).alias("n_pieces"), by_pattern.alias("n_fitted"))
+    per = per_container.groupBy("size_id").agg(F.count(F.lit(1)).alias("n_containers"), F.sum("n_tokens").alias("n_tokens"), (F.sum("n_fitted") / F.sum("n_pieces")).alias("pattern_share"))
     share = 1 - F.col("n_tokens") / (F.col("n_containers") * F.col("capacity_tokens"))
-    return per.join(F.broadcast(sizes), "size_id").select("size_id", "size_name", "n_containers", "n_tokens", share.alias("unused_share"))
-
-
+    return per.join(F.broadcast(sizes.select("size_id", "size_name", "capacity_tokens")), "size_id").select("size_id", "size_name", "n_containers", "n_tokens", share.alias("unused_share"), "pattern_share")
