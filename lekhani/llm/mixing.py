@@ -5,8 +5,11 @@ its missing weight is given to the others in proportion to theirs, until nothing
 then taken a whole number of times, and a seeded part of it once more, up to the tokens that are missing.
 
 Without a given total the largest one is taken at which every source reaches its share within its cap.
-The seeded order is cut into BUCKETS by hash; whole buckets are taken by their summed tokens and only the
-bucket at the cut is sorted, so a source that holds a third of all rows isn't sorted as one group.
+A document with more tokens than its source is to give takes no part; the others are repeated further within
+the cap. In the seeded part, too, documents that no longer fit are passed over and the walk goes on. The seeded
+order is cut into buckets of about BUCKET_ROWS documents by hash; whole buckets are taken by their summed
+tokens and only the bucket at the cut is walked through, so a source that holds a third of all rows isn't
+sorted as one group.
 
 Null texts take no part, documents of 0 tokens come along with their source's whole repetitions, a source
 without documents or without target reaches nothing and its weight goes to the others, repeated rows are
@@ -17,10 +20,12 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS, SEED = 4096, 42
+BUCKET_ROWS, SEED = 20_000, 42
 
 
 def largest_total(available: dict[str, int], shares: dict[str, float], caps: dict[str, int]) -> float:
@@ -50,47 +55,83 @@ def fill(available: dict[str, int], shares: dict[str, float], caps: dict[str, in
     return taken
 
 
+def walk(sizes: np.ndarray, room: float) -> np.ndarray:
+    """Which documents are taken in order while there is room; one that doesn't fit is passed over."""
+    out = np.zeros(len(sizes), dtype=bool)
+    for i, n in enumerate(sizes):
+        if n <= room:
+            out[i], room = True, room - n
+    return out
+
+
+def _counts(named: DataFrame, limits: dict[str, float]) -> dict[str, tuple[int, int]]:
+    """Documents and tokens of each source, of its documents of at most so many tokens."""
+    if not limits:
+        return {}
+    known = F.broadcast(named.sparkSession.createDataFrame(list(limits.items()), "source string, most double"))  # a row for each source
+    rows = named.join(known, "source").where("n_tokens <= most").groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("n_tokens").alias("t"))
+    return {r["source"]: (r["n"], r["t"]) for r in rows.collect()}
+
+
 def mix(lengths: DataFrame, targets: DataFrame, key: str, total: float | None = None, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
-    """The mixture ``key, source, n_tokens, repeats`` and the ``shares`` it reaches, for ``lengths(key, source, n_tokens)``."""
+    """The mixture ``key, source, n_tokens, repeats`` and the ``shares`` it reaches, for ``lengths(key, source, n_tokens)``.
+
+    With a ``total`` of infinity all tokens of the sources are the total. ``planned_share`` is what water-filling
+    gives a source, ``gap`` what it reaches beyond that.
+    """
     spark = lengths.sparkSession
     lengths, targets = lengths.select(key, "source", "n_tokens").where("n_tokens is not null"), targets.select("source", "target_share", "max_repeats")
     goals = {r["source"]: r for r in targets.collect()}  # a row for each source that is to be mixed
     named = lengths.join(F.broadcast(targets.select("source")), "source")
-    available = {r["source"]: r["n"] for r in named.groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()}  # as many rows
+    available = {s: t for s, (_, t) in _counts(named, dict.fromkeys((s for s in goals if s is not None), math.inf)).items()}
     shares = {s: float(r["target_share"] or 0) for s, r in goals.items()}
     caps = {s: int(r["max_repeats"] if r["max_repeats"] is not None else 1) for s, r in goals.items()}
-    taken = fill(available, shares, caps, largest_total(available, shares, caps) if total is None else total)
-    rows = []
-    for s in goals:
-        epochs = taken[s] / available[s] if available.get(s) else 0.0
-        whole = min(caps[s], math.floor(epochs + 1e-9))
-        rows.append((s, whole, max(0.0, taken[s] - whole * available.get(s, 0)) if whole < caps[s] else 0.0))
-    plan = F.broadcast(spark.createDataFrame(rows, "source string, whole int, missing double"))
-    hashed = named.withColumn("h", F.xxhash64(F.lit(seed), key)).withColumn("bucket", F.pmod("h", F.lit(BUCKETS)).cast("int"))
-    sums = hashed.groupBy("source", "bucket").agg(F.sum("n_tokens").alias("held"))
-    upto = F.sum("held").over(Window.partitionBy("source").orderBy("bucket"))
-    cut = sums.withColumn("upto", upto).join(plan, "source").select("source", "bucket", "whole", "missing", (F.col("upto") - F.col("held")).alias("before"), "upto")
-    placed = hashed.join(cut, ["source", "bucket"])
-    run = F.sum("n_tokens").over(Window.partitionBy("source", "bucket").orderBy("h", key).rowsBetween(Window.unboundedPreceding, 0))
-    border = (F.col("before") < F.col("missing")) & (F.col("upto") > F.col("missing"))
-    inner = placed.where(~border).withColumn("extra", (F.col("upto") <= F.col("missing")).cast("int"))
-    # at the cut a document is taken where at least half of it is still missing
-    edge = placed.where(border).withColumn("run", run).withColumn("extra", (F.col("before") + F.col("run") - F.col("n_tokens") / 2 <= F.col("missing")).cast("int")).drop("run")
+    wanted = largest_total(available, shares, caps) if total is None else float(sum(available.values())) if math.isinf(total) else total
+    taken = fill(available, shares, caps, wanted)
+    fitting = _counts(named, {s: t for s, t in taken.items() if t > 0})
+    whole, missing = {}, {}
+    for s, goal in taken.items():
+        held = fitting.get(s, (0, 0))[1]
+        whole[s] = min(caps[s], math.floor(goal / held + 1e-9)) if held else caps[s] if goal > 0 else 0
+        missing[s] = max(0.0, goal - whole[s] * held) if held and whole[s] < caps[s] else 0.0
+    part = _counts(named, {s: m for s, m in missing.items() if m > 0})
+    rows = [(s, taken[s], whole[s], missing[s], max(1, part.get(s, (0, 0))[0] // BUCKET_ROWS)) for s in goals]
+    plan = F.broadcast(spark.createDataFrame(rows, "source string, goal double, whole int, missing double, n_buckets int"))  # a row for each source
+    hashed = named.join(plan, "source").where("n_tokens <= goal").withColumn("h", F.xxhash64(F.lit(seed), key))
+    fits = (F.col("n_tokens") <= F.col("missing")) & (F.col("n_tokens") > 0)
+    hashed = hashed.withColumn("bucket", F.when(fits, F.pmod("h", "n_buckets").cast("int")))
+    sums = hashed.where("bucket is not null").groupBy("source", "bucket", "missing").agg(F.sum("n_tokens").alias("held"))
+    # the buckets of a source are as many as its documents by BUCKET_ROWS; their sums are small, the rows stay where they are
+    upto = sums.withColumn("upto", F.sum("held").over(Window.partitionBy("source").orderBy("bucket")))
+    inside, border = upto.where("upto <= missing"), upto.where("upto > missing and upto - held < missing").withColumn("room", F.col("missing") - (F.col("upto") - F.col("held")))
+    by_bucket = hashed.join(inside.select("source", "bucket", F.lit(1).alias("extra")), ["source", "bucket"], "left")
+    kind = dict(lengths.dtypes)[key]
+
+    def cross(batch: pd.DataFrame) -> pd.DataFrame:
+        order = batch.sort_values(["h", key], ignore_index=True)
+        return order[walk(order["n_tokens"].to_numpy(), float(order["room"].iloc[0]))].assign(crossed=1)[["source", key, "crossed"]]
+
+    at_border = (
+        hashed.join(F.broadcast(border.select("source", "bucket", "room")), ["source", "bucket"])  # a row for each source
+        .select(key, "source", "n_tokens", "h", "room").groupBy("source").applyInPandas(cross, f"source string, `{key}` {kind}, crossed int")
+    )
     mixture = (
-        inner.unionByName(edge)
-        .withColumn("repeats", F.col("whole") + F.when(F.col("missing") > 0, F.col("extra")).otherwise(0))
+        by_bucket.join(at_border, ["source", key], "left")
+        .withColumn("repeats", F.col("whole") + F.coalesce("extra", F.lit(0)) + F.coalesce("crossed", F.lit(0)))
         .where("repeats > 0")
         .select(key, "source", "n_tokens", "repeats")
     )
     used = mixture.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("tokens_used"), F.max("repeats").alias("most_repeats"))
     held = named.groupBy("source").agg(F.count(F.lit(1)).alias("n_documents"), F.sum("n_tokens").alias("tokens_held"))
     everything = F.sum("tokens_used").over(Window.partitionBy(F.lit(1)))  # a row for each source
+    planned = F.broadcast(spark.createDataFrame([(s, t / max(sum(taken.values()), 1e-9)) for s, t in taken.items()], "source string, planned_share double"))
     reached = (
-        targets.join(held, "source", "left").join(used, "source", "left")
+        targets.join(held, "source", "left").join(used, "source", "left").join(planned, "source", "left")
         .select(
             "source", "target_share", "max_repeats", F.coalesce("n_documents", F.lit(0)).alias("n_documents"), F.coalesce("tokens_held", F.lit(0)).alias("tokens_held"),
-            F.coalesce("tokens_used", F.lit(0)).alias("tokens_used"), F.coalesce("most_repeats", F.lit(0)).alias("most_repeats"),
+            F.coalesce("tokens_used", F.lit(0)).alias("tokens_used"), F.coalesce("most_repeats", F.lit(0)).alias("most_repeats"), "planned_share",
         )
         .withColumn("reached_share", F.col("tokens_used") / everything)
+        .withColumn("gap", F.coalesce("reached_share", F.lit(0.0)) - F.col("planned_share"))
     )
     return mixture, reached

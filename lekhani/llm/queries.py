@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -71,10 +72,10 @@ def p6_unused(spark: SparkSession, d: str) -> DataFrame:
     return packing.unused(p6_packing(spark, d), table(spark, d, "pack_sizes"))
 
 
-def _mixture(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _mixture(spark: SparkSession, d: str, total: float | None = None) -> tuple[DataFrame, DataFrame]:
     documents = spread(table(spark, d, "documents").select("doc_id", "source", "text"))
     lengths = cut_lineage(tokens.count_tokens(documents, "text", "doc_id", "source"))
-    return mixing.mix(lengths, table(spark, d, "mix_targets"), "doc_id")
+    return mixing.mix(lengths, table(spark, d, "mix_targets"), "doc_id", total)
 
 
 def p7_mixture(spark: SparkSession, d: str) -> DataFrame:
@@ -85,12 +86,21 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mixture(spark, d)[1]
 
 
+def p7_filled(spark: SparkSession, d: str) -> DataFrame:
+    """A mixture as large as all documents together, beyond the caps of small sources."""
+    return _mixture(spark, d, math.inf)[0]
+
+
+def p7_filled_shares(spark: SparkSession, d: str) -> DataFrame:
+    return _mixture(spark, d, math.inf)[1]
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     documents = spread(table(spark, d, "documents").select("doc_id", "text"))
     return residue.find_residue(documents, "doc_id", "text").select("doc_id")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_canonical_nouns, p2_found, p3_found, p4_found, p4_shares, p5_found, p6_packing, p6_unused, p7_mixture, p7_shares, p8_found)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_canonical_nouns, p2_found, p3_found, p4_found, p4_shares, p5_found, p6_packing, p6_unused, p7_mixture, p7_shares, p7_filled, p7_filled_shares, p8_found)}
 
 
 def _display_key(v: str) -> str:
