@@ -1,22 +1,29 @@
 """Lines of two rough translations of one text that say the same.
 
 Method: translation tables are learned from the records that belong together (how often a word of one
-language stands in the record beside a word of the other). Each line becomes a weighted bag of words of
-the other language; lines are retrieved in both directions through inverted indexes of the bags within
-their segment, and pairs that are best for each other are kept. Then lines that were left over join the
-line that covers them best, neighbours first, where words of that line are still unexplained: a line may
-hold two events, and lines may have moved or been dropped.
-
-All of it is joins and partial aggregates on (pair of records, word) and (word, word); a segment
-is as long as one record, so a hot book is many small keys. Null and blank texts have no lines, a record
-without a partner gives no pairs, several records of a segment pair wherever their languages differ,
-repeated lines are told apart by their number, ties go to the nearer place and then the smaller line
-number, an empty table gives an empty result, further columns are ignored.
+language stands in the record beside a word of the other; of long records, beside it in blocks of lines at
+the same part of the text). Each line becomes a weighted bag of words of the other language; lines are
+retrieved in both directions through inverted indexes of the bags within their segment, and pairs that are
+best for each other are kept (``matched``). The tables are learned once more from these. Then lines join the
+line that covers them best where words of that line are still unexplained, for a line may hold two events:
+``merged`` where they are neighbours of a matched pair, and, as a step of its own, ``moved`` where they aren't.
+
+Weights and tables are joins and partial aggregates on words. All that concerns one pair of records is one
+row, so a hot book is many small rows; co-occurrence is counted within blocks, so it grows with the length of a
+record and not with its square, and is added up within a task before it is shuffled. Null and blank texts have
+no lines, a record without a partner gives no pairs, several records of a segment pair wherever their
+languages differ, repeated lines are told apart by their number, ties go to the nearer place and then the
+smaller line number, an empty table gives an empty result, further columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections import defaultdict
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lekhani.session import cut_lineage
@@ -24,8 +31,10 @@ from lekhani.session import cut_lineage
 WORD = "[a-zà-ɏ\\u0300-\\u036f]+|[ऀ-ॣ॰-ॿ]+|[ঀ-৥ৰ-৾]+|[゠-ヿ]+|[一-鿿々]+|[0-9]+"
 #: Words in more than this share of a language's records carry nothing; words in fewer records can't be learned.
 COMMON, LEAST_RECORDS = 0.9, 2
-#: Translations kept for a word, and their least strength.
-KEPT, STRENGTH = 4, 0.08
+#: Translations kept for a word, their least strength, and the least number of places where both words stand.
+KEPT, STRENGTH, LEAST_BOTH = 4, 0.08, 2
+#: Lines of a block; words are counted together with those of its own and the neighbouring blocks.
+BLOCK = 16
 #: Least covered share of a pair (mean of both directions); of a joining line's whole and of what is unexplained; weight of nearness.
 MATCHED, PART, REST, NEAR = 0.33, 0.22, 0.5, 0.05
 
@@ -63,172 +72,250 @@ def _sided(pairs: DataFrame) -> DataFrame:
     return pairs.select("lo", "hi", F.inline(sides))
 
 
-def learn(tokens: DataFrame) -> DataFrame:
-    """``id, other, strength``: the KEPT strongest translations of each word.
+class Counter:
+    """How often pairs of ids and single ids stood in one place; added up before they are handed on."""
 
-    ``tokens`` holds ``lo, hi, group, side, id``. Words that stand in one group of a pair (its records, or
-    lines matched before) are counted together; an id is a word with its language and the other one's.
-    """
-    places = tokens.where("learnable").select("lo", "hi", "group", "side", "id").distinct()
-    useful = places.groupBy("id").agg(F.count(F.lit(1)).cast("int").alias("n")).where(F.col("n") >= LEAST_RECORDS)
-    kept = places.join(useful, "id")
-    left = kept.where("side = 0").select("lo", "hi", "group", "id", "n")
-    right = kept.where("side = 1").select("lo", "hi", "group", F.col("id").alias("other"), F.col("n").alias("n_other"))
-    both = (
-        left.join(right, ["lo", "hi", "group"])
-        .groupBy("id", "other")
-        .agg(F.count(F.lit(1)).cast("int").alias("n_both"), F.first("n").alias("n"), F.first("n_other").alias("n_other"))
-        .where("n_both > 1")
-    )
-    # a language may stand on either side: counts of both orders are of different pairs of records
-    turned = both.select(F.col("other").alias("id"), F.col("id").alias("other"), "n_both", F.col("n_other").alias("n"), F.col("n").alias("n_other"))
-    table = (
-        both.unionByName(turned)
-        .groupBy("id", "other")
-        .agg(F.sum("n_both").alias("n_both"), F.max("n").alias("n"), F.max("n_other").alias("n_other"))
-        .withColumn("strength", F.col("n_both") * F.col("n_both") / ((F.col("n") + 1) * (F.col("n_other") + 1)))
-        .where(F.col("strength") >= STRENGTH)
-    )
-    best = Window.partitionBy("id").orderBy(F.desc("strength"), "other")
-    return table.withColumn("r", F.row_number().over(best)).where(F.col("r") <= KEPT).select("id", "other", "strength")
+    def __init__(self, most: int = 1 << 20) -> None:
+        self.left: list[np.ndarray] = []
+        self.right: list[np.ndarray] = []
+        self.held, self.most = 0, most
 
+    def add(self, left: np.ndarray, right: np.ndarray) -> Iterator[pd.DataFrame]:
+        if len(left) and len(right):
+            self.left.append(np.repeat(left, len(right)))
+            self.right.append(np.tile(right, len(left)))
+            self.held += len(left) * len(right)
+        if self.held >= self.most:
+            yield self.flush()
 
-def _weights(per_line: DataFrame) -> DataFrame:
-    """``lang, word, weight, learnable``: how rare a word is among the lines of its language, and whether it isn't in nearly all records."""
-    per_record = per_line.groupBy("lang", "word", "rec").agg(F.count(F.lit(1)).alias("n"))
-    counts = per_record.groupBy("lang", "word").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_records"))
-    total = (
-        per_line.select("lang", "rec", "line").distinct().groupBy("lang", "rec").agg(F.count(F.lit(1)).alias("n"))
-        .groupBy("lang").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("records"))
-    )
-    return counts.join(F.broadcast(total), "lang").select(
-        "lang", "word", F.log1p(F.col("total") / F.col("n")).cast("float").alias("weight"),
-        ((F.col("n_records") <= COMMON * F.col("records")) & ~F.col("word").rlike("^[0-9]")).alias("learnable"),
-    )
+    def flush(self) -> pd.DataFrame:
+        left = np.concatenate(self.left) if self.left else np.zeros(0, dtype=np.int64)
+        right = np.concatenate(self.right) if self.right else np.zeros(0, dtype=np.int64)
+        self.left, self.right, self.held = [], [], 0
+        left, right = np.minimum(left, right), np.maximum(left, right)  # a language may stand on either side
+        names, codes = np.unique(np.concatenate((left, right)), return_inverse=True)
+        both, n = np.unique(codes[: len(left)] * max(1, len(names)) + codes[len(left) :], return_counts=True)
+        return pd.DataFrame({"id": names[both // max(1, len(names))], "other": names[both % max(1, len(names))], "n": n}) if len(names) else pd.DataFrame({"id": left, "other": right, "n": left})
 
 
-def scores(tokens: DataFrame, table: DataFrame) -> DataFrame:
-    """``lo, hi, side, line, there, id, got``: how well a line of the other side renders each word of a line."""
-    bags = tokens.join(table, "id").select("lo", "hi", "side", "line", "id", "weight", "other", F.sqrt("strength").cast("float").alias("strength"))
-    numbers = tokens.where("number").select("lo", "hi", "side", "line", "id", "weight", F.col("id").alias("other"), F.lit(1.0).cast("float").alias("strength"))
-    index = tokens.select("lo", "hi", (1 - F.col("side")).cast("byte").alias("side"), F.col("line").alias("there"), F.col("id").alias("other"))
-    return (
-        bags.unionByName(numbers)
-        .join(index, ["lo", "hi", "side", "other"])
-        .groupBy("lo", "hi", "side", "line", "there", "id")
-        .agg(F.max(F.col("weight") * F.col("strength")).alias("got"))
-    )
+COUNTS = "id long, other long, n long"
 
 
-def _total(tokens: DataFrame) -> DataFrame:
-    return tokens.groupBy("lo", "hi", "side", "line").agg(F.sum("weight").alias("whole"))
+def _singles(*ids: np.ndarray) -> pd.DataFrame:
+    names, n = np.unique(np.concatenate(ids) if ids else np.zeros(0, dtype=np.int64), return_counts=True)
+    return pd.DataFrame({"id": names, "other": pd.array([None] * len(names), dtype="Int64"), "n": n})
 
 
-def _covered(found: DataFrame, totals: DataFrame) -> DataFrame:
-    """``lo, hi, line_lo, line_hi, by_lo, by_hi``: share of the lower record's line that the higher one's covers, and back."""
-    shares = (
-        found.groupBy("lo", "hi", "side", "line", "there").agg(F.sum("got").alias("got")).join(totals, ["lo", "hi", "side", "line"]).withColumn("share", F.col("got") / F.col("whole"))
-    )
-    return (
-        shares.select(
-            "lo", "hi",
-            F.when(F.col("side") == 0, F.col("line")).otherwise(F.col("there")).alias("line_lo"),
-            F.when(F.col("side") == 0, F.col("there")).otherwise(F.col("line")).alias("line_hi"),
-            F.when(F.col("side") == 0, F.col("share")).alias("s_lo"), F.when(F.col("side") == 1, F.col("share")).alias("s_hi"),
-        )
-        .groupBy("lo", "hi", "line_lo", "line_hi")
-        .agg(F.coalesce(F.max("s_lo"), F.lit(0.0)).alias("of_lo"), F.coalesce(F.max("s_hi"), F.lit(0.0)).alias("of_hi"))
-    )
+def in_blocks(bags: DataFrame) -> DataFrame:
+    """Counts of words of both records in one part of the text."""
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counter = Counter()
+        for batch in batches:
+            single = []
+            for bag in batch["bag"]:
+                rows = [(t["side"], t["line"], t["id"]) for t in bag if t["learnable"]]
+                if not rows:
+                    continue
+                side, line, ids = (np.array(x) for x in zip(*rows, strict=True))
+                longest = [max((t["line"] for t in bag if t["side"] == s), default=0) for s in (0, 1)]
+                n_blocks = -(-max(longest) // BLOCK)
+                block = ((line - 1) * n_blocks) // np.maximum(np.array(longest)[side], 1)
+                for g in range(n_blocks):
+                    left, right = np.unique(ids[(side == 0) & (block == g)]), np.unique(ids[(side == 1) & (np.abs(block - g) <= 1)])
+                    single += [left, np.unique(ids[(side == 1) & (block == g)])]
+                    yield from counter.add(left, right)
+            yield _singles(*single)
+        yield counter.flush()
 
-def mutual(covered: DataFrame, lengths: DataFrame) -> DataFrame:
-    """Pairs that are best for each other, ``lo, hi, line_lo, line_hi, score``."""
-    drift = F.abs(F.col("line_lo") / F.col("n_lo") - F.col("line_hi") / F.col("n_hi"))
-    scored = covered.join(lengths, ["lo", "hi"]).withColumn("score", (F.col("of_lo") + F.col("of_hi")) / 2).withColumn("rank_by", F.col("score") - NEAR * drift)
-    of_lo = Window.partitionBy("lo", "hi", "line_lo").orderBy(F.desc("rank_by"), "line_hi")
-    of_hi = Window.partitionBy("lo", "hi", "line_hi").orderBy(F.desc("rank_by"), "line_lo")
-    return (
-        scored.withColumn("r_lo", F.row_number().over(of_lo)).withColumn("r_hi", F.row_number().over(of_hi))
-        .where((F.col("r_lo") == 1) & (F.col("r_hi") == 1) & (F.col("score") >= MATCHED))
-        .select("lo", "hi", "line_lo", "line_hi", "score")
-    )
+    return bags.mapInPandas(run, COUNTS)
 
 
-def grow(found: DataFrame, totals: DataFrame, pairs: DataFrame, lengths: DataFrame) -> DataFrame:
-    """Further pairs with lines that are matched but still hold unexplained words: lines of two events.
+def table_of(counts: DataFrame) -> DataFrame:
+    """``id, others``: the KEPT strongest translations of each word, as ``(strength, other)``.
 
-    What a match renders well is explained. A pair joins where the words of either line that only the other
-    one explains are a fair part of both, and most of what the smaller rest has left.
+    ``counts`` holds how often two words stood in one place, and with a null ``other`` how often one did.
     """
-    sides = pairs.select("lo", "hi", F.inline(F.array(
-        F.struct(F.lit(0).alias("side"), F.col("line_lo").alias("line"), F.col("line_hi").alias("there")),
-        F.struct(F.lit(1).alias("side"), F.col("line_hi").alias("line"), F.col("line_lo").alias("there")),
-    )))
-    explained = found.join(sides, ["lo", "hi", "side", "line", "there"]).groupBy("lo", "hi", "side", "line", "id").agg(F.max("got").alias("explained"))
-    left = (
-        totals.join(explained.groupBy("lo", "hi", "side", "line").agg(F.sum("explained").alias("told")), ["lo", "hi", "side", "line"], "left")
-        .select("lo", "hi", "side", "line", "whole", F.greatest(F.col("whole") - F.coalesce("told", F.lit(0.0)), F.lit(0.01)).alias("rest"), F.col("told").isNotNull().alias("taken"))
-    )
-    fresh = (
-        found.join(explained, ["lo", "hi", "side", "line", "id"], "left")
-        .withColumn("new", F.col("got") - F.coalesce("explained", F.lit(0.0)))
-        .where("new > 0")
-        .groupBy("lo", "hi", "side", "line", "there")
-        .agg(F.sum("new").alias("new"))
-        .join(left, ["lo", "hi", "side", "line"])
-    )
-    own = lambda side, name: F.max(F.when(F.col("side") == side, F.col(name)))
-    both = (
-        fresh.groupBy(
-            "lo", "hi",
-            F.when(F.col("side") == 0, F.col("line")).otherwise(F.col("there")).alias("line_lo"),
-            F.when(F.col("side") == 0, F.col("there")).otherwise(F.col("line")).alias("line_hi"),
-        )
-        .agg(
-            F.least(own(0, "new") / own(0, "whole"), own(1, "new") / own(1, "whole")).alias("part"),
-            F.greatest(own(0, "new") / own(0, "rest"), own(1, "new") / own(1, "rest")).alias("of_rest"),
-            F.greatest(own(0, "taken"), own(1, "taken")).alias("taken"),
-        )
-        .where((F.col("part") >= PART) & (F.col("of_rest") >= REST) & F.col("taken"))
-        .join(lengths, ["lo", "hi"])
-        .withColumn("rank_by", F.col("of_rest") - NEAR * F.abs(F.col("line_lo") / F.col("n_lo") - F.col("line_hi") / F.col("n_hi")))
+    counts = cut_lineage(counts.groupBy("id", "other").agg(F.sum("n").alias("n")))
+    alone = counts.where("other is null").select("id", "n")
+    both = counts.where("other is not null").select("id", "other", F.col("n").alias("n_both")).where(F.col("n_both") >= LEAST_BOTH)
+    strength = F.col("n_both") * F.col("n_both") / ((F.col("n") + 1) * (F.col("n_other") + 1))
+    strong = (
+        both.join(alone, "id").join(alone.select(F.col("id").alias("other"), F.col("n").alias("n_other")), "other")
+        .withColumn("strength", strength).where(F.col("strength") >= STRENGTH)
     )
-    of_lo = Window.partitionBy("lo", "hi", "line_lo").orderBy(F.desc("rank_by"), "line_hi")
-    of_hi = Window.partitionBy("lo", "hi", "line_hi").orderBy(F.desc("rank_by"), "line_lo")
-    return (
-        both.withColumn("r_lo", F.row_number().over(of_lo)).withColumn("r_hi", F.row_number().over(of_hi))
-        .where("r_lo = 1 or r_hi = 1")
-        .select("lo", "hi", "line_lo", "line_hi", F.col("of_rest").alias("score"))
+    table = strong.select("id", "other", "strength").unionByName(strong.select(F.col("other").alias("id"), F.col("id").alias("other"), "strength"))
+    # at most 1 / STRENGTH others of a word are so strong, give or take chance, so its list is short
+    best = F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("strength", (-F.col("other")).alias("order"), "other")))), 1, KEPT)
+    return table.groupBy("id").agg(F.transform(best, lambda b: F.struct(b["strength"].alias("strength"), b["other"].alias("other"))).alias("others"))
+
+
+def _weights(per_line: DataFrame) -> DataFrame:
+    """``lang, word, weight, learnable``: how rare a word is among the lines of its language, and whether it isn't in nearly all records."""
+    per_record = per_line.groupBy("lang", "word", "rec").agg(F.count(F.lit(1)).alias("n"))
+    counts = per_record.groupBy("lang", "word").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_records"))
+    total = (
+        per_line.select("lang", "rec", "line").distinct().groupBy("lang", "rec").agg(F.count(F.lit(1)).alias("n"))
+        .groupBy("lang").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("records"))
     )
+    return counts.join(F.broadcast(total), "lang").select(
+        "lang", "word", F.log1p(F.col("total") / F.col("n")).cast("float").alias("weight"),
+        ((F.col("n_records") <= COMMON * F.col("records")) & (F.col("n_records") >= LEAST_RECORDS) & ~F.col("word").rlike("^[0-9]")).alias("learnable"),
+    )
+
+
+Line = dict[int, float]
+
+
+class Pair:
+    """The lines of two records as bags of words, and what the lines of one render of the other's."""
+
+    def __init__(self, bag: list) -> None:
+        self.words: tuple[dict[int, Line], dict[int, Line]] = ({}, {})
+        self.learnable: tuple[dict[int, list], dict[int, list]] = (defaultdict(list), defaultdict(list))
+        index: tuple[dict[int, list], dict[int, list]] = (defaultdict(list), defaultdict(list))
+        others = {}
+        for t in bag:
+            side, line, word = t["side"], t["line"], t["id"]
+            self.words[side].setdefault(line, {})[word] = t["weight"]
+            index[side][word].append(line)
+            if t["learnable"]:
+                self.learnable[side][line].append(word)
+            if word not in others:
+                known = [] if t["others"] is None else [(o["other"], o["strength"] ** 0.5) for o in t["others"]]
+                others[word] = known + [(word, 1.0)] if t["number"] else known
+        self.whole = tuple({line: sum(own.values()) for line, own in side.items()} for side in self.words)
+        self.last = tuple(max(side, default=0) for side in self.words)
+        # got[side][line][there][word]: how well the other side's line `there` renders a word of a line
+        self.got: tuple[dict, dict] = ({}, {})
+        self.sums: dict[tuple[int, int, int], float] = defaultdict(float)  # by side, line and line there
+        for side in (0, 1):
+            for line, own in self.words[side].items():
+                found = self.got[side][line] = {}
+                for word, weight in own.items():
+                    for other, strength in others[word]:
+                        for there in index[1 - side].get(other, ()):
+                            at = found.setdefault(there, {})
+                            if (more := weight * strength - at.get(word, 0.0)) > 0:
+                                at[word] = weight * strength
+                                self.sums[side, line, there] += more
+
+    def drift(self, lo: int, hi: int) -> float:
+        return abs(lo / self.last[0] - hi / self.last[1])
+
+    def covered(self) -> dict[tuple[int, int], float]:
+        """Mean of both directions of the covered share, for each pair of lines that share anything."""
+        out: dict[tuple[int, int], float] = defaultdict(float)
+        for (side, line, there), got in self.sums.items():
+            out[(there, line) if side else (line, there)] += got / self.whole[side][line] / 2
+        return out
+
+    def matched(self) -> dict[tuple[int, int], float]:
+        """Pairs that are best for each other."""
+        scored = {p: s for p, s in self.covered().items() if s >= MATCHED - NEAR}  # nearness counts NEAR at most, so lesser ones are best for none that match
+        best = _best(scored, self.drift)
+        return {p: s for p, s in scored.items() if s >= MATCHED and best[0][p[0]] == p and best[1][p[1]] == p}
+
+    def grown(self, pairs: dict[tuple[int, int], float]) -> dict[tuple[int, int], float]:
+        """Further pairs with lines that are matched but still hold unexplained words: lines of two events.
+
+        What a match renders well is explained. A pair joins where the words of either line that only the other
+        one explains are a fair part of both, and most of what the smaller rest has left.
+        """
+        explained: dict[tuple[int, int], Line] = {}
+        for pair in pairs:
+            for side in (0, 1):
+                line, there = pair[side], pair[1 - side]
+                own = explained.setdefault((side, line), {})
+                for word, got in self.got[side][line].get(there, {}).items():
+                    own[word] = max(own.get(word, 0.0), got)
+        parts: dict[tuple[int, int], list] = {}
+        for side in (0, 1):
+            for line, found in self.got[side].items():
+                known = explained.get((side, line), {})
+                whole = self.whole[side][line]
+                rest, taken = max(whole - sum(known.values()), 0.01), bool(known)
+                for there, at in found.items():
+                    new = sum(max(0.0, got - known.get(word, 0.0)) for word, got in at.items())
+                    if new > 0:
+                        parts.setdefault((there, line) if side else (line, there), []).append((new / whole, new / rest, taken))
+        scored = {}
+        for pair, sides in parts.items():
+            if min(x[0] for x in sides) >= PART and max(x[1] for x in sides) >= REST and any(x[2] for x in sides):
+                scored[pair] = max(x[1] for x in sides)
+        best = _best(scored, self.drift)
+        return {p: s for p, s in scored.items() if p not in pairs and (best[0][p[0]] == p or best[1][p[1]] == p)}
+
+
+def _best(scored: dict[tuple[int, int], float], drift: Callable[[int, int], float]) -> tuple[dict, dict]:
+    """The best pair of each line of either side; nearness counts a little, ties go to the smaller line there."""
+    out: tuple[dict, dict] = ({}, {})
+    ranked = {p: (NEAR * drift(*p) - s) for p, s in scored.items()}
+    for pair, rank in ranked.items():
+        for side in (0, 1):
+            kept = out[side].get(pair[side])
+            if kept is None or (rank, pair[1 - side]) < (ranked[kept], kept[1 - side]):
+                out[side][pair[side]] = pair
+    return out
+
+
+def in_matches(bags: DataFrame) -> DataFrame:
+    """Counts of words of two lines that match."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counter = Counter()
+        for batch in batches:
+            single = []
+            for bag in batch["bag"]:
+                pair = Pair(bag)
+                for lo, hi in pair.matched():
+                    left, right = (np.unique(np.array(pair.learnable[side][line], dtype=np.int64)) for side, line in ((0, lo), (1, hi)))
+                    single += [left, right]
+                    yield from counter.add(left, right)
+            yield _singles(*single)
+        yield counter.flush()
+
+    return bags.mapInPandas(run, COUNTS)
+
+
+def _bags(tokens: DataFrame, table: DataFrame | None = None) -> DataFrame:
+    """``lo, hi, bag``: the words of both records of a pair, with their translations; a pair with words on one side only is none."""
+    rows = tokens if table is None else tokens.join(table, "id", "left")
+    fields = ["side", "line", "id", "weight", "learnable", "number", *(["others"] if table is not None else [])]
+    return rows.groupBy("lo", "hi").agg(F.collect_list(F.struct(*fields)).alias("bag"), F.min("side").alias("a"), F.max("side").alias("b")).where("a <> b").select("lo", "hi", "bag")
 
 
 def align(df: DataFrame, segment: list[str], rec: str, lang: str, text: str) -> DataFrame:
-    """``lo, hi, line_lo, line_hi, score`` for each pair of lines that say the same."""
+    """``lo, hi, line_lo, line_hi, score, step`` for each pair of lines that say the same; ``step`` is matched, merged or moved."""
     own = lines(df, segment, rec, lang, text)
     pairs = record_pairs(df.where(F.col(text).isNotNull()), segment, rec, lang)
-    per_line = own.select("rec", "lang", "line", F.explode(words(F.col("text"))).alias("word"))
-    sided = _sided(pairs)
+    per_line = cut_lineage(own.select("rec", "lang", "line", F.explode(words(F.col("text"))).alias("word")))
     number = F.col("word").rlike("^[0-9]")
     tokens = cut_lineage(
-        sided.join(per_line, ["rec", "lang"])
+        _sided(pairs).join(per_line, ["rec", "lang"])
         .join(_weights(per_line), ["lang", "word"])
         .select(
             "lo", "hi", "side", "line", "weight", "learnable", number.alias("number"),
             F.when(number, F.xxhash64(F.lit("number"), "word")).otherwise(F.xxhash64("lang", "other_lang", "word")).alias("id"),
         )
     )
-    counts = tokens.groupBy("lo", "hi").agg(F.max(F.when(F.col("side") == 0, F.col("line"))).alias("n_lo"), F.max(F.when(F.col("side") == 1, F.col("line"))).alias("n_hi")).where("n_lo is not null and n_hi is not null")
-    table = cut_lineage(learn(tokens.withColumn("group", F.lit(0))))
-    totals, counts = cut_lineage(_total(tokens)), cut_lineage(counts)
-    found = scores(tokens, table)
-    first = cut_lineage(mutual(_covered(found, totals), counts))
+    first = table_of(in_blocks(_bags(tokens)))
     # once more from the lines that matched, which tell words apart far better than whole records
-    places = tokens.join(
-        first.select("lo", "hi", F.inline(F.array(
-            F.struct(F.lit(0).alias("side"), F.col("line_lo").alias("line"), F.col("line_lo").alias("group")),
-            F.struct(F.lit(1).alias("side"), F.col("line_hi").alias("line"), F.col("line_lo").alias("group")),
-        ))), ["lo", "hi", "side", "line"],
-    )
-    found = cut_lineage(scores(tokens, cut_lineage(learn(places))))
-    matched = cut_lineage(mutual(_covered(found, totals), counts))
-    return matched.unionByName(grow(found, totals, matched, counts)).distinct()
+    second = table_of(in_matches(_bags(tokens, first)))
+    names = ["line_lo", "line_hi", "score", "step"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for lo, hi, bag in zip(batch["lo"], batch["hi"], batch["bag"], strict=True):
+                pair = Pair(bag)
+                matched = pair.matched()
+                of = ({a: b for a, b in matched}, {b: a for a, b in matched})
+                out += [(lo, hi, a, b, s, "matched") for (a, b), s in matched.items()]
+                for (a, b), s in pair.grown(matched).items():
+                    beside = abs(of[0].get(a, 1 << 40) - b) == 1 or abs(of[1].get(b, 1 << 40) - a) == 1
+                    out.append((lo, hi, a, b, s, "merged" if beside else "moved"))
+            yield pd.DataFrame(out, columns=["lo", "hi", *names])
+
+    kinds = dict(pairs.dtypes)
+    return _bags(tokens, second).mapInPandas(run, f"lo {kinds['lo']}, hi {kinds['hi']}, line_lo int, line_hi int, score double, step string")
