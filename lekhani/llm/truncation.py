@@ -7,7 +7,9 @@ the words before the end are looked up in counts over the whole table: how often
 followed by a final mark, and how often by a line end without a mark (verse, notes, headlines). A value
 without a mark, or with a sign of omission, is cut where its last words don't end lines elsewhere.
 
-Contexts are counted as hashes with partial aggregation before the shuffle; nothing is collected.
+Texts are read and cut into tokens once, into the shared checkpoint folder. Contexts are counted as hashes with
+partial aggregation before the shuffle, and a text that is stored several times is told by a hash; nothing is
+collected. Ends of texts are judged by their last characters before any pattern is tried.
 Null and blank values are no cases, repeated records count each, an empty table gives an empty result,
 ties need no rule, very long values are read whole, further columns are ignored.
 """
@@ -17,11 +19,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lekhani.session import cut_lineage
+
 # Final marks, closing marks, signs of omission, abbreviations that never end a text.
 FINAL = "[.!?。！？．।॥৷｡؟]"
-CLOSING = "[”’」』）)\\]】》»\"'*_]"
+CLOSING = "”’」』）)]】》»\"'*_"
 OMISSION = "(?:\\s*(?:\\.{2,}|…+|\\[(?:\\.\\.\\.|…|cut|more|truncated|cont[^\\]]*)\\]?|\\((?:\\.\\.\\.|…|cont[^)]*|more|truncated[^)]*)\\)?|\\{\\.\\.\\.\\}))+$"
-LOST = "[�]+$"
 ABBREVIATED = (
     "(?:^|[\\s(“\"'‘「・])(?:[Dd]r|[Mm]rs?|[Mm]s|[Ss]t|[Mm]t|[Vv]ol|[Cc]h|[Nn]o|[Pp]p?|[Ff]ig|[Cc]f|[Ii]\\.e|[Ee]\\.g|[A-Z]|"
     "डॉ|पं|श्री|श्रीमती|पृ|सं|प्रो|মো|ডা|ড|পৃ|সং|প্রো|শ্রী)[.．]$"
@@ -44,8 +47,45 @@ def fields(df: DataFrame, names: dict[str, Column], key: str, source: str) -> Da
     return df.select(key, F.col(source).alias("source"), F.inline(cells)).where(F.col("value").rlike("[^\\s\u3000\u00a0\u200b]"))
 
 
+#: Blank characters at an end.
+BLANKS = " \t\n\r\x0b\x0c\u3000\u00a0"
+
+
 def _trimmed(value: Column) -> Column:
-    return F.regexp_replace(value, "[\\s\\u3000\\u00a0]+$", "")
+    return F.rtrim(value, F.lit(BLANKS))
+
+
+def _tail(tokens: Column) -> Column:
+    return F.slice(tokens, F.greatest(F.size(tokens) - 4, F.lit(1)), F.lit(5))
+
+
+def _last(value: Column, n: int = 1) -> Column:
+    return F.right(value, F.lit(n))
+
+
+def read_ends(values: DataFrame, key: str) -> DataFrame:
+    """Each value of ``fields`` once as lengths, signs of its end and tokens; ``known`` tells texts that are the same."""
+    whole, text = F.rtrim("value", F.lit("�")), _trimmed(F.col("value"))
+    sound = _trimmed(F.rtrim(text, F.lit("�")))
+    maybe_omitted = _last(sound).isin(*".…])}")
+    kept = F.when(maybe_omitted, _trimmed(F.regexp_replace(sound, OMISSION, ""))).otherwise(sound)
+    omitted = maybe_omitted & (kept != sound) & (_last(text) != "�")
+    last_line = F.substring_index(text, "\n", -1)
+    unbalanced = F.lit(False)
+    for a, b in ("“”", "「」", "『』", "（）"):
+        unbalanced |= F.length(F.translate(last_line, a, "")) < F.length(F.translate(last_line, b, ""))
+    unbalanced |= F.length(F.translate(last_line, "([", "")) < F.length(F.translate(last_line, ")]", ""))
+    # an abbreviation and what stands before it are shorter than the part that is looked at
+    near = F.when(F.length(text) > 24, F.concat(F.lit("x"), _last(text, 24))).otherwise(text)
+    abbreviated = _last(text).isin(".", "．") & near.rlike(ABBREVIATED)
+    final = _last(F.rtrim(text, F.lit(CLOSING))).rlike(FINAL)
+    closed = _last(text).isin(*")]）】”」』\"") & F.concat(F.lit(" "), text).rlike("[\\w\\p{M}\\p{L}.!?。！？।…]\\s*[)\\]）】”」』\"]$")
+    tokens = _tokens(text)
+    return cut_lineage(values.select(
+        key, "source", "field_name", F.length(whole).alias("n_chars"), F.octet_length(whole).alias("n_bytes"), (_last(text) == "�").alias("lost"),
+        omitted.alias("omitted"), unbalanced.alias("unbalanced"), (final & ~omitted & ~abbreviated).alias("marked"), closed.alias("closed"),
+        tokens.alias("tokens"), F.when(kept != text, _tail(_tokens(kept))).alias("rest"), F.xxhash64("value", F.length("value")).alias("known"),
+    ))
 
 
 def limits(values: DataFrame) -> DataFrame:
@@ -53,12 +93,11 @@ def limits(values: DataFrame) -> DataFrame:
 
     Bytes: a limit that falls within a character leaves up to three bytes less.
     """
-    whole = F.regexp_replace("value", LOST, "")
     lengths = values.select(
         "source", "field_name",
         F.inline(F.array(
-            F.struct(F.lit("characters").alias("unit"), F.length(whole).alias("n"), F.lit(0).alias("slack")),
-            F.struct(F.lit("bytes").alias("unit"), F.octet_length(whole).alias("n"), F.lit(3).alias("slack")),
+            F.struct(F.lit("characters").alias("unit"), F.col("n_chars").alias("n"), F.lit(0).alias("slack")),
+            F.struct(F.lit("bytes").alias("unit"), F.col("n_bytes").alias("n"), F.lit(3).alias("slack")),
         )),
     )
     counts = lengths.groupBy("source", "field_name", "unit", "slack", "n").count()
@@ -89,73 +128,64 @@ def _contexts(at: Column, tokens: Column) -> Column:
     )
 
 
-def _places(values: DataFrame) -> DataFrame:
+def _places(ends: DataFrame, key: str) -> DataFrame:
     """``tokens, at, word`` for each word of each text; a text that is stored several times counts once."""
+    first = ends.groupBy("known").agg(F.min(F.struct(key, "field_name")).alias("first")).select("first.*")
     return (
-        values.select("value")
-        .distinct()
-        .select(_tokens(_trimmed(F.col("value"))).alias("tokens"))
+        ends.select(key, "field_name", "tokens").join(first, [key, "field_name"], "left_semi")
         .select("tokens", F.explode(F.sequence(F.lit(0), F.size("tokens") - 1)).alias("at"))
         .withColumn("word", F.get("tokens", F.col("at")))
         .where(~F.col("word").rlike("^(?:\\n|[\\p{Punct}।。、！？…・「」『』（）“”‘’—–―৷．])$"))
-    )
+    )
 
 
-def context_counts(values: DataFrame) -> DataFrame:
+def context_counts(places: DataFrame) -> DataFrame:
     """``h, n, marked, bare``: how often a context occurs, is closed by a mark, and ends a line without one."""
-    places = _places(values).select(F.get("tokens", F.col("at") + 1).alias("next"), F.inline(_contexts(F.col("at"), F.col("tokens"))))
-    marked, bare = F.col("next").rlike(f"^(?:{FINAL}|…|;|；)$"), F.col("next").isNull() | (F.col("next") == "\n")
-    return places.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.count_if(marked).alias("marked"), F.count_if(bare).alias("bare"))
+    contexts = places.select(F.get("tokens", F.col("at") + 1).alias("next"), _contexts(F.col("at"), F.col("tokens")).alias("contexts"))
+    marked = F.coalesce(F.col("next").rlike(f"^(?:{FINAL}|…|;|；)$"), F.lit(False)).cast("int")
+    bare = (F.col("next").isNull() | (F.col("next") == "\n")).cast("int")
+    rows = contexts.select(marked.alias("marked"), bare.alias("bare"), F.inline("contexts"))
+    return rows.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.sum("marked").alias("marked"), F.sum("bare").alias("bare"))
 
 
-def longer_counts(values: DataFrame) -> DataFrame:
-    """``before, word, n_own, n_longer``: pairs of words, and pairs whose second word only begins so."""
-    pairs = _places(values).groupBy(F.coalesce(F.get("tokens", F.col("at") - 1), F.lit("^")).alias("before"), "word").count()
-    starts = pairs.select("before", "count", "word", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("k"))
-    return (
-        starts.groupBy("before", F.substring("word", F.lit(1), F.col("k")).alias("word"))
-        .agg(F.sum(F.when(F.col("k") == F.length(starts["word"]), F.col("count")).otherwise(0)).alias("n_own"), F.sum(F.when(F.col("k") < F.length(starts["word"]), F.col("count")).otherwise(0)).alias("n_longer"))
-        .where("n_own > 0 and n_longer > 0")
-    )
+def longer_counts(places: DataFrame, asked: DataFrame) -> DataFrame:
+    """``before, word, n_own, n_longer`` for each of ``asked(before, word)``: how often the pair occurs, and a longer word with this beginning instead.
+
+    Words that begin alike stand together in order, so what lies between a word and the end of its beginning is a
+    difference of running sums; words of one first letter after one word are a group, each word once.
+    """
+    pairs = places.groupBy(F.coalesce(F.get("tokens", F.col("at") - 1), F.lit("^")).alias("before"), "word").agg(F.count(F.lit(1)).alias("n"))
+    ends = F.array(F.struct(F.col("word").alias("place"), F.lit(0).alias("side")), F.struct(F.concat("word", F.lit("\U0010ffff")).alias("place"), F.lit(1).alias("side")))
+    marks = asked.distinct().select("before", "word", F.inline(ends), F.lit(0).cast("long").alias("n"))
+    every = pairs.select("before", "word", F.col("word").alias("place"), F.lit(-1).alias("side"), "n").unionByName(marks)
+    order = Window.partitionBy("before", F.substring("word", 1, 1)).orderBy("place", "side").rowsBetween(Window.unboundedPreceding, 0)
+    run = every.withColumn("upto", F.sum("n").over(order)).where("side >= 0")
+    span = run.groupBy("before", "word").agg((F.max(F.when(F.col("side") == 1, F.col("upto"))) - F.max(F.when(F.col("side") == 0, F.col("upto")))).alias("n_longer"))
+    return span.join(pairs.withColumnRenamed("n", "n_own"), ["before", "word"]).where("n_longer > 0")
 
 
 def find_cut(values: DataFrame, key: str) -> DataFrame:
     """``key, source, field_name, is_cut`` for each value of ``fields``."""
-    text = _trimmed(F.col("value"))
-    kept = _trimmed(F.regexp_replace(F.regexp_replace(text, LOST, ""), OMISSION, ""))
-    last_line = F.element_at(F.split(text, "\\n"), -1)
-    unbalanced = F.lit(False)
-    for a, b in ("“”", "「」", "『』", "（）"):
-        unbalanced |= F.length(F.regexp_replace(last_line, f"[^{a}]", "")) > F.length(F.regexp_replace(last_line, f"[^{b}]", ""))
-    unbalanced |= F.length(F.regexp_replace(last_line, "[^(\\[]", "")) > F.length(F.regexp_replace(last_line, "[^)\\]]", ""))
-    omitted = text.rlike(OMISSION)
-    ends = values.select(
-        key, "source", "field_name",
-        F.length(F.regexp_replace("value", LOST, "")).alias("n_chars"), F.octet_length(F.regexp_replace("value", LOST, "")).alias("n_bytes"),
-        text.rlike(LOST).alias("lost"), omitted.alias("omitted"), unbalanced.alias("unbalanced"),
-        (text.rlike(f"{FINAL}{CLOSING}*$") & ~omitted & ~text.rlike(ABBREVIATED)).alias("marked"),
-        text.rlike(f"[\\w\\p{{M}}\\p{{L}}.!?。！？।…]\\s*[)\\]）】”」』\"]$").alias("closed"),
-        _tokens(kept).alias("tokens"),
-    )
-    spikes = limits(values)
+    ends = read_ends(values, key)
+    spikes = limits(ends)
     at_limit = (
         ends.join(spikes, ["source", "field_name"])
         .where("unit = 'characters' and n_chars between low and high or unit = 'bytes' and n_bytes between low and high")
         .select(key, "field_name", F.lit(True).alias("at_limit"))
         .distinct()
     )
-    open_ends = ends.where("not marked and not lost").select(key, "field_name", F.inline(_contexts(F.size("tokens") - 1, F.col("tokens"))))
+    places = _places(ends, key)
+    open_ends = ends.where("not marked and not lost").select(key, "field_name", F.coalesce("rest", _tail(F.col("tokens"))).alias("tail"))
     looked_up = (
-        open_ends.join(context_counts(values), "h", "left")
+        open_ends.select(key, "field_name", F.inline(_contexts(F.size("tail") - 1, F.col("tail"))))
+        .join(context_counts(places), "h", "left")
         .groupBy(key, "field_name")
         .pivot("kind", list(KINDS))
         .agg(F.first("n").alias("n"), F.first("marked").alias("marked"), F.first("bare").alias("bare"))
     )
-    begun = (
-        ends.where("not marked and not lost")
-        .select(key, "field_name", F.element_at("tokens", -1).alias("word"), F.when(F.size("tokens") > 1, F.element_at("tokens", -2)).otherwise("^").alias("before"))
-        .join(longer_counts(values), ["before", "word"])
-        .select(key, "field_name", (F.col("n_longer") >= LONGER * F.col("n_own")).alias("begun"))
+    last_words = open_ends.select(key, "field_name", F.try_element_at("tail", F.lit(-1)).alias("word"), F.when(F.size("tail") > 1, F.try_element_at("tail", F.lit(-2))).otherwise("^").alias("before"))
+    begun = last_words.join(longer_counts(places, last_words.select("before", "word").where("word is not null")), ["before", "word"]).select(
+        key, "field_name", (F.col("n_longer") >= LONGER * F.col("n_own")).alias("begun")
     )
     # the ending itself is one of its context's occurrences, and says nothing
     seen = lambda kind: F.coalesce(F.col(f"{kind}_n"), F.lit(1)) - 1
@@ -163,7 +193,7 @@ def find_cut(values: DataFrame, key: str) -> DataFrame:
     best = lambda what: F.greatest(share("five", what), share("gap", what), share("wild", what), F.when(seen("five") < LEAST_SEEN, share("three", what)).otherwise(0.0))
     known = (seen("one") >= 1) & ~F.coalesce(F.col("begun"), F.lit(False))
     whole = F.when(F.col("omitted"), known & (best("marked") >= SHARE)).otherwise(known & (best("bare") >= SHARE) | F.col("closed") & ~F.col("unbalanced"))
-    joined = ends.drop("tokens").join(looked_up, [key, "field_name"], "left").join(begun, [key, "field_name"], "left").join(at_limit, [key, "field_name"], "left")
+    joined = ends.drop("tokens", "rest", "known").join(looked_up, [key, "field_name"], "left").join(begun, [key, "field_name"], "left").join(at_limit, [key, "field_name"], "left")
     limit = F.coalesce(F.col("at_limit"), F.lit(False))
     is_cut = (
         F.when(F.col("lost"), True)
