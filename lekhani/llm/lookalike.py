@@ -19,6 +19,8 @@ import unicodedata
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lekhani.session import cut_lineage
+
 # Characters that show nothing (soft hyphen, grapheme joiner, zero-width and
 # directional marks, byte order mark, variation selectors), as a regular expression class.
 # The zero-width joiner is handled apart, for it makes a letter of its own after a virama.
@@ -28,7 +30,9 @@ JOINER = "\u200d"
 BLANK = "\\s\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 # Letters that look like a letter of another script, and what they look like.
 CYRILLIC, CYRILLIC_AS = "АВЕЅІЈКМНОРСТУХҮԌԚԜаеоріјсухѕһԁԛԝӏ", "ABESIJKMHOPCTYXYGQWaeopijcyxshdqwl"
-GREEK, GREEK_AS = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹϳοϲ", "ABEZHIKMNOPTYXCjoc"
+GREEK, GREEK_AS = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹϳοϲνρ", "ABEZHIKMNOPTYXCjocvp"
+ARMENIAN, ARMENIAN_AS = "օսոհցզՏԼՕ", "ounhgqSLO"
+CHEROKEE, CHEROKEE_AS = "ᎪᏴᏟᎠᎬᏀᎻᎫᏦᏞᎷᏢᏒᏚᎢᏙᎳᏃ", "ABCDEGHJKLMPRSTVWZ"
 KANJI, KANJI_AS = "二八力口夕工卜一へべぺ", "ニハカロタエトーヘベペ"
 # Dashes of the length of a hyphen, bars drawn like the long-vowel mark, colon-like signs.
 HYPHENS, BARS, COLONS = "\u2010\u2011\u2212\ufe63", "\u2015\u2014\u2500", "\u0903\u0983\ua789\u2236"
@@ -44,9 +48,9 @@ SEQUENCES = [
 
 
 def width_map() -> dict[str, str]:
-    """Full- and half-width characters and Roman numeral signs, by Unicode's own decompositions."""
+    """Full- and half-width characters, Roman numeral signs and mathematical letters and digits, by Unicode's own decompositions."""
     found = {}
-    for code in [*range(0x2160, 0x2180), *range(0xFF01, 0xFFEF)]:
+    for code in [*range(0x2160, 0x2180), *range(0xFF01, 0xFFEF), *range(0x1D400, 0x1D800)]:
         plain = unicodedata.normalize("NFKC", chr(code))
         if plain != chr(code) and code != 0xFFA0:
             found[chr(code)] = plain
@@ -57,7 +61,7 @@ def width_map() -> dict[str, str]:
 def single_map() -> tuple[str, str]:
     """Arguments of ``translate``: all one-to-one replacements."""
     pairs = {a: b for a, b in width_map().items() if len(b) == 1}
-    for a, b in ((CYRILLIC, CYRILLIC_AS), (GREEK, GREEK_AS), (KANJI, KANJI_AS)):
+    for a, b in ((CYRILLIC, CYRILLIC_AS), (GREEK, GREEK_AS), (ARMENIAN, ARMENIAN_AS), (CHEROKEE, CHEROKEE_AS), (KANJI, KANJI_AS)):
         pairs.update(zip(a, b, strict=True))
     for signs, plain in ((HYPHENS, "-"), (BARS, "ー"), (COLONS, ":")):
         pairs.update(dict.fromkeys(signs, plain))
@@ -81,17 +85,17 @@ def display_key(text: Column) -> Column:
     return F.when(out != "", out)
 
 
-def canonical_members(values: DataFrame, value: str, canonical: str = "canonical") -> DataFrame:
-    """``(value, canonical)`` for each distinct value that shows something.
+def canonical_members(values: DataFrame, value: str, canonical: str = "canonical", n: str | None = None) -> DataFrame:
+    """``(value, canonical)`` for each distinct value that shows something; ``n`` names a column of counts, else each row counts once.
 
     The member of a class that occurs most often is its canonical form; ties go to the shorter, then
     to the smaller string.
     """
     counted = (
-        values.select(F.col(value).alias("v"))
+        values.select(F.col(value).alias("v"), *([n] if n else [F.lit(1).alias("n")]))
         .where("v is not null")
         .groupBy("v")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.sum("n").alias("n"))
         .withColumn("k", display_key(F.col("v")))
         .where("k is not null")
     )
@@ -117,9 +121,9 @@ LANGUAGE_COLUMNS = {"bengali": "bengali", "english": "english", "hindi": "hindi"
 
 
 def _nouns(work: DataFrame) -> DataFrame:
-    """``(work_id, lang, value)``, each once; ``Bengali (classical)`` counts as Bengali."""
+    """``(work_id, lang, value)``; ``Bengali (classical)`` counts as Bengali."""
     lang = F.regexp_extract(F.lower(F.trim("source_lang")), "^[a-z]+", 0)
-    return work.select("work_id", lang.alias("lang"), F.explode(F.map_keys("proper_nouns")).alias("value")).distinct()
+    return work.select("work_id", lang.alias("lang"), F.explode(F.map_keys("proper_nouns")).alias("value"))
 
 
 def _terms(dictionary: DataFrame) -> DataFrame:
@@ -135,7 +139,8 @@ def same_looking(dictionary: DataFrame, work: DataFrame) -> DataFrame:
     a frequent noun is matched once as a value and only then spread over its rows.
     """
     nouns, terms = _nouns(work), _terms(dictionary)
-    members = canonical_members(terms.select("value").unionByName(nouns.select("value")), "value")
+    counted = cut_lineage(nouns.groupBy("lang", "value").agg(F.count(F.lit(1)).alias("n")))
+    members = cut_lineage(canonical_members(terms.select("value", F.lit(1).cast("long").alias("n")).unionByName(counted.select("value", "n")), "value", n="n"))
     known = terms.join(members, "value")
     bengali = known.where("lang = 'bengali'")
     pairs = (
@@ -145,8 +150,7 @@ def same_looking(dictionary: DataFrame, work: DataFrame) -> DataFrame:
         .select(F.lit("term_term").alias("link_kind"), F.col("a.term_id").alias("left_id"), F.col("b.term_id").alias("right_id"))
     )
     matched = (
-        nouns.select("lang", "value")
-        .distinct()
+        counted.select("lang", "value")
         .join(members, "value")
         .alias("n")
         .join(known.alias("t"), ["lang", "canonical"])

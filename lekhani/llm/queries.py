@@ -21,9 +21,9 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_canonical_nouns(spark: SparkSession, d: str) -> DataFrame:
     """Each record's nouns in their one consistent form."""
-    nouns = lookalike._nouns(table(spark, d, "noun_work"))
+    nouns = lookalike._nouns(table(spark, d, "noun_work")).distinct()
     values = nouns.select("value").unionByName(lookalike._terms(table(spark, d, "term_dictionary")).select("value"))
-    members = lookalike.canonical_members(values, "value")
+    members = cut_lineage(lookalike.canonical_members(values, "value"))
     return nouns.join(members, "value").select("work_id", "lang", "value", "canonical")
 
 
