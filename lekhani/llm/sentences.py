@@ -2,10 +2,11 @@
 
 Method: spaced scripts go through a lattice of terminators. Every mark that may end a sentence is a
 node; what stands before it (abbreviation, initial, number, pause) and what opens after it decides
-whether the path breaks there. In the spaceless script the words before an open gap are found by the
-cheapest path through a lattice of dictionary words, and the gap is classified by the word that closes
-it (a final form or particle, or one that asks for more) and the word that opens after it. Marks
-within quotations and brackets never break; a quotation joins the words that report it.
+whether the path breaks there. A run of spaceless script is cut into words by the cheapest path through a
+lattice of dictionary words, and its gaps are classified by the word that closes it (a final form or
+particle, or one that asks for more) and the word that opens after it: at a pause the closing word decides,
+and without any mark a sentence ends where a final form meets an opening word. Marks within quotations and
+brackets never break; a quotation joins the words that report it.
 
 The segmenter is a plain function of one text, so the work is one Arrow-batched pass over the rows
 without a shuffle. Null and blank texts give no rows, repeated rows give repeated rows, an empty table
@@ -68,9 +69,11 @@ LATTICE_WORDS = {
     **dict.fromkeys("た だ です ます ました でした ません ない なかった だった である であった だろう でしょう いた った んだ いだ えた けた せた れた げた てた めた べた ねた きた した いる ある する れる られる せる う く る い".split(), ("f", 2.0)),
     **dict.fromkeys("か ね よ な ぞ ぜ さ わ かな かしら のか ものか ください なさい".split(), ("f", 1.8)),
     **dict.fromkeys("は が を に へ で と の も や から まで より ので のに けれど けど ながら たり ては ても なら ば し て で、 には では とは への との からは までに について として そして しかし だが 、 ，".split(), ("c", 1.8)),
-    **dict.fromkeys("そして しかし だが また すると それで そこで やがて ところが なぜ どうして その この あの ある 彼 彼女 私 我々".split(), ("o", 1.5)),
+    **dict.fromkeys("そして しかし だが また すると それで そこで やがて ところが けれども なぜなら".split(), ("o", 1.5)),
 }
 LONGEST = max(map(len, LATTICE_WORDS))
+# Final forms that end a sentence before an opening word even where no mark stands between them.
+SURELY_FINAL = frozenset("です ます ました でした ません だった であった だろう でしょう いた った んだ いだ えた けた せた れた げた てた めた べた ねた きた した た だ".split())
 
 
 def script(ch: str) -> str:
@@ -111,10 +114,46 @@ def lattice(text: str) -> list[tuple[str, str]]:
 
 def closes(before: str) -> bool:
     """Whether the words before a pause in spaceless script can end a sentence."""
-    path = lattice(before[-14:])
+    path = lattice(before)
     return bool(path) and path[-1][1] == "f"
 
 
+RUN = re.compile("[぀-ヿ一-鿿々〆ｰ、，]+")
+
+
+class Gaps:
+    """The gaps between words of a line's spaceless runs; each run is cut into words once, when it is first asked for."""
+
+    def __init__(self, line: str) -> None:
+        self.line, self.runs = line, [m.span() for m in RUN.finditer(line)]
+        self.kinds: dict[int, str] = {}  # of the word that ends before a place
+        self.read = 0
+
+    def _to(self, place: int) -> None:
+        while self.read < len(self.runs) and self.runs[self.read][0] < place:
+            at, end = self.runs[self.read]
+            for word, kind in lattice(self.line[at:end]):
+                at += len(word)
+                self.kinds[at] = kind
+            self.read += 1
+
+    def closes(self, place: int) -> bool:
+        """Whether the word that ends at ``place`` can end a sentence."""
+        self._to(place)
+        return self.kinds.get(place) == "f"
+
+    def unmarked(self, start: int, end: int) -> Iterator[int]:
+        """Places within a run where a final form meets an opening word."""
+        for m in OPENING.finditer(self.line, start, end):
+            self._to(m.end())
+            at = m.start()
+            if self.kinds.get(m.end()) == "o" and self.kinds.get(at) == "f" and any(self.line.endswith(w, start, at) for w in SURELY_FINAL):
+                yield at
+
+
+OPENING = re.compile("|".join(sorted((w for w, (kind, _) in LATTICE_WORDS.items() if kind == "o"), key=len, reverse=True)))
+
+
 def spaceless(ch: str) -> bool:
     return "぀" <= ch <= "ヿ" or "一" <= ch <= "鿿"
 
@@ -122,7 +161,9 @@ def spaceless(ch: str) -> bool:
 TOKEN = re.compile("[" + re.escape(ENDS + PAUSES + OPENERS + CLOSERS) + "\"]")
 # What may stand before the first word of a line: blank space, a bullet, a number.
 LEAD = re.compile(r"[\s　]*(?:[-*•・]\s+)?(?:[(（\[]?[\d०-९০-৯０-９]{1,4}[.)）\]．:：、]?[\s　]*)?")
-WORD_BEFORE = re.compile(r"([^\s" + re.escape(OPENERS + CLOSERS) + r"\"。！？।,、]+)$")
+BLANK = re.compile(r"\s*")
+NUMBER = re.compile(r"[(（\[]?[\d०-९০-৯０-９]{1,4}")
+NO_WORD = frozenset(OPENERS + CLOSERS + "\"。！？।,、")
 
 
 def _straight_quotes(line: str) -> set[int]:
@@ -131,76 +172,120 @@ def _straight_quotes(line: str) -> set[int]:
     return {p for k, p in enumerate(places) if k % 2 == 0}
 
 
+def _next(line: str, j: int) -> int:
+    """The place of the next character that isn't blank."""
+    return BLANK.match(line, j).end()
+
+
+def _first(line: str, start: int) -> int:
+    """The place of the first character of a unit, ideographic spaces being blank, too."""
+    while start < len(line) and line[start] in " 　":
+        start += 1
+    return start
+
+
 def _breaks_point(line: str, start: int, i: int, j: int) -> bool:
     """Whether the point at ``i`` ends a sentence; ``j`` is the place after all marks that follow it."""
-    before, after = line[start:i], line[j:]
-    nxt = after.lstrip()
-    if not nxt:
+    n, last, after = _next(line, j), line[i - 1] if i > start else "", line[j : j + 1]
+    if n == len(line):
         return True
-    if line[i] == "．" and spaceless(nxt[0]) and not (before and before[-1].isdigit()):
+    if line[i] == "．" and spaceless(line[n]) and not last.isdigit():
         return True
-    if before and before[-1].isdigit() and after[:1].isdigit():
+    if last.isdigit() and after.isdigit():
         return False
-    word = (m := WORD_BEFORE.search(before)) and m[1] or ""
-    bare = word.strip("“‘「『（(").lower()
-    if not before.strip(" 　") or re.fullmatch(r"[(（\[]?[\d०-९০-৯０-９]{1,4}", before.strip(" 　")):
+    first = _first(line, start)
+    if first >= i or i - first <= 6 and NUMBER.fullmatch(line[first:i].rstrip(" 　")):
         return False  # a number that opens the line
-    spaced = after[:1].isspace()
+    w = i
+    while w > start and not line[w - 1].isspace() and line[w - 1] not in NO_WORD:
+        w -= 1
+    word = line[w:i]
+    bare = word.strip("“‘「『（(").lower()
+    spaced = after.isspace()
     if bare in TITLES:
         return False
-    if re.fullmatch(r"(?:[A-Za-zÀ-ž]\.)+[A-Za-zÀ-ž]|[A-ZÀ-Ž]", word) or re.search(r"(?:^|[\s・\W])[A-ZÀ-Ž]$", before):
+    initial = "A" <= last <= "Z" or "À" <= last <= "Ž"
+    if re.fullmatch(r"(?:[A-Za-zÀ-ž]\.)+[A-Za-zÀ-ž]|[A-ZÀ-Ž]", word) or initial and (i - 1 == start or not re.match(r"\w", line[i - 2])):
         if bare in OPEN_ABBREVIATIONS:
-            return spaced and (nxt[0].isupper() or nxt[0] in OPENERS + '"')
+            return spaced and (line[n].isupper() or line[n] in OPENERS + '"')
         return False  # initials
-    if not spaced and after[:1].islower() and after[:1].isascii():
+    if not spaced and after.islower() and after.isascii():
         return False
     if bare.rstrip(".") in OPEN_ABBREVIATIONS:
-        return nxt[0].isupper() or nxt[0] in OPENERS + '"' or not nxt[0].isascii() and not nxt[0].isdigit()
-    if nxt[0].islower() and nxt[0].isascii():
+        return line[n].isupper() or line[n] in OPENERS + '"' or not line[n].isascii() and not line[n].isdigit()
+    if line[n].islower() and line[n].isascii():
         return False
-    if not spaced and after[:1].isdigit():
-        return not (before and before[-1].isdigit())
+    if not spaced and after.isdigit():
+        return not last.isdigit()
     return True
 
 
-def _opens_more(line: str, start: int, i: int, j: int, mark: str) -> bool:
+FIRST_WORD = re.compile(r"[^\s।,!?.]+")
+
+
+def _opens_more(line: str, start: int, i: int, j: int, gaps: Gaps) -> bool:
     """Whether the sentence goes on behind a pause that ends before ``j``."""
-    before, nxt = line[start:i].rstrip(), line[j:].lstrip()
-    if not nxt:
+    n = _next(line, j)
+    if n == len(line):
         return False
-    if not before.strip():
+    last = i
+    while last > start and line[last - 1].isspace():
+        last -= 1
+    if last == start:
         return True
-    if spaceless(before[-1]) or spaceless(nxt[0]):
-        return not closes(before) or nxt[0] in "、，と"
-    if nxt[0].islower() or nxt[0] in ",;":
+    if spaceless(line[last - 1]) or spaceless(line[n]):
+        return not gaps.closes(last) or line[n] in "、，と"
+    if line[n].islower() or line[n] in ",;":
         return True
-    first = re.match(r"[^\s।,!?.]+", nxt)
+    first = FIRST_WORD.match(line, n)
     return bool(first and first[0] in CARRYING)
 
 
 def _reported(line: str, j: int) -> bool:
     """Whether what follows a closed quotation reports it."""
-    nxt = line[j:].lstrip()
-    if not nxt:
+    n = _next(line, j)
+    if n == len(line):
         return False
-    head = nxt[0]
+    head = line[n]
     if spaceless(head):
-        return bool(QUOTING_JA.match(nxt) and not nxt.startswith(("という間", "その", "この"))) or bool(REPORT_JA.match(nxt))
+        return bool(QUOTING_JA.match(line, n) and not line.startswith(("という間", "その", "この"), n)) or bool(REPORT_JA.match(line, n))
     if "ऀ" <= head <= "ॿ":
-        return bool(REPORT_HI.match(_clause(nxt)))
+        return bool(REPORT_HI.match(_clause(line, n)))
     if "ঀ" <= head <= "৿":
-        return bool(REPORT_BN.match(_clause(nxt)))
+        return bool(REPORT_BN.match(_clause(line, n)))
     if head in ",;:—–-" or head.islower():
         return True
-    return bool(REPORT_EN_STRICT.match(nxt))
+    return bool(REPORT_EN_STRICT.match(line, n))
+
+
+CLAUSE = re.compile(r"[^।.!?৷\n“‘\"]*")
+QUOTED_ON = re.compile("と(?!ころ)")
 
 
-def _clause(text: str) -> str:
-    return re.split(r"[।.!?৷\n“‘\"]", text, maxsplit=1)[0]
+def _clause(line: str, j: int) -> str:
+    return CLAUSE.match(line, j)[0]
 
 
 def _spans(line: str) -> Iterator[tuple[int, int]]:
-    """Start and end of each unit of one line."""
+    """Start and end of each unit of one line: the gaps that marks make, and those of spaceless script without a mark."""
+    gaps = Gaps(line)
+    for start, end in _marked_spans(line, gaps):
+        for at in gaps.unmarked(start, end) if spaceless_within(line, start, end) else ():
+            yield start, at
+            start = at
+        yield start, end
+
+
+def spaceless_within(line: str, start: int, end: int) -> bool:
+    """Whether a unit is in spaceless script and without a quotation, whose words say nothing about the unit's own gaps."""
+    m = RUN.search(line, start, end)
+    return bool(m) and not QUOTE_MARK.search(line, start, end)
+
+
+QUOTE_MARK = re.compile("[" + re.escape(OPENERS + CLOSERS) + "\"]")
+
+
+def _marked_spans(line: str, gaps: Gaps) -> Iterator[tuple[int, int]]:
     n, start, stack, i = len(line), 0, [], 0
     opens = _straight_quotes(line)
     while True:
@@ -208,52 +293,56 @@ def _spans(line: str) -> Iterator[tuple[int, int]]:
         if not m:
             break
         i, ch = m.start(), m[0]
-        if ch == "’" and (not stack or stack[-1] != "‘"):  # an apostrophe
+        if ch == "’" and (not stack or stack[-1][0] != "‘"):  # an apostrophe
             i += 1
             continue
         if ch in OPENERS or ch == '"' and i in opens:
-            stack.append(ch)
+            stack.append((ch, i))
             i += 1
             continue
         if ch in CLOSERS or ch == '"':
-            want = PAIR.get(ch, '"')
-            if want in stack:
-                while stack and stack.pop() != want:
-                    pass
+            want, opener = PAIR.get(ch, '"'), -1
+            if any(x[0] == want for x in stack):
+                while stack:
+                    kind, place = stack.pop()
+                    if kind == want:
+                        opener = place
+                        break
             i += 1
             if stack:
                 continue
+            if opener < start:
+                opener = -1
             inner = line[i - 2 : i - 1]
             bracket = ch not in QUOTE_CLOSERS and ch != "’"
-            if inner and (inner in ENDS or inner in PAUSES) and not bracket or bracket and inner in ENDS and LEAD.fullmatch(line[start : max(start, line.rfind(want, start, i))]):
+            if inner and (inner in ENDS or inner in PAUSES) and not bracket or bracket and inner in ENDS and LEAD.fullmatch(line, start, max(start, opener)):
                 j = i
                 while j < n and line[j] in ENDS + PAUSES:
                     j += 1
-                nxt = line[j:].lstrip()
-                opener = line.rfind(want, start, i)
-                alone = bool(opener >= 0 and LEAD.fullmatch(line[start:opener]))
+                k = _next(line, j)
+                alone = bool(opener >= 0 and LEAD.fullmatch(line, start, opener))
                 if j > i:
                     yield start, j
                     start = i = j
-                elif not nxt:
+                elif k == n:
                     continue
                 elif bracket:
-                    if not (nxt[0].islower() or nxt[0] in ",;、，"):
+                    if not (line[k].islower() or line[k] in ",;、，"):
                         yield start, j
                         start = i = j
-                elif nxt[0] in "「『“\"" and alone:
+                elif line[k] in "「『“\"" and alone:
                     # adjoining quotations: together only where one report follows for both
-                    close = _close_of(line, line.index(nxt[0], j))
-                    rest = line[close:].lstrip() if close else ""
-                    together = rest and (TOGETHER_JA.match(rest) if spaceless(rest[0]) else TOGETHER_EN.match(rest) and REPORT_EN.match(rest))
+                    close = _close_of(line, k)
+                    after = _next(line, close) if close else n
+                    together = after < n and (TOGETHER_JA.match(line, after) if spaceless(line[after]) else TOGETHER_EN.match(line, after) and REPORT_EN.match(line, after))
                     if not together:
                         yield start, j
                         start = i = j
-                elif alone or not nxt:
+                elif alone:
                     if not _reported(line, j):
                         yield start, j
                         start = i = j
-                elif not (nxt[0] in ",、，" or nxt[0].islower() or spaceless(nxt[0]) and QUOTING_JA.match(nxt)):
+                elif not (line[k] in ",、，" or line[k].islower() or spaceless(line[k]) and QUOTING_JA.match(line, k)):
                     yield start, j
                     start = i = j
             continue
@@ -266,23 +355,23 @@ def _spans(line: str) -> Iterator[tuple[int, int]]:
             i = j
             continue
         k = j
-        while k < n and (line[k] in CLOSERS and PAIR[line[k]] not in stack and line[k] != "’"):
+        while k < n and line[k] in CLOSERS and line[k] != "’":
             k += 1
         pause = run[0] in PAUSES or run.startswith("..") and not re.search("[!?！？。।]", run)
         if pause and not re.search("[!?！？。।]", run):
-            ends = not _opens_more(line, start, i, j, run)
+            ends = not _opens_more(line, start, i, j, gaps)
         elif run in (".", "．"):
             ends = _breaks_point(line, start, i, k)
         elif run[0] in ".．" and len(run) > 1:
             ends = True
         else:
-            nxt = line[k:].lstrip()
-            ends = not (nxt and (nxt[0].islower() and nxt[0].isascii() or nxt[0] in ",、，")) and not (nxt and spaceless(nxt[0]) and run[-1] in "!?！？" and re.match("と(?!ころ)", nxt))
+            x = _next(line, k)
+            ends = not (x < n and (line[x].islower() and line[x].isascii() or line[x] in ",、，")) and not (x < n and spaceless(line[x]) and run[-1] in "!?！？" and QUOTED_ON.match(line, x))
         i = k
         if ends:
             yield start, k
             start = k
-    if line[start:].strip() and start < n:
+    if start < n and _next(line, start) < n:
         yield start, n
 
 

@@ -130,3 +130,10 @@ def test_held_out_accuracy_of_sentences():
     for _ in range(50):
         chosen = random.choices(pool, k=8)
         assert cut(" ".join(chosen)) == chosen
+
+
+def test_spaceless_gaps_without_marks():
+    assert cut("門を開けたそして川へ行ったしかし誰もいなかった") == ["門を開けた", "そして川へ行った", "しかし誰もいなかった"]
+    assert cut("「門を開けたそして泣いた」と言った。") == ["「門を開けたそして泣いた」と言った。"]
+    assert cut("静かな夜である……そして朝が来た。") == ["静かな夜である……", "そして朝が来た。"]
+    assert cut("アダの……そして鍵は。") == ["アダの……そして鍵は。"]
