@@ -5,8 +5,7 @@ prompt lie in it and the longest common subsequence covers prompt and response b
 a refusal where its words align with a refusal template. Empty values, cut ends and other languages are
 told from the response's own characters, words and marks, with counts of words over the whole table.
 
-Prompts and responses stay on their row; the only aggregates are word counts, with partial aggregation
-before the shuffle. Null and blank responses are empty, a null prompt can't be copied, repeated rows
+Responses that are looked up among the marked ones are shuffled with their prompts, all others stay on their row. Null and blank responses are empty, a null prompt can't be copied, repeated rows
 count each, an empty table gives an empty result, a response that fits several kinds takes the first of
 empty, copied, refusal, other_language, truncated; texts of any length are read whole; further columns
 are ignored.
@@ -14,6 +13,7 @@ are ignored.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -29,9 +29,14 @@ OWN_SCRIPT = 0.5
 # Words and marks that stand for nothing.
 NOTHING = frozenset("none null nil nan n/a na undefined empty blank - -- --- — – ― … ... .. . , ? ? ! 。 、 । ॥ ・ * _ [] {} () (none) [none] (empty) \"\" '' “” ‘’ 「」 なし 無し ない 無 該当なし 空 空欄 कोई नहीं कुछ नहीं रिक्त शून्य নেই কিছু না কিছুই না শূন্য ফাঁকা tbd todo".split()) | {"कोई नहीं", "कुछ नहीं", "কিছু নেই", "no answer", "কিছু না"}
 
-# Refusal templates by language; * stands for any words.
+# Refusal templates by language; * stands for some words, a|b for one of several.
 REFUSALS = {
     "en": [
+        "i|we|i'm|we're cannot|can't|couldn't|won't|unable|mustn't|decline|declined * answer|help|discuss|say|tell|comply|respond|provide|share|assist|comment|determine|speculate",
+        "that|this|it|which is|lies|falls|goes beyond|outside * i|we|my|our can|may|am|are|scope|remit|task",
+        "the|this text|passage|passages|chapter|chapters|context|material|excerpt|document|source doesn't|don't|never|not|no|nothing * say|says|mention|mentions|mentioned|state|states|stated|contain|contains|tell|tells|answer|specify|information",
+        "nobody|nothing|nowhere|no * in the text|passage|passages|chapter|chapters|context|material|excerpt says|say|mentions|states|tells|answers|explains",
+        "there is|isn't|are|aren't no|not|nothing|enough|insufficient * information|mention|answer|detail|context|text|passage",
         "i cannot help with *", "i can't help with *", "i can't answer that", "i cannot answer *", "i'm sorry but i can't *", "i am sorry but i cannot *", "i'm sorry i can't *",
         "i am unable to *", "i'm unable to *", "as a language model *", "as an ai *", "i'd rather not *", "i would rather not *", "i won't *", "i will not answer *", "i must decline *",
         "it is not possible for me to *", "it's not possible to determine *", "it is not possible to determine *", "the passage gives no information *", "the text gives no information *",
@@ -46,10 +51,14 @@ REFUSALS = {
         "* 回答できません", "* 分かりません", "* わかりません", "* 特定できません", "* 見つかりません", "* お答えしかねます", "* 回答を控え *", "* 言及されていません", "* 応じられません",
     ],
     "hi": [
+        "मैं|हम * उत्तर|जवाब|मदद|सहायता * नहीं|असमर्थ",
+        "पाठ|अंश|अध्याय|सामग्री|संदर्भ में * उल्लेख|जानकारी|उत्तर|जवाब * नहीं",
         "क्षमा करें मैं * नहीं *", "माफ़ करें मैं * नहीं *", "माफ कीजिए * नहीं *", "* मैं * उत्तर नहीं दे सकता", "* मैं * उत्तर नहीं दे सकती", "मैं * असमर्थ हूँ", "* मैं * असमर्थ हूँ", "दिए गए पाठ में * नहीं है", "* पाठ में * जानकारी नहीं है",
         "* कोई जानकारी नहीं है", "* कोई जानकारी नहीं दी गई *", "* उल्लेख नहीं है", "मुझे नहीं पता *", "मुझे * जानकारी नहीं *", "एक भाषा मॉडल * नहीं *", "एक एआई * नहीं *", "* मदद नहीं कर सकता", "* सहायता नहीं कर सकता", "* बताना संभव नहीं *", "* बताया नहीं जा सकता",
     ],
     "bn": [
+        "আমি|আমরা * উত্তর|জবাব|সাহায্য * না|পারছি|পারব|অক্ষম|অপারগ",
+        "পাঠে|পাঠ্যে|অংশে|অধ্যায়ে|প্রসঙ্গে * উল্লেখ|তথ্য|উত্তর * নেই|হয়নি",
         "দুঃখিত আমি * না", "দুঃখিত * পারছি না", "দুঃখিত * পারব না", "আমি * উত্তর দিতে পারছি না", "আমি * উত্তর দিতে পারব না", "* আমি * অক্ষম", "আমি * অক্ষম", "প্রদত্ত অংশে * নেই", "প্রদত্ত পাঠে * নেই", "* কোনো তথ্য নেই", "* তথ্য দেওয়া হয়নি", "* উল্লেখ নেই",
         "আমি জানি না *", "আমার জানা নেই *", "একটি ভাষা মডেল * না", "* সাহায্য করতে পারছি না", "* বলা সম্ভব নয়", "* বলা সম্ভব না", "* নির্ধারণ করা সম্ভব *",
     ],
@@ -100,48 +109,73 @@ def copied(prompt: list[str], response: list[str]) -> bool:
     return common_length(prompt, response) >= OF_PROMPT * len(prompt) and rest <= min(FRAMING, (1 - OF_RESPONSE) * len(response) + 2)
 
 
-def _template(text: str) -> list[list[str]]:
-    return [words(part) for part in text.split("*")]
-
-
-TEMPLATES = [
-    (frozenset(w for part in _template(t) for w in part), (_template(t), t.strip().startswith("*"), t.strip().endswith("*"))) for ts in REFUSALS.values() for t in ts
-]
-
-
-def follows(template: tuple[list[list[str]], bool, bool], response: list[str]) -> bool:
-    """Whether the template's fixed parts align with the response, in order and close together."""
-    parts, open_start, open_end = template
-    at, first = 0, True
-    filled = [p for p in parts if p]
-    for k, part in enumerate(filled):
-        n = len(part)
-        starts = [0] if first and not open_start else range(at, len(response) - n + 1)
-        if k == len(filled) - 1 and not open_end:
-            starts = [s for s in starts if s == len(response) - n]
-        for s in starts:
-            if s >= at and response[s : s + n] == part:
-                at = s + n
-                break
-        else:
-            return False
-        first = False
-    return bool(filled)
+#: Words that may stand between two neighbouring words of a template, and in place of a *; least share of a template's words that align.
+SKIP, GAP, ALIGNED = 1, 8, 0.85
+
+
+class Template:
+    """A refusal as words in order, some of them one of several, with the room that may lie before each."""
+
+    def __init__(self, text: str) -> None:
+        self.slots: list[frozenset[str]] = []
+        self.room: list[int] = []
+        wide = False
+        for part in text.split():
+            if part == "*":
+                wide = True
+                continue
+            options = [words(o) for o in part.split("|")]
+            if len(options) > 1:
+                self._add(frozenset(w for o in options for w in o), wide)
+            else:
+                for k, w in enumerate(options[0]):
+                    self._add(frozenset([w]), wide and k == 0)
+            wide = False
+        self.least = max(1, math.ceil(ALIGNED * len(self.slots)))
+
+    def _add(self, slot: frozenset[str], wide: bool) -> None:
+        self.slots.append(slot)
+        self.room.append(GAP if wide else SKIP)
+
+    def aligns(self, own: list[str]) -> bool:
+        """Whether the longest common subsequence of template and sentence, with no more between two words than there is room, has enough of the template."""
+        # best[i]: (words aligned, place of the last) of alignments that end at slot i, one for each place
+        ends: list[list[tuple[int, int]]] = []
+        for i, slot in enumerate(self.slots):
+            here = []
+            for place, w in enumerate(own):
+                if w not in slot:
+                    continue
+                most, room = 1, 0
+                for k in range(i - 1, -1, -1):
+                    room += self.room[k + 1]
+                    most = max([most, *(n + 1 for n, at in ends[k] if at < place and place - at - 1 <= room)])
+                here.append((most, place))
+            ends.append(here)
+        return any(n >= self.least for here in ends for n, _ in here)
+
+
+TEMPLATES = [Template(t) for ts in REFUSALS.values() for t in ts]
+BY_WORD: dict[str, list[tuple[int, int]]] = {}
+for _k, _t in enumerate(TEMPLATES):
+    for _i, _slot in enumerate(_t.slots):
+        for _w in _slot:
+            BY_WORD.setdefault(_w, []).append((_k, _i))
 
 
 def refuses(text: str) -> bool:
-    """Whether one of the first sentences, without what it quotes, follows a refusal template of any language."""
+    """Whether a sentence, without what it quotes, aligns with a refusal template of any language."""
     for sentence in SENTENCE.split(QUOTED.sub(" “” ", text)):
         own = words(sentence)
-        bag, soft = frozenset(own), [w for w in own if w not in _SOFT]
-        if any(needed <= bag and (follows(t, own) or follows(t, soft)) for needed, t in TEMPLATES):
+        held: dict[int, set[int]] = {}
+        for w in set(own):
+            for k, i in BY_WORD.get(w, ()):
+                held.setdefault(k, set()).add(i)
+        if any(len(slots) >= TEMPLATES[k].least and TEMPLATES[k].aligns(own) for k, slots in held.items()):
             return True
     return False
 
 
-_SOFT = frozenset("that this for in from to of".split())
-
-
 def means_nothing(text: str | None) -> bool:
     if text is None:
         return True
@@ -163,9 +197,11 @@ def script_share(text: str, lang: str) -> float | None:
 
 
 def latin_words(text: str) -> list[str]:
-    """Words in Latin script that aren't written like names."""
+    """Words in Latin script that aren't written like names, and a function word at the beginning."""
     plain = BRACKETED.sub(" ", text)
-    return [w for w in re.findall(r"[A-Za-zÀ-ɏ̀-ͯ]+(?:['’][A-Za-z]+)?", plain) if w[0].islower()]
+    found = re.findall(r"[A-Za-zÀ-ɏḀ-ỿ̀-ͯ]+(?:['’][A-Za-z]+)?", plain)
+    first = [w for w in map(str.lower, found[:1]) if len(found) > 1 and found[0][0].isupper() and (w in ENGLISH or w in FOREIGN)]  # a function word opens the text
+    return first + [w for w in found if w[0].islower()]
 
 
 FINAL = re.compile(r"[.!?。！？।॥৷．｡…][\s\"'”’」』）)\]]*$")
@@ -174,7 +210,7 @@ FINAL = re.compile(r"[.!?。！？।॥৷．｡…][\s\"'”’」』）)\]]*$
 # Words by which languages in Latin script are told apart.
 ENGLISH = frozenset("the of and was were is are that this with for from by at on had has have not but who whom what which it its he she they his her their them as while after before when where an be been would could until out up in to under into about because if then there than".split())
 FOREIGN = frozenset(
-    "le la les un une des du dans et ne pas jamais qui que est c'est l'a a n'a pour après avec sur elle il ils sont son sa ses cette au aux d'un der die das dem den des ein eine einen und nicht mit für von zu im am war ist es sie er auf "
+    "zum zur vom beim ins ans le la les un une des du dans et ne pas jamais qui que est c'est l'a a n'a pour après avec sur elle il ils sont son sa ses cette au aux d'un der die das dem den des ein eine einen und nicht mit für von zu im am war ist es sie er auf "
     "el los las una y en no con por para que quien quién fue era al del se su junto después antes esperó ke ka ki ko ne mein se aur nahi nahin hai tha thi yah woh pata ghar ek bhi er ke kintu ebong na janto ta tar se jonno wa ga o ni de wo no kara made desu deshita ta mashita "
     "o os as um uma e não com por para il lo gli una e non con per di da che è het een van en niet met voor".split()
 ) - {"no", "in", "as", "a"}
@@ -268,7 +304,10 @@ def find_defects(pairs: DataFrame, *keys: str) -> DataFrame:
         .distinct()
         .withColumn("known", F.lit(True))
     )
-    joined = pairs.withColumn("bare", short).join(marked, ["lang", "bare"], "left")
+    # only short responses are looked up; the others would all meet on the null key
+    asked = pairs.withColumn("bare", short)
+    looked_up = asked.where("bare is not null").join(marked, ["lang", "bare"], "left").select(*keys, "lang", "prompt", "response", "known")
+    joined = looked_up.unionByName(asked.where("bare is null").select(*keys, "lang", "prompt", "response", F.lit(None).cast("boolean").alias("known")))
     names = list(keys)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

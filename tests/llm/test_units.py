@@ -137,3 +137,11 @@ def test_spaceless_gaps_without_marks():
     assert cut("「門を開けたそして泣いた」と言った。") == ["「門を開けたそして泣いた」と言った。"]
     assert cut("静かな夜である……そして朝が来た。") == ["静かな夜である……", "そして朝が来た。"]
     assert cut("アダの……そして鍵は。") == ["アダの……そして鍵は。"]
+
+
+def test_refusals_align_and_function_words_open_texts():
+    said = ["That is beyond what I can discuss.", "Nobody in the text says that.", "I’m unable to tell from these chapters.", "There is no mention of it in the passage.", "Unfortunately the passage gives no information on this."]
+    assert {pairs.defect("en", "Who left?", t) for t in said} == {"refusal"}
+    told = ["Bose was sorry and could not help Ada find the key.", "The messenger refused to answer.", "Ada said “I cannot answer that” and left.", "Nobody in the town said a word."]
+    assert {pairs.defect("en", "Who left?", t) for t in told} == {None}
+    assert {pairs.defect("en", "Where?", t) for t in ("La lampe.", "Zum Fluss.")} == {"other_language"} and pairs.defect("en", "Where?", "The lamp.") is None
