@@ -18,11 +18,10 @@ smaller line number, an empty table gives an empty result, further columns are i
 
 from __future__ import annotations
 
-from collections import defaultdict
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -72,63 +71,190 @@ def _sided(pairs: DataFrame) -> DataFrame:
     return pairs.select("lo", "hi", F.inline(sides))
 
 
-class Counter:
-    """How often pairs of ids and single ids stood in one place; added up before they are handed on."""
-
-    def __init__(self, most: int = 1 << 20) -> None:
-        self.left: list[np.ndarray] = []
-        self.right: list[np.ndarray] = []
-        self.held, self.most = 0, most
-
-    def add(self, left: np.ndarray, right: np.ndarray) -> Iterator[pd.DataFrame]:
-        if len(left) and len(right):
-            self.left.append(np.repeat(left, len(right)))
-            self.right.append(np.tile(right, len(left)))
-            self.held += len(left) * len(right)
-        if self.held >= self.most:
-            yield self.flush()
+#: Pairs of records that are worked on at a time, and pairs of words that are added up before they are handed on.
+PAIRS, WORD_PAIRS = 2_000, 1 << 21
+
+
+class Bags:
+    """Some pairs of records as flat arrays: a token is a word of one line, a line has a number over all pairs."""
+
+    def __init__(self, batch: pa.RecordBatch) -> None:
+        flat = lambda name: batch.column(name).flatten().to_numpy(zero_copy_only=False)
+        counts = np.asarray(batch.column("word").value_lengths())
+        self.pair = np.repeat(np.arange(len(counts)), counts)
+        self.side, line, word, self.weight = flat("side").astype(np.int64), flat("line").astype(np.int64), flat("word"), flat("weight").astype(float)
+        self.learnable, self.number = flat("learnable").astype(bool), flat("number").astype(bool)
+        known = "other" in batch.schema.names
+        self.n_others = flat("n_others").astype(np.int64) if known else np.zeros(len(word), dtype=np.int64)
+        other = flat("other") if known else np.zeros(0, dtype=np.int64)
+        self.strength = np.sqrt(flat("strength").astype(float)) if known else np.zeros(0)
+        self.names, codes = np.unique(np.concatenate((word, other)), return_inverse=True)
+        self.word, self.other = codes[: len(word)], codes[len(word) :]
+        most = int(line.max(initial=0)) + 1
+        lines, self.line = np.unique((self.pair * 2 + self.side) * most + line, return_inverse=True)
+        self.number_of, self.pair_of, self.side_of = lines % most, lines // most // 2, lines // most % 2
+        last = np.zeros(len(counts) * 2, dtype=np.int64)
+        np.maximum.at(last, self.pair_of * 2 + self.side_of, self.number_of)
+        self.last = last
+        self.place = self.number_of / np.maximum(last[self.pair_of * 2 + self.side_of], 1)
+        self.whole = np.bincount(self.line, weights=self.weight, minlength=len(lines))
+
+    def found(self, side: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Tokens of a side, lines of the other side that render them, and how well."""
+        start = np.concatenate(([0], np.cumsum(self.n_others)))
+        own = np.flatnonzero((self.side == side) & (self.n_others > 0))
+        token = np.repeat(own, self.n_others[own])
+        at = np.arange(len(token)) - np.repeat(np.cumsum(self.n_others[own]) - self.n_others[own], self.n_others[own]) + start[token]
+        numbers = np.flatnonzero((self.side == side) & self.number)
+        token, want, strength = np.concatenate((token, numbers)), np.concatenate((self.other[at], self.word[numbers])), np.concatenate((self.strength[at], np.ones(len(numbers))))
+        there = np.flatnonzero(self.side == 1 - side)
+        n_words = max(1, len(self.names))
+        keys = self.pair[there] * n_words + self.word[there]
+        order = np.argsort(keys, kind="stable")
+        there, keys = there[order], keys[order]
+        asked = self.pair[token] * n_words + want
+        low, high = np.searchsorted(keys, asked, "left"), np.searchsorted(keys, asked, "right")
+        n = high - low
+        hit = there[np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        token, got = np.repeat(token, n), np.repeat(self.weight[token] * strength, n)
+        line = self.line[hit]
+        order = np.lexsort((-got, line, token))
+        token, line, got = token[order], line[order], got[order]
+        first = np.ones(len(token), dtype=bool)
+        first[1:] = (token[1:] != token[:-1]) | (line[1:] != line[:-1])
+        return token[first], line[first], got[first]
+
+    def pairs_of_lines(self, side: int, own: np.ndarray, there: np.ndarray) -> np.ndarray:
+        """One number for a line of the lower and one of the higher record."""
+        return (own * len(self.number_of) + there) if side == 0 else (there * len(self.number_of) + own)
+
+    def best(self, low: np.ndarray, high: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which pairs are the best of their lower and of their higher line; nearness counts a little, ties go to the smaller line there."""
+        rank = NEAR * np.abs(self.place[low] - self.place[high]) - score
+        out = []
+        for own, there in ((low, high), (high, low)):
+            order = np.lexsort((there, rank, own))
+            first = np.ones(len(order), dtype=bool)
+            first[1:] = own[order][1:] != own[order][:-1]
+            mask = np.zeros(len(order), dtype=bool)
+            mask[order[first]] = True
+            out.append(mask)
+        return out[0], out[1]
+
+    def matched(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Lines that are best for each other, and the mean of both directions of the covered share."""
+        self.rendered = [self.found(0), self.found(1)]
+        keys, shares = [], []
+        for side, (token, line, got) in enumerate(self.rendered):
+            own = self.line[token]
+            keys.append(self.pairs_of_lines(side, own, line))
+            shares.append(got / self.whole[own] / 2)
+        key, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+        score = np.bincount(inverse, weights=np.concatenate(shares), minlength=len(key))
+        low, high = key // max(1, len(self.number_of)), key % max(1, len(self.number_of))
+        of_low, of_high = self.best(low, high, score)
+        keep = of_low & of_high & (score >= MATCHED)
+        return low[keep], high[keep], score[keep]
+
+    def grown(self, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Further pairs with lines that are matched but still hold unexplained words: lines of two events.
 
-    def flush(self) -> pd.DataFrame:
-        left = np.concatenate(self.left) if self.left else np.zeros(0, dtype=np.int64)
-        right = np.concatenate(self.right) if self.right else np.zeros(0, dtype=np.int64)
-        self.left, self.right, self.held = [], [], 0
-        left, right = np.minimum(left, right), np.maximum(left, right)  # a language may stand on either side
-        names, codes = np.unique(np.concatenate((left, right)), return_inverse=True)
-        both, n = np.unique(codes[: len(left)] * max(1, len(names)) + codes[len(left) :], return_counts=True)
-        return pd.DataFrame({"id": names[both // max(1, len(names))], "other": names[both % max(1, len(names))], "n": n}) if len(names) else pd.DataFrame({"id": left, "other": right, "n": left})
+        What a match renders well is explained. A pair joins where the words of either line that only the other
+        one explains are a fair part of both, and most of what the smaller rest has left.
+        """
+        n_lines = len(self.number_of)
+        match = np.full(n_lines, -1)
+        match[low], match[high] = high, low
+        keys, parts, rests, takens = [], [], [], []
+        for side, (token, line, got) in enumerate(self.rendered):
+            own = self.line[token]
+            by_match = match[own] == line
+            explained = np.zeros(len(self.line))
+            explained[token[by_match]] = got[by_match]
+            told = np.bincount(self.line, weights=explained, minlength=n_lines)
+            rest = np.maximum(self.whole - told, 0.01)
+            key, inverse = np.unique(self.pairs_of_lines(side, own, line), return_inverse=True)
+            new = np.bincount(inverse, weights=np.maximum(got - explained[token], 0), minlength=len(key))
+            line_of = np.zeros(len(key), dtype=np.int64)
+            line_of[inverse] = own
+            some = new > 0
+            keys.append(key[some])
+            parts.append(new[some] / self.whole[line_of[some]])
+            rests.append(new[some] / rest[line_of[some]])
+            takens.append(told[line_of[some]] > 0)
+        key, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+        part, rest, taken = np.full(len(key), np.inf), np.zeros(len(key)), np.zeros(len(key), dtype=bool)
+        np.minimum.at(part, inverse, np.concatenate(parts))
+        np.maximum.at(rest, inverse, np.concatenate(rests))
+        np.logical_or.at(taken, inverse, np.concatenate(takens))
+        keep = (part >= PART) & (rest >= REST) & taken
+        key, rest = key[keep], rest[keep]
+        a, b = key // max(1, n_lines), key % max(1, n_lines)
+        of_low, of_high = self.best(a, b, rest)
+        keep = (of_low | of_high) & (match[a] != b)
+        return a[keep], b[keep], rest[keep]
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Bags]]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, PAIRS):
+            part = batch.slice(at, PAIRS)
+            yield part, Bags(part)
+
+
+def _together(bags: Bags, left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Counts of the words of both sides that stand in one place; a side is ``(place, word)``."""
+    places = []
+    for place, word in (left, right):
+        both = np.unique(place * max(1, len(bags.names)) + word)
+        place, word = both // max(1, len(bags.names)), both % max(1, len(bags.names))
+        starts = np.flatnonzero(np.diff(place, prepend=-1))
+        places.append((place[starts], starts, np.diff(starts, append=len(place)), word))
+    shared, i, j = np.intersect1d(places[0][0], places[1][0], assume_unique=True, return_indices=True)
+    (_, start_l, n_l, word_l), (_, start_r, n_r, word_r) = places
+    start_l, n_l, start_r, n_r = start_l[i], n_l[i], start_r[j], n_r[j]
+    total = n_l * n_r
+    upto = np.cumsum(total)
+    at = 0
+    while at < len(shared):
+        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + WORD_PAIRS, "right")))
+        n = total[at:end]
+        within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        width = np.repeat(n_r[at:end], n)
+        a = word_l[np.repeat(start_l[at:end], n) + within // width]
+        b = word_r[np.repeat(start_r[at:end], n) + within % width]
+        # a language may stand on either side; the codes are in the order of the ids
+        key, count = np.unique(np.minimum(a, b) * len(bags.names) + np.maximum(a, b), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(bags.names[key // len(bags.names)]), pa.array(bags.names[key % len(bags.names)]), pa.array(count)], ["id", "other", "n"])
+        at = end
+
+
+def _singles(bags: Bags, word: np.ndarray) -> pa.RecordBatch:
+    codes, n = np.unique(word, return_counts=True)
+    return pa.RecordBatch.from_arrays([pa.array(bags.names[codes]), pa.nulls(len(codes), pa.int64()), pa.array(n)], ["id", "other", "n"])
 
 
 COUNTS = "id long, other long, n long"
 
 
-def _singles(*ids: np.ndarray) -> pd.DataFrame:
-    names, n = np.unique(np.concatenate(ids) if ids else np.zeros(0, dtype=np.int64), return_counts=True)
-    return pd.DataFrame({"id": names, "other": pd.array([None] * len(names), dtype="Int64"), "n": n})
-
-
 def in_blocks(bags: DataFrame) -> DataFrame:
     """Counts of words of both records in one part of the text."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counter = Counter()
-        for batch in batches:
-            single = []
-            for bag in batch["bag"]:
-                rows = [(t["side"], t["line"], t["id"]) for t in bag if t["learnable"]]
-                if not rows:
-                    continue
-                side, line, ids = (np.array(x) for x in zip(*rows, strict=True))
-                longest = [max((t["line"] for t in bag if t["side"] == s), default=0) for s in (0, 1)]
-                n_blocks = -(-max(longest) // BLOCK)
-                block = ((line - 1) * n_blocks) // np.maximum(np.array(longest)[side], 1)
-                for g in range(n_blocks):
-                    left, right = np.unique(ids[(side == 0) & (block == g)]), np.unique(ids[(side == 1) & (np.abs(block - g) <= 1)])
-                    single += [left, np.unique(ids[(side == 1) & (block == g)])]
-                    yield from counter.add(left, right)
-            yield _singles(*single)
-        yield counter.flush()
-
-    return bags.mapInPandas(run, COUNTS)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, bags in _slices(batches):
+            n_blocks = np.ones(len(bags.last) // 2, dtype=np.int64)
+            np.maximum.at(n_blocks, np.arange(len(bags.last)) // 2, -(-bags.last // BLOCK))
+            first = np.cumsum(n_blocks) - n_blocks  # blocks are numbered over all pairs
+            own = bags.learnable
+            pair, line, side, word = bags.pair[own], bags.number_of[bags.line[own]], bags.side[own], bags.word[own]
+            block = (line - 1) * n_blocks[pair] // np.maximum(bags.last[pair * 2 + side], 1)
+            left, right = side == 0, side == 1
+            near = [(first[pair] + block + k, right & (block + k >= 0) & (block + k < n_blocks[pair])) for k in (-1, 0, 1)]
+            n_words = max(1, len(bags.names))
+            yield _singles(bags, np.unique((first[pair] + block) * n_words * 2 + side * n_words + word) % n_words)
+            yield from _together(bags, ((first[pair] + block)[left], word[left]), (np.concatenate([p[m] for p, m in near]), np.concatenate([word[m] for _, m in near])))
+
+    return bags.mapInArrow(run, COUNTS)
 
 
 def table_of(counts: DataFrame) -> DataFrame:
@@ -164,125 +290,35 @@ def _weights(per_line: DataFrame) -> DataFrame:
     )
 
 
-Line = dict[int, float]
-
-
-class Pair:
-    """The lines of two records as bags of words, and what the lines of one render of the other's."""
-
-    def __init__(self, bag: list) -> None:
-        self.words: tuple[dict[int, Line], dict[int, Line]] = ({}, {})
-        self.learnable: tuple[dict[int, list], dict[int, list]] = (defaultdict(list), defaultdict(list))
-        index: tuple[dict[int, list], dict[int, list]] = (defaultdict(list), defaultdict(list))
-        others = {}
-        for t in bag:
-            side, line, word = t["side"], t["line"], t["id"]
-            self.words[side].setdefault(line, {})[word] = t["weight"]
-            index[side][word].append(line)
-            if t["learnable"]:
-                self.learnable[side][line].append(word)
-            if word not in others:
-                known = [] if t["others"] is None else [(o["other"], o["strength"] ** 0.5) for o in t["others"]]
-                others[word] = known + [(word, 1.0)] if t["number"] else known
-        self.whole = tuple({line: sum(own.values()) for line, own in side.items()} for side in self.words)
-        self.last = tuple(max(side, default=0) for side in self.words)
-        # got[side][line][there][word]: how well the other side's line `there` renders a word of a line
-        self.got: tuple[dict, dict] = ({}, {})
-        self.sums: dict[tuple[int, int, int], float] = defaultdict(float)  # by side, line and line there
-        for side in (0, 1):
-            for line, own in self.words[side].items():
-                found = self.got[side][line] = {}
-                for word, weight in own.items():
-                    for other, strength in others[word]:
-                        for there in index[1 - side].get(other, ()):
-                            at = found.setdefault(there, {})
-                            if (more := weight * strength - at.get(word, 0.0)) > 0:
-                                at[word] = weight * strength
-                                self.sums[side, line, there] += more
-
-    def drift(self, lo: int, hi: int) -> float:
-        return abs(lo / self.last[0] - hi / self.last[1])
-
-    def covered(self) -> dict[tuple[int, int], float]:
-        """Mean of both directions of the covered share, for each pair of lines that share anything."""
-        out: dict[tuple[int, int], float] = defaultdict(float)
-        for (side, line, there), got in self.sums.items():
-            out[(there, line) if side else (line, there)] += got / self.whole[side][line] / 2
-        return out
-
-    def matched(self) -> dict[tuple[int, int], float]:
-        """Pairs that are best for each other."""
-        scored = {p: s for p, s in self.covered().items() if s >= MATCHED - NEAR}  # nearness counts NEAR at most, so lesser ones are best for none that match
-        best = _best(scored, self.drift)
-        return {p: s for p, s in scored.items() if s >= MATCHED and best[0][p[0]] == p and best[1][p[1]] == p}
-
-    def grown(self, pairs: dict[tuple[int, int], float]) -> dict[tuple[int, int], float]:
-        """Further pairs with lines that are matched but still hold unexplained words: lines of two events.
-
-        What a match renders well is explained. A pair joins where the words of either line that only the other
-        one explains are a fair part of both, and most of what the smaller rest has left.
-        """
-        explained: dict[tuple[int, int], Line] = {}
-        for pair in pairs:
-            for side in (0, 1):
-                line, there = pair[side], pair[1 - side]
-                own = explained.setdefault((side, line), {})
-                for word, got in self.got[side][line].get(there, {}).items():
-                    own[word] = max(own.get(word, 0.0), got)
-        parts: dict[tuple[int, int], list] = {}
-        for side in (0, 1):
-            for line, found in self.got[side].items():
-                known = explained.get((side, line), {})
-                whole = self.whole[side][line]
-                rest, taken = max(whole - sum(known.values()), 0.01), bool(known)
-                for there, at in found.items():
-                    new = sum(max(0.0, got - known.get(word, 0.0)) for word, got in at.items())
-                    if new > 0:
-                        parts.setdefault((there, line) if side else (line, there), []).append((new / whole, new / rest, taken))
-        scored = {}
-        for pair, sides in parts.items():
-            if min(x[0] for x in sides) >= PART and max(x[1] for x in sides) >= REST and any(x[2] for x in sides):
-                scored[pair] = max(x[1] for x in sides)
-        best = _best(scored, self.drift)
-        return {p: s for p, s in scored.items() if p not in pairs and (best[0][p[0]] == p or best[1][p[1]] == p)}
-
-
-def _best(scored: dict[tuple[int, int], float], drift: Callable[[int, int], float]) -> tuple[dict, dict]:
-    """The best pair of each line of either side; nearness counts a little, ties go to the smaller line there."""
-    out: tuple[dict, dict] = ({}, {})
-    ranked = {p: (NEAR * drift(*p) - s) for p, s in scored.items()}
-    for pair, rank in ranked.items():
-        for side in (0, 1):
-            kept = out[side].get(pair[side])
-            if kept is None or (rank, pair[1 - side]) < (ranked[kept], kept[1 - side]):
-                out[side][pair[side]] = pair
-    return out
-
-
 def in_matches(bags: DataFrame) -> DataFrame:
     """Counts of words of two lines that match."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counter = Counter()
-        for batch in batches:
-            single = []
-            for bag in batch["bag"]:
-                pair = Pair(bag)
-                for lo, hi in pair.matched():
-                    left, right = (np.unique(np.array(pair.learnable[side][line], dtype=np.int64)) for side, line in ((0, lo), (1, hi)))
-                    single += [left, right]
-                    yield from counter.add(left, right)
-            yield _singles(*single)
-        yield counter.flush()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, bags in _slices(batches):
+            low, high, _ = bags.matched()
+            place = np.full(len(bags.number_of), -1)
+            place[low], place[high] = np.arange(len(low)), np.arange(len(low))
+            own = bags.learnable & (place[bags.line] >= 0)
+            left, right = own & (bags.side == 0), own & (bags.side == 1)
+            yield _singles(bags, bags.word[own])
+            yield from _together(bags, (place[bags.line[left]], bags.word[left]), (place[bags.line[right]], bags.word[right]))
 
-    return bags.mapInPandas(run, COUNTS)
+    return bags.mapInArrow(run, COUNTS)
 
 
 def _bags(tokens: DataFrame, table: DataFrame | None = None) -> DataFrame:
-    """``lo, hi, bag``: the words of both records of a pair, with their translations; a pair with words on one side only is none."""
+    """A row for each pair of records with its words, and their translations, as arrays; a pair with words on one side only is none."""
     rows = tokens if table is None else tokens.join(table, "id", "left")
-    fields = ["side", "line", "id", "weight", "learnable", "number", *(["others"] if table is not None else [])]
-    return rows.groupBy("lo", "hi").agg(F.collect_list(F.struct(*fields)).alias("bag"), F.min("side").alias("a"), F.max("side").alias("b")).where("a <> b").select("lo", "hi", "bag")
+    fields = ["side", "line", F.col("id").alias("word"), "weight", "learnable", "number"]
+    if table is not None:
+        fields.append(F.coalesce("others", F.expr("cast(array() as array<struct<strength:double,other:bigint>>)")).alias("others"))
+    pairs = rows.groupBy("lo", "hi").agg(F.collect_list(F.struct(*fields)).alias("bag"), F.min("side").alias("a"), F.max("side").alias("b")).where("a <> b")
+    names = ["side", "line", "word", "weight", "learnable", "number"]
+    flat = [F.col(f"bag.{n}").alias(n) for n in names]
+    if table is not None:
+        others = F.flatten("bag.others")
+        flat += [F.transform("bag.others", F.size).alias("n_others"), F.transform(others, lambda o: o["other"]).alias("other"), F.transform(others, lambda o: o["strength"]).alias("strength")]
+    return pairs.select("lo", "hi", *flat)
 
 
 def align(df: DataFrame, segment: list[str], rec: str, lang: str, text: str) -> DataFrame:
@@ -302,20 +338,22 @@ def align(df: DataFrame, segment: list[str], rec: str, lang: str, text: str) ->
     first = table_of(in_blocks(_bags(tokens)))
     # once more from the lines that matched, which tell words apart far better than whole records
     second = table_of(in_matches(_bags(tokens, first)))
-    names = ["line_lo", "line_hi", "score", "step"]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for lo, hi, bag in zip(batch["lo"], batch["hi"], batch["bag"], strict=True):
-                pair = Pair(bag)
-                matched = pair.matched()
-                of = ({a: b for a, b in matched}, {b: a for a, b in matched})
-                out += [(lo, hi, a, b, s, "matched") for (a, b), s in matched.items()]
-                for (a, b), s in pair.grown(matched).items():
-                    beside = abs(of[0].get(a, 1 << 40) - b) == 1 or abs(of[1].get(b, 1 << 40) - a) == 1
-                    out.append((lo, hi, a, b, s, "merged" if beside else "moved"))
-            yield pd.DataFrame(out, columns=["lo", "hi", *names])
+    names = ["lo", "hi", "line_lo", "line_hi", "score", "step"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, bags in _slices(batches):
+            low, high, score = bags.matched()
+            more_low, more_high, more_score = bags.grown(low, high)
+            match = np.full(len(bags.number_of), -1)
+            match[low], match[high] = high, low
+            beside = np.zeros(len(more_low), dtype=bool)
+            for own, there in ((more_low, more_high), (more_high, more_low)):
+                beside |= (match[own] >= 0) & (np.abs(bags.number_of[match[own]] - bags.number_of[there]) == 1)
+            step = np.concatenate((np.full(len(low), "matched"), np.where(beside, "merged", "moved")))
+            a, b = np.concatenate((low, more_low)), np.concatenate((high, more_high))
+            of = pa.array(bags.pair_of[a])
+            numbers = [pa.array(bags.number_of[x].astype(np.int32)) for x in (a, b)]
+            yield pa.RecordBatch.from_arrays([part.column("lo").take(of), part.column("hi").take(of), *numbers, pa.array(np.concatenate((score, more_score))), pa.array(step.astype(object))], names)
 
     kinds = dict(pairs.dtypes)
-    return _bags(tokens, second).mapInPandas(run, f"lo {kinds['lo']}, hi {kinds['hi']}, line_lo int, line_hi int, score double, step string")
+    return _bags(tokens, second).mapInArrow(run, f"lo {kinds['lo']}, hi {kinds['hi']}, line_lo int, line_hi int, score double, step string")
