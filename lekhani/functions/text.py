@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 # Words without meaning of their own.
 STOPWORDS = (
-    "a an and are as at be been but by did do does for from had has have he her him his how i if in into is it its me my not of on or our "
-    "she so that the their them then there they this to us was we were what when where which who whom why will with you your"
+    "a an and are as at be but by for from had has have he her here him his how i if in into is it its no not of on or our so such than that the their them then "
+    "there these they this to was we were what when where which who will with would you your"
 ).split()
+#: Characters of spaceless script, as the inside of a class.
+SPACELESS = r"\u3005-\u3007\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f"
 
 
 def english_tokens(text: Column, keep_stopwords: bool = False) -> Column:
@@ -26,10 +28,9 @@ def kana_bigrams(text: Column) -> Column:
 
 def tokens(text: Column, keep_stopwords: bool = False) -> Column:
     """Words of all scripts in order, spaceless script as pairs of neighbouring characters; marks that stand alone where there is no word."""
-    spaceless = r"\u3005-\u3007\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f"
-    runs = F.regexp_extract_all(F.lower(text), F.lit(rf"[{spaceless}]+|[\p{{L}}\p{{M}}\p{{N}}\u200c\u200d&&[^{spaceless}]]+"), F.lit(0))
+    runs = F.regexp_extract_all(F.lower(text), F.lit(rf"[{SPACELESS}]+|[\p{{L}}\p{{M}}\p{{N}}\u200c\u200d&&[^{SPACELESS}]]+"), F.lit(0))
     pairs = lambda r: F.transform(F.sequence(F.lit(1), F.greatest(F.length(r) - 1, F.lit(1))), lambda i: F.substring(r, i, F.lit(2)))
-    words = F.flatten(F.transform(runs, lambda r: F.when(r.rlike(f"^[{spaceless}]"), pairs(r)).otherwise(F.array(r))))
+    words = F.flatten(F.transform(runs, lambda r: F.when(r.rlike(f"^[{SPACELESS}]"), pairs(r)).otherwise(F.array(r))))
     words = F.when(F.size(words) > 0, words).otherwise(F.regexp_extract_all(text, F.lit(r"\S+"), F.lit(0)))
     return words if keep_stopwords else F.filter(words, lambda t: ~t.isin(STOPWORDS))
 
@@ -72,11 +73,19 @@ def strip_namespace(title: Column) -> Column:
     return F.regexp_replace(title, "^[^:]*:", "")
 
 
-def remove_templates(text: Column, depth: int = 8) -> Column:
-    """Innermost ``{{…}}`` removed again and again, so nested ones go up to ``depth`` levels."""
-    for _ in range(depth):
-        text = F.regexp_replace(text, r"\{\{[^{}]*\}\}", "")
-    return text
+def remove_templates(text: Column) -> Column:
+    """Without ``{{…}}``, nested to any depth: the text is cut at its braces and read with a counter of open ones.
+
+    A pair that closes nothing stays; what is never closed stays with all that follows it.
+    """
+    parts = F.regexp_extract_all(text, F.lit(r"\{\{|\}\}|(?s:(?:(?!\{\{|\}\}).)+)"), F.lit(0))
+    empty = F.expr("cast(array() as array<string>)")
+    # a stack of texts: a brace pair opens a new one, its end drops it
+    opened = lambda done: F.concat(done, F.array(F.lit("{{")))
+    last = lambda done: F.element_at(done, -1)
+    put = lambda done, x: F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(F.concat(last(done), x)))
+    step = lambda done, x: F.when(x == "{{", opened(done)).when((x == "}}") & (F.size(done) > 1), F.slice(done, F.lit(1), F.size(done) - 1)).otherwise(put(done, x))
+    return F.array_join(F.aggregate(parts, F.concat(empty, F.array(F.lit(""))), step), "")
 
 
 def strip_citations(text: Column) -> Column:

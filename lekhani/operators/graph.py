@@ -18,7 +18,7 @@ def components(nodes: DataFrame, edges: DataFrame, node: str, rounds: int = 50)
     """``node, component``: the smallest node that each one is connected with.
 
     A round takes the smallest label of the neighbours and then the label of the label, so long chains
-    halve. Labels are written to the checkpoint folder each round.
+    halve. Labels are written to the checkpoint folder each round. Labels that still move after ``rounds`` are an error.
     """
     both = cut_lineage(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
     labels = cut_lineage(nodes.select(F.col(node).alias("n"), F.col(node).alias("label")).distinct())
@@ -30,5 +30,5 @@ def components(nodes: DataFrame, edges: DataFrame, node: str, rounds: int = 50)
         changed = moved.where("old <> label").limit(1).count()
         labels = moved.select("n", "label")
         if not changed:
-            break
-    return labels.select(F.col("n").alias(node), F.col("label").alias("component"))
+            return labels.select(F.col("n").alias(node), F.col("label").alias("component"))
+    raise RuntimeError(f"components aren't finished after {rounds} rounds")

@@ -12,12 +12,13 @@ def chapters_at(ranked: DataFrame, ks: list[int], *keys: str) -> DataFrame:
     return first.withColumn("k", F.explode(F.array(*map(F.lit, ks)))).where("best <= k").select(*keys, "k", "chapter", "best")
 
 
-def per_question(found: DataFrame, gold: DataFrame, ks: list[int]) -> DataFrame:
-    """``qid, q_type, k, covered, n_gold, n_found``; a question without gold has n_gold 0."""
-    questions = gold.groupBy("qid", "q_type").agg(F.count("chapter").alias("n_gold")).withColumn("k", F.explode(F.array(*map(F.lit, ks))))
-    hit = gold.select("qid", "chapter", F.lit(1).alias("is_gold"))
-    counts = found.join(hit, ["qid", "chapter"], "left").groupBy("qid", "k").agg(F.count("is_gold").alias("covered"), F.count(F.lit(1)).alias("n_found"))
-    return questions.join(counts, ["qid", "k"], "left").fillna(0, ["covered", "n_found"])
+def per_question(found: DataFrame, gold: DataFrame, ks: list[int], *extra: str) -> DataFrame:
+    """``extra, qid, q_type, k, covered, n_gold, n_found``; a question without gold has n_gold 0."""
+    keys = [*extra, "qid"]
+    questions = gold.groupBy(*keys, "q_type").agg(F.count("chapter").alias("n_gold")).withColumn("k", F.explode(F.array(*map(F.lit, ks))))
+    hit = gold.select(*keys, "chapter", F.lit(1).alias("is_gold"))
+    counts = found.join(hit, [*keys, "chapter"], "left").groupBy(*keys, "k").agg(F.count("is_gold").alias("covered"), F.count(F.lit(1)).alias("n_found"))
+    return questions.join(counts, [*keys, "k"], "left").fillna(0, ["covered", "n_found"])
 
 
 def by_scope(questions: DataFrame, *extra: str) -> DataFrame:

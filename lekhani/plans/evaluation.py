@@ -8,12 +8,21 @@ from pyspark.sql import functions as F
 from lekhani.functions.text import chapter_of
 from lekhani.operators import decisions as D
 from lekhani.operators import metrics as M
-from lekhani.plans.retrieval import gold, questions
 from lekhani.sources.tables import table
 
 AXES = ["filter2", "filter3", "filter3_retry"]
 
 
+def questions(spark: SparkSession, d: str) -> DataFrame:
+    """The first row of each question: verdicts are about a question in any language."""
+    rows = table(spark, d, "questions").select("question_id", "row_id", "book_id", "q_type", "chapters").where("question_id is not null")
+    return D.first_wins(rows, ["question_id"], "row_id").withColumnRenamed("question_id", "qid")
+
+
+def gold(spark: SparkSession, d: str) -> DataFrame:
+    return questions(spark, d).select("qid", "book_id", "q_type", F.explode_outer(F.array_distinct("chapters")).alias("chapter"))
+
+
 def verdicts(spark: SparkSession, d: str) -> DataFrame:
     """The last valid verdict of each run for each (question, chapter)."""
     rows = table(spark, d, "verdicts").withColumn("label", D.clean_label(F.col("verdict"))).where("label is not null")
@@ -231,7 +240,7 @@ def f20_verdict_quarantine(spark, d):
 
 
 _BASE = """
-q AS (SELECT question_id AS qid, book_id, q_type, chapters FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY row_id) AS r FROM questions WHERE lang = 'en') WHERE r = 1),
+q AS (SELECT question_id AS qid, book_id, q_type, chapters FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY row_id) AS r FROM questions WHERE question_id IS NOT NULL) WHERE r = 1),
 gold AS (SELECT DISTINCT qid, unnest(chapters) AS chapter FROM q),
 v AS (SELECT run_name, question_id AS qid, chapter, label FROM (SELECT *, row_number() OVER (PARTITION BY run_name, question_id, chapter ORDER BY logged_at DESC NULLS LAST, verdict_id DESC) AS r FROM
   (SELECT *, lower(trim(verdict)) AS label FROM verdicts WHERE lower(trim(verdict)) IN ('yes', 'maybe', 'no'))) WHERE r = 1),
@@ -275,7 +284,7 @@ ORACLES = {
     "a17_threshold_metrics": f"WITH {_BASE} {_THRESHOLD}",
     "a20_score_distribution": f"WITH {_BASE} SELECT t.s AS score, coalesce(n, 0) AS n, coalesce(n_gold, 0) AS n_gold, round(100 * coalesce(n, 0) / sum(coalesce(n, 0)) OVER (), 6) AS percent, round(CASE WHEN coalesce(n, 0) = 0 THEN 0 ELSE n_gold / n END, 6) AS gold_share, repeat('#', CAST(ceil(log10(coalesce(n, 0) + 1) * 10) AS INT)) AS bar FROM (SELECT unnest(range(11)) AS s) t LEFT JOIN (SELECT score, count(*) AS n, count(*) FILTER (is_gold) AS n_gold FROM scores GROUP BY score) c ON c.score = t.s",
     "a21_label_summary": f"WITH {_BASE}, l AS (SELECT run_name, label, list_sort(list(score)) AS xs, avg(score) AS m FROM joined GROUP BY ALL), c AS (SELECT run_name, label, score, count(*) AS n, row_number() OVER (PARTITION BY run_name, label ORDER BY count(*) DESC, score) AS r FROM joined GROUP BY run_name, label, score) SELECT run_name, label, len(xs) AS n_pairs, round(m, 6) AS mean, xs[len(xs) // 2 + 1] AS upper_median, xs[90 * (len(xs) - 1) // 100 + 1] AS p90, c.score AS mode, c.n AS mode_count FROM l JOIN c USING (run_name, label) WHERE r = 1",
-    "a25_crosstab": f"WITH {_BASE} SELECT run_name, label, count(*) FILTER (score = 0) AS score_0, count(*) FILTER (score = 5) AS score_5, count(*) FILTER (score = 10) AS score_10 FROM joined GROUP BY ALL",
+    "a25_crosstab": f"WITH {_BASE} SELECT run_name, label, " + ", ".join(f"count(*) FILTER (score = {i}) AS score_{i}, count(*) FILTER (score = {i} AND is_gold) AS gold_{i}" for i in range(11)) + ", count(*) AS n_total, count(*) FILTER (is_gold) AS n_gold FROM joined GROUP BY ALL",
     "a26_equivalence": f"WITH {_BASE} SELECT run_name AS rule, strict, partial, precision_micro, avg_kept FROM ({_LABEL}) WHERE scope = 'all' UNION ALL SELECT 'score>=' || threshold, strict, partial, precision_micro, avg_kept FROM ({_THRESHOLD}) WHERE scope = 'all'",
     "a27_agreement": f"WITH {_BASE} SELECT a.run_name AS run_a, b.run_name AS run_b, count(*) AS n_common, round(avg(CASE WHEN (a.label <> 'no') = (b.label <> 'no') THEN 1.0 ELSE 0.0 END), 6) AS agreement FROM v a JOIN v b ON a.qid = b.qid AND a.chapter = b.chapter AND a.run_name < b.run_name GROUP BY ALL",
     "a29_axis_diagnostics": f"WITH {_BASE}, l AS (" + " UNION ALL ".join(f"SELECT is_gold, '{a}' AS axis, {a} AS v, {' + '.join(b for b in AXES if b != a)} AS others FROM axes" for a in AXES) + ") SELECT axis, count(*) FILTER (is_gold AND v > 0) AS gold_positive, count(*) FILTER (NOT is_gold AND v > 0) AS other_positive, count(*) FILTER (is_gold AND v > 0 AND others = 0) AS lost_if_dropped, count(*) FILTER (is_gold AND others = 0) AS floor_without FROM l GROUP BY axis",

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,11 +29,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder and start a new lineage from it.
 
     The folder is the session's ``spark.checkpoint.dir``. Only where that is unset, as in tests on
-    one machine, a folder of this process is taken.
+    one machine, a folder of this process is taken; on a cluster it must be set.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix=f"lekhani-{os.getpid()}-"))
+        if not shared:
+            if not context.master.startswith("local["):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            shared = tempfile.mkdtemp(prefix=f"lekhani-{os.getpid()}-")
+            atexit.register(shutil.rmtree, shared, ignore_errors=True)
+        context.setCheckpointDir(shared)
     return df.checkpoint()
