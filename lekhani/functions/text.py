@@ -91,10 +91,17 @@ def remove_templates(text: Column) -> Column:
 def strip_citations(text: Column) -> Column:
     """Without ``[Data: …]`` marks and the blanks before them; runs of empty lines shortened."""
     text = F.regexp_replace(text, r"[ \t]*\[Data:[^\]]*\]", "")
-    text = F.regexp_replace(text, r"[ \t]+(?=\n|$)", "")
+    text = F.regexp_replace(text, r"[ \t]+(?=\n|\z)", "")
     return F.trim(F.regexp_replace(text, r"\n{3,}", "\n\n"))
 
 
+def citations(text: Column) -> Column:
+    """``[(type, id)]`` of all ``[Data: Type (1, 2); …]`` marks."""
+    groups = F.flatten(F.transform(F.regexp_extract_all(text, F.lit(r"\[Data:([^\]]*)\]"), F.lit(1)), lambda m: F.split(m, ";")))
+    typed = lambda g: F.transform(F.regexp_extract_all(g, F.lit("[0-9]+"), F.lit(0)), lambda n: F.struct(F.regexp_extract(g, r"([A-Za-z]+) *\(", 1).alias("type"), n.cast("long").alias("id")))
+    return F.flatten(F.transform(groups, typed))
+
+
 def integer_score(text: Column, highest: int, default: int | None = None) -> Column:
     """The first number of up to three digits within 0..highest, else the default (half of the highest)."""
     found = F.regexp_extract(text, r"\b(\d{1,3})\b", 1)

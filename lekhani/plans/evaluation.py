@@ -10,7 +10,9 @@ from lekhani.operators import decisions as D
 from lekhani.operators import metrics as M
 from lekhani.sources.tables import table
 
-AXES = ["filter2", "filter3", "filter3_retry"]
+RUNS = ["filter2", "filter3", "filter3_retry"]
+#: Five axes from 0 to 5: each run's own points, their mean rounded down, and the highest.
+AXES = [*RUNS, "consensus", "best"]
 
 
 def questions(spark: SparkSession, d: str) -> DataFrame:
@@ -44,9 +46,10 @@ def scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def axes(spark: SparkSession, d: str) -> DataFrame:
-    """Points of each run as an axis, 0 where it has no verdict."""
-    points = F.when(F.col("label") == "yes", 10).when(F.col("label") == "maybe", 5).otherwise(0)
-    return pairs(spark, d).groupBy("qid", "chapter", "q_type", "is_gold").agg(*(F.coalesce(F.max(F.when(F.col("run_name") == a, points)), F.lit(0)).alias(a) for a in AXES))
+    """Points of each pair on the axes, 0 where a run has no verdict."""
+    points = F.when(F.col("label") == "yes", 5).when(F.col("label") == "maybe", 3).otherwise(0)
+    own = [F.coalesce(F.max(F.when(F.col("run_name") == a, points)), F.lit(0)).alias(a) for a in RUNS]
+    return pairs(spark, d).groupBy("qid", "chapter", "q_type", "is_gold").agg(*own, F.floor(F.avg(points)).cast("int").alias("consensus"), F.max(points).alias("best"))
 
 
 def f02_label_keep(spark, d):
@@ -59,21 +62,31 @@ def a17_threshold_metrics(spark, d):
     return M.keep_metrics(rows, "threshold").withColumn("threshold", F.col("threshold").cast("long"))
 
 
-def f04_axis_sum_keep(spark, d):
-    total = F.col("filter2") + F.col("filter3") + F.col("filter3_retry")
-    rows = axes(spark, d).withColumn("threshold", F.explode(F.array(*(F.lit(t) for t in range(0, 31, 5))))).withColumn("keep", total >= F.col("threshold"))
+def _swept(spark, d, value, thresholds):
+    """Keep metrics of all questions where ``value`` reaches each threshold."""
+    rows = axes(spark, d).withColumn("threshold", F.explode(F.array(*map(F.lit, thresholds)))).withColumn("keep", value >= F.col("threshold"))
     return M.keep_metrics(rows, "threshold").where("scope = 'all'").withColumn("threshold", F.col("threshold").cast("long"))
 
 
+def _sum_of(names):
+    return sum((F.col(a) for a in names), F.lit(0))
+
+
+def f04_axis_sum_keep(spark, d):
+    return _swept(spark, d, _sum_of(AXES), range(22))
+
+
 def f05_axis_max_keep(spark, d):
-    rows = axes(spark, d).withColumn("threshold", F.explode(F.array(F.lit(5), F.lit(10)))).withColumn("keep", F.greatest(*AXES) >= F.col("threshold"))
-    return M.keep_metrics(rows, "threshold").where("scope = 'all'").withColumn("threshold", F.col("threshold").cast("long"))
+    return _swept(spark, d, F.greatest(*AXES), range(1, 6))
 
 
 def f06_axis_count_keep(spark, d):
-    nonzero = sum(((F.col(a) > 0).cast("int") for a in AXES), F.lit(0))
-    rows = axes(spark, d).withColumn("threshold", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3)))).withColumn("keep", nonzero >= F.col("threshold"))
-    return M.keep_metrics(rows, "threshold").where("scope = 'all'").withColumn("threshold", F.col("threshold").cast("long"))
+    return _swept(spark, d, sum(((F.col(a) > 0).cast("int") for a in AXES), F.lit(0)), range(1, 6))
+
+
+def f11_floor_gold(spark, d):
+    """Gold pairs without a point on any axis."""
+    return axes(spark, d).where("is_gold").where(_sum_of(AXES) == 0).select("qid", "chapter")
 
 
 def f10_low_score_gold(spark, d):
@@ -123,29 +136,46 @@ def a27_agreement(spark, d):
     )
 
 
+def _per_axis(spark, d):
+    each = (F.struct(F.lit(a).alias("axis"), F.col(a).alias("v"), _sum_of([b for b in AXES if b != a]).alias("others")) for a in AXES)
+    return axes(spark, d).select("is_gold", F.explode(F.array(*each)).alias("x")).select("is_gold", "x.*")
+
+
 def a29_axis_diagnostics(spark, d):
-    long = axes(spark, d).select("is_gold", F.explode(F.array(*(F.struct(F.lit(a).alias("axis"), F.col(a).alias("v"), (sum((F.col(b) for b in AXES if b != a), F.lit(0))).alias("others")) for a in AXES))).alias("x")).select("is_gold", "x.*")
-    return long.groupBy("axis").agg(
-        F.count_if(F.col("is_gold") & (F.col("v") > 0)).alias("gold_positive"), F.count_if(~F.col("is_gold") & (F.col("v") > 0)).alias("other_positive"),
-        F.count_if(F.col("is_gold") & (F.col("v") > 0) & (F.col("others") == 0)).alias("lost_if_dropped"), F.count_if(F.col("is_gold") & (F.col("others") == 0)).alias("floor_without"),
-    )
+    """Of each axis: pairs with a point, their noise, gold lost without it, and what a sum without it leaves."""
+    gold_, on = F.col("is_gold"), F.col("v") > 0
+    rows = _per_axis(spark, d).groupBy("axis").agg(
+        F.count_if(gold_ & on).alias("gold_positive"), F.count_if(~gold_ & on).alias("other_positive"), F.count_if(gold_ & on & (F.col("others") == 0)).alias("lost_if_dropped"),
+        F.count_if(gold_ & (F.col("others") == 0)).alias("floor_without"), F.count_if(gold_ & (F.col("others") < 5)).alias("gold_below_5_without"),
+        F.count_if(~gold_ & (F.col("others") > 0)).alias("excess_over_0_without"), F.count_if(~gold_ & (F.col("others") >= 5)).alias("excess_from_5_without"),
+    )
+    return rows.withColumn("noise_ratio", F.round(M.ratio(F.col("other_positive"), F.col("gold_positive")), 6))
+
+
+def a29_axis_distribution(spark, d):
+    """Pairs of each value of an axis, gold and others, and the least value of a gold pair."""
+    counts = _per_axis(spark, d).groupBy("axis", "is_gold", F.col("v").cast("long").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    return counts.withColumn("gold_min", F.min(F.when(F.col("is_gold"), F.col("v"))).over(Window.partitionBy("axis")))
 
 
 def a30_or_grid(spark, d):
-    """Threshold tuples ordered by excess; distinct axis vectors are counted before the grid meets them."""
+    """Threshold tuples of all five axes that catch every gold pair that any tuple catches, by excess and mean number kept.
+
+    A pair is kept where any axis reaches its threshold. Distinct axis vectors are counted before the grid meets them; there are at most 6^5.
+    """
     vectors = axes(spark, d).groupBy(*AXES).agg(F.count_if("is_gold").alias("g"), F.count_if(~F.col("is_gold")).alias("o"))
-    levels = F.array(F.lit(5), F.lit(10), F.lit(11))
     grid = spark.range(1)
     for a in AXES:
-        grid = grid.withColumn(f"t_{a}", F.explode(levels))
+        grid = grid.withColumn(f"t_{a}", F.explode(F.sequence(F.lit(1), F.lit(5))))
     caught = F.lit(False)
     for a in AXES:
         caught |= F.col(a) >= F.col(f"t_{a}")
     tuples = [f"t_{a}" for a in AXES]
-    crossed = vectors.crossJoin(F.broadcast(grid.drop("id")))  # 27 rows
-    return crossed.groupBy(*tuples).agg(F.sum(F.when(caught, F.col("g")).otherwise(0)).alias("gold_caught"), F.sum(F.when(caught, F.col("o")).otherwise(0)).alias("excess")).select(
-        *(F.col(t).cast("long").alias(t) for t in tuples), "gold_caught", "excess"
-    )
+    crossed = vectors.crossJoin(F.broadcast(grid.drop("id")))  # 3,125 rows
+    per = crossed.groupBy(*tuples).agg(F.sum(F.when(caught, F.col("g")).otherwise(0)).alias("gold_caught"), F.sum(F.when(caught, F.col("o")).otherwise(0)).alias("excess"))
+    kept = per.withColumn("most", F.max("gold_caught").over(Window.partitionBy(F.lit(1)))).where("gold_caught = most")  # at most 3,125 rows
+    order = Window.partitionBy(F.lit(1)).orderBy("excess", *tuples)
+    return kept.select(*(F.col(t).cast("long").alias(t) for t in tuples), "gold_caught", "excess", F.row_number().over(order).cast("long").alias("place"))
 
 
 def a31_lowest_gold(spark, d):
@@ -247,7 +277,7 @@ v AS (SELECT run_name, question_id AS qid, chapter, label FROM (SELECT *, row_nu
 pairs AS (SELECT v.*, q_type, EXISTS (SELECT 1 FROM gold g WHERE g.qid = v.qid AND g.chapter = v.chapter) AS is_gold FROM v JOIN q USING (qid)),
 pts AS (SELECT *, CASE label WHEN 'yes' THEN 10 WHEN 'maybe' THEN 5 ELSE 0 END AS p FROM pairs),
 scores AS (SELECT qid, chapter, q_type, is_gold, CAST(floor(sum(p) / count(*)) AS BIGINT) AS score FROM pts GROUP BY ALL),
-axes AS (SELECT qid, chapter, q_type, is_gold, coalesce(max(p) FILTER (run_name = 'filter2'), 0) AS filter2, coalesce(max(p) FILTER (run_name = 'filter3'), 0) AS filter3, coalesce(max(p) FILTER (run_name = 'filter3_retry'), 0) AS filter3_retry FROM pts GROUP BY ALL),
+axes AS (SELECT qid, chapter, q_type, is_gold, coalesce(max(v) FILTER (run_name = 'filter2'), 0) AS filter2, coalesce(max(v) FILTER (run_name = 'filter3'), 0) AS filter3, coalesce(max(v) FILTER (run_name = 'filter3_retry'), 0) AS filter3_retry, CAST(floor(avg(v)) AS INT) AS consensus, max(v) AS best FROM (SELECT *, CASE label WHEN 'yes' THEN 5 WHEN 'maybe' THEN 3 ELSE 0 END AS v FROM pairs) GROUP BY ALL),
 joined AS (SELECT s.qid, s.chapter, s.score, s.is_gold, v.run_name, v.label FROM scores s JOIN v USING (qid, chapter)),
 ga AS (SELECT question_id, lang, answer AS gold_answer, q_type, chapters FROM (SELECT *, row_number() OVER (PARTITION BY question_id, lang ORDER BY row_id) AS r FROM questions) WHERE r = 1),
 ea AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run_name, question_id, lang ORDER BY logged_at DESC NULLS LAST, answer_id DESC) AS r FROM extract_answers) WHERE r = 1),
@@ -262,6 +292,7 @@ _KEEP = lambda rows, extra: f"""SELECT {extra}, scope, count(*) AS n_questions,
 _LABEL = _KEEP("SELECT *, CASE WHEN run_name = 'filter2' THEN label = 'yes' ELSE label <> 'no' END AS keep FROM pairs", "run_name")
 _THRESHOLD = _KEEP("SELECT *, score >= threshold AS keep FROM scores CROSS JOIN (SELECT unnest(range(1, 11)) AS threshold)", "threshold")
 _AXIS = lambda expr, ts: "SELECT * FROM (" + _KEEP(f"SELECT *, {expr} >= threshold AS keep FROM axes CROSS JOIN (SELECT unnest({ts}::BIGINT[]) AS threshold)", "threshold") + ") WHERE scope = 'all'"
+_PER_AXIS = "l AS (" + " UNION ALL ".join(f"SELECT is_gold, '{a}' AS axis, {a} AS v, {' + '.join(b for b in AXES if b != a)} AS others FROM axes" for a in AXES) + ")"
 _DUEL = "duel AS (SELECT a.model AS model_a, b.model AS model_b, a.verdict AS verdict_a, b.verdict AS verdict_b, a.used AS used_a, b.used AS used_b, a.gold AS gold_a, b.gold AS gold_b FROM judged a JOIN judged b ON a.qid = b.qid AND a.run_lang = b.run_lang AND a.model < b.model)"
 _RANK = lambda c: f"CASE {c} WHEN 'correct' THEN 2 WHEN 'partial' THEN 1 ELSE 0 END"
 _EXCEPT = lambda a, b: f"len(list_filter({a}, lambda x: NOT list_contains({b}, x)))"
@@ -270,15 +301,16 @@ _W = "CASE verdict WHEN 'correct' THEN 1.0 WHEN 'partial' THEN 0.5 ELSE 0.0 END"
 QUERIES = {
     f.__name__: f
     for f in (
-        f02_label_keep, f04_axis_sum_keep, f05_axis_max_keep, f06_axis_count_keep, f10_low_score_gold, f20_verdict_quarantine, a17_threshold_metrics, a20_score_distribution, a21_label_summary, a25_crosstab, a26_equivalence,
-        a27_agreement, a29_axis_diagnostics, a30_or_grid, a31_lowest_gold, a32_accuracy, a33_answer_retrieval, a34_agreement_matrix, a35_disagreement, a36_model_report, a39_completeness, c02_open_pairs, u01_run_sets,
+        f02_label_keep, f04_axis_sum_keep, f05_axis_max_keep, f06_axis_count_keep, f10_low_score_gold, f11_floor_gold, f20_verdict_quarantine, a17_threshold_metrics, a20_score_distribution, a21_label_summary, a25_crosstab, a26_equivalence,
+        a27_agreement, a29_axis_diagnostics, a29_axis_distribution, a30_or_grid, a31_lowest_gold, a32_accuracy, a33_answer_retrieval, a34_agreement_matrix, a35_disagreement, a36_model_report, a39_completeness, c02_open_pairs, u01_run_sets,
     )
 }
 ORACLES = {
     "f02_label_keep": f"WITH {_BASE} {_LABEL}",
-    "f04_axis_sum_keep": f"WITH {_BASE} " + _AXIS("filter2 + filter3 + filter3_retry", list(range(0, 31, 5))),
-    "f05_axis_max_keep": f"WITH {_BASE} " + _AXIS("greatest(filter2, filter3, filter3_retry)", [5, 10]),
-    "f06_axis_count_keep": f"WITH {_BASE} " + _AXIS("(CAST(filter2 > 0 AS INT) + CAST(filter3 > 0 AS INT) + CAST(filter3_retry > 0 AS INT))", [1, 2, 3]),
+    "f04_axis_sum_keep": f"WITH {_BASE} " + _AXIS(" + ".join(AXES), list(range(22))),
+    "f05_axis_max_keep": f"WITH {_BASE} " + _AXIS("greatest(" + ", ".join(AXES) + ")", list(range(1, 6))),
+    "f06_axis_count_keep": f"WITH {_BASE} " + _AXIS("(" + " + ".join(f"CAST({a} > 0 AS INT)" for a in AXES) + ")", list(range(1, 6))),
+    "f11_floor_gold": f"WITH {_BASE} SELECT qid, chapter FROM axes WHERE is_gold AND {' + '.join(AXES)} = 0",
     "f10_low_score_gold": f"WITH {_BASE} SELECT qid, chapter, score FROM scores WHERE is_gold AND score <= 3",
     "f20_verdict_quarantine": "SELECT run_name, CASE WHEN verdict IS NULL THEN 'null' WHEN trim(verdict) = '' THEN 'blank' WHEN lower(trim(verdict)) IN ('yes', 'maybe', 'no') THEN 'valid' ELSE 'unknown' END AS state, count(*) AS n FROM verdicts GROUP BY ALL",
     "a17_threshold_metrics": f"WITH {_BASE} {_THRESHOLD}",
@@ -287,8 +319,9 @@ ORACLES = {
     "a25_crosstab": f"WITH {_BASE} SELECT run_name, label, " + ", ".join(f"count(*) FILTER (score = {i}) AS score_{i}, count(*) FILTER (score = {i} AND is_gold) AS gold_{i}" for i in range(11)) + ", count(*) AS n_total, count(*) FILTER (is_gold) AS n_gold FROM joined GROUP BY ALL",
     "a26_equivalence": f"WITH {_BASE} SELECT run_name AS rule, strict, partial, precision_micro, avg_kept FROM ({_LABEL}) WHERE scope = 'all' UNION ALL SELECT 'score>=' || threshold, strict, partial, precision_micro, avg_kept FROM ({_THRESHOLD}) WHERE scope = 'all'",
     "a27_agreement": f"WITH {_BASE} SELECT a.run_name AS run_a, b.run_name AS run_b, count(*) AS n_common, round(avg(CASE WHEN (a.label <> 'no') = (b.label <> 'no') THEN 1.0 ELSE 0.0 END), 6) AS agreement FROM v a JOIN v b ON a.qid = b.qid AND a.chapter = b.chapter AND a.run_name < b.run_name GROUP BY ALL",
-    "a29_axis_diagnostics": f"WITH {_BASE}, l AS (" + " UNION ALL ".join(f"SELECT is_gold, '{a}' AS axis, {a} AS v, {' + '.join(b for b in AXES if b != a)} AS others FROM axes" for a in AXES) + ") SELECT axis, count(*) FILTER (is_gold AND v > 0) AS gold_positive, count(*) FILTER (NOT is_gold AND v > 0) AS other_positive, count(*) FILTER (is_gold AND v > 0 AND others = 0) AS lost_if_dropped, count(*) FILTER (is_gold AND others = 0) AS floor_without FROM l GROUP BY axis",
-    "a30_or_grid": f"WITH {_BASE}, t AS (SELECT unnest([5, 10, 11]::BIGINT[]) AS x) SELECT a.x AS t_filter2, b.x AS t_filter3, c.x AS t_filter3_retry, count(*) FILTER (is_gold AND (filter2 >= a.x OR filter3 >= b.x OR filter3_retry >= c.x)) AS gold_caught, count(*) FILTER (NOT is_gold AND (filter2 >= a.x OR filter3 >= b.x OR filter3_retry >= c.x)) AS excess FROM axes, t a, t b, t c GROUP BY ALL",
+    "a29_axis_diagnostics": f"WITH {_BASE}, {_PER_AXIS} SELECT *, round(CASE WHEN gold_positive = 0 THEN 0 ELSE other_positive / gold_positive END, 6) AS noise_ratio FROM (SELECT axis, count(*) FILTER (is_gold AND v > 0) AS gold_positive, count(*) FILTER (NOT is_gold AND v > 0) AS other_positive, count(*) FILTER (is_gold AND v > 0 AND others = 0) AS lost_if_dropped, count(*) FILTER (is_gold AND others = 0) AS floor_without, count(*) FILTER (is_gold AND others < 5) AS gold_below_5_without, count(*) FILTER (NOT is_gold AND others > 0) AS excess_over_0_without, count(*) FILTER (NOT is_gold AND others >= 5) AS excess_from_5_without FROM l GROUP BY axis)",
+    "a29_axis_distribution": f"WITH {_BASE}, {_PER_AXIS} SELECT axis, is_gold, CAST(v AS BIGINT) AS v, count(*) AS n, CAST(min(CASE WHEN is_gold THEN v END) OVER (PARTITION BY axis) AS BIGINT) AS gold_min FROM l GROUP BY axis, is_gold, v",
+    "a30_or_grid": f"WITH {_BASE}, t AS (SELECT unnest(range(1, 6)) AS x), vec AS (SELECT {', '.join(AXES)}, count(*) FILTER (is_gold) AS g, count(*) FILTER (NOT is_gold) AS o FROM axes GROUP BY ALL), grid AS (SELECT " + ", ".join(f"t{i}.x AS t_{a}" for i, a in enumerate(AXES)) + " FROM " + ", ".join(f"t t{i}" for i in range(5)) + "), c AS (SELECT " + ", ".join(f"t_{a}" for a in AXES) + ", CAST(sum(CASE WHEN hit THEN g ELSE 0 END) AS BIGINT) AS gold_caught, CAST(sum(CASE WHEN hit THEN o ELSE 0 END) AS BIGINT) AS excess FROM (SELECT *, " + " OR ".join(f"{a} >= t_{a}" for a in AXES) + " AS hit FROM vec, grid) GROUP BY ALL) SELECT *, row_number() OVER (ORDER BY excess, " + ", ".join(f"t_{a}" for a in AXES) + ") AS place FROM c WHERE gold_caught = (SELECT max(gold_caught) FROM c)",
     "a31_lowest_gold": f"WITH {_BASE} SELECT qid, chapter, score FROM scores WHERE is_gold ORDER BY score, qid, chapter LIMIT 20",
     "a32_accuracy": f"WITH {_BASE} SELECT run_name, scope, count(*) FILTER (verdict = 'correct') AS correct, count(*) FILTER (verdict = 'partial') AS partial, count(*) FILTER (verdict = 'incorrect') AS incorrect, round(avg({_W}), 6) AS weighted FROM (SELECT *, unnest(['all', q_type]) AS scope FROM judged) GROUP BY ALL",
     "a33_answer_retrieval": f"WITH {_BASE} SELECT run_name, round(avg(CASE WHEN {_EXCEPT('gold', 'used')} = 0 THEN 1.0 ELSE 0.0 END), 6) AS strict_recall, round(avg(CASE WHEN len(used) > 0 THEN len(list_intersect(used, gold)) / len(used) ELSE 0 END), 6) AS precision_macro_zero FROM judged WHERE len(gold) > 0 GROUP BY run_name",
