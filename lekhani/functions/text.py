@@ -92,7 +92,7 @@ def strip_citations(text: Column) -> Column:
     """Without ``[Data: …]`` marks and the blanks before them; runs of empty lines shortened."""
     text = F.regexp_replace(text, r"[ \t]*\[Data:[^\]]*\]", "")
     text = F.regexp_replace(text, r"[ \t]+(?=\n|\z)", "")
-    return F.trim(F.regexp_replace(text, r"\n{3,}", "\n\n"))
+    return F.regexp_replace(F.regexp_replace(text, r"\n{3,}", "\n\n"), r"^[\s　 ]+|[\s　 ]+\z", "")
 
 
 def citations(text: Column) -> Column:

@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lekhani.plans import corpus, evaluation, retrieval
+from lekhani.plans import corpus, enrichment, evaluation, retrieval
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = (retrieval, evaluation, corpus)
+MODULES = (retrieval, evaluation, corpus, enrichment)
 
 
 def entry(spark: SparkSession, directory: str) -> DataFrame:

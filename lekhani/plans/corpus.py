@@ -397,7 +397,7 @@ ORACLES = {
     "xp45_titles": "SELECT rec_id, book_id, coalesce(CASE WHEN trim(response.translated_title) <> '' THEN trim(response.translated_title) END, CASE WHEN trim(response.translation) <> '' THEN trim(response.translation) END, 'Untitled') AS title FROM translations WHERE chapter = 0 AND segment = 0",
     "w06_prior_summaries": "SELECT rec_id, md5(coalesce(string_agg(s, chr(10)) OVER w, '')) AS context, count(*) OVER w AS n_prior FROM (SELECT *, response.summary AS s FROM translations WHERE chapter > 0 AND trim(response.summary) <> '') WINDOW w AS (PARTITION BY book_id, target_lang ORDER BY chapter, segment, rec_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)",
     "c10_rate_limit_all": "SELECT event_id, n AS n_recent, n < 60 AS may_call FROM (SELECT event_id, count(*) OVER (ORDER BY ts RANGE BETWEEN INTERVAL 62 SECONDS PRECEDING AND CURRENT ROW) AS n FROM events)",
-    "xp24_citations_stripped": f"WITH {_CITING} SELECT row_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(t, '[ \\t]*\\[Data:[^\\]]*\\]', '', 'g'), '[ \\t]+(\\n|$)', '\\1', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'))) AS digest FROM citing",
+    "xp24_citations_stripped": f"WITH {_CITING} SELECT row_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '[ \\t]*\\[Data:[^\\]]*\\]', '', 'g'), '[ \\t]+(\\n|$)', '\\1', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), '^[\\s\u3000\u00a0]+|[\\s\u3000\u00a0]+$', '', 'g')) AS digest FROM citing",
     "xp31_decoded": f"SELECT doc_id, md5(replace(replace(replace(replace(replace({_esc('text')}, '&quot;', chr(34)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '&#039;', chr(39))) AS digest, md5(regexp_replace(text, '^[^:]*:', '')) AS rest FROM documents WHERE text IS NOT NULL",
     "w10_line_packing": f"WITH RECURSIVE l AS (SELECT rec_id, {_NB} AS ls FROM translations), f AS (SELECT rec_id, ls, 1 AS i, 0 AS block, length(ls[1]) + 1 AS size, 1 AS n, len(ls) = 1 OR length(ls[1]) + length(ls[2]) + 2 >= 200 AS closed FROM l WHERE len(ls) > 0 UNION ALL SELECT rec_id, ls, i + 1, CASE WHEN closed THEN block + 1 ELSE block END, CASE WHEN closed THEN 0 ELSE size END + length(ls[i + 1]) + 1, CASE WHEN closed THEN 0 ELSE n END + 1, i + 1 = len(ls) OR CASE WHEN closed THEN 0 ELSE size END + length(ls[i + 1]) + 1 + length(ls[i + 2]) + 1 >= 200 FROM f WHERE i < len(ls)) SELECT rec_id, CAST(block AS BIGINT) AS block, CAST(size AS BIGINT) AS size, CAST(n AS BIGINT) AS n FROM f WHERE closed",
     "w09_batches": "SELECT book_id, b AS batch, count(*) AS n, min(work_id) AS first_id, max(work_id) AS last_id FROM (SELECT book_id, work_id, (row_number() OVER (PARTITION BY book_id ORDER BY work_id) - 1) // 30 AS b FROM noun_work) GROUP BY ALL",
