@@ -281,6 +281,7 @@ ORACLES = {
     "c03_open_segments": f"WITH r AS {_TRANSLATED} SELECT w.book_id, chapter, segment, target_lang FROM (SELECT DISTINCT book_id, chapter, segment FROM r) w JOIN (SELECT DISTINCT book_id, target_lang FROM r) l ON w.book_id = l.book_id EXCEPT SELECT book_id, chapter, segment, target_lang FROM r",
     "c04_open_anchors": "SELECT * FROM (SELECT DISTINCT book_id, anchor_id, unnest(['en', 'ja', 'hi', 'bn']) AS lang FROM questions WHERE anchor_id IS NOT NULL) w WHERE NOT EXISTS (SELECT 1 FROM questions x WHERE x.book_id = w.book_id AND x.anchor_id = w.anchor_id AND x.lang = w.lang)",
     "mo10_noun_batches": f"WITH n AS (SELECT DISTINCT target_lang, unnest(map_keys(proper_nouns)) AS noun FROM noun_work WHERE target_lang IS NOT NULL), b AS (SELECT target_lang, target_lang || '|' || noun AS item, (row_number() OVER (PARTITION BY target_lang ORDER BY noun) - 1) // 30 AS batch FROM n WHERE trim(noun) <> ''), f AS (SELECT *, first_value(item) OVER (PARTITION BY target_lang, batch ORDER BY item) AS head FROM b) SELECT item, substr(sha256(item), 1, 8) AS response FROM f WHERE {_n('head')} % 5 <> 0",
+    "mo12_embedded": f"SELECT doc_id, CASE WHEN len(toks) > 0 THEN 1.0 ELSE 0.0 END AS squared, CAST(len(list_distinct(list_transform(toks, lambda w: CAST('0x' || substr(sha256(w), 1, 4) AS INT) % 64))) AS BIGINT) AS n_used FROM {P.tokens_sql('(SELECT * FROM documents WHERE text IS NOT NULL)', 'doc_id')}",
     "xp48_histories": "SELECT book_id, anchor_id, 2 * count(*) AS n_turns, count(*) // 4 AS completed, md5(string_agg('user: ' || coalesce(question, '') || chr(10) || 'model: ' || coalesce(answer, ''), chr(10) ORDER BY row_id)) AS digest FROM questions WHERE anchor_id IS NOT NULL GROUP BY ALL",
     "xp46_language_pairs": "SELECT book_id, upper(s[1]) || substr(s, 2) AS source, upper(t[1]) || substr(t, 2) AS target FROM (SELECT book_id, lower(trim(arg_min(source_lang, rec_id))) AS s, lower(trim(arg_min(target_lang, rec_id))) AS t FROM translations WHERE trim(source_lang) <> '' AND trim(target_lang) <> '' GROUP BY book_id)",
     "f16_numbered_lines": "SELECT rec_id, len(list_filter(l, lambda x: NOT contains(trim(x, ' '), ' '))) = 0 AS has_blanks, len(l) AS n_lines FROM (SELECT rec_id, list_filter(string_split(response.translation, chr(10)), lambda x: trim(x, ' ') <> '') AS l FROM translations WHERE response.translation IS NOT NULL)",
