@@ -16,6 +16,10 @@ ties need no rule, very long values are read whole, further columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,6 +43,8 @@ LEAST_SEEN = 3
 #: A last word is only begun where, after the same word, longer words with this beginning are so many times as frequent.
 LONGER = 3
 KINDS = ("five", "gap", "three", "wild", "one")
+#: Bits of the bitmap of contexts that are asked for.
+BITS = 1 << 24
 
 
 def fields(df: DataFrame, names: dict[str, Column], key: str, source: str) -> DataFrame:
@@ -139,13 +145,39 @@ def _places(ends: DataFrame, key: str) -> DataFrame:
     )
 
 
-def context_counts(places: DataFrame) -> DataFrame:
-    """``h, n, marked, bare``: how often a context occurs, is closed by a mark, and ends a line without one."""
-    contexts = places.select(F.get("tokens", F.col("at") + 1).alias("next"), _contexts(F.col("at"), F.col("tokens")).alias("contexts"))
-    marked = F.coalesce(F.col("next").rlike(f"^(?:{FINAL}|…|;|；)$"), F.lit(False)).cast("int")
-    bare = (F.col("next").isNull() | (F.col("next") == "\n")).cast("int")
-    rows = contexts.select(marked.alias("marked"), bare.alias("bare"), F.inline("contexts"))
-    return rows.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.sum("marked").alias("marked"), F.sum("bare").alias("bare"))
+def _bits(hashes: DataFrame) -> np.ndarray:
+    """A bitmap of a fixed size of the places that hashes have in it."""
+    place = F.pmod("h", F.lit(BITS))
+    words = hashes.select(F.floor(place / 32).cast("int").alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), (place % 32).cast("int")).alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
+    rows = words.toPandas()  # at most BITS / 32 rows
+    out = np.zeros(BITS // 32, dtype=np.int64)
+    out[rows.w.to_numpy(dtype=np.int64)] = rows.b.to_numpy(dtype=np.int64)
+    return out
+
+
+def context_counts(places: DataFrame, asked: DataFrame) -> DataFrame:
+    """``h, n, marked, bare`` of the contexts ``asked(h)``: how often one occurs, is closed by a mark, and ends a line without one.
+
+    Contexts that nobody asks for are left out before the shuffle by a bitmap; those that slip through meet no row later.
+    """
+    marked = F.coalesce(F.col("next").rlike(f"^(?:{FINAL}|…|;|；)$"), F.lit(False))
+    bare = F.col("next").isNull() | (F.col("next") == "\n")
+    contexts = _contexts(F.col("at"), F.col("tokens"))
+    rows = places.withColumn("next", F.get("tokens", F.col("at") + 1)).select(F.transform(contexts, lambda c: c["h"]).alias("h"), marked.alias("marked"), bare.alias("bare"))
+    shared = places.sparkSession.sparkContext.broadcast(_bits(asked))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
+        for batch in batches:
+            h = batch.column("h").flatten().to_numpy(zero_copy_only=False)
+            place = h % BITS
+            row = np.repeat(np.arange(batch.num_rows), len(h) // max(1, batch.num_rows))
+            kept = np.flatnonzero(bits[place // 32] >> (place % 32) & 1)
+            of = pa.array(row[kept])
+            yield pa.RecordBatch.from_arrays([pa.array(h[kept]), batch.column("marked").take(of), batch.column("bare").take(of)], ["h", "marked", "bare"])
+
+    kept = rows.mapInArrow(run, "h long, marked boolean, bare boolean")
+    return kept.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.count_if("marked").alias("marked"), F.count_if("bare").alias("bare"))
 
 
 def longer_counts(places: DataFrame, asked: DataFrame) -> DataFrame:
@@ -176,9 +208,9 @@ def find_cut(values: DataFrame, key: str) -> DataFrame:
     )
     places = _places(ends, key)
     open_ends = ends.where("not marked and not lost").select(key, "field_name", F.coalesce("rest", _tail(F.col("tokens"))).alias("tail"))
+    asked = open_ends.select(key, "field_name", F.inline(_contexts(F.size("tail") - 1, F.col("tail"))))
     looked_up = (
-        open_ends.select(key, "field_name", F.inline(_contexts(F.size("tail") - 1, F.col("tail"))))
-        .join(context_counts(places), "h", "left")
+        asked.join(context_counts(places, asked.select("h")), "h", "left")
         .groupBy(key, "field_name")
         .pivot("kind", list(KINDS))
         .agg(F.first("n").alias("n"), F.first("marked").alias("marked"), F.first("bare").alias("bare"))
