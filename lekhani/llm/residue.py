@@ -59,15 +59,23 @@ GROUP = re.compile(
 )
 MAYBE_GROUP = re.compile(r"[{<\[$%#@_＿~^\\|]|[a-z][A-Z]|[A-Z]{3}|undefined|null|nil|None|N/A")
 
-# Signs of trusted records by script, of messages and of filler.
-TRUSTED_WORDS = re.compile(
-    r"\b[45]\d\d:? (?:not found|forbidden|bad gateway|internal server error|service unavailable|too many requests|gateway timeout)\b"
-    r"|^(?:please|kindly|you need)\b.*\b(?:javascript|scripts?|scripting|cookies?)\b|\bbrowser\W*$|^(?:the|this) page\b.*\bnot\b|^(?:the )?connection was\b|^we (?:can[’']t|cannot|could not)\b|\bto be (?:written|added)\b|^access denied|^your session|^traceback|^\W*error\W*\b(?:code\b|\{)|\bquota\b"
-    r"|^(?:lorem ipsum|todo|coming soon)\b|^(?:dummy|sample|body|filler|placeholder) (?:text|line|paragraph|sentence)\b|\b(?:translation|text) to follow\b"
-    r"|[^\x00-ɏ].*(?:javascript|cookie)|^cookie[^\x00-ɏ]"
-    r"|ブラウザ|ページ(?:は|を表示)|ログイン|スクリプトが|サーバーが|エラーが|接続|削除された|ダミー|本文が入|後で記入"
-    r"|ब्राउज़र|पृष्ठ (?:नहीं|को)|सत्र|स्क्रिप्ट|सर्वर|संपर्क|हटा दिया|(?:यहाँ|नमूना) पाठ|बाद में जोड़ा"
-    r"|ব্রাউজার|পাতাটি খুঁজে পাওয়া যায়নি|লগ ইন|স্ক্রিপ্ট|সার্ভার|সংযোগ|মুছে ফেলা|নমুনা|এখানে লেখা|পরে যোগ"
+# Signs of trusted records, of messages and of filler: how a passage begins, what it holds together with a
+# word that is looked for first, and stems in other scripts.
+TRUSTED_START = re.compile(
+    r"(?:please|kindly|you need)\b.*\b(?:javascript|scripts?|scripting|cookies?)\b|(?:the|this) page\b.*\bnot\b|(?:the )?connection was\b|we (?:can[’']t|cannot|could not)\b|access denied|your session|traceback"
+    r"|\W*error\W*\b(?:code\b|\{)|(?:lorem ipsum|todo|coming soon)\b|(?:dummy|sample|body|filler|placeholder) (?:text|line|paragraph|sentence)\b"
+)
+TRUSTED_WITHIN = [
+    (word, re.compile(pattern))
+    for word, pattern in (
+        ("not found", r"\b4\d\d:? not found\b"), ("forbidden", r"\b4\d\d:? forbidden\b"), ("too many", r"\b4\d\d:? too many requests\b"), ("bad gateway", r"\b5\d\d:? bad gateway\b"),
+        ("internal", r"\b5\d\d:? internal server error\b"), ("unavailable", r"\b5\d\d:? service unavailable\b"), ("timeout", r"\b5\d\d:? gateway timeout\b"),
+        ("browser", r"\bbrowser\W*$"), ("to be ", r"\bto be (?:written|added)\b"), ("quota", r"\bquota\b"), ("to follow", r"\b(?:translation|text) to follow\b"),
+    )
+]
+TRUSTED_STEMS = (
+    "javascript cookie ブラウザ ページは ページを表示 ログイン スクリプトが サーバーが エラーが 接続 削除された ダミー 本文が入 後で記入 ब्राउज़र सत्र स्क्रिप्ट सर्वर संपर्क ব্রাউজার স্ক্রিপ্ট সার্ভার সংযোগ নমুনা".split()
+    + ["पृष्ठ नहीं", "पृष्ठ को", "हटा दिया", "यहाँ पाठ", "नमूना पाठ", "बाद में जोड़ा", "পাতাটি খুঁজে পাওয়া যায়নি", "লগ ইন", "মুছে ফেলা", "এখানে লেখা", "পরে যোগ"]
 )
 # Trusted groups of marks, placeholders and empty values.
 TRUSTED_GROUP = re.compile(r"\{\{.*\}\}$|\$\{.*\}$|%[sd]$|_{3,}$|\[object Object\]$|(?:undefined|NaN|#[A-Z]+!)$|\[(?:insert|यहाँ|এখানে|ここ)")
@@ -77,7 +85,11 @@ Trust = Callable[[str, bool], bool]
 
 def trusted(passage: str, is_group: bool) -> bool:
     """Whether a passage of lower case, or a group of marks, is a sure sign."""
-    return bool(TRUSTED_GROUP.match(passage) if is_group else TRUSTED_WORDS.search(passage) or REPEATED.match(passage))
+    if is_group:
+        return bool(TRUSTED_GROUP.match(passage))
+    if TRUSTED_START.match(passage) or REPEATED.match(passage) or any(word in passage and pattern.search(passage) for word, pattern in TRUSTED_WITHIN):
+        return True
+    return max(passage) > "\u0900" and any(stem in passage for stem in TRUSTED_STEMS)
 
 
 def passages(text: str) -> list[str]:
