@@ -101,22 +101,35 @@ def script(word: str) -> int:
     return LATIN if c < "ऀ" else DEVANAGARI if c < "ঀ" else BENGALI if c < "਀" else KANA if "぀" <= c <= "鿿" else OTHER
 
 
+class Words(dict):
+    """Script and features of a word, pairs of characters for spaceless script; the table is emptied before it grows large."""
+
+    def __missing__(self, w: str) -> tuple[int, list[str]]:
+        if len(self) > 200_000:
+            self.clear()
+        if w[0].isdigit():
+            own = (-1, ["#code"])
+        elif (s := script(w)) == KANA and not "゠" <= w[0] <= "ヿ":
+            own = (s, [w] if len(w) == 1 else [w[i : i + 2] for i in range(len(w) - 1)])
+        else:
+            own = (s, [w])
+        self[w] = own
+        return own
+
+
+KNOWN_WORDS = Words()
+
+
 def word_features(low: str) -> tuple[list[str], int]:
-    """Words of a sentence in lower case, spaceless script in pairs, and the script: of most words that aren't Latin, if there are any."""
-    out, counts = [], [0] * 6
+    """Words of a sentence in lower case, and its script: of most words that aren't Latin, if there are any."""
+    out, counts = [], [0] * 7
     for w in WORD.findall(low):
-        if w[0].isdigit():
-            out.append("#code")
-            continue
-        s = script(w)
+        s, own = KNOWN_WORDS[w]
         counts[s] += len(w)
-        if s == KANA and not "゠" <= w[0] <= "ヿ":
-            out += [w] if len(w) == 1 else [w[i : i + 2] for i in range(len(w) - 1)]
-        else:
-            out.append(w)
+        out += own
     if REPEATED.match(low):
         out.append("#repeat")
-    rest = max(counts[1:])
+    rest = max(counts[1:6])
     return out, counts.index(rest, 1) if rest else LATIN
 
 
