@@ -15,7 +15,7 @@ from lekhani.operators import decisions as D
 from lekhani.operators import graph as G
 from lekhani.operators import ordering as O
 from lekhani.plans.retrieval import QUESTIONS_SQL, UNITS_SQL, prose, questions, tokens_sql, units
-from lekhani.sources.tables import table
+from lekhani.sources.tables import spread, table
 
 LANGS = ["bengali", "english", "hindi", "japanese"]
 HEADING = "^## "
@@ -55,7 +55,7 @@ def s11_latest_work(spark, d):
 
 def p01_token_counts(spark, d):
     t = X.tokens(F.col("text"))
-    return _documents(spark, d).select("doc_id", F.size(t).cast("long").alias("n_tokens"), F.size(F.array_distinct(t)).cast("long").alias("n_distinct"))
+    return spread(_documents(spark, d)).select("doc_id", F.size(t).cast("long").alias("n_tokens"), F.size(F.array_distinct(t)).cast("long").alias("n_distinct"))
 
 
 def p03_blocks(spark, d):
@@ -192,7 +192,7 @@ def w10_line_packing(spark, d):
 
 def g06_chunks(spark, d):
     tokens = X.tokens(F.col("text"), keep_stopwords=True)
-    rows = _documents(spark, d).select("doc_id", tokens.alias("tokens")).where("size(tokens) > 0")
+    rows = spread(_documents(spark, d)).select("doc_id", tokens.alias("tokens")).where("size(tokens) > 0")
     return rows.select("doc_id", F.posexplode(C.chunks(F.col("tokens"), 60, 10)).alias("chunk", "words")).select("doc_id", F.col("chunk").cast("long").alias("chunk"), F.size("words").cast("long").alias("n_tokens"))
 
 

@@ -10,7 +10,7 @@ from lekhani.operators import decisions as D
 from lekhani.operators import metrics as M
 from lekhani.operators import retrieval as R
 from lekhani.session import cut_lineage
-from lekhani.sources.tables import table
+from lekhani.sources.tables import spread, table
 
 KS, CURVE = [5, 10], [1, 2, 3, 4, 5, 7, 10, 15, 20, 30, 82]
 TAUS = [float(x) for x in range(0, 40, 2)]
@@ -50,7 +50,7 @@ def asked_terms(spark: SparkSession, d: str) -> DataFrame:
 
 
 def posted_units(spark: SparkSession, d: str) -> DataFrame:
-    return R.postings(units(spark, d), tokens(F.col("text")), *KEYS)
+    return R.postings(spread(units(spark, d)), tokens(F.col("text")), *KEYS)
 
 
 def _placed(spark: SparkSession, d: str, scored: DataFrame) -> DataFrame:
@@ -335,7 +335,7 @@ def w05_early_stop(spark, d):
 def _line_scores(spark, d):
     """``qid, book_id, unit_ix, line_no, chapter, score`` for all lines of the units of a question's book and language."""
     lines = units(spark, d).select("unit_ix", *KEYS, "chapter", F.posexplode(non_blank_lines(F.col("text"))).alias("p", "text")).select((F.col("unit_ix") * LINES + F.col("p") + 1).alias("line_id"), "unit_ix", *KEYS, "chapter", (F.col("p") + 1).cast("long").alias("line_no"), "text")
-    posted = R.postings(lines.withColumnRenamed("unit_ix", "of_unit").withColumnRenamed("line_id", "unit_ix"), tokens(F.col("text")), *KEYS)
+    posted = R.postings(spread(lines).withColumnRenamed("unit_ix", "of_unit").withColumnRenamed("line_id", "unit_ix"), tokens(F.col("text")), *KEYS)
     scored = R.cosine_of(posted, asked_terms(spark, d), KEYS).select("qid", F.col("unit_ix").alias("line_id"), "score")
     every = questions(spark, d).select("qid", *KEYS).join(lines.drop("text"), KEYS)
     return every.join(scored, ["qid", "line_id"], "left").fillna(0.0, ["score"]).select("qid", "book_id", "unit_ix", "line_no", "chapter", "score")
