@@ -61,7 +61,7 @@ def p18_hit_maps(spark, d):
     place = F.row_number().over(Window.partitionBy(*P.KEYS, "chapter").orderBy("unit_ix"))
     placed = P.units(spark, d).select("unit_ix", place.alias("scene"))
     rows = _hits(spark, d).join(placed, "unit_ix").select("qid", "rank", F.concat_ws(":", F.col("chapter").cast("string"), F.col("scene").cast("string")).alias("key"), "score")
-    return rows.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "key", "score"))).alias("h")).select("qid", F.array_join(F.transform("h", lambda x: x["key"]), ",").alias("hits"), F.round(F.aggregate("h", F.lit(0.0), lambda s, x: s + x["score"]), 4).alias("total"))
+    return rows.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "key", "score"))).alias("h")).select("qid", F.array_join(F.transform("h", lambda x: x["key"]), ",").alias("hits"), F.aggregate("h", F.lit(0).cast("long"), lambda s, x: s + F.round(x["score"] * 1_000_000).cast("long")).alias("millionths"))
 
 
 def q15_answers(spark, d):
@@ -271,7 +271,7 @@ ORACLES = {
     "r19_scores": f"{_ASKED} SELECT qid, chapter, CAST(CASE WHEN n % 13 > 10 THEN 5 ELSE n % 13 END AS BIGINT) AS score FROM ask",
     "r19_axes": f"{_ASKED}, ax AS (SELECT qid, chapter, " + ", ".join(f"{_AX(i)} AS {a}" for i, a in enumerate("fecrt")) + " FROM ask) SELECT qid, chapter, " + ", ".join(f"CAST(CASE WHEN greatest(f, e, c, r, t) > 5 THEN 0 ELSE {a} END AS BIGINT) AS {a}" for a in "fecrt") + " FROM ax",
     "r20_extracts": f"{_ASKED} SELECT qid, chapter, 'It says ' || substr(sha256(p), 1, 12) || '.' AS extract FROM ask WHERE n % 4 <> 0",
-    "xp18_hit_maps": f"WITH {_B}, u2 AS (SELECT unit_ix, row_number() OVER (PARTITION BY book_id, lang, chapter ORDER BY unit_ix) AS scene FROM units) SELECT qid, string_agg(chapter || ':' || scene, ',' ORDER BY rank) AS hits, round(sum(score), 4) AS total FROM bm25 JOIN u2 USING (unit_ix) WHERE rank <= 5 GROUP BY qid",
+    "xp18_hit_maps": f"WITH {_B}, u2 AS (SELECT unit_ix, row_number() OVER (PARTITION BY book_id, lang, chapter ORDER BY unit_ix) AS scene FROM units) SELECT qid, string_agg(chapter || ':' || scene, ',' ORDER BY rank) AS hits, CAST(sum(CAST(round(score * 1000000) AS BIGINT)) AS BIGINT) AS millionths FROM bm25 JOIN u2 USING (unit_ix) WHERE rank <= 5 GROUP BY qid",
     "q15_answers": f"WITH {_B}, u2 AS (SELECT *, row_number() OVER (PARTITION BY book_id, lang, chapter ORDER BY unit_ix) AS scene FROM units), nr AS (SELECT DISTINCT h.qid, n.unit_ix, n.chapter, n.scene, n.text FROM bm25 h JOIN u2 a ON a.unit_ix = h.unit_ix JOIN u2 n ON n.book_id = a.book_id AND n.lang = a.lang AND n.chapter = a.chapter AND n.scene BETWEEN a.scene - 1 AND a.scene + 1 WHERE h.rank <= 5), cx AS (SELECT qid, count(*) AS n_units, string_agg('[Chapter ' || chapter || ', Scene ' || scene || ' — ' || unit_ix || ']' || chr(10) || trim(text, ' '), chr(10) || chr(10) ORDER BY unit_ix) AS ctx FROM nr GROUP BY qid) SELECT qid, n_units, substr(sha256(concat_ws(chr(10) || chr(10), 'Answer in the language ' || lang || ' from the context alone.', 'Question: ' || text, 'Context:' || chr(10) || ctx)), 1, 16) AS answer FROM cx JOIN q USING (qid)",
     "mo04_judgements": f"WITH g AS (SELECT question_id, lang, question, answer AS expected FROM (SELECT *, row_number() OVER (PARTITION BY question_id, lang ORDER BY row_id) AS r FROM questions) WHERE r = 1), p AS (SELECT answer_id, concat_ws(chr(10) || chr(10), 'Compare the answer with the expected one.', 'Question: ' || question, 'Expected: ' || expected, 'Answer: ' || e.answer) AS p FROM extract_answers e JOIN g USING (question_id, lang) WHERE e.answer IS NOT NULL AND expected IS NOT NULL) SELECT answer_id, ['correct', 'partial', 'incorrect'][n % 3 + 1] AS verdict, substr(sha256(p), 1, 10 + n % 30) AS reason FROM (SELECT *, {_n('p')} AS n FROM p) WHERE 10 + n % 30 >= 20",
     "mo06_segments": f"WITH t AS (SELECT doc_id, text, len(string_split(text, chr(10))) AS n, {_n('text')} AS k FROM documents WHERE text IS NOT NULL), b AS (SELECT doc_id, n, CASE WHEN n >= 25 AND k % 5 <> 0 THEN list_filter([1 + k % 40, 1 + k % 17], lambda x: x > 1 AND x <= n) ELSE [] END AS g FROM t), c AS (SELECT doc_id, n, CASE WHEN n < 25 THEN 'whole' WHEN len(g) > 0 THEN 'model' ELSE 'halves' END AS policy, CASE WHEN n < 25 THEN [] WHEN len(g) > 0 THEN g ELSE [n // 2 + 1] END AS st FROM b), s AS (SELECT DISTINCT doc_id, n, policy, unnest(list_concat([1], st)) AS x FROM c) SELECT doc_id, policy, CAST(x AS BIGINT) AS start_line, CAST(lead(x, 1, n + 1) OVER (PARTITION BY doc_id ORDER BY x) - 1 AS BIGINT) AS end_line FROM s",
