@@ -125,13 +125,11 @@ def _tokens(value: Column) -> Column:
     return F.regexp_extract_all(digits, F.lit(TOKEN), F.lit(0))
 
 
-def _contexts(at: Column, tokens: Column) -> Column:
+def _contexts(at: Column, tokens: Column) -> dict[str, Column]:
     """Hashes of the words before and at place ``at``: five, five but the middle one, three, the two before, the last."""
     word = [F.coalesce(F.get(tokens, at - back), F.lit("^")) for back in range(5)]
     made = {"five": [4, 3, 2, 1, 0], "gap": [4, 3, 1, 0], "three": [2, 1, 0], "wild": [2, 1], "one": [0]}
-    return F.array(
-        *(F.struct(F.lit(kind).alias("kind"), F.xxhash64(F.lit(kind), *(word[k] for k in back)).alias("h")) for kind, back in made.items())
-    )
+    return {kind: F.xxhash64(F.lit(kind), *(word[k] for k in back)) for kind, back in made.items()}
 
 
 def _places(ends: DataFrame, key: str) -> DataFrame:
@@ -163,7 +161,7 @@ def context_counts(places: DataFrame, asked: DataFrame) -> DataFrame:
     marked = F.coalesce(F.col("next").rlike(f"^(?:{FINAL}|…|;|；)$"), F.lit(False))
     bare = F.col("next").isNull() | (F.col("next") == "\n")
     contexts = _contexts(F.col("at"), F.col("tokens"))
-    rows = places.withColumn("next", F.get("tokens", F.col("at") + 1)).select(F.transform(contexts, lambda c: c["h"]).alias("h"), marked.alias("marked"), bare.alias("bare"))
+    rows = places.withColumn("next", F.get("tokens", F.col("at") + 1)).select(F.array(*contexts.values()).alias("h"), marked.alias("marked"), bare.alias("bare"))
     shared = places.sparkSession.sparkContext.broadcast(_bits(asked))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,7 +206,7 @@ def find_cut(values: DataFrame, key: str) -> DataFrame:
     )
     places = _places(ends, key)
     open_ends = ends.where("not marked and not lost").select(key, "field_name", F.coalesce("rest", _tail(F.col("tokens"))).alias("tail"))
-    asked = open_ends.select(key, "field_name", F.inline(_contexts(F.size("tail") - 1, F.col("tail"))))
+    asked = open_ends.select(key, "field_name", F.inline(F.array(*(F.struct(F.lit(k).alias("kind"), h.alias("h")) for k, h in _contexts(F.size("tail") - 1, F.col("tail")).items()))))
     looked_up = (
         asked.join(context_counts(places, asked.select("h")), "h", "left")
         .groupBy(key, "field_name")
