@@ -23,7 +23,7 @@ def pending(inputs: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def enrich(inputs: DataFrame, keys: list[str], prompt: str, call: Call = stub, retries: int = 3, valid: Callable[[str], bool] = bool, default: str | None = None) -> DataFrame:
-    """``keys, response, status, attempts``; a failure that stays has status ``failed`` and the default.
+    """``keys, response, status, attempts, error``; a failure that stays has status ``failed``, the default, and the last reason.
 
     A null prompt is not sent and fails. Exceptions count as failed attempts. Rows keep their partition, so
     rows that were ordered for a model's cache stay so.
@@ -31,24 +31,27 @@ def enrich(inputs: DataFrame, keys: list[str], prompt: str, call: Call = stub, r
     kinds = dict(inputs.dtypes)
     names = list(keys)
 
-    def ask(text: str | None) -> tuple[str | None, str, int]:
+    def ask(text: str | None) -> tuple[str | None, str, int, str | None]:
         if text is None:
-            return default, "failed", 0
+            return default, "failed", 0, "no prompt"
+        reason = None
         for attempt in range(1, retries + 1):
             try:
                 answer = call(text)
-            except Exception:  # noqa: BLE001
+            except Exception as error:  # noqa: BLE001
+                reason = f"{type(error).__name__}: {error}"
                 continue
             if valid(answer):
-                return answer, "ok", attempt
-        return default, "failed", retries
+                return answer, "ok", attempt, None
+            reason = "invalid answer"
+        return default, "failed", retries, reason
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             made = [ask(None if pd.isna(p) else p) for p in batch["__prompt"]]
-            yield batch[names].assign(response=[m[0] for m in made], status=[m[1] for m in made], attempts=[m[2] for m in made])
+            yield batch[names].assign(response=[m[0] for m in made], status=[m[1] for m in made], attempts=[m[2] for m in made], error=[m[3] for m in made])
 
-    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", response string, status string, attempts int"
+    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", response string, status string, attempts int, error string"
     return inputs.select(*keys, F.col(prompt).alias("__prompt")).mapInPandas(run, schema)
 
 

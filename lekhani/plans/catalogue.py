@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lekhani.plans import corpus, enrichment, evaluation, markup, retrieval
+from lekhani.plans import corpus, enrichment, evaluation, markup, reports, retrieval
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = (retrieval, evaluation, corpus, enrichment, markup)
+MODULES = (retrieval, evaluation, corpus, enrichment, markup, reports)
 
 
 def entry(spark: SparkSession, directory: str) -> DataFrame:

@@ -242,6 +242,16 @@ def a37_length_classes(spark, d):
     return lines.groupBy((F.floor(F.col("n") / 5) * 5).alias("bin"), kind.alias("kind")).agg(F.count(F.lit(1)).alias("n_documents"))
 
 
+def a37_chapter_stats(spark, d):
+    """Lines with content of a book's chapters: their number, least, most and mean, and chapters below 30, below 80 and from 80 lines on."""
+    n = F.size(X.non_blank_lines(F.col("text")))
+    chapters = prose(spark, d).groupBy("book_id", "chapter").agg(F.sum(n).alias("n"))
+    return chapters.groupBy("book_id").agg(
+        F.count(F.lit(1)).alias("n_chapters"), F.min("n").alias("least"), F.max("n").alias("most"), F.round(F.avg("n"), 6).alias("mean"),
+        F.count_if(F.col("n") < 30).alias("short"), F.count_if(F.col("n").between(30, 79)).alias("medium"), F.count_if(F.col("n") >= 80).alias("long"),
+    )
+
+
 def a40_answer_tally(spark, d):
     empty = F.col("answer").isNull() | F.trim("answer").isin("", "None")
     return table(spark, d, "extract_answers").groupBy("run_name").agg(F.count_if(empty).alias("n_empty"), F.count_if(~empty).alias("n_answered"))
@@ -361,7 +371,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         s04_chapter_scan, s09_dictionary_long, s10_dictionary_pairs, k03_dictionary_wide, s11_latest_work, w06_prior_summaries, w09_batches, w10_line_packing, g06_chunks, g01_term_components, a38_effective_terms,
-        j07_parts, j13_window_overlap, j14_question_documents, j22_dictionary_merge, a37_length_classes, a40_answer_tally, a42_run_ids, f16_response_checks, c01_open_questions, c05_turns, c10_rate_limit, c10_rate_limit_all,
+        j07_parts, j13_window_overlap, j14_question_documents, j22_dictionary_merge, a37_length_classes, a37_chapter_stats, a40_answer_tally, a42_run_ids, f16_response_checks, c01_open_questions, c05_turns, c10_rate_limit, c10_rate_limit_all,
         t01_hourly_events, t02_sliding_events, t03_sessions, x01_event_properties, j01_nation_revenue, a05_rollup, r23_lineage, a15_length_histogram, xp10_prompts, r21_ceiling_context, t04_first_books, u03_first_records,
     )
 } | {
@@ -409,6 +419,7 @@ ORACLES = {
     "j14_question_documents": f"WITH {_QS}, {_UNITS}, g AS (SELECT DISTINCT qid, lang, book_id, unnest(chapters) AS chapter FROM q) SELECT qid, count(unit_ix) AS n_units FROM g LEFT JOIN units USING (book_id, lang, chapter) GROUP BY qid",
     "j22_dictionary_merge": f"WITH w AS (SELECT work_id, regexp_extract(lower(trim(source_lang)), '^[a-z]+') AS source, regexp_extract(lower(trim(target_lang)), '^[a-z]+') AS target, unnest(map_entries(proper_nouns)) AS e FROM noun_work), n AS (SELECT source, target, e.key AS term, e.value AS value, row_number() OVER (PARTITION BY source, target, e.key ORDER BY work_id DESC, e.value DESC) AS r FROM w WHERE trim(e.value) <> '' AND source IN {tuple(LANGS)} AND target IN {tuple(LANGS)}), o AS (SELECT source, target, term, min(value) AS value FROM ({_PAIRS}) GROUP BY ALL) SELECT source, target, term, coalesce(n.value, o.value) AS value, CAST(CASE WHEN n.term IS NULL THEN 1 ELSE 2 END AS BIGINT) AS origin FROM o FULL JOIN (SELECT * FROM n WHERE r = 1) n USING (source, target, term)",
     "a37_length_classes": f"WITH {_LINES} SELECT n // 5 * 5 AS bin, CASE WHEN n < 5 THEN 'short' WHEN n < 12 THEN 'medium' ELSE 'long' END AS kind, count(*) AS n_documents FROM (SELECT doc_id, count(*) FILTER (trim(line) <> '') AS n FROM lines GROUP BY doc_id) GROUP BY ALL",
+    "a37_chapter_stats": f"WITH {_PROSE}, c AS (SELECT book_id, chapter, sum(len(list_filter(string_split(text, chr(10)), lambda x: trim(x, ' ') <> ''))) AS n FROM units GROUP BY ALL) SELECT book_id, count(*) AS n_chapters, CAST(min(n) AS BIGINT) AS least, CAST(max(n) AS BIGINT) AS most, round(avg(n), 6) AS mean, count(*) FILTER (n < 30) AS short, count(*) FILTER (n BETWEEN 30 AND 79) AS medium, count(*) FILTER (n >= 80) AS long FROM c GROUP BY book_id",
     "a40_answer_tally": "SELECT run_name, count(*) FILTER (answer IS NULL OR trim(answer) IN ('', 'None')) AS n_empty, count(*) FILTER (NOT (answer IS NULL OR trim(answer) IN ('', 'None'))) AS n_answered FROM extract_answers GROUP BY run_name",
     "a42_run_ids": "SELECT run_name, row_number() OVER (ORDER BY min(verdict_id)) AS run_id FROM verdicts GROUP BY run_name",
     "f16_response_checks": "SELECT run_name, CASE WHEN coalesce(trim(response.translation), '') = '' THEN 'no_translation' WHEN response.summary IS NULL THEN 'no_summary' WHEN length(response.summary) <= 3 * length(response.translation) THEN 'ok' ELSE 'too_long' END AS state, count(*) AS n FROM translations GROUP BY ALL",

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lekhani.functions.text import chapter_of
 from lekhani.operators import decisions as D
 from lekhani.operators import metrics as M
+from lekhani.operators import models as Mo
 from lekhani.sources.tables import table
 
 RUNS = ["filter2", "filter3", "filter3_retry"]
@@ -221,7 +222,9 @@ def _duel(spark, d):
 
 def a34_agreement_matrix(spark, d):
     flat = _duel(spark, d).select(F.col("a.model").alias("model_a"), F.col("b.model").alias("model_b"), F.col("a.verdict").alias("verdict_a"), F.col("b.verdict").alias("verdict_b"))
-    return flat.groupBy("model_a", "model_b", "verdict_a").pivot("verdict_b", ["correct", "partial", "incorrect"]).agg(F.count(F.lit(1))).fillna(0)
+    sides = flat.select("model_a", "model_b", F.explode(F.array("verdict_a", F.lit("total"))).alias("verdict_a"), "verdict_b")
+    counts = (F.count_if(F.col("verdict_b") == v).alias(v) for v in Mo.VERDICTS)
+    return sides.groupBy("model_a", "model_b", "verdict_a").agg(*counts, F.count(F.lit(1)).alias("total"))
 
 
 def a35_disagreement(spark, d):
@@ -325,7 +328,7 @@ ORACLES = {
     "a31_lowest_gold": f"WITH {_BASE} SELECT qid, chapter, score FROM scores WHERE is_gold ORDER BY score, qid, chapter LIMIT 20",
     "a32_accuracy": f"WITH {_BASE} SELECT run_name, scope, count(*) FILTER (verdict = 'correct') AS correct, count(*) FILTER (verdict = 'partial') AS partial, count(*) FILTER (verdict = 'incorrect') AS incorrect, round(avg({_W}), 6) AS weighted FROM (SELECT *, unnest(['all', q_type]) AS scope FROM judged) GROUP BY ALL",
     "a33_answer_retrieval": f"WITH {_BASE} SELECT run_name, round(avg(CASE WHEN {_EXCEPT('gold', 'used')} = 0 THEN 1.0 ELSE 0.0 END), 6) AS strict_recall, round(avg(CASE WHEN len(used) > 0 THEN len(list_intersect(used, gold)) / len(used) ELSE 0 END), 6) AS precision_macro_zero FROM judged WHERE len(gold) > 0 GROUP BY run_name",
-    "a34_agreement_matrix": f"WITH {_BASE}, {_DUEL} SELECT model_a, model_b, verdict_a, count(*) FILTER (verdict_b = 'correct') AS correct, count(*) FILTER (verdict_b = 'partial') AS partial, count(*) FILTER (verdict_b = 'incorrect') AS incorrect FROM duel GROUP BY ALL",
+    "a34_agreement_matrix": f"WITH {_BASE}, {_DUEL} SELECT model_a, model_b, verdict_a, count(*) FILTER (verdict_b = 'correct') AS correct, count(*) FILTER (verdict_b = 'partial') AS partial, count(*) FILTER (verdict_b = 'incorrect') AS incorrect, count(*) AS total FROM (SELECT model_a, model_b, unnest([verdict_a, 'total']) AS verdict_a, verdict_b FROM duel) GROUP BY ALL",
     "a35_disagreement": f"WITH {_BASE}, {_DUEL}, r AS (SELECT *, {_RANK('verdict_a')} AS ra, {_RANK('verdict_b')} AS rb FROM duel) SELECT CASE WHEN ra > rb THEN model_a ELSE model_b END AS winner, CASE WHEN ra > rb THEN model_b ELSE model_a END AS loser, CASE WHEN (CASE WHEN ra > rb THEN {_EXCEPT('gold_b', 'used_b')} ELSE {_EXCEPT('gold_a', 'used_a')} END) > 0 THEN 'missed_context' ELSE 'synthesis' END AS loss, count(*) AS n_questions FROM r WHERE ra <> rb GROUP BY ALL",
     "a36_model_report": f"WITH {_BASE} SELECT model, " + ", ".join(f"coalesce(printf('%.3f', round(avg({_W}) FILTER (run_lang = '{x}'), 6)), '—') AS {x}" for x in ("en", "ja", "hi", "bn")) + " FROM judged GROUP BY model",
     "a39_completeness": f"WITH {_BASE}, w AS (SELECT book_id, count(*) AS n_questions FROM q GROUP BY book_id), h AS (SELECT run_name, book_id, chapter, count(DISTINCT question_id) AS n_held FROM verdicts GROUP BY ALL) SELECT run_name, book_id, count(*) AS n_chapters, count(*) FILTER (n_held >= n_questions) AS n_complete, bool_and(n_held >= n_questions) AS complete FROM h JOIN w USING (book_id) GROUP BY ALL",

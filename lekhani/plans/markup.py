@@ -135,5 +135,7 @@ ORACLES = {
     "j17_redirects": f"WITH {_PG} SELECT a.id, b.id AS target FROM pg a JOIN pg b ON a.redirect = b.title",
     "xp28_plain_wikitext": r"SELECT doc_id, length(regexp_replace(regexp_replace(text, '\{\{(?:[^{}]|\{[^{}]|\}[^{}])*\}\}', '', 'g'), '[\s\x{3000}]+', '', 'g')) AS n_signs FROM documents WHERE text IS NOT NULL",
     "xp32_sections": f"WITH {_LINES}, i AS (SELECT *, sum(CAST(regexp_matches(line, '^#+ ') AS INT)) OVER (PARTITION BY doc_id ORDER BY line_no) AS section FROM lines) SELECT doc_id, CAST(section AS BIGINT) AS section, max(CASE WHEN regexp_matches(line, '^#+ ') THEN trim(regexp_extract(line, '^#+ (.*)$', 1), ' ') END) AS title, count(*) FILTER (NOT regexp_matches(line, '^#+ ')) AS n_lines FROM i WHERE section > 0 GROUP BY doc_id, section",
+    "xp33_headings": f"WITH {_LINES}, h AS (SELECT doc_id, trim(regexp_extract(line, '^#+ (.*)$', 1), ' ') AS heading, min(line_no) AS first FROM lines WHERE regexp_matches(line, '^#+ [^=]*$') GROUP BY ALL) SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY first) - 1 AS place, heading FROM h",
+    "a41_templates": f"WITH {_PG}, t AS (SELECT regexp_replace(title, '^[^:]*:', '') AS name, text, regexp_replace(redirect, '^[^:]*:', '') AS target FROM pg WHERE is_template), b AS (SELECT name, CASE WHEN regexp_extract(x, '(?s)<onlyinclude>(.*?)</onlyinclude>', 1) <> '' THEN regexp_extract(x, '(?s)<onlyinclude>(.*?)</onlyinclude>', 1) ELSE regexp_replace(regexp_replace(regexp_replace(x, '(?s)<noinclude>.*?</noinclude>', '', 'g'), '(?s)<noinclude>.*', '', 'g'), '</?includeonly>', '', 'g') END AS body FROM (SELECT name, replace(replace(replace(replace(replace(text, '&quot;', chr(34)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '&#039;', chr(39)) AS x FROM t)), c AS (SELECT name, replace(replace(body, chr(10), '<br>'), chr(9), ' ') AS body FROM b), l AS (SELECT t.name, coalesce(a.body, c.body) AS body FROM t JOIN c ON c.name = t.name LEFT JOIN c a ON a.name = t.target) SELECT name, md5(body) AS digest FROM l",
     "xp43_safe_names": "SELECT DISTINCT run_name, run_name || '_a_b' AS file FROM verdicts",
 }

@@ -11,12 +11,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from lekhani.operators.ordering import numbered
+
 
 def numbered_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """``line_no`` (from 1, over non-blank lines of each file) and the record's fields; broken lines have null fields."""
-    lines = spark.read.text(path, wholetext=True).select(F.filter(F.split("value", "\r?\n"), lambda x: F.trim(x) != "").alias("lines"))
-    rows = lines.select(F.posexplode("lines").alias("p", "line"))
-    return rows.select((F.col("p") + 1).cast("long").alias("line_no"), F.from_json("line", schema).alias("r")).select("line_no", "r.*")
+    """``line_no`` (from 1, over non-blank lines of each file) and the record's fields; broken lines have null fields.
+
+    Files are read in blocks; a line's number comes from its block and its place there, so no file is one row.
+    """
+    placed = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"), F.regexp_replace("value", "\r$", "").alias("line")).where("trim(line) <> ''")
+    rows = numbered(placed, ["file"], ["block", "place"], "line_no")
+    return rows.select("line_no", F.from_json("line", schema).alias("r")).select("line_no", "r.*")
 
 
 def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
