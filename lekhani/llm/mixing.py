@@ -99,28 +99,30 @@ def mix(lengths: DataFrame, targets: DataFrame, key: str, total: float | None =
     plan = F.broadcast(spark.createDataFrame(rows, "source string, goal double, whole int, missing double, n_buckets int"))  # a row for each source
     hashed = named.join(plan, "source").where("n_tokens <= goal").withColumn("h", F.xxhash64(F.lit(seed), key))
     fits = (F.col("n_tokens") <= F.col("missing")) & (F.col("n_tokens") > 0)
-    hashed = hashed.withColumn("bucket", F.when(fits, F.pmod("h", "n_buckets").cast("int")))
-    sums = hashed.where("bucket is not null").groupBy("source", "bucket", "missing").agg(F.sum("n_tokens").alias("held"))
+    # documents that don't fit spread over keys below 0, which meet no bucket
+    part_of = F.pmod("h", "n_buckets").cast("int")
+    hashed = hashed.withColumn("bucket", F.when(fits, part_of).otherwise(-1 - part_of))
+    sums = hashed.where("bucket >= 0").groupBy("source", "bucket", "missing").agg(F.sum("n_tokens").alias("held"))
     # the buckets of a source are as many as its documents by BUCKET_ROWS; their sums are small, the rows stay where they are
     upto = sums.withColumn("upto", F.sum("held").over(Window.partitionBy("source").orderBy("bucket")))
-    inside, border = upto.where("upto <= missing"), upto.where("upto > missing and upto - held < missing").withColumn("room", F.col("missing") - (F.col("upto") - F.col("held")))
-    by_bucket = hashed.join(inside.select("source", "bucket", F.lit(1).alias("extra")), ["source", "bucket"], "left")
-    kind = dict(lengths.dtypes)[key]
+    room = F.when((F.col("upto") > F.col("missing")) & (F.col("upto") - F.col("held") < F.col("missing")), F.col("missing") - (F.col("upto") - F.col("held")))
+    cut = upto.select("source", "bucket", (F.col("upto") <= F.col("missing")).cast("int").alias("extra"), room.alias("room"))
+    placed = hashed.join(cut, ["source", "bucket"], "left").select(key, "source", "n_tokens", "h", "whole", F.coalesce("extra", F.lit(0)).alias("extra"), "room")
+    kind, size = dict(lengths.dtypes)[key], dict(lengths.dtypes)["n_tokens"]
 
     def cross(batch: pd.DataFrame) -> pd.DataFrame:
         order = batch.sort_values(["h", key], ignore_index=True)
-        return order[walk(order["n_tokens"].to_numpy(), float(order["room"].iloc[0]))].assign(crossed=1)[["source", key, "crossed"]]
+        taken_here = walk(order["n_tokens"].to_numpy(), float(order["room"].iloc[0]))
+        return order.assign(extra=taken_here.astype(int))[[key, "source", "n_tokens", "whole", "extra"]]
 
-    at_border = (
-        hashed.join(F.broadcast(border.select("source", "bucket", "room")), ["source", "bucket"])  # a row for each source
-        .select(key, "source", "n_tokens", "h", "room").groupBy("source").applyInPandas(cross, f"source string, `{key}` {kind}, crossed int")
-    )
+    # one bucket of a source is walked through, all others are taken or left whole
+    columns = [key, "source", "n_tokens", "whole", "extra"]
+    walked = placed.where("room is not null").groupBy("source").applyInPandas(cross, f"`{key}` {kind}, source string, n_tokens {size}, whole int, extra int")
     mixture = (
-        by_bucket.join(at_border, ["source", key], "left")
-        .withColumn("repeats", F.col("whole") + F.coalesce("extra", F.lit(0)) + F.coalesce("crossed", F.lit(0)))
+        placed.where("room is null").select(*columns).unionByName(walked)
+        .select(key, "source", "n_tokens", (F.col("whole") + F.col("extra")).alias("repeats"))
         .where("repeats > 0")
-        .select(key, "source", "n_tokens", "repeats")
-    )
+    )
     used = mixture.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("tokens_used"), F.max("repeats").alias("most_repeats"))
     held = named.groupBy("source").agg(F.count(F.lit(1)).alias("n_documents"), F.sum("n_tokens").alias("tokens_held"))
     everything = F.sum("tokens_used").over(Window.partitionBy(F.lit(1)))  # a row for each source

@@ -1,5 +1,6 @@
 """The training-text operators on small tables with nulls, blanks, ties, repeats, odd columns and no rows."""
 
+import math
 import random
 from collections import defaultdict
 
@@ -156,3 +157,26 @@ def test_residue_finds_what_no_sign_was_given_for(spark):
     want = {k for k, _ in rows if k >= 10_000}
     unseen = {k for k, t in rows if k >= 10_000 and not t.startswith("Please") and "{{" not in t and "<" not in t}
     assert not got - want and len(got & unseen) / len(unseen) >= 0.9
+
+
+def test_mixture_walks_past_large_documents(spark):
+    rows = [(0, "a", 9000), *((i, "a", 90 + i) for i in range(1, 21)), *((100 + i, "b", 50) for i in range(200)), (100, "b", 50)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, n_tokens int")
+    targets = spark.createDataFrame([("a", 0.4, 4), ("b", 0.6, 1)], "source string, target_share double, max_repeats int")
+    mixture, shares = mixing.mix(df, targets, "doc_id")
+    got = {r.source: r for r in shares.collect()}
+    assert abs(got["a"].reached_share - 0.4) < 0.01 and got["a"].most_repeats == 4 and 0 not in {r.doc_id for r in mixture.collect()}
+    assert sum(r.n_tokens * r.repeats for r in mixture.collect() if r.source == "b") <= 50 * 201
+    # beyond the caps: b is clamped, a takes what b lacks
+    filled = {r.source: r for r in mixing.mix(df, targets, "doc_id", math.inf)[1].collect()}
+    assert filled["b"].tokens_used == 50 * 201 and abs(filled["a"].planned_share + filled["b"].planned_share - 1) < 1e-9
+
+
+def test_packing_fills_bundles(spark):
+    random.seed(8)
+    df = spark.createDataFrame([(i, random.randint(5, 60)) for i in range(4000)], "doc_id long, n_tokens int").withColumn("level", F.lit(1)).withColumn("capacity", F.lit(1))
+    sizes = spark.createDataFrame([(1, "l", 2048)], "size_id int, size_name string, capacity_tokens int")
+    packed = packing.pack(df, "doc_id", sizes)
+    row = packing.unused(packed, sizes).first()
+    assert row.pattern_share > 0.8 and row.unused_share < 0.03
+    assert packed.count() == 4000 and packed.groupBy("container").agg(F.sum("n_tokens").alias("n")).where("n > 2048").count() == 0
