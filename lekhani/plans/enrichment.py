@@ -244,6 +244,45 @@ def q11_markdown(spark, d):
     return books.select("book_id", "target_lang", "mode", F.md5("text").alias("digest"), F.length("text").cast("long").alias("n_chars"))
 
 
+def mo08_scene_titles(spark, d):
+    """A title for each translated segment that has none in its record yet."""
+    rows = table(spark, d, "translations").where("segment > 0 and trim(response.translation) <> '' and coalesce(trim(response.translated_title), '') = ''")
+    prompt = Mo.prompt_of("Give the scene a title.", F.col("response.translation"))
+    return Mo.call(rows.select("rec_id", "response"), ["rec_id"], prompt, E.stub).select("rec_id", F.col("response").alias("title"))
+
+
+def mo09_sessions(spark, d):
+    """Questions of an anchor as turns of one session: each answer depends on all turns before it, which are replayed as the history."""
+    rows = table(spark, d, "questions").where("anchor_id is not null").select("book_id", "anchor_id", "row_id", F.coalesce("question", F.lit("")).alias("q"))
+    turns = F.transform(F.array_sort(F.collect_list(F.struct("row_id", "q"))), lambda t: t["q"])
+    say = lambda history, q: F.substring(F.sha2(F.concat(history, q), 256), 1, 16)
+    start = F.struct(F.lit("").alias("history"), F.expr("cast(array() as array<string>)").alias("said"))
+    fold = F.aggregate(turns, start, lambda acc, q: F.struct(F.concat(acc["history"], q, F.lit("\n"), say(acc["history"], q), F.lit("\n")).alias("history"), F.concat(acc["said"], F.array(say(acc["history"], q))).alias("said")))
+    said = rows.groupBy("book_id", "anchor_id").agg(fold["said"].alias("said"))
+    return said.select("book_id", "anchor_id", F.posexplode("said").alias("turn", "answer")).select("book_id", "anchor_id", F.col("turn").cast("long").alias("turn"), "answer")
+
+
+def r22_replayed(spark, d):
+    """The chapters that an earlier run had expanded, pinned again: units and characters of the context of each answer."""
+    asked = D.first_wins(table(spark, d, "questions").select("question_id", "lang", "book_id", "row_id"), ["question_id", "lang"], "row_id")
+    runs = table(spark, d, "extract_answers").where("size(expanded) > 0").select("answer_id", "question_id", "lang", F.explode(F.array_distinct(F.transform("expanded", X.chapter_of))).alias("chapter"))
+    held = runs.join(asked, ["question_id", "lang"]).join(P.units(spark, d), [*P.KEYS, "chapter"], "left")
+    return held.groupBy("answer_id").agg(F.count("unit_ix").alias("n_units"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n_chars"))
+
+
+def p15_reference_contexts(spark, d):
+    """Texts of the chapters that a question cites, as the reference of its translation."""
+    cited = P.questions(spark, d).select("qid", *P.KEYS, F.explode(F.array_distinct("chapters")).alias("chapter"))
+    rows = cited.join(_chapters(spark, d), [*P.KEYS, "chapter"]).groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chapter", "context"))), lambda c: c["context"]), "\n\n").alias("text"))
+    return rows.select("qid", F.md5("text").alias("digest"), F.length("text").cast("long").alias("n_chars"))
+
+
+def f08_kept_answers(spark, d):
+    """Answers that say something: not blank and not the word None."""
+    kept = table(spark, d, "extract_answers").where("answer is not null").where(~F.trim("answer").isin("", "None"))
+    return kept.select("answer_id", F.trim("answer").alias("answer"))
+
+
 # the same in DuckDB's SQL
 _B = P._BASE
 _n = lambda p: f"CAST('0x' || substr(sha256({p}), 1, 4) AS INT)"
@@ -263,6 +302,7 @@ QUERIES = {
     for f in (
         r19_labels, r19_scores, r19_axes, r20_extracts, p18_hit_maps, q15_answers, mo04_judgements, mo06_segments, mo07_translations, c06_titles, f19_next_chapters, c03_open_segments, c04_open_anchors,
         mo10_noun_batches, mo12_embedded, p48_histories, p46_language_pairs, f16_numbered_lines, j08_missing_gold, j10_judged_runs, g02_duplicate_groups, q10_unique_vectors, q11_markdown,
+        mo08_scene_titles, mo09_sessions, r22_replayed, p15_reference_contexts, f08_kept_answers,
     )
 }
 QUERIES = {(f"x{n}" if n[0] == "p" else n): f for n, f in QUERIES.items()}
@@ -287,6 +327,11 @@ ORACLES = {
     "f16_numbered_lines": "SELECT rec_id, len(list_filter(l, lambda x: NOT contains(trim(x, ' '), ' '))) = 0 AS has_blanks, len(l) AS n_lines FROM (SELECT rec_id, list_filter(string_split(response.translation, chr(10)), lambda x: trim(x, ' ') <> '') AS l FROM translations WHERE response.translation IS NOT NULL)",
     "j08_missing_gold": f"WITH {P.UNITS_SQL}, {P.QUESTIONS_SQL}, g AS (SELECT DISTINCT qid, book_id, lang, unnest(chapters) AS chapter FROM q) SELECT qid, chapter FROM g WHERE NOT EXISTS (SELECT 1 FROM units u WHERE u.book_id = g.book_id AND u.lang = g.lang AND u.chapter = g.chapter)",
     "j10_judged_runs": "SELECT run_name, count(DISTINCT question_id) AS n_questions FROM verdicts WHERE question_id IN (SELECT question_id FROM extract_answers) GROUP BY run_name",
+    "mo08_scene_titles": "SELECT rec_id, substr(sha256(concat_ws(chr(10) || chr(10), 'Give the scene a title.', response.translation)), 1, 16) AS title FROM translations WHERE segment > 0 AND trim(response.translation) <> '' AND coalesce(trim(response.translated_title), '') = ''",
+    "mo09_sessions": "WITH RECURSIVE o AS (SELECT book_id, anchor_id, coalesce(question, '') AS q, row_number() OVER (PARTITION BY book_id, anchor_id ORDER BY row_id) - 1 AS turn FROM questions WHERE anchor_id IS NOT NULL), f AS (SELECT book_id, anchor_id, turn, substr(sha256(q), 1, 16) AS answer, q || chr(10) || substr(sha256(q), 1, 16) || chr(10) AS h FROM o WHERE turn = 0 UNION ALL SELECT o.book_id, o.anchor_id, o.turn, substr(sha256(h || q), 1, 16), h || q || chr(10) || substr(sha256(h || q), 1, 16) || chr(10) FROM f JOIN o ON o.book_id = f.book_id AND o.anchor_id = f.anchor_id AND o.turn = f.turn + 1) SELECT book_id, anchor_id, turn, answer FROM f",
+    "r22_replayed": f"WITH {P.UNITS_SQL}, a AS (SELECT question_id, lang, book_id FROM (SELECT *, row_number() OVER (PARTITION BY question_id, lang ORDER BY row_id) AS r FROM questions) WHERE r = 1), x AS (SELECT DISTINCT answer_id, book_id, e.lang, CAST(split_part(unnest(expanded), ':', 1) AS INT) AS chapter FROM extract_answers e JOIN a USING (question_id, lang)) SELECT answer_id, count(unit_ix) AS n_units, CAST(coalesce(sum(length(text)), 0) AS BIGINT) AS n_chars FROM x LEFT JOIN units USING (book_id, lang, chapter) GROUP BY answer_id",
+    "xp15_reference_contexts": f"WITH {P.UNITS_SQL}, {P.QUESTIONS_SQL}, {_CH}, g AS (SELECT DISTINCT qid, book_id, lang, unnest(chapters) AS chapter FROM q), t AS (SELECT qid, string_agg(ctx, chr(10) || chr(10) ORDER BY chapter) AS t FROM g JOIN ch USING (book_id, lang, chapter) GROUP BY qid) SELECT qid, md5(t) AS digest, length(t) AS n_chars FROM t",
+    "f08_kept_answers": "SELECT answer_id, trim(answer, ' ') AS answer FROM extract_answers WHERE answer IS NOT NULL AND trim(answer, ' ') NOT IN ('', 'None')",
     "g02_duplicate_groups": f"WITH {_PAIRS} SELECT * FROM comp",
     "q10_unique_vectors": f"WITH {_PAIRS} SELECT count(*) AS n_vectors, count(DISTINCT component) AS n_unique FROM comp",
     "q11_markdown": "WITH r AS (SELECT book_id, target_lang, chapter, segment, rec_id, trim(coalesce(response.translation, ''), ' ') AS t, trim(coalesce(response.summary, ''), ' ') AS s FROM translations WHERE chapter > 0), m AS (SELECT *, unnest([{'mode': 'translation', 'body': t}, {'mode': 'summary', 'body': s}, {'mode': 'full', 'body': '> ' || s || chr(10) || chr(10) || t}], recursive := true) FROM r), c AS (SELECT book_id, target_lang, mode, chapter, '## Chapter ' || chapter || chr(10) || chr(10) || string_agg(body, chr(10) || chr(10) ORDER BY segment, rec_id) AS text FROM m GROUP BY book_id, target_lang, mode, chapter), b AS (SELECT book_id, target_lang, mode, string_agg(text, chr(10) || chr(10) ORDER BY chapter) AS text FROM c GROUP BY ALL) SELECT book_id, target_lang, mode, md5(text) AS digest, length(text) AS n_chars FROM b",
