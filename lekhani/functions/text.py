@@ -35,6 +35,17 @@ def tokens(text: Column, keep_stopwords: bool = False) -> Column:
     return words if keep_stopwords else F.filter(words, lambda t: ~t.isin(STOPWORDS))
 
 
+def words(text: Column) -> Column:
+    """``tokens`` in order with blanks between them, stopwords included: one text, made by patterns alone.
+
+    Ends of spaceless runs leave, as the pair before holds them; each other character of a run is joined with the next.
+    """
+    kept = F.regexp_replace(F.lower(text), rf"[^\p{{L}}\p{{M}}\p{{N}}\u200c\u200d{SPACELESS}]+", " ")
+    pairs = F.trim(F.regexp_replace(kept, rf"(?<=[{SPACELESS}])[{SPACELESS}](?![{SPACELESS}])|([{SPACELESS}])(?=([{SPACELESS}])|)", " $1$2 "))
+    # the result is bound once in an outer array, else it would be made for the test and again for the value
+    return F.transform(F.array(pairs), lambda p: F.when(p != "", p).otherwise(F.array_join(F.regexp_extract_all(text, F.lit(r"\S+"), F.lit(0)), " ")))[0]
+
+
 def non_blank_lines(text: Column) -> Column:
     return F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")
 

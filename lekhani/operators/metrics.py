@@ -46,14 +46,15 @@ def pool(scored: DataFrame, thresholds: list[float]) -> DataFrame:
 
     ``scored(score, is_gold)``; the thresholds are exploded over counts per score, not over the pairs.
     """
-    counts = scored.groupBy("score").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("is_gold").cast("long")).alias("g"))
-    total = scored.agg(F.sum(F.col("is_gold").cast("long")).alias("gold_total"))
-    at = counts.withColumn("tau", F.explode(F.array(*map(F.lit, thresholds)))).groupBy("tau").agg(
-        F.sum(F.when(F.col("score") >= F.col("tau"), F.col("n")).otherwise(0)).alias("kept"), F.sum(F.when(F.col("score") >= F.col("tau"), F.col("g")).otherwise(0)).alias("tp")
-    )
-    joined = at.crossJoin(F.broadcast(total))  # one row
+    return pool_of_counts(scored.groupBy("score").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("is_gold").cast("long")).alias("g")), thresholds)
+
+
+def pool_of_counts(counts: DataFrame, thresholds: list[float]) -> DataFrame:
+    """The same from ``counts(score, n, g)``: pairs and gold pairs of each score."""
+    reached = lambda c, t: F.sum(F.when(F.col("score") >= t, F.col(c)).otherwise(0))
+    at = counts.withColumn("tau", F.explode(F.array(*map(F.lit, thresholds)))).groupBy("tau").agg(reached("n", F.col("tau")).alias("kept"), reached("g", F.col("tau")).alias("tp"), F.sum("g").alias("gold_total"))
     p, r = ratio(F.col("tp"), F.col("kept")), ratio(F.col("tp"), F.col("gold_total"))
-    return joined.select("tau", "kept", "tp", F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"), F.round(ratio(2 * p * r, p + r), 6).alias("f1"))
+    return at.select("tau", "kept", "tp", F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"), F.round(ratio(2 * p * r, p + r), 6).alias("f1"))
 
 
 def keep_metrics(pairs: DataFrame, *extra: str) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lekhani.functions.text import SPACELESS, STOPWORDS, non_blank_lines, tokens
+from lekhani.functions.text import SPACELESS, STOPWORDS, non_blank_lines, tokens, words
+from lekhani.operators import blocks as K
 from lekhani.operators import decisions as D
 from lekhani.operators import metrics as M
 from lekhani.operators import retrieval as R
@@ -87,6 +89,69 @@ def pools(spark: SparkSession, d: str) -> DataFrame:
     return both
 
 
+def _in_blocks(spark: SparkSession, d: str, step, schema: str, idf: bool = True, lines: bool = False) -> DataFrame:
+    """``step`` over all questions with the units of their book and language; with ``lines``, also with the lines of these."""
+    text = F.col("text")
+    own = spread(units(spark, d)).select("unit_ix", *KEYS, "chapter", words(text).alias("words"), *([F.transform(non_blank_lines(text), words).alias("lines")] if lines else []))
+    w = F.filter(F.split(words(text), " "), lambda t: (t != "") & ~t.isin(STOPWORDS))
+    asked = questions(spark, d).select("qid", *KEYS, "q_type", F.array_distinct("chapters").alias("gold"), w.alias("w"))
+    asked = asked.withColumn("w", F.transform(F.array_distinct("w"), lambda t: F.struct(t.alias("term"), F.size(F.filter("w", lambda x: x == t)).cast("long").alias("tq"))))
+    if idf:
+        known = cut_lineage(K.document_frequency(own))  # as many rows as there are words
+        stats = F.broadcast(known.where("term is null").select("lang", F.col("df").alias("n_units"), (F.col("n_words") / F.col("df")).alias("avgdl")))  # a row for each language
+        rare = known.where("term is not null").join(stats, "lang").select("lang", "term", F.log(1 + (F.col("n_units") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+        each = asked.select("qid", *KEYS, "q_type", "gold", F.explode_outer("w").alias("x")).select("qid", *KEYS, "q_type", "gold", "x.term", "x.tq").join(rare, ["lang", "term"], "left")
+        asked = each.groupBy("qid", *KEYS).agg(F.first("q_type").alias("q_type"), F.first("gold").alias("gold"), F.collect_list(F.when(F.col("term").isNotNull(), F.struct("term", "tq", "idf"))).alias("terms"))
+        asked = asked.join(stats.select("lang", "avgdl"), "lang", "left")
+    else:
+        none = F.lit(None).cast("double")
+        asked = asked.select("qid", *KEYS, "q_type", "gold", F.transform("w", lambda x: F.struct(x["term"].alias("term"), x["tq"].alias("tq"), none.alias("idf"))).alias("terms"), none.alias("avgdl"))
+    return K.fold(own, asked, step, schema, LINES_OF_UNIT if lines else 1)
+
+
+#: Lines of a unit, about, for the size of blocks alone.
+LINES_OF_UNIT = 4
+
+
+def _best(spark, d, method: str, k: int) -> DataFrame:
+    """The first ``k`` units of each question; of one source alone, of the units that share a term."""
+
+    def step(c):
+        for _, score, among, unit in K.fused(c, [method]):
+            row, u, rank = K.best(score, k, among)
+            yield [c.qid.take(row), c.units.ids.take(u), c.units.chapter_of.take(u), score[row, u] / unit, rank]
+
+    return _in_blocks(spark, d, step, "qid long, unit_ix long, chapter int, score double, rank long", method != "cosine")
+
+
+def _counted_at(spark, d, methods: list[str], ks: list[int], union: bool = False) -> DataFrame:
+    """``method, qid, q_type, k, covered, n_gold, n_found`` of each question; ``union``: of the first units of all methods together."""
+
+    def step(c):
+        found = []
+        for name, score, among, _ in K.fused(c, methods):
+            found.append((name, *K.best(score, max(ks), among)))
+        if union:
+            found = [("union", *map(np.concatenate, zip(*(x[1:] for x in found))))]
+        for name, row, unit, rank in found:
+            yield _at_ks(c, name, row, unit, rank, ks)
+
+    return _each_k(_in_blocks(spark, d, step, _AT_KS, methods != ["cosine"]), ks)
+
+
+_AT_KS = "method string, qid long, q_type string, n_gold long, covered array<long>, n_found array<long>"
+
+
+def _at_ks(c, name, row, unit, rank, ks):
+    covered, found = K.covered(c, row, unit, rank, ks)
+    return [[name] * c.m, c.qid, c.asked.column("q_type"), c.n_gold(), list(np.stack(covered, axis=1)), list(np.stack(found, axis=1))]
+
+
+def _each_k(rows: DataFrame, ks: list[int]) -> DataFrame:
+    at = F.arrays_zip(F.array(*map(F.lit, ks)).alias("k"), "covered", "n_found")
+    return rows.select("method", "qid", "q_type", "n_gold", F.inline(at))
+
+
 def _fuse(p: DataFrame, method: str) -> DataFrame:
     if method == "rrf":
         score = R.reciprocal_rank()
@@ -165,14 +230,6 @@ def r16_expanded(spark, d):
     return R.expand(hits.join(lang, "unit_ix"), units(spark, d), 1, "book_id", "lang", "chapter").drop("lang")
 
 
-def _questions_at(spark, d, method, ks):
-    return _at(spark, d, ranked(spark, d, method), ks)
-
-
-def _at(spark, d, rows, ks):
-    return M.per_question(M.chapters_at(rows.where(F.col("rank") <= max(ks)), ks, "qid"), gold(spark, d), ks)
-
-
 def a01_scope_metrics(spark, d):
     return M.by_scope(_questions_at(spark, d, "bm25", KS)).withColumn("k", F.col("k").cast("long"))
 
@@ -221,6 +278,23 @@ def a07_threshold_sweep(spark, d):
     return M.pool(_with_gold(spark, d, complete(spark, d)), TAUS)
 
 
+def _score_counts(spark, d, steps: list[float]) -> DataFrame:
+    """``score, n, g``: pairs and gold pairs of BM25, those of score 0 included; a score is given as the highest of ``steps`` (rising) that it reaches, else as one below them."""
+    lows, names = np.array(steps), np.array([steps[0] - 1, *steps])
+
+    def step(c):
+        score, gold = c.bm25(whole=True)[0], c.gold()
+        at = np.searchsorted(lows, score[score > 0] / 1e6, "right")
+        n, g = np.bincount(at, minlength=len(names)), np.bincount(at, gold[score > 0], minlength=len(names)).astype(np.int64)
+        zero = np.searchsorted(lows, 0.0, "right")
+        n[zero] += score.size - n.sum()
+        g[zero] += gold.sum() - g.sum()
+        there = np.flatnonzero(n)
+        yield [names[there], n[there], g[there]]
+
+    return _in_blocks(spark, d, step, "score double, n long, g long").groupBy("score").agg(F.sum("n").alias("n"), F.sum("g").alias("g"))
+
+
 STEPS = 400
 
 
@@ -251,6 +325,12 @@ def a10_separation_gap(spark, d):
     )
 
 
+def _first_gold(score: np.ndarray, gold: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each question the key of the first gold unit in the whole ranking, and all keys."""
+    key = K.keys_of(score)
+    return np.where(gold, key, K.LEAST).min(axis=1), key
+
+
 def a11_first_hit_buckets(spark, d):
     first = _with_gold(spark, d, R.rank(complete(spark, d), "qid")).groupBy("qid").agg(F.min(F.when(F.col("is_gold"), F.col("rank"))).alias("r"))
     bucket = F.when(F.col("r") <= 5, "1-5").when(F.col("r") <= 10, "6-10").when(F.col("r") <= 15, "11-15").when(F.col("r").isNotNull(), "16+").otherwise("none")
@@ -332,6 +412,20 @@ def w05_early_stop(spark, d):
     return first.where("ended").unionByName(rest).select("qid", "n_walked", "n_hits")
 
 
+def r17_lines_to_units(spark, d):
+    """The ten best units by their best line, with that line."""
+    best = _line_scores(spark, d).groupBy("qid", "unit_ix", "chapter").agg(F.max_by(F.struct("score", "line_no"), F.struct("score", -F.col("line_no"))).alias("b")).select("qid", "unit_ix", "chapter", "b.score", "b.line_no")
+    return R.top(best, 10, "qid").select("qid", "unit_ix", "chapter", "line_no", "score", F.col("rank").cast("long").alias("rank"))
+
+
+def _questions_at(spark, d, method, ks):
+    return _at(spark, d, ranked(spark, d, method), ks)
+
+
+def _at(spark, d, rows, ks):
+    return M.per_question(M.chapters_at(rows.where(F.col("rank") <= max(ks)), ks, "qid"), gold(spark, d), ks)
+
+
 def _line_scores(spark, d):
     """``qid, book_id, unit_ix, line_no, chapter, score`` for all lines of the units of a question's book and language."""
     lines = units(spark, d).select("unit_ix", *KEYS, "chapter", F.posexplode(non_blank_lines(F.col("text"))).alias("p", "text")).select((F.col("unit_ix") * LINES + F.col("p") + 1).alias("line_id"), "unit_ix", *KEYS, "chapter", (F.col("p") + 1).cast("long").alias("line_no"), "text")
@@ -345,15 +439,6 @@ def _line_scores(spark, d):
 LINES = 1 << 20
 
 
-def r17_lines_to_units(spark, d):
-    """The ten best units by their best line, with that line."""
-    best = _line_scores(spark, d).groupBy("qid", "unit_ix", "chapter").agg(F.max_by(F.struct("score", "line_no"), F.struct("score", -F.col("line_no"))).alias("b")).select("qid", "unit_ix", "chapter", "b.score", "b.line_no")
-    return R.top(best, 10, "qid").select("qid", "unit_ix", "chapter", "line_no", "score", F.col("rank").cast("long").alias("rank"))
-
-
-NORMS = ("raw", "z", "minmax")
-
-
 def _mixed(spark, d, norms):
     """Units and lines in one ranking after each normalisation; ties go to the units, then to the place."""
     posted = posted_units(spark, d)
@@ -367,6 +452,9 @@ def _mixed(spark, d, norms):
     return long.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max(KS))
 
 
+NORMS = ("raw", "z", "minmax")
+
+
 def r13_mix_top10(spark, d):
     """Units and lines pooled by their z-scores."""
     return _mixed(spark, d, ("z",)).select("qid", "unit_ix", "line_no", "chapter", "score", F.col("rank").cast("long").alias("rank"))
@@ -409,13 +497,51 @@ def q01_dense_gap(spark, d):
 
 
 def a09_score_ticks(spark, d):
-    """Scores at the percentiles 0, 10 … 90, 95 and 99, by the floor of their place."""
-    counts = complete(spark, d).groupBy("score").agg(F.count(F.lit(1)).alias("n")).withColumn("one", F.lit(1))
-    ticks = counts.withColumn("percent", F.explode(F.array(*map(F.lit, [*range(0, 100, 10), 95, 99]))))
+    """Scores at the percentiles 0, 10 … 90, 95 and 99, by the floor of their place.
+
+    Pairs are counted by ranges of scores first, and by score only in the ranges that hold a place.
+    """
+    percents = [*range(0, 100, 10), 95, 99]
+    ranges = _ranged(spark, d, []).groupBy("score").agg(F.sum("n").alias("n")).orderBy("score").collect()  # a row for each range
+    upto = np.cumsum([r.n for r in ranges])
+    wanted = {ranges[np.searchsorted(upto, p * (int(upto[-1]) - 1) // 100 + 1)].score for p in percents} if ranges else set()
+    counts = _ranged(spark, d, sorted(round(x * 1e6) >> RANGE for x in wanted)).groupBy("score").agg(F.sum("n").alias("n")).withColumn("one", F.lit(1))
+    ticks = counts.withColumn("percent", F.explode(F.array(*map(F.lit, percents))))
     at = D.nth_of_counts(ticks, "score", "n", F.floor(F.col("percent") * (F.col("total") - 1) / 100) + 1, "percent")
     return at.select(F.col("percent").cast("long").alias("percent"), F.col("at_place").alias("score"))
 
 
+#: Bits of the millionths within a range of scores.
+RANGE = 13
+
+
+def _ranged(spark, d, whole: list[int]) -> DataFrame:
+    """``score, n``: pairs of BM25 by the lower end of their range, and by their score in the ranges of ``whole``."""
+    exact = np.array(whole, np.int64)
+
+    def step(c):
+        score = c.bm25(whole=True)[0]
+        some = score[score > 0]
+        some = np.where(np.isin(some >> RANGE, exact), some, some >> RANGE << RANGE)
+        value, n = np.unique(np.append(some, np.zeros(0, np.int64)), return_counts=True)
+        if score.size > len(some):
+            value, n = np.append(value, 0), np.append(n, score.size - len(some))
+        yield [value / 1e6, n]
+
+    return _in_blocks(spark, d, step, "score double, n long")
+
+
+def _spans(spark, d) -> DataFrame:
+    """``low, high, g``: least and greatest score of BM25 over all pairs, and gold pairs, of a few questions each."""
+
+    def step(c):
+        if c.units.n:
+            score = c.bm25(whole=True)[0]
+            yield [[score.min() / 1e6], [score.max() / 1e6], [int(c.gold().sum())]]
+
+    return _in_blocks(spark, d, step, "low double, high double, g long")
+
+
 # the same in DuckDB's SQL
 _STOP = "[" + ", ".join(f"'{w}'" for w in STOPWORDS) + "]"
 _SPACELESS = SPACELESS.encode().decode("unicode_escape")
