@@ -259,7 +259,7 @@ def _with_gold(spark, d, rows):
 
 def a12_totals(spark, d):
     """Gold chapters that are found and held, summed over the questions of each type."""
-    per = _questions_at(spark, d, "rrf", KS).withColumn("scope", F.explode(F.array(F.lit("all"), "q_type")))
+    per = _counted_at(spark, d, ["rrf"], KS).withColumn("scope", F.explode(F.array(F.lit("all"), "q_type")))
     return per.groupBy("scope", F.col("k").cast("long").alias("k")).agg(F.sum("covered").alias("covered"), F.sum("n_gold").alias("n_gold"))
 
 
