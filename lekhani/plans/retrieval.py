@@ -194,7 +194,7 @@ def r06_bm25_terms(spark, d):
 
 
 def _top10(method: str):
-    return lambda spark, d: ranked(spark, d, method).where("rank <= 10").select("qid", "unit_ix", "chapter", "score", F.col("rank").cast("long").alias("rank"))
+    return lambda spark, d: _best(spark, d, method, 10)
 
 
 def _vectors(spark, d):
