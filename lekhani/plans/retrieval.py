@@ -414,8 +414,18 @@ def w05_early_stop(spark, d):
 
 def r17_lines_to_units(spark, d):
     """The ten best units by their best line, with that line."""
-    best = _line_scores(spark, d).groupBy("qid", "unit_ix", "chapter").agg(F.max_by(F.struct("score", "line_no"), F.struct("score", -F.col("line_no"))).alias("b")).select("qid", "unit_ix", "chapter", "b.score", "b.line_no")
-    return R.top(best, 10, "qid").select("qid", "unit_ix", "chapter", "line_no", "score", F.col("rank").cast("long").alias("rank"))
+
+    def step(c):
+        lines, u = c.line_cosine(), c.units
+        if lines.shape[1]:
+            most = int(u.line_no.max()) + 1
+            # the first of a unit's best lines
+            line = np.maximum.reduceat(lines * most + (most - u.line_no), u.first_line, axis=1)
+            row, at, rank = K.best(line // most, 10)
+            unit = u.with_lines[at]
+            yield [c.qid.take(row), u.ids.take(unit), u.chapter_of.take(unit), most - line[row, at] % most, line[row, at] // most / 1e6, rank]
+
+    return _in_blocks(spark, d, step, "qid long, unit_ix long, chapter int, line_no long, score double, rank long", idf=False, lines=True)
 
 
 def _questions_at(spark, d, method, ks):

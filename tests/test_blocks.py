@@ -28,7 +28,7 @@ def stages(spark):
     return {seq.apply(i).stageId(): seq.apply(i).shuffleWriteRecords() for i in range(seq.size())}
 
 
-NAMES = "a09_score_ticks a12_totals r08_rrf_top10 r11_combsum_top10".split()
+NAMES = "a09_score_ticks a12_totals r08_rrf_top10 r11_combsum_top10 r17_lines_to_units".split()
 
 
 @pytest.mark.parametrize("name", NAMES)
