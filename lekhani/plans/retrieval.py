@@ -236,10 +236,8 @@ def a01_scope_metrics(spark, d):
 
 def a06_coverage_curve(spark, d):
     """Coverage and strict recall of each method at each k, for all questions and for each type."""
-    methods = ("bm25", "cosine", "rrf", "borda", "combsum")
-    found = M.chapters_at(_all_rankings(cut_lineage(pools(spark, d)), methods).where(F.col("rank") <= max(CURVE)), CURVE, "method", "qid")
-    asked = gold(spark, d).withColumn("method", F.explode(F.array(*map(F.lit, methods))))
-    return M.by_scope(M.per_question(found, asked, CURVE, "method"), "method").select("method", "scope", F.col("k").cast("long").alias("k"), "coverage", "strict")
+    counts = _counted_at(spark, d, ["bm25_w", "cosine_w", "rrf", "borda", "combsum"], CURVE)
+    return M.by_scope(counts, "method").select(F.regexp_replace("method", "_w$", "").alias("method"), "scope", F.col("k").cast("long").alias("k"), "coverage", "strict")
 
 
 def a04_union_metrics(spark, d):
