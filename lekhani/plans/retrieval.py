@@ -373,14 +373,14 @@ def a16_score_scale(spark, d):
 
 
 def r18_rrf_grid(spark, d):
-    grid = F.explode(F.array(*(F.struct(F.lit(k).alias("k_rrf"), F.lit(a).alias("wa"), F.lit(b).alias("wb")) for k, a, b in GRID)))
-    scored = pools(spark, d).select("qid", "unit_ix", "chapter", "rank_a", "rank_b", grid.alias("g")).select("qid", "unit_ix", "chapter", "rank_a", "rank_b", "g.*")
-    score = F.round(F.col("wa") / (F.col("k_rrf") + F.col("rank_a")) + F.col("wb") / (F.col("k_rrf") + F.col("rank_b")), 9)
-    keys = ["k_rrf", "wa", "wb"]
-    top = R.top(scored.withColumn("score", score), 10, *keys, "qid")
-    found = M.chapters_at(top, KS, *keys, "qid")
-    hits = found.join(gold(spark, d).select("qid", "chapter"), ["qid", "chapter"])
-    return hits.groupBy(*keys, F.col("k").cast("long").alias("k")).agg(F.count(F.lit(1)).alias("n_gold_found"))
+    def step(c):
+        for name, score, _, _ in K.fused(c, [], GRID):
+            found = K.covered(c, *K.best(score, max(KS)), KS)[0]
+            yield [[int(name)] * len(KS), KS, [int(x.sum()) for x in found]]
+
+    found = _in_blocks(spark, d, step, "i int, k long, n long").groupBy("i", "k").agg(F.sum("n").alias("n_gold_found")).where("n_gold_found > 0")
+    grid = F.broadcast(spark.createDataFrame([(i, *g) for i, g in enumerate(GRID)], "i int, k_rrf double, wa double, wb double"))  # nine rows
+    return found.join(grid, "i").select("k_rrf", "wa", "wb", "k", "n_gold_found")
 
 
 #: Misses in a row that end a walk, and neighbours that are fetched at first.
