@@ -231,7 +231,7 @@ def r16_expanded(spark, d):
 
 
 def a01_scope_metrics(spark, d):
-    return M.by_scope(_questions_at(spark, d, "bm25", KS)).withColumn("k", F.col("k").cast("long"))
+    return M.by_scope(_counted_at(spark, d, ["bm25"], KS)).withColumn("k", F.col("k").cast("long"))
 
 
 def a06_coverage_curve(spark, d):
