@@ -331,7 +331,13 @@ def _first_gold(score: np.ndarray, gold: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def a11_first_hit_buckets(spark, d):
-    first = _with_gold(spark, d, R.rank(complete(spark, d), "qid")).groupBy("qid").agg(F.min(F.when(F.col("is_gold"), F.col("rank"))).alias("r"))
+    def step(c):
+        if c.units.n:
+            first, key = _first_gold(c.bm25(whole=True)[0], c.gold())
+            place = (key < first[:, None]).sum(axis=1) + 1
+            yield [[x if f < K.LEAST else None for x, f in zip(place.tolist(), first.tolist())]]
+
+    first = _in_blocks(spark, d, step, "r long")
     bucket = F.when(F.col("r") <= 5, "1-5").when(F.col("r") <= 10, "6-10").when(F.col("r") <= 15, "11-15").when(F.col("r").isNotNull(), "16+").otherwise("none")
     return first.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n_questions"))
 
