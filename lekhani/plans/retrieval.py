@@ -358,13 +358,18 @@ def a13_provenance(spark, d):
 
 def a14_context_size(spark, d):
     """Units and chapters of the contexts of the first k hits with their neighbours, by type of question."""
-    hits = ranked(spark, d, "bm25").where(F.col("rank") <= max(KS)).withColumn("k", F.explode(F.array(*map(F.lit, KS)))).where("rank <= k")
-    asked = questions(spark, d).select("qid", "q_type")
-    position = F.row_number().over(Window.partitionBy(*KEYS, "chapter").orderBy("unit_ix"))
-    placed = units(spark, d).select(*KEYS, "chapter", "unit_ix", position.alias("p"))
-    near = hits.select("qid", "k", "unit_ix").join(placed, "unit_ix").select("qid", "k", *KEYS, "chapter", F.explode(F.sequence(F.col("p") - 1, F.col("p") + 1)).alias("p")).distinct()
-    sizes = near.join(placed.select(*KEYS, "chapter", "p", "unit_ix"), [*KEYS, "chapter", "p"]).groupBy("qid", "k").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("chapter").alias("c"))
-    scoped = sizes.join(asked, "qid").withColumn("scope", F.explode(F.array(F.lit("all"), "q_type")))
+
+    def step(c):
+        for _, score, among, _ in K.fused(c, ["bm25"]):
+            row, unit, rank = K.best(score, max(KS), among)
+            for k in KS:
+                r, u = c.units.around(row[rank <= k], unit[rank <= k])
+                n, chapters = np.bincount(r, minlength=c.m), np.bincount(np.unique(r * max(1, len(c.units.chapters)) + c.units.chapter[u]) // max(1, len(c.units.chapters)), minlength=c.m)
+                on = np.flatnonzero(n)
+                yield [c.asked.column("q_type").take(on), np.full(len(on), k), n[on], chapters[on]]
+
+    sizes = _in_blocks(spark, d, step, "q_type string, k long, n long, c long")
+    scoped = sizes.withColumn("scope", F.explode(F.array(F.lit("all"), "q_type")))
     return scoped.groupBy("scope", F.col("k").cast("long").alias("k")).agg(
         F.count(F.lit(1)).alias("n_questions"), F.round(F.avg("n"), 6).alias("mean_units"), F.round(F.median("n"), 6).alias("median_units"), F.min("n").alias("min_units"),
         F.max("n").alias("max_units"), F.round(F.stddev_pop("n"), 6).alias("deviation_units"), F.round(F.avg("c"), 6).alias("mean_chapters"),
