@@ -476,8 +476,13 @@ NORMS = ("raw", "z", "minmax")
 
 
 def r13_mix_top10(spark, d):
-    """Units and lines pooled by their z-scores."""
-    return _mixed(spark, d, ("z",)).select("qid", "unit_ix", "line_no", "chapter", "score", F.col("rank").cast("long").alias("rank"))
+    """Units and lines pooled by their z-scores; ties go to the units, then to the place."""
+
+    def step(c):
+        for _, row, unit, line, score, rank in K.mixed(c, ("z",), 10):
+            yield [c.qid.take(row), c.units.ids.take(unit), line, c.units.chapter_of.take(unit), score / 1e6, rank]
+
+    return _in_blocks(spark, d, step, "qid long, unit_ix long, line_no long, chapter int, score double, rank long", idf=False, lines=True)
 
 
 def r25_norm_sweep(spark, d):
