@@ -225,9 +225,12 @@ def r14_union_at_k(spark, d):
 
 
 def r16_expanded(spark, d):
-    hits = ranked(spark, d, "bm25").where("rank <= 5").select("qid", "book_id", "chapter", "unit_ix")
-    lang = units(spark, d).select("unit_ix", "lang")
-    return R.expand(hits.join(lang, "unit_ix"), units(spark, d), 1, "book_id", "lang", "chapter").drop("lang")
+    def step(c):
+        for _, score, among, _ in K.fused(c, ["bm25"]):
+            row, unit = c.units.around(*K.best(score, 5, among)[:2])
+            yield [c.qid.take(row), c.asked.column("book_id").take(row), c.units.chapter_of.take(unit), c.units.ids.take(unit)]
+
+    return _in_blocks(spark, d, step, "qid long, book_id int, chapter int, unit_ix long")
 
 
 def a01_scope_metrics(spark, d):
