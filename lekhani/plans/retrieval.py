@@ -490,9 +490,13 @@ def r13_mix_top10(spark, d):
 
 def r25_norm_sweep(spark, d):
     """Coverage and strict recall of the pooled ranking under each normalisation."""
-    found = M.chapters_at(_mixed(spark, d, NORMS), KS, "norm", "qid")
-    asked = gold(spark, d).withColumn("norm", F.explode(F.array(*map(F.lit, NORMS))))
-    return M.by_scope(M.per_question(found, asked, KS, "norm"), "norm").where("scope = 'all'").select("norm", F.col("k").cast("long").alias("k"), "coverage", "strict")
+
+    def step(c):
+        for norm, row, unit, _, _, rank in K.mixed(c, NORMS, max(KS)):
+            yield _at_ks(c, norm, row, unit, rank, KS)
+
+    counts = _each_k(_in_blocks(spark, d, step, _AT_KS, idf=False, lines=True), KS)
+    return M.by_scope(counts, "method").where("scope = 'all'").select(F.col("method").alias("norm"), F.col("k").cast("long").alias("k"), "coverage", "strict")
 
 
 DENSE_TAUS = [round(0.2 + 0.02 * i, 2) for i in range(31)]
