@@ -244,8 +244,7 @@ def a06_coverage_curve(spark, d):
 
 
 def a04_union_metrics(spark, d):
-    both = _two(spark, d).where(F.col("rank") <= max(KS))
-    return M.by_scope(M.per_question(M.chapters_at(both, KS, "qid"), gold(spark, d), KS)).select("scope", F.col("k").cast("long").alias("k"), "coverage", "strict", "precision_macro_null")
+    return M.by_scope(_counted_at(spark, d, ["bm25", "cosine"], KS, union=True)).select("scope", F.col("k").cast("long").alias("k"), "coverage", "strict", "precision_macro_null")
 
 
 def a12_question_hits(spark, d):
