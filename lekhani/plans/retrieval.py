@@ -248,7 +248,7 @@ def a04_union_metrics(spark, d):
 
 
 def a12_question_hits(spark, d):
-    per = _questions_at(spark, d, "rrf", KS)
+    per = _counted_at(spark, d, ["rrf"], KS)
     return per.groupBy("qid", "q_type").agg(F.max("n_gold").alias("n_gold"), F.max(F.when(F.col("k") == 5, F.col("covered"))).alias("covered_5"), F.max(F.when(F.col("k") == 10, F.col("covered"))).alias("covered_10"))
 
 
