@@ -380,11 +380,15 @@ def a14_context_size(spark, d):
 
 
 def a16_score_scale(spark, d):
-    posted = posted_units(spark, d)
-    parts = [R.top(rows, 10, "qid").withColumn("method", F.lit(m)) for m, rows in (("bm25", sparse(spark, d, posted)), ("cosine", term_cosine(spark, d, posted)))]
-    return parts[0].unionByName(parts[1]).groupBy("method").agg(
-        F.round(F.avg("score"), 5).alias("mean_top10"), F.round(F.avg(F.when(F.col("rank") == 1, F.col("score"))), 5).alias("mean_top1")
-    )
+    def step(c):
+        for name, score, among, _ in K.fused(c, ["bm25", "cosine"]):
+            row, unit, rank = K.best(score, 10, among)
+            ten, one = score[row, unit], score[row, unit][rank == 1]
+            yield [[name], [int(ten.sum())], [len(ten)], [int(one.sum())], [len(one)]]
+
+    sums = _in_blocks(spark, d, step, "method string, ten long, n_ten long, one long, n_one long").where("n_ten > 0").groupBy("method")
+    mean = lambda x: F.round(F.sum(x) / 1e6 / F.sum(f"n_{x}"), 5)
+    return sums.agg(mean("ten").alias("mean_top10"), mean("one").alias("mean_top1"))
 
 
 def r18_rrf_grid(spark, d):
