@@ -318,13 +318,17 @@ def a08_best_threshold(spark, d):
 
 
 def a10_separation_gap(spark, d):
-    rows = _with_gold(spark, d, R.rank(complete(spark, d), "qid"))
-    first = F.min(F.when(F.col("is_gold"), F.col("rank"))).over(Window.partitionBy("qid"))
-    return (
-        rows.withColumn("first", first).where("first is not null").groupBy("qid")
-        .agg(F.max(F.when(F.col("is_gold"), F.col("score"))).alias("best_gold"), F.max(F.when(~F.col("is_gold") & (F.col("rank") > F.col("first")), F.col("score"))).alias("best_other"))
-        .withColumn("gap", F.round(F.col("best_gold") - F.col("best_other"), 6))
-    )
+    def step(c):
+        score, gold = c.bm25(whole=True)[0], c.gold()
+        if gold.any():
+            first, key = _first_gold(score, gold)
+            on = first < K.LEAST
+            best = np.where(gold, score, -1).max(axis=1)
+            other = np.where(~gold & (key > first[:, None]), score, -1).max(axis=1)
+            yield [c.qid.take(np.flatnonzero(on)), best[on] / 1e6, [x / 1e6 if x >= 0 else None for x in other[on].tolist()]]
+
+    rows = _in_blocks(spark, d, step, "qid long, best_gold double, best_other double")
+    return rows.withColumn("gap", F.round(F.col("best_gold") - F.col("best_other"), 6))
 
 
 def _first_gold(score: np.ndarray, gold: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -445,40 +449,6 @@ def r17_lines_to_units(spark, d):
     return _in_blocks(spark, d, step, "qid long, unit_ix long, chapter int, line_no long, score double, rank long", idf=False, lines=True)
 
 
-def _questions_at(spark, d, method, ks):
-    return _at(spark, d, ranked(spark, d, method), ks)
-
-
-def _at(spark, d, rows, ks):
-    return M.per_question(M.chapters_at(rows.where(F.col("rank") <= max(ks)), ks, "qid"), gold(spark, d), ks)
-
-
-def _line_scores(spark, d):
-    """``qid, book_id, unit_ix, line_no, chapter, score`` for all lines of the units of a question's book and language."""
-    lines = units(spark, d).select("unit_ix", *KEYS, "chapter", F.posexplode(non_blank_lines(F.col("text"))).alias("p", "text")).select((F.col("unit_ix") * LINES + F.col("p") + 1).alias("line_id"), "unit_ix", *KEYS, "chapter", (F.col("p") + 1).cast("long").alias("line_no"), "text")
-    posted = R.postings(spread(lines).withColumnRenamed("unit_ix", "of_unit").withColumnRenamed("line_id", "unit_ix"), tokens(F.col("text")), *KEYS)
-    scored = R.cosine_of(posted, asked_terms(spark, d), KEYS).select("qid", F.col("unit_ix").alias("line_id"), "score")
-    every = questions(spark, d).select("qid", *KEYS).join(lines.drop("text"), KEYS)
-    return every.join(scored, ["qid", "line_id"], "left").fillna(0.0, ["score"]).select("qid", "book_id", "unit_ix", "line_no", "chapter", "score")
-
-
-#: A line's id is its unit's id times this and its number; units have fewer lines.
-LINES = 1 << 20
-
-
-def _mixed(spark, d, norms):
-    """Units and lines in one ranking after each normalisation; ties go to the units, then to the place."""
-    posted = posted_units(spark, d)
-    every = every_pair(spark, d).join(term_cosine(spark, d, posted).select("qid", "unit_ix", "score"), ["qid", "unit_ix"], "left").fillna(0.0, ["score"])
-    both = every.select("qid", "unit_ix", F.lit(0).cast("long").alias("line_no"), "chapter", "score").unionByName(_line_scores(spark, d).drop("book_id"))
-    sources = both.withColumn("source", (F.col("line_no") > 0).cast("int"))
-    keys = ("qid", "source")
-    per = sources.select("*", F.col("score").alias("raw"), R.z_score("score", *keys).alias("z"), R.min_max("score", *keys).alias("minmax"))
-    long = per.select("qid", "unit_ix", "line_no", "chapter", "source", F.explode(F.array(*(F.struct(F.lit(n).alias("norm"), F.round(n, 6).alias("score")) for n in norms))).alias("s")).select("qid", "unit_ix", "line_no", "chapter", "source", "s.*")
-    order = Window.partitionBy("norm", "qid").orderBy(F.desc("score"), "source", "unit_ix", "line_no")
-    return long.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max(KS))
-
-
 NORMS = ("raw", "z", "minmax")
 
 

@@ -28,7 +28,7 @@ def stages(spark):
     return {seq.apply(i).stageId(): seq.apply(i).shuffleWriteRecords() for i in range(seq.size())}
 
 
-NAMES = "a09_score_ticks a12_totals r08_rrf_top10 r11_combsum_top10 r17_lines_to_units a06_coverage_curve r09_borda_top10 r12_z_max_top10 r18_rrf_grid a01_scope_metrics a07_threshold_sweep a11_first_hit_buckets a14_context_size r03_cosine_top10 r13_mix_top10 r16_expanded r25_norm_sweep a04_union_metrics a08_best_threshold a12_question_hits a16_score_scale".split()
+NAMES = "a09_score_ticks a12_totals r08_rrf_top10 r11_combsum_top10 r17_lines_to_units a06_coverage_curve r09_borda_top10 r12_z_max_top10 r18_rrf_grid a01_scope_metrics a07_threshold_sweep a11_first_hit_buckets a14_context_size r03_cosine_top10 r13_mix_top10 r16_expanded r25_norm_sweep a04_union_metrics a08_best_threshold a12_question_hits a16_score_scale a10_separation_gap".split()
 
 
 @pytest.mark.parametrize("name", NAMES)
