@@ -53,3 +53,13 @@ def test_words_are_the_tokens(spark):
     rows = spark.createDataFrame([(t,) for t in texts], "text string")
     kept = F.filter(F.split(words(F.col("text")), " "), lambda t: (t != "") & ~t.isin(STOPWORDS))
     assert rows.select(tokens(F.col("text")).alias("a"), kept.alias("b")).where("a <> b").count() == 0
+
+
+def test_pairs_are_no_rows_of_a_report(spark, crowd, monkeypatch):
+    from lekhani.plans.reports import PARTS, QUERIES
+
+    monkeypatch.setattr(K, "PAIRS", UNITS * QUESTIONS // 3)
+    before = set(stages(spark))
+    got = QUERIES["q04_pooled_report"](spark, crowd).collect()
+    assert {r.part for r in got} == {*PARTS["q04_pooled_report"]}
+    assert max(n for k, n in stages(spark).items() if k not in before) < UNITS * QUESTIONS / 4
