@@ -1,6 +1,6 @@
 """Questions against all units of their book and language, scored in blocks: no pair of them is ever a row.
 
-Units and questions of a block lie side by side in one sorted partition. A worker holds the units of one book and
+Units travel packed, many of a book and language as one row. Units and questions of a block lie side by side in one sorted partition. A worker holds the units of one book and
 language as postings, and works through the block's questions a few at a time; what leaves it are the best units,
 counts for each question, or counts of scores. Scores are whole millionths, so they compare exactly.
 """
@@ -38,27 +38,107 @@ def _counted(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(numbers, return_counts=True)
 
 
-def document_frequency(units: DataFrame) -> DataFrame:
-    """``lang, term, df`` and, with a null term, the number of units as ``df`` and of words as ``n_words``, from ``units(lang, words)``."""
+def _ends(counts: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.zeros(1, np.int64), np.cumsum(counts)])
+
+
+_CODEC = "zstd"
+_PACK = {"ix": pa.int64(), "chapter": pa.int32(), "size": pa.int32(), "words": None, "n_lines": pa.int32(), "line_size": pa.int32(), "lines": None}
+PACK = "struct<ix: array<bigint>, chapter: array<int>, size: array<int>, words: binary, n_lines: array<int>, line_size: array<int>, lines: binary>"
+
+
+def _squeezed(texts: pa.Array, cuts: np.ndarray) -> list[pa.Array]:
+    """Bytes of each text, as a list for each stretch between ``cuts``, and the stretches' compressed bytes."""
+    texts = pa.concat_arrays([texts.cast(pa.large_string())])
+    ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))])
+    data = texts.buffers()[2] or pa.py_buffer(b"")
+    low = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset] if len(texts) else 0
+    codec = pa.Codec(_CODEC)
+    made = [codec.compress(data.slice(low + ends[i], ends[j] - ends[i]), asbytes=True) for i, j in zip(cuts, cuts[1:])]
+    return [_listed(np.diff(ends).astype(np.int32), cuts), pa.array(made, pa.binary())]
+
+
+def _listed(values: np.ndarray | pa.Array, cuts: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), values if isinstance(values, pa.Array) else pa.array(values))
+
+
+def _packed(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, pa.Array, pa.Array]]:
+    """Book, language and units of a batch, as one row for each book and language."""
+    batch = batch.filter(pc.is_valid(batch.column("book_id")))
+    if not len(batch):
+        return
+    langs = batch.column("lang").dictionary_encode()
+    number = batch.column("book_id").to_numpy().astype(np.int64) * len(langs.dictionary) + langs.indices.to_numpy()
+    order = np.argsort(number, kind="stable")
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(number[order])) + 1, [len(order)]])
+    batch = batch.take(pa.array(order))
+    columns = [_listed(batch.column("unit_ix").cast(pa.int64()), cuts), _listed(batch.column("chapter").cast(pa.int32()), cuts), *_squeezed(batch.column("words"), cuts)]
+    if "lines" in batch.schema.names:
+        lists = batch.column("lines")
+        n = pc.list_value_length(lists).to_numpy().astype(np.int32)
+        columns += [_listed(n, cuts), *_squeezed(pc.list_flatten(lists), _ends(n)[cuts])]
+    else:
+        columns += [pa.nulls(len(cuts) - 1, pa.list_(pa.int32()) if kind else pa.binary()) for kind in list(_PACK.values())[4:]]
+    first = pa.array(cuts[:-1])
+    yield batch.column("book_id").take(first), batch.column("lang").take(first), pa.StructArray.from_arrays(columns, list(_PACK))
+
+
+def _unpacked(packs: pa.StructArray) -> pa.Table:
+    """The units of the rows of a book and language, in the order of their ids."""
+
+    def flat(name: str) -> pa.Array:
+        return pc.list_flatten(packs.field(name))
+
+    def texts(size: str, blob: str) -> pa.Array:
+        n = pc.fill_null(pc.list_value_length(packs.field(size)), 0).to_numpy().astype(np.int64)
+        ends = _ends(flat(size).to_numpy().astype(np.int64))
+        whole = np.diff(ends[_ends(n)])
+        codec = pa.Codec(_CODEC)
+        data = b"".join(codec.decompress(x.as_py(), int(m), asbytes=True) for x, m in zip(packs.field(blob), whole) if m)
+        return pa.LargeStringArray.from_buffers(len(ends) - 1, pa.py_buffer(ends), pa.py_buffer(data))
+
+    columns = {"ix": flat("ix"), "chapter": flat("chapter"), "words": texts("size", "words")}
+    order = pa.array(np.argsort(columns["ix"].to_numpy(), kind="stable"))
+    n = flat("n_lines").to_numpy().astype(np.int64)
+    if len(n):
+        columns["lines"] = pa.LargeListArray.from_arrays(pa.array(_ends(n)), texts("line_size", "lines"))
+    else:
+        columns["lines"] = pa.nulls(len(order), pa.large_list(pa.large_string()))
+    return pa.table({k: v.take(order) for k, v in columns.items()})
+
+
+def packed(units: DataFrame, counted: bool) -> DataFrame:
+    """``book_id, lang, pack`` of units with a book, many units of a book and language as one row with compressed words.
+
+    ``counted``: also rows ``lang, term, df, n_words`` for ``document_frequency``, so that one pass over the texts gives both.
+    """
+    kind = dict(units.dtypes)["book_id"]
+    book = {"int": pa.int32(), "bigint": pa.int64()}[kind]
+    pack = pa.struct([(k, pa.list_(v) if v else pa.binary()) for k, v in _PACK.items()])
+    names = ["book_id", "lang", "pack", "term", "df", "n_words"]
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            for rows in _packed(batch):
+                n = len(rows[0])
+                yield pa.RecordBatch.from_arrays([*rows, pa.nulls(n, pa.string()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names)
             langs = batch.column("lang")
-            for lang in pc.unique(langs).to_pylist():
+            for lang in pc.unique(langs).to_pylist() if counted else ():
                 texts = batch.column("words").filter(pc.equal(langs, lang))
                 at, code, terms = _flat_words(texts)
                 n = max(1, len(terms))
                 df = np.bincount(_counted(at * n + code)[0] % n, minlength=len(terms))
                 there = np.flatnonzero(df)
-                names = pa.concat_arrays([terms.take(pa.array(there)).cast(pa.string()), pa.nulls(1, pa.string())])
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(names)), names, pa.array(np.append(df[there], len(texts))), pa.array(np.append(np.zeros(len(there), np.int64), len(at)))], ["lang", "term", "df", "n_words"])
+                found = pa.concat_arrays([terms.take(pa.array(there)).cast(pa.string()), pa.nulls(1, pa.string())])
+                m = len(found)
+                yield pa.RecordBatch.from_arrays([pa.nulls(m, book), pa.array([lang] * m), pa.nulls(m, pack), found, pa.array(np.append(df[there], len(texts))), pa.array(np.append(np.zeros(len(there), np.int64), len(at)))], names)
 
-    parts = units.select("lang", "words").mapInArrow(count, "lang string, term string, df long, n_words long")
-    return parts.groupBy("lang", "term").agg(F.sum("df").alias("df"), F.sum("n_words").alias("n_words"))
+    return units.mapInArrow(work, f"book_id {kind}, lang string, pack {PACK}, term string, df long, n_words long")
 
 
-def _ends(counts: np.ndarray) -> np.ndarray:
-    return np.concatenate([np.zeros(1, np.int64), np.cumsum(counts)])
+def document_frequency(rows: DataFrame) -> DataFrame:
+    """``lang, term, df`` and, with a null term, the number of units as ``df`` and of words as ``n_words``, from rows of ``packed``."""
+    return rows.where("df is not null").groupBy("lang", "term").agg(F.sum("df").alias("df"), F.sum("n_words").alias("n_words"))
 
 
 class Postings:
@@ -312,24 +392,26 @@ ARROW = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "double":
 ASKED = "struct<term: string, tq: bigint, idf: double>"
 
 
-def fold(units: DataFrame, asked: DataFrame, step: Callable[[Chunk], Iterator[list]], schema: str, factor: int = 1) -> DataFrame:
+def fold(units: DataFrame, packs: DataFrame, asked: DataFrame, step: Callable[[Chunk], Iterator[list]], schema: str, factor: int = 1) -> DataFrame:
     """What ``step`` yields, as columns of ``schema``, for all questions, a few at a time.
 
-    ``units(unit_ix, book_id, lang, chapter, words, lines)`` and ``asked(qid, book_id, lang, q_type, terms, avgdl, gold)``. A book and language of more than
-    ``PAIRS`` pairs has its questions in several blocks, each with all units. ``factor``: texts of a unit. Questions without units come alone.
+    ``units(book_id, lang)`` for their number, ``packs`` of them and ``asked(qid, book_id, lang, q_type, terms, avgdl, gold)``. A book and language of more than
+    ``PAIRS`` pairs has its questions in several blocks, each with all units; no more than twice as many as tasks can run at once, for each is a copy of the units.
+    ``factor``: texts of a unit. Questions without units come alone.
     """
     keys = ["book_id", "lang"]
+    most = 2 * units.sparkSession.sparkContext.defaultParallelism
     sizes = units.groupBy(*keys).agg(F.count(F.lit(1)).alias("nu")).join(asked.groupBy(*keys).agg(F.count(F.lit(1)).alias("nq")), keys)
     # a row for each book and language of more than PAIRS pairs: few, for there are that many pairs to work on for each
-    large = F.broadcast(sizes.select(*keys, F.ceil(F.col("nu") * F.col("nq") * factor / PAIRS).cast("int").alias("n_blocks")).where("n_blocks > 1"))
+    large = F.broadcast(sizes.select(*keys, F.least(F.ceil(F.col("nu") * F.col("nq") * factor / PAIRS), F.lit(most)).cast("int").alias("n_blocks")).where("n_blocks > 1"))
     n = F.coalesce("n_blocks", F.lit(1))
     empty = lambda kind, name: F.lit(None).cast(kind).alias(name)
-    left = units.where("book_id is not null").join(large, keys, "left").select(
-        *keys, F.explode(F.sequence(F.lit(0), n - 1)).alias("block"), F.lit(0).alias("kind"), F.col("unit_ix").cast("long").alias("ix"), F.col("chapter").cast("int").alias("chapter"), "words", "lines" if "lines" in units.columns else empty("array<string>", "lines"),
+    left = packs.where("pack is not null").join(large, keys, "left").select(
+        *keys, F.explode(F.sequence(F.lit(0), n - 1)).alias("block"), F.lit(0).alias("kind"), empty("long", "ix"), "pack",
         empty("string", "q_type"), empty(f"array<{ASKED}>", "terms"), empty("double", "avgdl"), empty("array<int>", "gold"),
     )
     right = asked.join(large, keys, "left").select(
-        *keys, F.pmod(F.xxhash64("qid"), n).cast("int").alias("block"), F.lit(1).alias("kind"), F.col("qid").cast("long").alias("ix"), empty("int", "chapter"), empty("string", "words"), empty("array<string>", "lines"),
+        *keys, F.pmod(F.xxhash64("qid"), n).cast("int").alias("block"), F.lit(1).alias("kind"), F.col("qid").cast("long").alias("ix"), empty(PACK, "pack"),
         "q_type", F.col("terms").cast(f"array<{ASKED}>").alias("terms"), "avgdl", F.col("gold").cast("array<int>").alias("gold"),
     )
     group = [*keys, "block"]
@@ -350,10 +432,10 @@ def fold(units: DataFrame, asked: DataFrame, step: Callable[[Chunk], Iterator[li
                 if key != now:
                     now, parts, held = key, [], None
                 if kind == 0:
-                    parts.append(part.select(["ix", "chapter", "words", "lines"]))
+                    parts.append(part.column("pack"))
                     continue
                 if held is None:
-                    held = Units(pa.Table.from_batches(parts, schema=part.select(["ix", "chapter", "words", "lines"]).schema))
+                    held = Units(_unpacked(pa.concat_arrays(parts) if parts else part.column("pack").slice(0, 0)))
                     parts = []
                 each = max(1, CELLS // max(1, held.n * factor))
                 for i in range(0, len(part), each):

@@ -96,8 +96,10 @@ def _in_blocks(spark: SparkSession, d: str, step, schema: str, idf: bool = True,
     w = F.filter(F.split(words(text), " "), lambda t: (t != "") & ~t.isin(STOPWORDS))
     asked = questions(spark, d).select("qid", *KEYS, "q_type", F.array_distinct("chapters").alias("gold"), w.alias("w"))
     asked = asked.withColumn("w", F.transform(F.array_distinct("w"), lambda t: F.struct(t.alias("term"), F.size(F.filter("w", lambda x: x == t)).cast("long").alias("tq"))))
+    packs = K.packed(own, idf)
     if idf:
-        known = cut_lineage(K.document_frequency(own))  # as many rows as there are words
+        packs = cut_lineage(packs)  # so texts are cut into words once
+        known = cut_lineage(K.document_frequency(packs))  # as many rows as there are words
         stats = F.broadcast(known.where("term is null").select("lang", F.col("df").alias("n_units"), (F.col("n_words") / F.col("df")).alias("avgdl")))  # a row for each language
         rare = known.where("term is not null").join(stats, "lang").select("lang", "term", F.log(1 + (F.col("n_units") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
         each = asked.select("qid", *KEYS, "q_type", "gold", F.explode_outer("w").alias("x")).select("qid", *KEYS, "q_type", "gold", "x.term", "x.tq").join(rare, ["lang", "term"], "left")
@@ -106,7 +108,7 @@ def _in_blocks(spark: SparkSession, d: str, step, schema: str, idf: bool = True,
     else:
         none = F.lit(None).cast("double")
         asked = asked.select("qid", *KEYS, "q_type", "gold", F.transform("w", lambda x: F.struct(x["term"].alias("term"), x["tq"].alias("tq"), none.alias("idf"))).alias("terms"), none.alias("avgdl"))
-    return K.fold(own, asked, step, schema, LINES_OF_UNIT if lines else 1)
+    return K.fold(units(spark, d), packs, asked, step, schema, LINES_OF_UNIT if lines else 1)
 
 
 #: Lines of a unit, about, for the size of blocks alone.

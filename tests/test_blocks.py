@@ -63,3 +63,13 @@ def test_pairs_are_no_rows_of_a_report(spark, crowd, monkeypatch):
     got = QUERIES["q04_pooled_report"](spark, crowd).collect()
     assert {r.part for r in got} == {*PARTS["q04_pooled_report"]}
     assert max(n for k, n in stages(spark).items() if k not in before) < UNITS * QUESTIONS / 4
+
+
+@pytest.mark.parametrize("name", ["r11_combsum_top10"])
+def test_blocks_hold_no_row_for_a_unit(spark, crowd, name, monkeypatch):
+    # units travel packed, and there are no more copies of them than tasks need, however many pairs there are
+    whole = sorted(P.QUERIES[name](spark, crowd).collect())
+    monkeypatch.setattr(K, "PAIRS", 100)
+    before = set(stages(spark))
+    assert sorted(P.QUERIES[name](spark, crowd).collect()) == whole
+    assert max(n for k, n in stages(spark).items() if k not in before) < 2 * UNITS
