@@ -65,7 +65,7 @@ def test_pairs_are_no_rows_of_a_report(spark, crowd, monkeypatch):
     assert max(n for k, n in stages(spark).items() if k not in before) < UNITS * QUESTIONS / 4
 
 
-@pytest.mark.parametrize("name", ["r11_combsum_top10", "r09_borda_top10", "r12_z_max_top10"])
+@pytest.mark.parametrize("name", ["r11_combsum_top10", "r09_borda_top10", "r12_z_max_top10", "r03_cosine_top10"])
 def test_blocks_hold_no_row_for_a_unit(spark, crowd, name, monkeypatch):
     # units travel packed, and there are no more copies of them than tasks need, however many pairs there are
     whole = sorted(P.QUERIES[name](spark, crowd).collect())
