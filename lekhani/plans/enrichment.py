@@ -30,26 +30,27 @@ def _chapters(spark, d):
 
 
 def _asked_chapters(spark, d):
-    """Each question with each chapter of its book in its language, as a prompt."""
-    asked = P.questions(spark, d).select("qid", *P.KEYS, F.col("text").alias("question"))
-    return asked.join(_chapters(spark, d), P.KEYS).select("qid", "chapter", Mo.retrieval_prompt(F.col("question"), F.col("context")).alias("p"))
+    """Each question with each chapter of its book in its language."""
+    asked = P.questions(spark, d).where("book_id is not null").select("qid", *P.KEYS, Mo.retrieval_head(F.col("text")).alias("head"))
+    sizes = P.units(spark, d).groupBy(*P.KEYS).agg(F.count_distinct("chapter").alias("n"))
+    return E.Pairs(asked, _chapters(spark, d).where("book_id is not null").withColumnRenamed("context", "text"), sizes, P.KEYS, "qid", "chapter")
 
 
 def r19_labels(spark, d):
-    return Mo.labels(_asked_chapters(spark, d), ["qid", "chapter"], F.col("p"))
+    return Mo.labels(_asked_chapters(spark, d), ["qid", "chapter"], None)
 
 
 def r19_scores(spark, d):
-    return Mo.scores(_asked_chapters(spark, d), ["qid", "chapter"], F.col("p")).withColumn("score", F.col("score").cast("long"))
+    return Mo.scores(_asked_chapters(spark, d), ["qid", "chapter"], None).withColumn("score", F.col("score").cast("long"))
 
 
 def r19_axes(spark, d):
-    rows = Mo.axes(_asked_chapters(spark, d), ["qid", "chapter"], F.col("p"))
+    rows = Mo.axes(_asked_chapters(spark, d), ["qid", "chapter"], None)
     return rows.select("qid", "chapter", *(F.col(a).cast("long").alias(a) for a in "fecrt"))
 
 
 def r20_extracts(spark, d):
-    return Mo.extracts(_asked_chapters(spark, d), ["qid", "chapter"], F.col("p"))
+    return Mo.extracts(_asked_chapters(spark, d), ["qid", "chapter"], None)
 
 
 def _hits(spark, d):

@@ -73,3 +73,24 @@ def test_blocks_hold_no_row_for_a_unit(spark, crowd, name, monkeypatch):
     before = set(stages(spark))
     assert sorted(P.QUERIES[name](spark, crowd).collect()) == whole
     assert max(n for k, n in stages(spark).items() if k not in before) < 2 * UNITS
+
+
+def test_prompts_of_a_key_are_spread(spark, crowd, monkeypatch):
+    # questions of a book and language with its chapters are no rows of one task, and the answers are those of SQL
+    from lekhani.operators import enrich as E
+    from lekhani.plans import enrichment as N
+
+    monkeypatch.setattr(E, "PROMPTS", 50, raising=False)
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        got = N.QUERIES["r19_scores"](spark, crowd).withColumn("at", F.spark_partition_id()).collect()
+    finally:
+        for k in settings:
+            spark.conf.unset(k)
+    assert len({r["at"] for r in got if r.qid <= QUESTIONS}) > 1
+    con = duckdb.connect()
+    for t in ("documents", "questions"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{crowd}/{t}.parquet/*.parquet'")
+    assert sorted((r.qid, r.chapter, r.score) for r in got) == sorted(con.execute(f"SELECT qid, chapter, score FROM ({N.ORACLES['r19_scores']})").fetchall())
