@@ -396,14 +396,17 @@ def fold(units: DataFrame, packs: DataFrame, asked: DataFrame, step: Callable[[C
     """What ``step`` yields, as columns of ``schema``, for all questions, a few at a time.
 
     ``units(book_id, lang)`` for their number, ``packs`` of them and ``asked(qid, book_id, lang, q_type, terms, avgdl, gold)``. A book and language of more than
-    ``PAIRS`` pairs has its questions in several blocks, each with all units; no more than twice as many as tasks can run at once, for each is a copy of the units.
+    ``PAIRS`` pairs has its questions in several blocks, each with all units. Each is a copy of the units, so a book and language has no more of them than its share,
+    by pairs, of twice as many blocks as tasks can run at once.
     ``factor``: texts of a unit. Questions without units come alone.
     """
     keys = ["book_id", "lang"]
     most = 2 * units.sparkSession.sparkContext.defaultParallelism
-    sizes = units.groupBy(*keys).agg(F.count(F.lit(1)).alias("nu")).join(asked.groupBy(*keys).agg(F.count(F.lit(1)).alias("nq")), keys)
-    # a row for each book and language of more than PAIRS pairs: few, for there are that many pairs to work on for each
-    large = F.broadcast(sizes.select(*keys, F.least(F.ceil(F.col("nu") * F.col("nq") * factor / PAIRS), F.lit(most)).cast("int").alias("n_blocks")).where("n_blocks > 1"))
+    sizes = units.groupBy(*keys).agg(F.count(F.lit(1)).alias("nu")).join(asked.groupBy(*keys).agg(F.count(F.lit(1)).alias("nq")), keys).select(*keys, (F.col("nu") * F.col("nq")).alias("pairs"))
+    whole = F.broadcast(sizes.agg(F.sum("pairs").alias("all_pairs")))  # a single row
+    n_blocks = F.least(F.ceil(F.col("pairs") * factor / PAIRS), F.ceil(F.col("pairs") * most / F.col("all_pairs"))).cast("int")
+    # fewer rows than twice as many as tasks can run, for each has more than one such share of all pairs
+    large = F.broadcast(sizes.crossJoin(whole).select(*keys, n_blocks.alias("n_blocks")).where("n_blocks > 1"))
     n = F.coalesce("n_blocks", F.lit(1))
     empty = lambda kind, name: F.lit(None).cast(kind).alias(name)
     left = packs.where("pack is not null").join(large, keys, "left").select(

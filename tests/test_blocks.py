@@ -75,6 +75,26 @@ def test_blocks_hold_no_row_for_a_unit(spark, crowd, name, monkeypatch):
     assert max(n for k, n in stages(spark).items() if k not in before) < 2 * UNITS
 
 
+@pytest.mark.parametrize("name", ["r09_borda_top10"])
+def test_books_have_as_many_blocks_as_their_share(spark, tmp_path, name, monkeypatch):
+    # 40 books of equal size keep all tasks busy with a block each, however many pairs they have; SQL has the same rows
+    docs = [(i, i % 40, i % 7, f"boat song{i % 9}", "en", "prose") for i in range(1, 241)]
+    d = write(spark, tmp_path, documents=(docs, DOC), questions=([(i, i, i % 40, "single", f"boat song{i % 5}", [1], "en") for i in range(1, 201)], ASKED))
+    monkeypatch.setattr(K, "PAIRS", 1)
+    before = set(stages(spark))
+    got = P.QUERIES[name](spark, d).collect()
+    # no more than the question's words, and each book's units of four tasks and its questions
+    assert max(n for k, n in stages(spark).items() if k not in before) <= 400
+    assert sorted(map(tuple, got)) == sorted(_sql_rows(d, name, P.QUERIES[name](spark, d).columns))
+
+
+def _sql_rows(d, name, columns):
+    con = duckdb.connect()
+    for t in ("documents", "questions"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{d}/{t}.parquet/*.parquet'")
+    return con.execute(f"SELECT {', '.join(columns)} FROM ({P.ORACLES[name]})").fetchall()
+
+
 def test_prompts_of_a_key_are_spread(spark, crowd, monkeypatch):
     # questions of a book and language with its chapters are no rows of one task, and the answers are those of SQL
     from lekhani.operators import enrich as E
