@@ -42,7 +42,9 @@ def _ends(counts: np.ndarray) -> np.ndarray:
     return np.concatenate([np.zeros(1, np.int64), np.cumsum(counts)])
 
 
-_CODEC = "zstd"
+_CODEC, _LEVEL = "zstd", 6
+#: Bytes of units that a worker packs together: the more of a book and language lie in a pack, the better its words compress.
+GATHERED = 1 << 25
 _PACK = {"ix": pa.int64(), "chapter": pa.int32(), "size": pa.int32(), "words": None, "n_lines": pa.int32(), "line_size": pa.int32(), "lines": None}
 PACK = "struct<ix: array<bigint>, chapter: array<int>, size: array<int>, words: binary, n_lines: array<int>, line_size: array<int>, lines: binary>"
 
@@ -53,7 +55,7 @@ def _squeezed(texts: pa.Array, cuts: np.ndarray) -> list[pa.Array]:
     ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))])
     data = texts.buffers()[2] or pa.py_buffer(b"")
     low = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset] if len(texts) else 0
-    codec = pa.Codec(_CODEC)
+    codec = pa.Codec(_CODEC, compression_level=_LEVEL)
     made = [codec.compress(data.slice(low + ends[i], ends[j] - ends[i]), asbytes=True) for i, j in zip(cuts, cuts[1:])]
     return [_listed(np.diff(ends).astype(np.int32), cuts), pa.array(made, pa.binary())]
 
@@ -83,6 +85,20 @@ def _packed(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, pa.Array, pa.Arra
     yield batch.column("book_id").take(first), batch.column("lang").take(first), pa.StructArray.from_arrays(columns, list(_PACK))
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], each: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], together: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]) -> Iterator[pa.RecordBatch]:
+    """What ``each`` makes of a batch, and ``together`` of several of ``GATHERED`` bytes."""
+    held, size = [], 0
+    for batch in batches:
+        yield from each(batch)
+        held.append(batch)
+        size += batch.nbytes
+        if size >= GATHERED:
+            yield from together(pa.concat_batches(held))
+            held, size = [], 0
+    if held:
+        yield from together(pa.concat_batches(held))
+
+
 def _unpacked(packs: pa.StructArray) -> pa.Table:
     """The units of the rows of a book and language, in the order of their ids."""
 
@@ -117,21 +133,25 @@ def packed(units: DataFrame, counted: bool) -> DataFrame:
     pack = pa.struct([(k, pa.list_(v) if v else pa.binary()) for k, v in _PACK.items()])
     names = ["book_id", "lang", "pack", "term", "df", "n_words"]
 
+    def counts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        langs = batch.column("lang")
+        for lang in pc.unique(langs).to_pylist() if counted else ():
+            texts = batch.column("words").filter(pc.equal(langs, lang))
+            at, code, terms = _flat_words(texts)
+            n = max(1, len(terms))
+            df = np.bincount(_counted(at * n + code)[0] % n, minlength=len(terms))
+            there = np.flatnonzero(df)
+            found = pa.concat_arrays([terms.take(pa.array(there)).cast(pa.string()), pa.nulls(1, pa.string())])
+            m = len(found)
+            yield pa.RecordBatch.from_arrays([pa.nulls(m, book), pa.array([lang] * m), pa.nulls(m, pack), found, pa.array(np.append(df[there], len(texts))), pa.array(np.append(np.zeros(len(there), np.int64), len(at)))], names)
+
+    def packs(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for rows in _packed(batch):
+            n = len(rows[0])
+            yield pa.RecordBatch.from_arrays([*rows, pa.nulls(n, pa.string()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names)
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for rows in _packed(batch):
-                n = len(rows[0])
-                yield pa.RecordBatch.from_arrays([*rows, pa.nulls(n, pa.string()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names)
-            langs = batch.column("lang")
-            for lang in pc.unique(langs).to_pylist() if counted else ():
-                texts = batch.column("words").filter(pc.equal(langs, lang))
-                at, code, terms = _flat_words(texts)
-                n = max(1, len(terms))
-                df = np.bincount(_counted(at * n + code)[0] % n, minlength=len(terms))
-                there = np.flatnonzero(df)
-                found = pa.concat_arrays([terms.take(pa.array(there)).cast(pa.string()), pa.nulls(1, pa.string())])
-                m = len(found)
-                yield pa.RecordBatch.from_arrays([pa.nulls(m, book), pa.array([lang] * m), pa.nulls(m, pack), found, pa.array(np.append(df[there], len(texts))), pa.array(np.append(np.zeros(len(there), np.int64), len(at)))], names)
+        yield from _gathered(batches, counts, packs)
 
     return units.mapInArrow(work, f"book_id {kind}, lang string, pack {PACK}, term string, df long, n_words long")
 

@@ -88,6 +88,20 @@ def test_books_have_as_many_blocks_as_their_share(spark, tmp_path, name, monkeyp
     assert sorted(map(tuple, got)) == sorted(_sql_rows(d, name, P.QUERIES[name](spark, d).columns))
 
 
+def test_units_of_several_batches_are_packed_together(spark, crowd):
+    # SQL has the rows of small batches, and a task has one pack for each of its books and languages
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    try:
+        got = P.QUERIES["r12_z_max_top10"](spark, crowd)
+        rows = sorted(map(tuple, got.collect()))
+        own = P.units(spark, crowd).repartition(2).select("unit_ix", *P.KEYS, "chapter", words(F.col("text")).alias("words"))
+        packs = K.packed(own, True).where("pack is not null").select(*P.KEYS, F.size("pack.ix").alias("n"), F.spark_partition_id().alias("at")).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(packs) == len({(r.book_id, r.lang, r["at"]) for r in packs}) and sum(r.n for r in packs) == UNITS + 4
+    assert rows == sorted(_sql_rows(crowd, "r12_z_max_top10", got.columns))
+
+
 def _sql_rows(d, name, columns):
     con = duckdb.connect()
     for t in ("documents", "questions"):
