@@ -89,12 +89,13 @@ def pools(spark: SparkSession, d: str) -> DataFrame:
     return both
 
 
-def _in_blocks(spark: SparkSession, d: str, step, schema: str, idf: bool = True, lines: bool = False) -> DataFrame:
-    """``step`` over all questions with the units of their book and language; with ``lines``, also with the lines of these."""
+def _in_blocks(spark: SparkSession, d: str, step, schema: str, idf: bool = True, lines: bool = False, marked: bool = True) -> DataFrame:
+    """``step`` over all questions with the units of their book and language; with ``lines``, also with the lines of these; ``marked``: with type and gold of the questions."""
     text = F.col("text")
     own = spread(units(spark, d)).select("unit_ix", *KEYS, "chapter", words(text).alias("words"), *([F.transform(non_blank_lines(text), words).alias("lines")] if lines else []))
     w = F.filter(F.split(words(text), " "), lambda t: (t != "") & ~t.isin(STOPWORDS))
-    asked = questions(spark, d).select("qid", *KEYS, "q_type", F.array_distinct("chapters").alias("gold"), w.alias("w"))
+    marks = ["q_type", "gold"] if marked else []
+    asked = questions(spark, d).withColumn("gold", F.array_distinct("chapters")).select("qid", *KEYS, *marks, w.alias("w"))
     asked = asked.withColumn("w", F.transform(F.array_distinct("w"), lambda t: F.struct(t.alias("term"), F.size(F.filter("w", lambda x: x == t)).cast("long").alias("tq"))))
     packs = K.packed(own, idf)
     if idf:
@@ -102,12 +103,14 @@ def _in_blocks(spark: SparkSession, d: str, step, schema: str, idf: bool = True,
         known = cut_lineage(K.document_frequency(packs))  # as many rows as there are words
         stats = F.broadcast(known.where("term is null").select("lang", F.col("df").alias("n_units"), (F.col("n_words") / F.col("df")).alias("avgdl")))  # a row for each language
         rare = known.where("term is not null").join(stats, "lang").select("lang", "term", F.log(1 + (F.col("n_units") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-        each = asked.select("qid", *KEYS, "q_type", "gold", F.explode_outer("w").alias("x")).select("qid", *KEYS, "q_type", "gold", "x.term", "x.tq").join(rare, ["lang", "term"], "left")
-        asked = each.groupBy("qid", *KEYS).agg(F.first("q_type").alias("q_type"), F.first("gold").alias("gold"), F.collect_list(F.when(F.col("term").isNotNull(), F.struct("term", "tq", "idf"))).alias("terms"))
+        each = asked.select("qid", *KEYS, *marks, F.explode_outer("w").alias("x")).select("qid", *KEYS, *marks, "x.term", "x.tq").join(rare, ["lang", "term"], "left")
+        asked = each.groupBy("qid", *KEYS).agg(*(F.first(c).alias(c) for c in marks), F.collect_list(F.when(F.col("term").isNotNull(), F.struct("term", "tq", "idf"))).alias("terms"))
         asked = asked.join(stats.select("lang", "avgdl"), "lang", "left")
     else:
         none = F.lit(None).cast("double")
-        asked = asked.select("qid", *KEYS, "q_type", "gold", F.transform("w", lambda x: F.struct(x["term"].alias("term"), x["tq"].alias("tq"), none.alias("idf"))).alias("terms"), none.alias("avgdl"))
+        asked = asked.select("qid", *KEYS, *marks, F.transform("w", lambda x: F.struct(x["term"].alias("term"), x["tq"].alias("tq"), none.alias("idf"))).alias("terms"), none.alias("avgdl"))
+    if not marked:
+        asked = asked.withColumns({"q_type": F.lit(None).cast("string"), "gold": F.lit(None).cast("array<int>")})
     return K.fold(units(spark, d), packs, asked, step, schema, LINES_OF_UNIT if lines else 1)
 
 
@@ -123,7 +126,7 @@ def _best(spark, d, method: str, k: int) -> DataFrame:
             row, u, rank = K.best(score, k, among)
             yield [c.qid.take(row), c.units.ids.take(u), c.units.chapter_of.take(u), score[row, u] / unit, rank]
 
-    return _in_blocks(spark, d, step, "qid long, unit_ix long, chapter int, score double, rank long", method != "cosine")
+    return _in_blocks(spark, d, step, "qid long, unit_ix long, chapter int, score double, rank long", method != "cosine", marked=False)
 
 
 def _counted_at(spark, d, methods: list[str], ks: list[int], union: bool = False) -> DataFrame:

@@ -102,6 +102,14 @@ def test_units_of_several_batches_are_packed_together(spark, crowd):
     assert rows == sorted(_sql_rows(crowd, "r12_z_max_top10", got.columns))
 
 
+@pytest.mark.parametrize("name", ["r03_cosine_top10", "r09_borda_top10"])
+def test_questions_of_a_ranking_carry_no_marks(spark, crowd, name):
+    df = P.QUERIES[name](spark, crowd)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "question:string" in plan and "chapters:array" not in plan and "q_type:string" not in plan
+    assert sorted(map(tuple, df.collect())) == sorted(_sql_rows(crowd, name, df.columns))
+
+
 def _sql_rows(d, name, columns):
     con = duckdb.connect()
     for t in ("documents", "questions"):
